@@ -55,8 +55,8 @@ class Chunk:
         return np.searchsorted(self.offsets, at, side="right") - 1
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Slices of at most `limit` bytes, or of one longer text."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, max_rows: int = 1 << 16) -> Iterator[Chunk]:
+    """Slices of at most `limit` bytes and `max_rows` rows, or of one longer text."""
     texts = texts.fill_null("") if texts.null_count else texts
     large = texts.cast(pa.large_string())
     _, raw_offsets, raw = large.buffers()
@@ -68,6 +68,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        end = min(end, at + max_rows)
         yield Chunk(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at)
         at = end
 

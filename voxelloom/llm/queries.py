@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm import fm_index, packing, preferences, quality, secret_scan, token_files, tokenize, toxicity
+from voxelloom.llm import context_tree, fm_index, jaccard, packing, preferences, quality, secret_scan, token_files, tokenize, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(preferences.last_reply_pairs(_table(spark, sf_dir, "conversations")))
 
@@ -54,15 +58,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(fm_index.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_preferences": op5_preferences,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
