@@ -114,30 +114,41 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     return fit_noisy_or(slots.astype(np.int64), local.astype(np.int64) + base[at], np.repeat(np.arange(len(y)), per_doc), y)
 
 
+def bag_scores(chunk: T.Chunk, model: Model | None) -> tuple[Bags | None, np.ndarray, np.ndarray]:
+    """Sentences of the chunk, the score of each row, and of each sentence."""
+    if model is None:
+        return None, np.zeros(chunk.rows), np.zeros(0)
+    b = bags(chunk)
+    z = np.bincount(b.sentence, model.weights[b.slots], len(b.starts)) + model.bias
+    score = -np.expm1(-np.bincount(b.rows, np.logaddexp(0, z), chunk.rows))
+    return b, np.clip(score, 0.0, 1.0), L.sigmoid(z)
+
+
+def _spans(chunk: T.Chunk, b: Bags | None, p: np.ndarray, threshold: float) -> list[list[dict]]:
+    """Character spans of the sentences at or over the threshold, a list for each row."""
+    own: list[list[dict]] = [[] for _ in range(chunk.rows)]
+    found = np.flatnonzero(p >= threshold)
+    if len(found):
+        points = T.code_points(chunk.data)
+        for k in found.tolist():
+            row = int(b.rows[k])
+            first = points[chunk.offsets[row]]
+            own[row].append({"start": int(points[b.starts[k]] - first), "end": int(points[b.ends[k]] - first), "score": float(p[k])})
+    return own
+
+
 def _score(model, threshold: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
             scores, spans = [np.zeros(0)], []
             for chunk in T.chunks(batch["text"]):
-                if m is None:
-                    scores.append(np.zeros(chunk.rows))
-                    spans += [[] for _ in range(chunk.rows)]
-                    continue
-                b = bags(chunk)
-                z = np.bincount(b.sentence, m.weights[b.slots], len(b.starts)) + m.bias
-                scores.append(-np.expm1(-np.bincount(b.rows, np.logaddexp(0, z), chunk.rows)))
-                found = np.flatnonzero(L.sigmoid(z) >= threshold)
-                points = T.code_points(chunk.data) if len(found) else None
-                own: list[list[dict]] = [[] for _ in range(chunk.rows)]
-                for k in found.tolist():
-                    row = int(b.rows[k])
-                    first = points[chunk.offsets[row]]
-                    own[row].append({"start": int(points[b.starts[k]] - first), "end": int(points[b.ends[k]] - first), "score": float(L.sigmoid(z[k]))})
-                spans += own
-            score = np.clip(np.concatenate(scores), 0.0, 1.0)
+                b, score, p = bag_scores(chunk, model.value)
+                scores.append(score)
+                spans += _spans(chunk, b, p, threshold)
+            score = np.concatenate(scores)
             predicted = (score >= threshold).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array(predicted), pa.array(spans, _SPANS)], ["doc_id", "held_out", "score", "predicted", "offending"])
+            columns = [batch["doc_id"], batch["held_out"], pa.array(score), pa.array(predicted), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "offending"])
 
     return task
 
@@ -150,3 +161,16 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = T.id_and_text(docs, (T.crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     return rows.mapInArrow(_score(shared, threshold), _SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs`, all their columns, without the rows whose text scores at or over the threshold; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            scores = np.concatenate([np.zeros(0), *(bag_scores(chunk, shared.value)[1] for chunk in T.chunks(batch.column(at)))])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(task, docs.schema)
