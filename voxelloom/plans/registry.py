@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +23,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where spark.checkpoint.dir is; a temporary one only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` in the shared folder, for results that several branches of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

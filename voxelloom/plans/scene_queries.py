@@ -16,7 +16,7 @@ from voxelloom.operators import image as I
 from voxelloom.operators import learn as L
 from voxelloom.operators import mesh as M
 from voxelloom.operators import sampling as T
-from voxelloom.plans.registry import query
+from voxelloom.plans.registry import query, written
 
 CELL, W = R.CELL, V.with_views
 _LCG = 1_000_003
@@ -328,9 +328,7 @@ def v9(s, d):
 
 
 def _trained(s, d):
-    from pyspark import StorageLevel
-
-    return v9(s, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(v9(s, d))
 
 
 @query("v11_leaves")
@@ -434,3 +432,22 @@ SELECT scene_id, ti AS i, tj AS j, tk AS k, round(avg(v), 9) AS v, count(*) AS n
 @query("v13_oracle_reconstruction", W("samples", "voxels", "cells") + _PLACE)
 def v13(s, d):
     return reconstruct(s, d).withColumn("v", F.round("v", 9))
+
+
+@query("v12_reconstruction")
+def v12(s, d):
+    """Features at the samples, a forest trained on the scenes' own blocks, and the blended grids."""
+    from voxelloom.plans import reconstruct as P
+
+    samples = _sampled_points(s, d)
+    blocks = P.sample_blocks(samples, BLOCK, STEP, (0.5, 0.5, 0.5))
+    truth = V.voxels(s, d)
+    x = written(P.ring_features(blocks, V.grids(s, d), truth, STEP, 2, -5.0))
+    own = written(D.cut_voxlets(blocks, truth, V.grids(s, d), BLOCK, STEP))
+    library = own.select(F.col("sample_id").alias("medoid_id"), F.transform("vals", lambda v: F.coalesce(v, F.lit(V.MU))).alias("vals"))
+    rows = x.join(library.withColumnRenamed("medoid_id", "sample_id"), "sample_id").select(F.col("sample_id").alias("example_id"), "x", F.col("vals").alias("y"))
+    nodes = written(L.train_forest(T.bag_rows(rows, 3, 0.5, 9), "m", tests=32, depth=5, pca_dims=16))
+    guesses = P.predict_blocks(samples, x, nodes, library).where("medoid_id IS NOT NULL")
+    seen = library.withColumnRenamed("medoid_id", "sample_id").withColumnRenamed("vals", "visible")
+    chosen = written(D.choose(guesses.join(seen, "sample_id"), "closest", "narrow_band").where("min_dist < 1e300"))
+    return P.fill_in(chosen, blocks, V.grids(s, d), truth, BLOCK, STEP, V.MU, 5.0, 2)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from voxelloom import testviews as V
 from voxelloom.functions import scalars as S
 from voxelloom.operators import evaluate as E
 from voxelloom.operators import grid as R
-from voxelloom.plans.registry import query
+from voxelloom.plans.registry import query, shared_folder
 from voxelloom.plans.scene_queries import _MESH, _mesh
 from voxelloom.sources import grids_io, mesh_files, rasters, reports
 from voxelloom.streaming import fusion as streams
@@ -20,12 +17,6 @@ from voxelloom.streaming import fusion as streams
 CELL, W = R.CELL, V.with_views
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where spark.checkpoint.dir is; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-shared-")
-
-
 @query("s1_s2_grid_dumps", W("voxels") + " SELECT * FROM voxels WHERE v IS NOT NULL")
 def s1(s, d):
     return grids_io.decode_dumps(grids_io.grid_dumps(V.voxels(s, d), V.grids(s, d)))
