@@ -48,11 +48,12 @@ _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """For x >= 1/2: Stirling's series after a shift by eight."""
+    x = np.asarray(x, np.float64)
     shift = np.zeros_like(x)
     for k in range(8):
         shift += np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - shift
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -274,7 +275,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     windows = sums.where(F.col("kind") == _WINDOW).select("key", "n", F.shiftright("key", 8 * (depth - 1)).alias("latest"))
     nodes = windows.groupBy("latest").applyInArrow(_nodes(depth), "c1 int, label int, n0 double, n1 double, weighted double")
     found = nodes.groupBy("c1", "label").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("w")).orderBy("c1", "label").toPandas()
-    model = top(*(found[c].to_numpy() for c in ("c1", "label", "n0", "n1", "w")))
+    model = top(*(found[c].to_numpy(np.int64) for c in ("c1", "label")), *(found[c].to_numpy(np.float64) for c in ("n0", "n1", "w")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     word_sums = sums.where(F.col("kind") == _WORD)
     n_train, n_distinct = word_sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
