@@ -158,16 +158,16 @@ def flattened_down(labels: DataFrame) -> DataFrame:
 
 
 def voxel_normals(voxels: DataFrame, shape: tuple[int, int, int], reach: int = 3) -> DataFrame:
-    """Normals from differences over `reach` cells either way, indices clamped, unknown as the grid's least value."""
-    filled = voxels.withColumn("v", F.coalesce("v", F.min("v").over(Window.partitionBy("scene_id"))))
-    out = filled.select(*CELL)
+    """Normals from differences over `reach` cells either way, indices clamped, unknown and absent cells as the grid's least value."""
+    least = voxels.groupBy("scene_id").agg(F.min("v").alias("least"))
+    out = voxels.select(*CELL).join(least, "scene_id")
     for axis, n in zip("ijk", shape, strict=True):
         for name, step in (("lo", -reach), ("hi", reach)):
             at = F.least(F.greatest(F.col(axis) + step, F.lit(0)), F.lit(n - 1))
-            other = filled.select(*(F.col(c).alias(f"_{c}") for c in CELL), F.col("v").alias(f"{axis}_{name}"))
+            other = voxels.select(*(F.col(c).alias(f"_{c}") for c in CELL), F.col("v").alias("_v"))
             keyed = out.withColumn("_at", at)
             on = [F.col(c) == F.col(f"_{c}") for c in CELL if c != axis] + [F.col("_at") == F.col(f"_{axis}")]
-            out = keyed.join(other, on, "left").drop("_at", *(f"_{c}" for c in CELL))
+            out = keyed.join(other, on, "left").withColumn(f"{axis}_{name}", F.coalesce("_v", "least")).drop("_at", "_v", *(f"_{c}" for c in CELL))
     d = [F.col(f"{a}_hi") - F.col(f"{a}_lo") for a in "ijk"]
     length = F.when(G.norm(d) == 0, 1e-4).otherwise(G.norm(d))
     return out.select(*CELL, *((c / length).alias(n) for c, n in zip(d, ("nx", "ny", "nz"), strict=True)))

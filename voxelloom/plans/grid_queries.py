@@ -442,9 +442,19 @@ def u2(s, d):
     return E.with_external(own, external, own.select("scene_id").distinct(), "external")
 
 
-@query("w6_voxel_normals")
+def _neighbour(axis: str, step: int, n: int) -> str:
+    at = f"least(greatest(c.{axis} + {step}, 0), {n - 1})"
+    on = " AND ".join(f"o.{x} = {at if x == axis else 'c.' + x}" for x in "ijk")
+    return f"coalesce((SELECT v FROM voxels o WHERE o.scene_id = c.scene_id AND {on}), least)"
+
+
+_W6 = ", m AS (SELECT scene_id, min(v) AS least FROM voxels GROUP BY 1), d AS (SELECT c.scene_id, c.i, c.j, c.k, " + ", ".join(f"{_neighbour(a, 3, n)} - {_neighbour(a, -3, n)} AS {x}" for a, x, n in zip("ijk", "xyz", V.SHAPE, strict=True)) + " FROM voxels c JOIN m ON c.scene_id = m.scene_id), l AS (SELECT *, CASE WHEN x*x + y*y + z*z = 0 THEN 1e-4 ELSE sqrt(x*x + y*y + z*z) END AS len FROM d)"
+
+
+@query("w6_voxel_normals", W("voxels") + _W6 + " SELECT scene_id, i, j, k, round(x / len, 6) + 0 AS nx, round(y / len, 6) + 0 AS ny, round(z / len, 6) + 0 AS nz FROM l")
 def w6(s, d):
-    return R.voxel_normals(V.voxels(s, d), V.SHAPE)
+    n = R.voxel_normals(V.voxels(s, d), V.SHAPE)
+    return n.select(*CELL, *((F.round(c, 6) + 0).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query("grid_tiles", W("voxels") + " SELECT * FROM voxels WHERE v IS NOT NULL")

@@ -279,11 +279,19 @@ def v3(s, d):
     return D.segment(V.voxels(s, d), V.SHAPE, 1, 3, radius=2)
 
 
-@query("v15_signed_distance")
+# The distance is clipped at four cells, so only offsets that near matter.
+_EDT = """, o AS (SELECT c.scene_id, c.i, c.j, c.k, coalesce(v < 0, false) AS solid FROM cells c LEFT JOIN voxels USING (scene_id, i, j, k)),
+f AS (SELECT a - 4 AS a, b - 4 AS b, c - 4 AS c, power(a - 4, 2) + power(b - 4, 2) + power(c - 4, 2) AS d2 FROM range(9) p(a), range(9) q(b), range(9) r(c)),
+n AS (SELECT o.scene_id, o.i, o.j, o.k, min(d2) AS d2 FROM o, f, o t WHERE d2 BETWEEN 1 AND 16 AND t.scene_id = o.scene_id AND t.i = o.i + f.a AND t.j = o.j + f.b AND t.k = o.k + f.c AND t.solid <> o.solid GROUP BY 1, 2, 3, 4),
+s AS (SELECT scene_id, bool_or(solid) AND NOT bool_and(solid) AS mixed FROM o GROUP BY 1)
+SELECT o.scene_id, o.i, o.j, o.k, CASE WHEN mixed THEN round((CASE WHEN solid THEN -1 ELSE 1 END) * coalesce(sqrt(d2) / 16, 0.25), 9) END AS v FROM o JOIN s ON o.scene_id = s.scene_id LEFT JOIN n ON n.scene_id = o.scene_id AND n.i = o.i AND n.j = o.j AND n.k = o.k"""
+
+
+@query("v15_signed_distance", W("voxels", "cells") + _EDT)
 def v15(s, d):
     known = V.voxels(s, d).select(*CELL, F.col("v"))
     cells = R.world_centres(V.grids(s, d)).select(*CELL).join(known, CELL, "left")
-    return D.signed_distance(cells.select(*CELL, F.coalesce(F.col("v") < 0, F.lit(False)).alias("solid")), V.VOX, V.MU)
+    return D.signed_distance(cells.select(*CELL, F.coalesce(F.col("v") < 0, F.lit(False)).alias("solid")), V.VOX, V.MU).withColumn("v", F.round("v", 9))
 
 
 @query("j11_nearest", W("examples") + ", e AS (SELECT q.example_id AS query_id, t.example_id AS nn_id, sqrt(list_sum([power(q.x[n] - t.x[n], 2) for n in range(1, 33)])) AS dist FROM examples q, examples t WHERE q.example_id % 20 = 0 AND t.example_id % 20 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), nn_id) AS r FROM e) SELECT query_id, nn_id, round(dist, 6) AS dist FROM r WHERE r = 1")
