@@ -276,3 +276,54 @@ def test_tiles_keep_every_cell(spark):
     rows = [(1, i, j, k, float(i * 100 + j * 10 + k)) for i, j, k in itertools.product(range(5), range(3), range(7))]
     v = spark.createDataFrame(rows, "scene_id long, i int, j int, k int, v double")
     assert sorted(map(tuple, grid.unpack(grid.pack(v, 4), 4).collect())) == sorted(rows)
+
+
+def test_ring_samples_match_numpy(spark):
+    from voxelloom.operators import features
+
+    g = one_grid(spark, (9, 8, 7), 0.21, (0.013, -0.4, 0.1), 0.37)
+    v = grid.grid_cells(g).where("(i + j + k) % 5 <> 0").select("scene_id", "i", "j", "k", (F.col("i") * 100 + F.col("j") * 10 + F.col("k")).cast("double").alias("v"))
+    cells = {(r["i"], r["j"], r["k"]): r["v"] for r in v.collect()}
+    points = [(1, n, 0.3 + 0.11 * n, 0.2 + 0.07 * n, 0.6, 0.5 - n / 3, 0.4) for n in range(5)]
+    samples = spark.createDataFrame(points, "scene_id long, sample_id long, x double, y double, z double, nx double, ny double")
+    got = {r["sample_id"]: r["samples"] for r in features.ring_samples(samples, g, v, 0.173, 3).collect()}
+    c, s = np.cos(0.37), np.sin(0.37)
+    rot = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
+    for _, n, x, y, z, nx, ny in points:
+        want = []
+        for ring in range(1, 4):
+            for el in np.radians([-45, 0, 45]):
+                for az in np.arctan2(nx, ny) + np.radians(np.arange(0, 360, 45)):
+                    want.append(0.173 * ring * np.array([np.sin(az) * np.cos(el), np.cos(az) * np.cos(el), np.sin(el)]))
+        want += [np.array([0, 0, sign * 0.173 * ring]) for ring in range(1, 4) for sign in (1, -1)]
+        idx = [tuple(np.floor(((np.array([x, y, z]) + o - [0.013, -0.4, 0.1]) @ rot) / 0.21).astype(int)) for o in want]
+        assert len(idx) == 78 and got[n] == [cells.get(i) for i in idx]
+
+
+def test_candidate_distances():
+    visible, near, far = np.array([-1.0, -0.5, 0.2, 0.9, 1.0]), np.array([-1.0, -0.5, 0.3, 1.0, 1.0]), np.array([1.0, 1, -1, -1, -1])
+    for measure in ("just_empty", "narrow_band", "largest_of_free_zones"):
+        assert dense.candidate_distance(measure, visible, near) < dense.candidate_distance(measure, visible, far)
+    assert dense.candidate_distance("pointwise", visible, near, np.array([0, 2])) == 0.65
+
+
+def test_unknown_is_null_never_nan(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.5), (3, None)], "id long, v double").select("id", S.known(F.col("v")).alias("v"))
+    assert [r["v"] for r in df.orderBy("id").collect()] == [None, 0.5, None]
+    raw = spark.createDataFrame([(0,), (3,)], "r long").select(S.decode_depth(F.col("r"), 2.0).alias("d"), S.decode_depth_tenth_mm(F.col("r")).alias("m"))
+    assert [tuple(r) for r in raw.collect()] == [(None, None), (6 / 65536, 3e-4)]
+
+
+def test_halves_snap_to_even_pixels(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (-0.5,), (2.4999,), (1e300,), (None,)], "u double")
+    assert [r[0] for r in df.select(G.snapped(F.col("u"))).collect()] == [0, 2, 0, 2, None, None]
+
+
+def test_fusion_from_a_prior_and_in_a_band(spark):
+    rows = [(1, 0, 0, 0, 1.0, 1.5), (1, 0, 0, 0, 1.0, 0.9), (1, 0, 0, 1, 3.0, 1.0)]
+    seen = spark.createDataFrame(rows, "scene_id long, i int, j int, k int, z double, depth double")
+    prior = spark.createDataFrame([(1, 0, 0, 0, 0.3), (1, 5, 5, 5, None)], "scene_id long, i int, j int, k int, v double")
+    got = fusion.fuse(seen, 0.2, surface=0.15, prior=prior).collect()
+    assert len(got) == 1 and abs(got[0]["v"] - (0.2 - 0.1 + 0.3) / 3) < 1e-12
+    assert (got[0]["n_frames"], got[0]["visible_count"], got[0]["visible"]) == (2, 1, True)
+    assert fusion.fuse(seen, 0.2, narrow_band=True).count() == 1
