@@ -8,9 +8,7 @@ from voxelloom import testviews as V
 from voxelloom.functions import geometry as G
 from voxelloom.functions import scalars as S
 from voxelloom.operators import dense as D
-from voxelloom.operators import evaluate as E
 from voxelloom.operators import features as X
-from voxelloom.operators import fusion as U
 from voxelloom.operators import grid as R
 from voxelloom.operators import image as I
 from voxelloom.operators import learn as L
