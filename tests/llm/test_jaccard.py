@@ -1,5 +1,4 @@
 import random
-import re
 
 from voxelloom.llm import components, jaccard
 

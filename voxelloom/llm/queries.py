@@ -124,3 +124,19 @@ LEFT JOIN joined p ON p.conv_id = common.conv_id AND p.is_chosen AND p.shared
 LEFT JOIN joined a ON a.conv_id = common.conv_id AND a.is_chosen AND NOT a.shared
 LEFT JOIN joined r ON r.conv_id = common.conv_id AND NOT r.is_chosen AND NOT r.shared
 """
+
+# Pairs of documents by their common shingles, then everything that is reachable by links.
+ORACLE_SQL["op4_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT g.doc_id, gram, n FROM g JOIN n ON g.doc_id = n.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) + any_value(b.n) AS total FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id
+      WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+e AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (total - c) UNION ALL SELECT y, x FROM p WHERE 100 * c >= 90 * (total - c)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(y, d.doc_id)) AS BIGINT) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.x
+"""
