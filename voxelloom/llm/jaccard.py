@@ -9,7 +9,9 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
    share. Rows of one shingle meet in one partition; a pair is a candidate if its lengths, the places of the
    shared shingle, and its parity sketches allow the overlap. The sketch keeps for each of 256 slots
    whether an odd number of shingles fell in it; slots that differ can't outnumber shingles that differ,
-   which bounds what the suffixes still have in common.
+   which bounds what the suffixes still have in common. Prefixes are `shared_in_prefix` - 1 longer than one
+   common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
+   documents have by chance, are dropped by count before any set is looked at.
 3. Candidates are verified once a pair on the whole sets. To avoid all pairs in a group of near copies,
    the first round takes one leader for each shingle; the second takes every remaining candidate between
    different components. Links inside a component can't change it, so no component is lost.
@@ -132,6 +134,11 @@ def least_overlap(size_a, size_b, percent: int):
     return -(-(percent * (size_a + size_b)) // (100 + percent))
 
 
+def shared_in_prefix(size):
+    """How many shingles the prefixes of a linked pair must share: more for long sets, at least one."""
+    return np.maximum(1, size // 50)
+
+
 def _prefixes(rarity, width: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = rarity.value, set()
@@ -142,7 +149,7 @@ def _prefixes(rarity, width: int, percent: int):
                 rank = table[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 order = np.lexsort(((rank << np.uint64(56)) | (grams >> np.uint64(8)), rows))
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = sizes - -(-percent * sizes // 100) + 1
+                prefix = sizes - -(-percent * sizes // 100) + shared_in_prefix(sizes)
                 fresh = np.array([s > 0 and not (c in done or done.add(c)) for s, c in zip(sizes.tolist(), classes.tolist(), strict=True)], bool)
                 if len(done) > 1_000_000:  # a copy that is emitted again is dropped after the shuffle
                     done.clear()
@@ -226,24 +233,30 @@ def _prefix_groups(docs: DataFrame, rarity: np.ndarray, width: int, percent: int
     schema = "token long, class_id long, n int, place int, p0 long, p1 long, p2 long, p3 long"
     rows = docs.select("text").mapInArrow(_prefixes(shared, width, percent), schema).repartition("token").dropDuplicates(["token", "class_id"])
     several = rows.selectExpr("*", "count(*) OVER (PARTITION BY token) AS classes").where("classes > 1")
-    leader = "min(struct(xxhash64(token, class_id), class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token) AS leader"
+    leader = "min(struct(xxhash64(class_id), class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token) AS leader"
     return several.selectExpr("token", "struct(class_id, n, place, p0, p1, p2, p3) AS row", leader)
 
 
+def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (a, b) of classes that share enough shingles of their prefixes, from one row for each such shingle."""
+    need = F.greatest(F.lit(1), F.expr(f"least({a}.n, {b}.n) div 50"))
+    low, high = F.least(F.col(f"{a}.class_id"), F.col(f"{b}.class_id")), F.greatest(F.col(f"{a}.class_id"), F.col(f"{b}.class_id"))
+    pairs = rows.select(low.alias("a"), high.alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("need").alias("need"))
+    return written(pairs.where("common >= need").select("a", "b"), "pairs")
+
+
 def join_classes(docs: DataFrame, rarity: np.ndarray, width: int, percent: int) -> DataFrame:
     """(node, label): the component of each class that links with a class of a smaller number."""
     groups = written(_prefix_groups(docs, rarity, width, percent), "prefixes")
-    pair = lambda a, b: (F.least(F.col(f"{a}.class_id"), F.col(f"{b}.class_id")).alias("a"), F.greatest(F.col(f"{a}.class_id"), F.col(f"{b}.class_id")).alias("b"))
-    stars = groups.where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
-    links = written(_verified(written(stars.select(*pair("row", "leader")).distinct(), "pairs"), docs, width, percent), "verified")
+    stars = _counted(groups.where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent)), "row", "leader")
+    links = written(_verified(stars, docs, width, percent), "verified")
     labels = components(links)
 
     rows = groups.select("token", "row.*").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "class_id"))
     a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.label") != F.col("b.label"))
-    rest = a.join(b, apart & _possible("a", "b", percent)).select(*pair("a", "b")).distinct()
-    more = _verified(written(rest, "pairs"), docs, width, percent)
+    more = _verified(_counted(a.join(b, apart & _possible("a", "b", percent)), "a", "b"), docs, width, percent)
     return components(links.unionByName(more))
 
 
