@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_CODES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -145,6 +146,13 @@ def crc_fold_py(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
+def light_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches hold at most BATCH_BYTES: long texts and sets don't pile up in a task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
-    """Only what an operator reads, so that other columns, whatever their names, can't clash."""
+    """Only what an operator reads, so that other columns, whatever their names, can't clash, in light batches."""
+    light_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm._text import id_and_text
+from voxelloom.llm._text import id_and_text, light_batches
 
 #: In the order in which findings with one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key64", "keyhex")
@@ -202,4 +202,4 @@ def _redact(mask: str):
 
 def redact_secrets(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """`docs` with each stretch of overlapping findings replaced by `mask`; other columns and null texts stay."""
-    return docs.mapInArrow(_redact(mask), docs.schema)
+    return light_batches(docs).mapInArrow(_redact(mask), docs.schema)
