@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm._text import LOWER, Chunk
+from voxelloom.llm._text import LOWER, Chunk, light_batches
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, keep: Column | None = None) -> DataFrame:
@@ -17,6 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int,
     Only the fit is bounded; its ids, `limit` at most, are what is broadcast. Null ids, texts and labels and labels
     other than 0 and 1 are left out; an id labelled twice has its larger label, an id with several rows its first text.
     """
+    light_batches(docs)
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     named = named.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     if keep is not None:
@@ -100,8 +101,8 @@ def joined_arrays(rows: Iterator) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     empty = np.zeros(0)
     return (
         np.concatenate([*slots, empty.astype("<i4")]),
-        np.concatenate([*values, empty]).astype(float),
-        np.repeat(np.arange(len(rows)), [len(s) for s in slots]) if rows else empty.astype(int),
+        np.concatenate([*values, empty.astype("<f4")]),
+        np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for s in slots]) if rows else empty.astype(np.int32),
         np.array([r["label"] for r in rows], float),
         [r["doc_id"] for r in rows],
     )

@@ -24,7 +24,7 @@ from voxelloom.llm import _text as T
 from voxelloom.llm import linear as L
 
 BITS = 18
-SAMPLE = 10_000
+SAMPLE = 6000
 THRESHOLD = 0.3
 #: Ids of this remainder are held out of the fit.
 FOLDS, HELD_OUT = 4, 2
@@ -80,10 +80,12 @@ def fit_noisy_or(slots: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label
     noise would move.
     """
     n, n_sentences = len(labels), len(doc)
-    pairs = np.unique(doc[sentence] * (1 << BITS) + slots) & ((1 << BITS) - 1)
+    pairs = np.unique(doc[sentence].astype(np.int64) * (1 << BITS) + slots) & ((1 << BITS) - 1)
     used = (np.bincount(pairs, minlength=1 << BITS) >= LEAST_DOCS)[slots]
+    del pairs
     sentence = sentence[used]
     ids, slots = np.unique(slots[used], return_inverse=True)
+    slots = slots.astype(np.int32)
     w, seen, bias = np.zeros(len(ids)), np.full(len(ids), 1e-12), -5.0
     for _ in range(steps):
         z = np.bincount(sentence, w[slots], n_sentences) + bias
@@ -111,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     per_doc = np.zeros(len(y), np.int64)
     np.maximum.at(per_doc, at, local.astype(np.int64) + 1)
     base = np.cumsum(per_doc) - per_doc
-    return fit_noisy_or(slots.astype(np.int64), local.astype(np.int64) + base[at], np.repeat(np.arange(len(y)), per_doc), y)
+    return fit_noisy_or(slots, (local.astype(np.int64) + base[at]).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), per_doc), y)
 
 
 def bag_scores(chunk: T.Chunk, model: Model | None) -> tuple[Bags | None, np.ndarray, np.ndarray]:
@@ -173,4 +175,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
             scores = np.concatenate([np.zeros(0), *(bag_scores(chunk, shared.value)[1] for chunk in T.chunks(batch.column(at)))])
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(task, docs.schema)
+    return T.light_batches(docs).mapInArrow(task, docs.schema)
