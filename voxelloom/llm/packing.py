@@ -31,6 +31,7 @@ from voxelloom.llm.tokenize import encode_texts
 WINDOW = 2048
 #: Remainders that a task holds before it packs them.
 HELD = 200_000
+HELD_BYTES = 16 << 20
 
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -130,7 +131,7 @@ def _pack(window: int, held_rows: int):
             docs += batch["doc_id"].to_pylist()
             held += (new := batch["ids"].to_pylist())
             size += sum(map(len, new))
-            if len(docs) >= held_rows or size >= 64 << 20:
+            if len(docs) >= held_rows or size >= HELD_BYTES:
                 yield flush()
                 size = 0
         if docs:
