@@ -66,10 +66,13 @@ def idx_to_world_matrix(vox_size: Column, rot: Column, origin: Column) -> Column
     return F.array(*out, *(F.lit(float(x)) for x in (0, 0, 0, 1)))
 
 
+def to_camera(p: Point, view: Column) -> list[Column]:
+    return [view[4 * r] * p[0] + view[4 * r + 1] * p[1] + view[4 * r + 2] * p[2] + view[4 * r + 3] for r in range(3)]
+
+
 def project(p: Point, k: Column, world_to_camera: Column) -> list[Column]:
     """(u, v, z) of a world point; u and v are NULL where z is 0. Points behind the camera are projected too."""
-    cam = [world_to_camera[4 * r] * p[0] + world_to_camera[4 * r + 1] * p[1] + world_to_camera[4 * r + 2] * p[2] + world_to_camera[4 * r + 3] for r in range(3)]
-    u, v, z = mat3_apply(k, cam)
+    u, v, z = mat3_apply(k, to_camera(p, world_to_camera))
     return [F.try_divide(u, z), F.try_divide(v, z), z]
 
 

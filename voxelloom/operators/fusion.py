@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import geometry as G
-from voxelloom.operators.grid import CELL
+from voxelloom.operators.grid import CELL, evaluated
 
 FRAME = ["scene_id", "frame_id"]
 
@@ -14,9 +14,12 @@ FRAME = ["scene_id", "frame_id"]
 def project_voxels(centres: DataFrame, frames: DataFrame, require_positive_depth: bool = False) -> DataFrame:
     """Pixel (row, col) and camera depth z of each cell in each frame of its scene that sees it."""
     views = frames.select(*FRAME, "h", "w", F.col("k").alias("intrinsics"), G.inverse_pose(F.col("h_mat")).alias("view"))
-    joined = centres.join(views, "scene_id")
-    u, v, z = G.project(G.columns("x", "y", "z"), F.col("intrinsics"), F.col("view"))
-    seen = joined.select(*CELL, "frame_id", "h", "w", G.snapped(u).alias("col"), G.snapped(v).alias("row"), z.alias("z"))
+    cam = G.to_camera(G.columns("x", "y", "z"), F.col("view"))
+    joined = evaluated(centres.join(views, "scene_id"), **dict(zip(("cx", "cy", "cz"), cam, strict=True)))
+    flat = G.mat3_apply(F.col("intrinsics"), G.columns("cx", "cy", "cz"))
+    planar = evaluated(joined.select(*CELL, "frame_id", "h", "w", "intrinsics", "cx", "cy", "cz"), **dict(zip(("fu", "fv", "fz"), flat, strict=True)))
+    pixel = {"col": G.snapped(F.try_divide("fu", "fz")), "row": G.snapped(F.try_divide("fv", "fz"))}
+    seen = evaluated(planar.select(*CELL, "frame_id", "h", "w", "fu", "fv", "fz"), **pixel).select(*CELL, "frame_id", "h", "w", "col", "row", F.col("fz").alias("z"))
     inside = G.inside_image(F.col("col"), F.col("row"), F.col("w"), F.col("h"))
     if require_positive_depth:
         inside = inside & (F.col("z") > 0)

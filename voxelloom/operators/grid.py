@@ -10,8 +10,19 @@ from voxelloom.functions import geometry as G
 CELL = ["scene_id", "i", "j", "k"]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out before each becomes many, so that these aren't all made in the few tasks that read the rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with more columns, computed once: a generator keeps their expressions from being copied into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def grid_cells(grids: DataFrame) -> DataFrame:
     """Every cell of every grid, with the grid's columns."""
+    grids = spread(grids, "scene_id")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     return grids.select("*", span("ni").alias("i")).select("*", span("nj").alias("j")).select("*", span("nk").alias("k"))
 

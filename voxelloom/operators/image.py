@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelloom.functions import geometry as G
+from voxelloom.operators.grid import evaluated, spread
 
 FRAME = ["scene_id", "frame_id"]
 PIXEL = [*FRAME, "row", "col"]
@@ -37,7 +38,7 @@ def gradient(df: DataFrame, names: list[str], axis: str, step: float = 1.0) -> D
 def dense(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """Every pixel of every frame, unknown depth NULL, so that neighbours are neighbours."""
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = frames.select(*FRAME, "h", "w").select(*FRAME, "w", span("h").alias("row")).select(*FRAME, "row", span("w").alias("col"))
+    cells = spread(frames.select(*FRAME, "h", "w"), *FRAME).select(*FRAME, "w", span("h").alias("row")).select(*FRAME, "row", span("w").alias("col"))
     return cells.join(pixels, PIXEL, "left")
 
 
@@ -52,8 +53,10 @@ def normals(pixels: DataFrame, frames: DataFrame, step: float = 2.0) -> DataFram
     points = camera_points(dense(pixels, frames), frames)
     g = gradient(gradient(points, ["x", "y", "z"], "row", step), ["x", "y", "z"], "col", step)
     a, b = (G.unit(G.columns(*(f"{c}_{axis}" for c in "xyz"))) for axis in ("row", "col"))
-    n = G.unit(G.cross(a, b))
-    return g.select(*PIXEL, *(c.alias(m) for c, m in zip(n, ("nx", "ny", "nz"), strict=True)))
+    sides = evaluated(g, **{f"a{c}": v for c, v in zip("xyz", a, strict=True)}, **{f"b{c}": v for c, v in zip("xyz", b, strict=True)})
+    cross = G.cross(G.columns("ax", "ay", "az"), G.columns("bx", "by", "bz"))
+    across = evaluated(sides.select(*PIXEL, "ax", "ay", "az", "bx", "by", "bz"), **dict(zip(("px", "py", "pz"), cross, strict=True)))
+    return across.select(*PIXEL, *(c.alias(m) for c, m in zip(G.unit(G.columns("px", "py", "pz")), ("nx", "ny", "nz"), strict=True)))
 
 
 def curvature(pixels: DataFrame, frames: DataFrame, step: float = 1.0) -> DataFrame:

@@ -53,7 +53,7 @@ def p4_z(s, d):
     return R.slice_heights(V.grids(s, d))
 
 
-@query("p5_corners", "SELECT s_suppkey AS scene_id, CAST(a * 8 AS INTEGER) AS i, CAST(b * 16 AS INTEGER) AS j, CAST(c * 12 AS INTEGER) AS k, 0.5 - b * 1.0 AS x, a * 0.5 AS y, c * 0.75 AS z FROM supplier, range(2) p(a), range(2) q(b), range(2) r(c)")
+@query("p5_corners", "SELECT s_suppkey AS scene_id, CAST(a * 8 AS INTEGER) AS i, CAST(b * 16 AS INTEGER) AS j, CAST(c * 12 AS INTEGER) AS k, CAST(0.5 - b * 1.0 AS DOUBLE) AS x, CAST(a * 0.5 AS DOUBLE) AS y, CAST(c * 0.75 AS DOUBLE) AS z FROM supplier, range(2) p(a), range(2) q(b), range(2) r(c)")
 def p5(s, d):
     return R.corners(V.grids(s, d, turned=True)).select(*CELL, "x", "y", "z")
 
@@ -141,12 +141,12 @@ def p17(s, d):
     return _voxlet(s, d, False)
 
 
-@query("p17_tall_voxlet_frame", W("samples") + _FRAME.format(z="0.0"))
+@query("p17_tall_voxlet_frame", W("samples") + _FRAME.format(z="CAST(0 AS DOUBLE)"))
 def p17_tall(s, d):
     return _voxlet(s, d, True)
 
 
-@query("p18_weights", W("voxels") + " SELECT scene_id, i, j, k, round(exp(-5 * abs(v)), 9) AS confidence, CASE WHEN v > 0 THEN 0.375 ELSE 0.75 END AS weight FROM voxels WHERE v IS NOT NULL")
+@query("p18_weights", W("voxels") + " SELECT scene_id, i, j, k, round(exp(-5 * abs(v)), 9) AS confidence, CAST(CASE WHEN v > 0 THEN 0.375 ELSE 0.75 END AS DOUBLE) AS weight FROM voxels WHERE v IS NOT NULL")
 def p18(s, d):
     v = F.col("v")
     return V.voxels(s, d).where("v IS NOT NULL").select(*CELL, F.round(S.confidence(F.abs(v), 5.0), 9).alias("confidence"), S.mask_weight(F.lit(0.25), v).alias("weight"))
@@ -172,7 +172,7 @@ def p20(s, d):
     return V.voxels(s, d).select(*CELL, v.isNull().cast("int").alias("m"), F.coalesce(v, F.lit(MU)).alias("fit_v"), S.fill_with_scene_max(v, "scene_id").alias("transform_v"))
 
 
-@query("p21_binarise", W("voxels") + " SELECT scene_id, i, j, k, CASE WHEN v > 0 THEN 0.5 WHEN v IS NOT NULL THEN -0.5 END AS v FROM voxels")
+@query("p21_binarise", W("voxels") + " SELECT scene_id, i, j, k, CAST(CASE WHEN v > 0 THEN 0.5 WHEN v IS NOT NULL THEN -0.5 END AS DOUBLE) AS v FROM voxels")
 def p21(s, d):
     return V.voxels(s, d).select(*CELL, (S.binarised(F.col("v")) - 0.5).alias("v"))
 

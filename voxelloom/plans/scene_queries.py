@@ -58,9 +58,10 @@ def w2(s, d):
 _JUMP = ", g AS (SELECT *, " + _grad("z", '"row"', "1.0") + " AS zr, " + _grad("z", "col", "1.0") + ' AS zc FROM img), st AS (SELECT *, CASE WHEN sqrt(zr*zr + zc*zc) <= 0.6 THEN 0 ELSE 1 END AS steep FROM g), nr AS (SELECT *, greatest(max(steep) OVER (PARTITION BY scene_id, frame_id, col ORDER BY "row" ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), max(steep) OVER (PARTITION BY scene_id, frame_id, "row" ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS near FROM st), p AS (SELECT scene_id, frame_id, "row" * 32 + col AS p FROM nr WHERE near = 0 AND "row" BETWEEN 2 AND 21 AND col BETWEEN 2 AND 29)'
 
 
-@query("w7_jump_triangles", W("pixels") + _DENSE + _JUMP + " SELECT scene_id, frame_id, p AS v0, p + 32 AS v1, p + 33 AS v2 FROM p UNION ALL SELECT scene_id, frame_id, p + 33, p + 1, p FROM p")
+@query("w7_jump_triangles", W("pixels") + _DENSE.replace("depth AS z", 'coalesce(depth, ("row" + col) / 64) AS z') + _JUMP + " SELECT scene_id, frame_id, p AS v0, p + 32 AS v1, p + 33 AS v2 FROM p UNION ALL SELECT scene_id, frame_id, p + 33, p + 1, p FROM p")
 def w7(s, d):
-    return I.jump_triangles(V.pixels(s, d), V.frames(s, d), jump=0.6, border=2)
+    whole = I.dense(V.pixels(s, d), V.frames(s, d)).withColumn("depth", F.coalesce("depth", (F.col("row") + F.col("col")) / 64))
+    return I.jump_triangles(whole, V.frames(s, d), jump=0.6, border=2)
 
 
 @query("f4_usable_pixels", W("pixels") + _DENSE + _G1 + _U + ' SELECT c.scene_id, c.frame_id, c."row", c.col FROM c JOIN pixels p ON p.scene_id = c.scene_id AND p.frame_id = c.frame_id AND p."row" = c."row" AND p.col = c.col WHERE mask AND cx*cx + cy*cy + cz*cz > 0')
