@@ -13,7 +13,8 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
    common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
    documents have by chance, are dropped by count before any set is looked at.
 3. Candidates are verified once a pair on the whole sets. To avoid all pairs in a group of near copies,
-   the first round takes one leader for each shingle; the second takes every remaining candidate between
+   the first round takes one leader for each shingle, the class whose prefix is most common, as the text is
+   that the others are copies of; the second takes every remaining candidate between
    different components. Links inside a component can't change it, so no component is lost.
 
 The counts only order shingles: any order is exact, rarer prefixes are cheaper. What is broadcast has a
@@ -155,9 +156,11 @@ def _prefixes(rarity, width: int, percent: int):
                     done.clear()
                 own = (place < prefix[rows]) & fresh[rows]
                 at = rows[own]
+                common = np.bincount(rows, np.where(place < prefix[rows], rank[order], 0), chunk.rows)
+                common = (1000 * common / np.maximum(1, prefix)).astype(np.int32)[at]
                 parity = _parities(rows, grams, chunk.rows)[at]
-                columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), *parity.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["token", "class_id", "n", "place", *_PARITY_COLUMNS])
+                columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), common, *parity.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["token", "class_id", "n", "place", "common", *_PARITY_COLUMNS])
 
     return task
 
@@ -230,10 +233,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def _prefix_groups(docs: DataFrame, rarity: np.ndarray, width: int, percent: int) -> DataFrame:
     """Prefix rows of shingles that two classes or more share, each with the leader of its shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    schema = "token long, class_id long, n int, place int, p0 long, p1 long, p2 long, p3 long"
+    schema = "token long, class_id long, n int, place int, common int, p0 long, p1 long, p2 long, p3 long"
     rows = docs.select("text").mapInArrow(_prefixes(shared, width, percent), schema).repartition("token").dropDuplicates(["token", "class_id"])
     several = rows.selectExpr("*", "count(*) OVER (PARTITION BY token) AS classes").where("classes > 1")
-    leader = "min(struct(xxhash64(class_id), class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token) AS leader"
+    leader = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token) AS leader"
     return several.selectExpr("token", "struct(class_id, n, place, p0, p1, p2, p3) AS row", leader)
 
 
