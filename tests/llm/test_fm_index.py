@@ -91,3 +91,10 @@ def test_drop_contaminated_keeps_the_rest(spark):
     item = " ".join(f"b{k}" for k in range(20))
     docs, items = tables(spark, [(1, item), (2, "clean"), (3, None), (None, "x"), (4, item + " w" * 500)], [(5, item)])
     assert H.rows(M.drop_contaminated(docs, items), "doc_id") == [(None,), (2,), (3,), (4,)]
+
+
+def test_drop_contaminated_judges_each_row(spark):
+    item = " ".join(f"b{k}" for k in range(20))
+    docs, items = tables(spark, [(None, item), (None, "clean"), (None, None), (7, item), (7, "clean"), (7, "clean"), (8, item), (8, item)], [(5, item)])
+    for options in ({}, {"max_query_bytes": 10}):
+        assert H.rows(M.drop_contaminated(docs, items, **options), "doc_id", "text") == [(None, None), (None, "clean"), (7, "clean"), (7, "clean")]

@@ -96,6 +96,19 @@ def test_keep_one(spark):
     assert {(r["doc_id"], r["component_id"]) for r in kept.collect()} == {(2, 2), (9, 3), (None, 4), (7, 5)}
 
 
+def test_keep_one_judges_each_row_of_a_repeated_id(spark):
+    base = " ".join(f"q{k}" for k in range(80))
+    other = " ".join(f"r{k}" for k in range(80))
+    rows = [(1, base), (5, base + " end"), (5, other), (5, other), (5, other + " end"), (6, other), (8, "said twice"), (8, "said twice"), (None, other), (None, other), (9, None), (9, None)]
+    docs = spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(rows)], "doc_id long, text string, stays int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = H.rows(kept, "doc_id", "text")
+    of_five = [t for d, t in got if d == 5]
+    assert len(of_five) == 1 and of_five[0] in (other, other + " end")
+    assert [r for r in got if r[0] != 5] == [(None, other), (None, other), (1, base), (8, "said twice"), (9, None), (9, None)]
+
+
 def test_components_of_long_paths_and_stars(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rnd.randint(2000, 2100), rnd.randint(2000, 2100)) for _ in range(60)] + [(5, 5)]

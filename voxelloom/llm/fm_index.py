@@ -305,7 +305,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that are contaminated; all their columns stay. Ids must be distinct to be told apart."""
-    found = find_contamination(docs, benchmark, **options)
+    """`docs` without the rows that are contaminated; all their columns stay. Rows are told apart by id and text."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
     bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, key == bad["_bad"], "left_anti")

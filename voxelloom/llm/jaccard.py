@@ -77,12 +77,12 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[T.Chunk]:
     return T.chunks(batch["text"], max_rows=4096)
 
 
-def _profile(width: int):
-    """Rows for each document (size and class), then this task's part of the table in blocks."""
+def _profile(width: int, own: list[str]):
+    """Rows for each document (its `own` numbers, size and class), then this task's part of the table in blocks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n_shingles", "class_id", "block", "counts"]
+        names = [*own, "n_shingles", "class_id", "block", "counts"]
         for batch in batches:
             n_all, class_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for chunk in _chunks(batch):
@@ -91,12 +91,12 @@ def _profile(width: int):
                 n_all.append(sizes)
                 class_all.append(set_classes(rows, grams, sizes))
             n = np.concatenate(n_all)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         k = len(blocks)
         small = np.uint32 if counts.max() < 2**32 else np.int64
         packed = [x.astype(small).tobytes() for x in blocks]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in names[:-2]), pa.array(np.arange(k, dtype=np.int32)), pa.array(packed, pa.binary())], names)
 
     return task
 
@@ -263,24 +263,47 @@ def join_classes(docs: DataFrame, rarity: np.ndarray, width: int, percent: int)
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of its group) and class_id of every row."""
-    rows = T.id_and_text(docs)
-    own = rows.where("doc_id IS NOT NULL")
-    profile = written(rows.mapInArrow(_profile(width), "doc_id long, n_shingles long, class_id long, block int, counts binary"), "profile")
-    labels = join_classes(own, _rarity(profile), width, percent)
-    documents = profile.where("block IS NULL").select("doc_id", "n_shingles", "class_id")
-    classes = documents.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("least_id"))
+def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Size and class of each of `rows` with its numbers, and (node, label) of the classes that link with others."""
+    numbers = [c for c in rows.columns if c != "text"]
+    schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, block int, counts binary"
+    profile = written(rows.mapInArrow(_profile(width, numbers), schema), "profile")
+    labels = join_classes(rows.where("doc_id IS NOT NULL"), _rarity(profile), width, percent)
+    return profile.where("block IS NULL").select(*numbers, "n_shingles", "class_id"), labels
+
+
+def _least(documents: DataFrame, labels: DataFrame, value: Column) -> DataFrame:
+    """class_id and the least `value` in its component."""
+    classes = documents.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(value).alias("least_id"))
     classes = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     least = classes.groupBy("label").agg(F.min("least_id").alias("component"))
-    named = classes.join(least, "label").select("class_id", "component")
-    joined = documents.join(named, "class_id", "left")
+    return classes.join(least, "label").select("class_id", "component")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id of its group) and class_id of every row."""
+    documents, labels = _linked(T.id_and_text(docs), width, percent)
+    joined = documents.join(_least(documents, labels, F.col("doc_id")), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with the smallest id of each group only; rows without an id stay, all columns stay."""
-    found = near_duplicates(docs, width, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """`docs` with one row of each group only, of the smallest id; all columns stay.
+
+    Rows are told apart by id and text, so texts under a repeated id are judged each by its own group. Of rows
+    that repeat both, one stays. Rows without an id or without words stay.
+    """
+    id_, text = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    documents, labels = _linked(T.id_and_text(docs, F.xxhash64(F.col("text").cast("string")).alias("text_key")), width, percent)
+    members = documents.where("doc_id IS NOT NULL AND class_id IS NOT NULL")
+    judged = members.join(_least(members, labels, F.struct("doc_id", "text_key")), "class_id")
+    stays = F.struct("doc_id", "text_key") == F.col("component")
+    rows = judged.groupBy("doc_id", "text_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("copies"))
+    found = written(rows.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "stays"), "judged")
+    same = (id_ == found["_id"]) & (text == found["_text"])
+    kept = docs.join(found, same, "left_anti")
+    if found.where("stays").isEmpty():
+        return kept
+    repeated = docs.join(found.where("stays"), same).dropDuplicates(["_id", "_text"])
+    return kept.unionByName(repeated.select(*(docs[c] for c in docs.columns)))
