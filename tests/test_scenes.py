@@ -327,3 +327,22 @@ def test_fusion_from_a_prior_and_in_a_band(spark):
     assert len(got) == 1 and abs(got[0]["v"] - (0.2 - 0.1 + 0.3) / 3) < 1e-12
     assert (got[0]["n_frames"], got[0]["visible_count"], got[0]["visible"]) == (2, 1, True)
     assert fusion.fuse(seen, 0.2, narrow_band=True).count() == 1
+
+
+def test_nearest_searches_the_other_queries_too(spark):
+    import __spark_entry__ as entry
+
+    from voxelloom import testviews as V
+
+    sf = "/root/testdata/sf0.01"
+    rows = V.examples(spark, sf).collect()
+    ids, x = np.array([r["example_id"] for r in rows]), np.array([r["x"] for r in rows])
+    got = {r["query_id"]: r["dist"] for r in entry.queries()["j11_nearest"](spark, sf).collect()}
+    assert set(got) == {n for n in ids.tolist() if n % 20 == 0}
+    for n, dist in got.items():
+        assert dist == pytest.approx(np.sqrt(((x[ids != n] - x[ids == n]) ** 2).sum(1).min()), abs=1e-5)
+    same = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [9.0, 2.0])], "id long, x array<double>")
+    for n in (1000, 1):
+        found = learn.nearest(same.withColumnRenamed("id", "q"), same, "q", "id", "x", n, others=True)
+        assert {r["q"]: (r["nn_id"], r["dist"]) for r in found.collect()} == {0: (20, 0.0), 20: (0, 0.0), 3: (0, 8.0)}
+    assert learn.nearest(same.limit(1).withColumnRenamed("id", "q"), same.limit(1), "q", "id", "x", others=True).count() == 0

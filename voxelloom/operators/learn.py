@@ -239,8 +239,8 @@ def oob_r2(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy("tree_id").agg((1 - F.try_divide(F.sum((F.col("p") - F.col("t")) ** 2), F.sum((F.col("t") - F.col("m")) ** 2))).alias("r2"))
 
 
-def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 100_000) -> DataFrame:
-    """(key, nn_id, dist): nearest training row of each query, ties to the smallest id.
+def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 100_000, others: bool = False) -> DataFrame:
+    """(key, nn_id, dist): nearest training row of each query, ties to the smallest id; with `others`, not the query's own id.
 
     Training rows are broadcast in blocks of `max_rows`, so any number of them is searched exactly.
     """
@@ -258,14 +258,18 @@ def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vect
                 x = matrix(pdf[vector])
                 if not len(x) or not len(ids):
                     continue
-                near, dist = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+                near, dist, found = np.zeros(len(x), np.int64), np.full(len(x), np.inf), np.zeros(len(x), bool)
                 rough = (x**2).sum(1)[:, None] + (data**2).sum(1)[None, :] - 2 * x @ data.T
+                if others:
+                    rough[pdf[key].to_numpy()[:, None] == ids[None, :]] = np.inf
                 for r in range(len(x)):  # the exact distance decides among those that rounding can't tell apart
+                    if rough[r].min() == np.inf:  # nothing but the query itself
+                        continue
                     close = np.flatnonzero(rough[r] <= rough[r].min() + 1e-6)
                     d = ((data[close] - x[r]) ** 2).sum(1)
                     k = close[np.lexsort((ids[close], d))[0]]
-                    near[r], dist[r] = ids[k], np.sqrt(((data[k] - x[r]) ** 2).sum())
-                yield pd.DataFrame({key: pdf[key], "nn_id": near, "dist": dist})
+                    found[r], near[r], dist[r] = True, ids[k], np.sqrt(((data[k] - x[r]) ** 2).sum())
+                yield pd.DataFrame({key: pdf[key], "nn_id": near, "dist": dist})[found]
 
         own = queries.select(key, vector).mapInPandas(task, f"{key} {kind}, nn_id long, dist double")
         best = own if best is None else best.unionByName(own)

@@ -297,7 +297,7 @@ def v15(s, d):
 def j11(s, d):
     e = V.examples(s, d)
     q = e.where("example_id % 20 = 0").select(F.col("example_id").alias("query_id"), "x")
-    return L.nearest(q, e.where("example_id % 20 <> 0"), "query_id", "example_id", "x").withColumn("dist", F.round("dist", 6))
+    return L.nearest(q, e, "query_id", "example_id", "x", others=True).withColumn("dist", F.round("dist", 6))
 
 
 @query("a16_group_medoids", W("examples") + ", l AS (SELECT scene_id, example_id, unnest(y) AS y, unnest(range(32)) AS d FROM examples), m AS (SELECT scene_id, d, avg(y) AS m FROM l GROUP BY 1, 2), q AS (SELECT l.scene_id, example_id, round(sum(power(y - m, 2)), 9) AS dist FROM l JOIN m USING (scene_id, d) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY dist, example_id) AS r FROM q) SELECT scene_id, example_id AS medoid_id FROM r WHERE r = 1")
