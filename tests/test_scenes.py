@@ -346,3 +346,10 @@ def test_nearest_searches_the_other_queries_too(spark):
         found = learn.nearest(same.withColumnRenamed("id", "q"), same, "q", "id", "x", n, others=True)
         assert {r["q"]: (r["nn_id"], r["dist"]) for r in found.collect()} == {0: (20, 0.0), 20: (0, 0.0), 3: (0, 8.0)}
     assert learn.nearest(same.limit(1).withColumnRenamed("id", "q"), same.limit(1), "q", "id", "x", others=True).count() == 0
+
+
+def test_every_event_is_a_sample(spark):
+    from voxelloom import testviews as V
+
+    sf = "/root/testdata/sf0.001"
+    assert V.samples(spark, sf).count() == V.table(spark, sf, "events").count()

@@ -54,7 +54,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with normals in each scene, from events."""
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     dyadic = lambda n, m, d: ((F.col("event_id") * n) % m).cast("double") / d
     return e.select("event_id", (F.col("user_id") % 10).alias("scene_id"), dyadic(7, 64, 64).alias("x"), dyadic(11, 32, 64).alias("y"), dyadic(13, 48, 64).alias("z"), (dyadic(3, 9, 4) - 1).alias("nx"), (dyadic(5, 7, 4) - 0.75).alias("ny"), (dyadic(17, 5, 4) - 0.5).alias("nz"))
 
