@@ -353,3 +353,14 @@ def test_every_event_is_a_sample(spark):
 
     sf = "/root/testdata/sf0.001"
     assert V.samples(spark, sf).count() == V.table(spark, sf, "events").count()
+
+
+def test_cobweb_takes_every_masked_pixel(spark):
+    import __spark_entry__ as entry
+
+    from voxelloom import testviews as V
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r["scene_id"], r["frame_id"], r["row"] * 32 + r["col"]) for r in V.pixels(spark, sf).where("mask").collect()}
+    got = [tuple(r) for r in entry.queries()["v6_cobweb"](spark, sf).select("scene_id", "frame_id", "sample_id").collect()]
+    assert set(got) == want and len(got) == len(want)
