@@ -364,3 +364,13 @@ def test_cobweb_takes_every_masked_pixel(spark):
     want = {(r["scene_id"], r["frame_id"], r["row"] * 32 + r["col"]) for r in V.pixels(spark, sf).where("mask").collect()}
     got = [tuple(r) for r in entry.queries()["v6_cobweb"](spark, sf).select("scene_id", "frame_id", "sample_id").collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_example_store_gives_back_every_scene(spark):
+    import __spark_entry__ as entry
+
+    from voxelloom import testviews as V
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(r["example_id"] for r in V.examples(spark, sf).collect())
+    assert sorted(r["example_id"] for r in entry.queries()["s8_example_store"](spark, sf).collect()) == want

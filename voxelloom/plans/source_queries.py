@@ -43,7 +43,7 @@ def s8(s, d):
     path = f"{shared_folder(s)}/examples"
     e = V.examples(s, d).withColumn("voxlet_type", F.when(F.col("example_id") % 2 == 0, "short").otherwise("tall"))
     grids_io.write_examples(e, path)
-    manifest = e.select("scene_id").where("scene_id < 5").unionByName(s.range(900, 903).select(F.col("id").cast("int").alias("scene_id")))
+    manifest = e.select("scene_id").unionByName(s.range(900, 903).select(F.col("id").cast("int").alias("scene_id")))
     return grids_io.read_examples(s, path, manifest).select("example_id", "scene_id", "voxlet_type", "x")
 
 
