@@ -374,3 +374,19 @@ def test_example_store_gives_back_every_scene(spark):
     sf = "/root/testdata/sf0.001"
     want = sorted(r["example_id"] for r in V.examples(spark, sf).collect())
     assert sorted(r["example_id"] for r in entry.queries()["s8_example_store"](spark, sf).collect()) == want
+
+
+def test_bags_hold_all_rows_of_their_scenes(spark):
+    import __spark_entry__ as entry
+
+    from voxelloom import testviews as V
+
+    sf = "/root/testdata/sf0.1"
+    scene = {r["example_id"]: r["scene_id"] for r in V.examples(spark, sf).select("example_id", "scene_id").collect()}
+    bags = {}
+    for r in entry.queries()["t4_bags"](spark, sf).collect():
+        bags.setdefault(r["tree_id"], []).append(r["example_id"])
+    assert set(bags) == {0, 1, 2, 3}
+    for ids in bags.values():
+        scenes = {scene[n] for n in ids}
+        assert sorted(ids) == sorted(n for n, c in scene.items() if c in scenes) and len(ids) > 150

@@ -127,8 +127,12 @@ def t3(s, d):
 _BAGS = ", sc AS (SELECT DISTINCT scene_id FROM examples), rk AS (SELECT scene_id, CAST(t AS INTEGER) AS tree_id, row_number() OVER (PARTITION BY t ORDER BY " + lcg_sql("scene_id * 31 + t", 9) + ", scene_id) AS r, count(*) OVER (PARTITION BY t) AS n FROM sc, range(4) q(t)), ro AS (SELECT e.example_id, e.scene_id, tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY " + lcg_sql("example_id * 37 + tree_id", 10) + ", example_id) AS r FROM examples e JOIN rk USING (scene_id) WHERE rk.r <= ceil(n * 0.5)), bags AS (SELECT tree_id, example_id FROM ro WHERE r <= 150)"
 
 
+#: The reference's subsample_length: the most rows a tree is trained on.
+BAG_ROWS = 100_000
+
+
 def _bags(s, d):
-    return T.bag_scenes(V.examples(s, d), 4, 0.5, 150, 9, lcg_unit)
+    return T.bag_scenes(V.examples(s, d), 4, 0.5, BAG_ROWS, 9, lcg_unit)
 
 
 @query("t4_bags", W("examples") + _BAGS + " SELECT * FROM bags")
