@@ -390,3 +390,21 @@ def test_bags_hold_all_rows_of_their_scenes(spark):
     for ids in bags.values():
         scenes = {scene[n] for n in ids}
         assert sorted(ids) == sorted(n for n, c in scene.items() if c in scenes) and len(ids) > 150
+
+
+def test_mesh_files_hold_whole_meshes(spark):
+    import __spark_entry__ as entry
+
+    from voxelloom.plans.scene_queries import _mesh
+
+    sf, q = "/root/testdata/sf0.01", entry.queries()
+    v, f = (df.collect() for df in _mesh(spark, sf))
+    known = {(r["mesh_id"], r["vid"]): (r["x"], r["y"], r["z"]) for r in v if r["x"] is not None}
+    got = [(int(r["mesh_id"]), r["x"], r["y"], r["z"]) for r in q["s12_obj_files"](spark, sf).collect()]
+    assert sorted(got) == sorted((m, *p) for (m, _), p in known.items()) and max(n for _, n in known) > 96
+    faces = [[(r["mesh_id"], r[k]) for k in ("v0", "v1", "v2")] for r in f]
+    want = sorted((t[0][0], *(known[p] for p in t)) for t in faces if all(p in known for p in t))
+    lines = {(r["mesh_id"], r["part"], r["n"]): r["value"].split() for r in q["s13_ply_lines"](spark, sf).collect()}
+    at = {(m, n): tuple(map(float, w)) for (m, part, n), w in lines.items() if part == 1}
+    assert sorted((m, *(at[m, int(x)] for x in w[1:])) for (m, part, _), w in lines.items() if part == 2) == want
+    assert len(want) < len(faces) and len(at) == len(known)

@@ -9,6 +9,7 @@ from voxelloom import testviews as V
 from voxelloom.functions import scalars as S
 from voxelloom.operators import evaluate as E
 from voxelloom.operators import grid as R
+from voxelloom.operators import mesh as M
 from voxelloom.plans.registry import query, shared_folder
 from voxelloom.plans.scene_queries import _MESH, _mesh
 from voxelloom.sources import grids_io, mesh_files, rasters, reports
@@ -69,10 +70,15 @@ def s11(s, d):
     return s.read.text(path)
 
 
+def _known_mesh(s, d):
+    """The known vertices, and the faces between them."""
+    v, f = _mesh(s, d)
+    return v.dropna(subset=["x", "y", "z"]), M.without_unknown_vertices(v, f)
+
+
 @query("s12_obj_files", _MESH + " SELECT CAST(v.mesh_id AS VARCHAR) AS mesh_id, vid, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM v WHERE vid % 97 <> 96 AND vid < 96")
 def s12(s, d):
-    v, f = _mesh(s, d)
-    v, f = v.where("vid < 96"), f.where("v2 < 96")
+    v, f = _known_mesh(s, d)
     path = f"{shared_folder(s)}/meshes"
     mesh_files.write_lines(mesh_files.format_obj(v, f), path)
     whole = s.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"mesh_id=([^/]*)/", 1).alias("mesh_id"), "value")
@@ -82,8 +88,7 @@ def s12(s, d):
 
 @query("s13_ply_lines", _MESH + ", q AS (SELECT mesh_id, count(*) AS nv FROM v WHERE vid < 96 GROUP BY 1), h AS (SELECT mesh_id, CAST(n AS INTEGER) AS n, ['ply', 'format ascii 1.0', 'element vertex ' || CAST(nv AS VARCHAR), 'property float x', 'property float y', 'property float z', 'element face ' || CAST((SELECT count(*) FROM f WHERE f.mesh_id = q.mesh_id AND c < 96) AS VARCHAR), 'property list uchar int vertex_indices', 'end_header'][n + 1] AS value FROM q, range(9) r(n)) SELECT mesh_id, 0 AS part, n, value FROM h UNION ALL SELECT mesh_id, 1, CAST(vid AS INTEGER), format('{:.6f} {:.6f} {:.6f}', x, y, z) FROM v WHERE vid < 96 UNION ALL SELECT mesh_id, 2, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY fid) - 1 AS INTEGER), '3 ' || CAST(a AS VARCHAR) || ' ' || CAST(b AS VARCHAR) || ' ' || CAST(c AS VARCHAR) FROM f WHERE c < 96")
 def s13(s, d):
-    v, f = _mesh(s, d)
-    return mesh_files.format_ply(v.where("vid < 96"), f.where("v2 < 96"))
+    return mesh_files.format_ply(*_known_mesh(s, d))
 
 
 def _stream(s: SparkSession, df: DataFrame, folder: str) -> DataFrame:
