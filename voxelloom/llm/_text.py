@@ -8,8 +8,11 @@ multiply-and-sum over the bytes. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,11 +114,19 @@ def word_hashes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, lower: bool
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    total = int(lengths.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     codes = _BYTE_CODES[LOWER] if lower else _BYTE_CODES
-    values = codes[chunk.data[place + np.repeat(starts, lengths)]] * _power_table(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths))
+    powers, total = _power_table(int(lengths.max())), np.cumsum(lengths)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # some words at a time, so that a long text's arrays stay small
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+        n = lengths[at:end]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        values = codes[chunk.data[place + np.repeat(starts[at:end], n)]] * powers[place]
+        out[at:end] = np.add.reduceat(values, first)
+        at = end
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +158,29 @@ def crc_fold_py(doc_id: int | None, folds: int) -> int:
 
 
 def light_batches(df: DataFrame) -> DataFrame:
-    """`df`, in a session whose Arrow batches hold at most BATCH_BYTES: long texts and sets don't pile up in a task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """`df`, in a session whose Arrow batches hold at most BATCH_BYTES: long texts and sets don't pile up in a task.
+
+    Spark reads the size when the plan runs, so it is a setting of the session; one that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`task`, giving the memory that it no longer uses back at its end: Spark keeps idle Python workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     """Only what an operator reads, so that other columns, whatever their names, can't clash, in light batches."""
     light_batches(docs)

@@ -11,8 +11,12 @@ A window is `width` consecutive words of an item; an item with fewer words, but
 Words are runs of ASCII letters and digits (lower-cased) and non-ASCII characters. Null texts have no
 words; null items are left out; equal item ids count once. One row per row, repeated ids too.
 
-The benchmark is the query set: its windows are broadcast. `decontaminate` measures its text first, and
-beyond `max_query_bytes` cuts the items into blocks that are searched one after the other.
+The benchmark is the query set: its windows are broadcast. Its text is measured first, and beyond `max_query_bytes`
+(8 MB, some 120 MB of windows) the items are cut into blocks that are searched one after the other, with the same rows.
+
+Ties don't arise: every item with an occurring window counts. An empty table gives no rows, an empty benchmark no hits;
+only doc_id and text are read, so other columns' names don't matter. A text is one part of a shard whatever its length:
+its words take some 60 bytes each there.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from voxelloom.llm import _text as T
 WIDTH = 13
 SHARD_WORDS = 1 << 20
 SAMPLE_EVERY = 8
-MAX_QUERY_BYTES = 64 << 20
+MAX_QUERY_BYTES = 8 << 20
+#: Bytes of rows that `drop_contaminated` holds until they are judged.
+HELD_BYTES = 16 << 20
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 _SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start:int,end:int,words:int>>"
@@ -144,23 +150,37 @@ class Queries:
 
     @staticmethod
     def of(items: list[tuple[int, str]], width: int) -> Queries:
-        found: dict[tuple[int, ...], set[int]] = {}
-        words: list[tuple[int, np.ndarray]] = []
-        for item, text in items:
-            for chunk in T.chunks(pa.array([text], pa.string())):
-                words.append((item, T.word_hashes(chunk, *T.word_bounds(chunk, T.ALNUM), lower=True)))
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in words)]))
-        for item, hashes in words:
-            numbers = (np.searchsorted(vocabulary, hashes) + 1).tolist()
-            for k in range(max(1, len(numbers) - width + 1) if numbers else 0):
-                found.setdefault(tuple(numbers[k : k + width]), set()).add(item)
-        table = np.zeros((len(found), width), np.int64)
-        for k, window in enumerate(found):
-            table[k, width - len(window) :] = window
-        lengths = np.array([len(x) for x in found], np.int64)
-        owners = [sorted(x) for x in found.values()]
-        cuts = np.cumsum([0, *map(len, owners)])
-        return Queries(vocabulary, table, lengths, np.array([i for x in owners for i in x], np.int64), cuts)
+        """Arrays all the way: a window takes 4 * (width + 2) bytes and its item, a word 8."""
+        texts = pa.array([text for _, text in items], pa.string())
+        own = np.array([item for item, _ in items], np.int64)
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for chunk in T.chunks(texts):
+            starts, ends = T.word_bounds(chunk, T.ALNUM)
+            hashes.append(T.word_hashes(chunk, starts, ends, lower=True))
+            owners.append(chunk.row_of(starts) + chunk.first)
+        words, row = np.concatenate(hashes), np.concatenate(owners)
+        vocabulary, number = np.unique(words, return_inverse=True)
+        number = (number + 1).astype(np.int32)
+        # Windows of whole width, then the items with fewer words, right-aligned.
+        n = np.bincount(row, minlength=len(items))
+        first = np.cumsum(n) - n
+        table, owner, lengths = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(number) >= width:
+            whole = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
+            table.append(np.lib.stride_tricks.sliding_window_view(number, width)[whole])
+            owner.append(row[whole])
+            lengths.append(np.full(len(whole), width))
+        for item in np.flatnonzero((n > 0) & (n < width)).tolist():
+            line = np.zeros((1, width), np.int32)
+            line[0, width - n[item] :] = number[first[item] : first[item] + n[item]]
+            table.append(line)
+            owner.append(np.array([item]))
+            lengths.append(np.array([n[item]]))
+        found, at = np.unique(np.concatenate(table), axis=0, return_inverse=True)
+        size = np.zeros(len(found), np.int64)
+        size[at.ravel()] = np.concatenate(lengths)
+        pairs = np.unique(np.stack([at.ravel(), own[np.concatenate(owner)]], 1), axis=0)
+        return Queries(vocabulary, found, size, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)))
 
 
 @dataclass
@@ -249,7 +269,7 @@ def _search(queries, shard_words: int):
         if shard.docs:
             yield shard.result(q)
 
-    return task
+    return T.tidy(task)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +292,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", _SPANS)]))
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+
+
+def _blocks(items: DataFrame, max_query_bytes: int) -> int:
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-total // max_query_bytes) or 1
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted numbers) and removal spans (characters, end exclusive) of every row."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // max_query_bytes) or 1
+    items = _items(benchmark)
+    blocks = _blocks(items, max_query_bytes)
     rows = T.id_and_text(docs)
     if blocks == 1:
         shared = spark.sparkContext.broadcast(Queries.of([tuple(r) for r in items.collect()], width))
@@ -304,9 +332,44 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that are contaminated; all their columns stay. Rows are told apart by id and text."""
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    found = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **options)
+def _drop(queries):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, held, shard, size = queries.value, [], _Shard(), 0
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            found, at = shard.result(q), 0
+            n_hit, n_words = found["n_hit"].to_numpy(), found["n_words"].to_numpy()
+            keep = pa.array((n_hit == 0) | (20 * n_hit < n_words))
+            for batch in held:
+                yield batch.filter(keep.slice(at, batch.num_rows))
+                at += batch.num_rows
+
+        for batch in batches:
+            for chunk in T.chunks(batch.column(batch.schema.get_field_index("text")).cast(pa.string())):
+                shard.add(chunk, [None] * chunk.rows, q)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from judged()
+                held, shard, size = [], _Shard(), 0
+        if held:
+            yield from judged()
+
+    return T.tidy(task)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """`docs` without the rows that are contaminated; all their columns stay. Each row is judged by its own text.
+
+    Rows are filtered where they are read, so null, repeated and clashing ids don't matter and nothing is shuffled. Where
+    the benchmark takes several blocks, whose hits add up, texts are told apart by hash.
+    """
+    items = _items(benchmark)
+    if _blocks(items, max_query_bytes) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(Queries.of([tuple(r) for r in items.collect()], width))
+        return T.light_batches(docs).mapInArrow(_drop(shared), docs.schema)
+    key = F.xxhash64(F.col("text").cast("string"))
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, width, max_query_bytes=max_query_bytes)
     bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("_key"))
+    return rows.join(bad, rows["_key"] == bad["_bad"], "left_anti").select("doc.*")

@@ -14,15 +14,20 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
    documents have by chance, are dropped by count before any set is looked at.
 3. Candidates are verified once a pair on the whole sets. To avoid all pairs in a group of near copies,
    the first round takes one leader for each shingle, the class whose prefix is most common, as the text is
-   that the others are copies of; the second takes every remaining candidate between
-   different components. Links inside a component can't change it, so no component is lost.
+   that the others are copies of; the second takes every remaining candidate between different components, from
+   the classes of a shingle that aren't in its leader's component. Links inside a component can't change it, so
+   no component is lost.
 
-The counts only order shingles: any order is exact, rarer prefixes are cheaper. What is broadcast has a
-fixed size: the table, and a bitmap of the classes that a round verifies.
+Hot keys: a shingle whose cell of the table is over HOT_TOKEN and over four times the mean has its rows dealt by
+class, and finds its leader by partial aggregates; other shingles have no more rows than that. Joins on a shingle,
+class or node deal the rows of a hot one over tasks (`skew`). The counts only order shingles and pick the way: any
+order is exact, rarer prefixes are cheaper. What is broadcast has a fixed size: the table, a bitmap of the classes
+that a round verifies, and lists of hot keys.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows without an id take no
-part; their component is null. Repeated ids are compared by each of their texts. Hashes of 64 bits stand for
-shingles and sets; a false match inside one pair has odds of about 1e-13.
+part; their component is null. Repeated ids are compared by each of their texts. An empty table has no rows. Other
+columns are never read, whatever their names. A text is one set in one task: its shingles take about 40 bytes a
+word there. Hashes of 64 bits stand for shingles and sets; a false match inside one pair has odds of about 1e-13.
 """
 
 from __future__ import annotations
@@ -36,10 +41,13 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import _text as T
 from voxelloom.llm.components import components
+from voxelloom.llm.skew import dealt_join, hot_keys
 from voxelloom.llm.storage import written
 
 SKETCH_BITS, BLOCK_BITS, PARITY = 20, 14, 256
 BITMAP_BITS = 22
+#: Rows of one shingle, pairs of one class and copies of one class before they are dealt over several tasks.
+HOT_TOKEN, HOT_CLASS, HOT_COPIES = 2_000, 200, 10_000
 _PARITY_COLUMNS = ("p0", "p1", "p2", "p3")
 
 
@@ -98,7 +106,7 @@ def _profile(width: int, own: list[str]):
         packed = [x.astype(small).tobytes() for x in blocks]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in names[:-2]), pa.array(np.arange(k, dtype=np.int32)), pa.array(packed, pa.binary())], names)
 
-    return task
+    return T.tidy(task)
 
 
 def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +124,23 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
 
-def _rarity(profile: DataFrame) -> np.ndarray:
-    """The table of counts, as 8-bit ranks on a logarithmic scale: 2**SKETCH_BITS bytes whatever the input."""
+def _counts(profile: DataFrame) -> np.ndarray:
+    """The table of counts: 2**SKETCH_BITS of them whatever the input."""
     parts = profile.where("block IS NOT NULL").select("block", "counts").repartition("block")
     out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
     for row in parts.mapInArrow(_add_blocks, "block int, counts binary").collect():
         out[row["block"]] += np.frombuffer(row["counts"], "<i8")
-    return np.minimum(255, 8 * np.log2(1 + out.reshape(-1))).astype(np.uint8)
+    return out.reshape(-1)
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts as 8-bit ranks on a logarithmic scale."""
+    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
+
+
+def _hot_rank(counts: np.ndarray) -> int:
+    """Rank from which a cell is hot. A cell counts no less than the sets that hold a shingle of it."""
+    return int(_ranks(np.array([max(HOT_TOKEN, 4 * counts.mean())]))[0])
 
 
 def _parities(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> np.ndarray:
@@ -140,7 +158,9 @@ def shared_in_prefix(size):
     return np.maximum(1, size // 50)
 
 
-def _prefixes(rarity, width: int, percent: int):
+def _prefixes(rarity, hot_rank: int, width: int, percent: int):
+    """A row for each shingle of each prefix; `deal` is the class where the shingle may be hot."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = rarity.value, set()
         for batch in batches:
@@ -152,7 +172,7 @@ def _prefixes(rarity, width: int, percent: int):
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 prefix = sizes - -(-percent * sizes // 100) + shared_in_prefix(sizes)
                 fresh = np.array([s > 0 and not (c in done or done.add(c)) for s, c in zip(sizes.tolist(), classes.tolist(), strict=True)], bool)
-                if len(done) > 1_000_000:  # a copy that is emitted again is dropped after the shuffle
+                if len(done) > 200_000:  # a copy that is emitted again is dropped after the shuffle
                     done.clear()
                 own = (place < prefix[rows]) & fresh[rows]
                 at = rows[own]
@@ -160,9 +180,10 @@ def _prefixes(rarity, width: int, percent: int):
                 common = (1000 * common / np.maximum(1, prefix)).astype(np.int32)[at]
                 parity = _parities(rows, grams, chunk.rows)[at]
                 columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), common, *parity.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["token", "class_id", "n", "place", "common", *_PARITY_COLUMNS])
+                deal = pa.array(classes[at], mask=rank[order][own] < hot_rank)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), deal], ["token", "class_id", "n", "place", "common", *_PARITY_COLUMNS, "deal"])
 
-    return task
+    return T.tidy(task)
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -197,7 +218,7 @@ def _sets(bitmap, width: int):
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())], ["class_id", "grams"])
 
-    return task
+    return T.tidy(task)
 
 
 def _overlap(percent: int):
@@ -212,7 +233,7 @@ def _overlap(percent: int):
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return task
+    return T.tidy(task)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -223,21 +244,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     bits = np.zeros(1 << BITMAP_BITS, bool)
     bits[ends.select(cell).distinct().toPandas()["cell"].to_numpy(np.int64)] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+    counts = ends.groupBy("class_id").agg(F.count("*").alias("pairs"))
+    hot = hot_keys(counts, ["class_id"], "pairs", pairs.count(), HOT_CLASS)
     sets = docs.select("text").mapInArrow(_sets(shared, width), "class_id long, grams binary")
-    sets = sets.join(ends.distinct(), "class_id", "left_semi").dropDuplicates(["class_id"])
-    left = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("grams").alias("left")), "a")
-    both = left.join(sets.select(F.col("class_id").alias("b"), F.col("grams").alias("right")), "b")
+    sets = sets.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
+    left = dealt_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
+    both = dealt_join(left.withColumn("class_id", F.col("b")), sets.withColumnRenamed("grams", "right"), ["class_id"], hot, F.col("a"))
     return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
 
 
-def _prefix_groups(docs: DataFrame, rarity: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Prefix rows of shingles that two classes or more share, each with the leader of its shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    schema = "token long, class_id long, n int, place int, common int, p0 long, p1 long, p2 long, p3 long"
-    rows = docs.select("text").mapInArrow(_prefixes(shared, width, percent), schema).repartition("token").dropDuplicates(["token", "class_id"])
-    several = rows.selectExpr("*", "count(*) OVER (PARTITION BY token) AS classes").where("classes > 1")
-    leader = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token) AS leader"
-    return several.selectExpr("token", "struct(class_id, n, place, p0, p1, p2, p3) AS row", leader)
+def _prefix_groups(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Prefix rows of shingles that two classes or more share, each with their number and the leader of its shingle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
+    schema = "token long, class_id long, n int, place int, common int, p0 long, p1 long, p2 long, p3 long, deal long"
+    rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), schema)
+    rows = rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"])
+    first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token, deal) AS leader"
+    counted = rows.selectExpr("*", "count(*) OVER (PARTITION BY token, deal) AS classes", first).where("classes > 1 OR deal IS NOT NULL")
+    groups = written(counted.selectExpr("token", "deal", "classes", "struct(class_id, n, place, p0, p1, p2, p3) AS row", "leader"), "prefixes")
+    cold, hot = groups.where("deal IS NULL").drop("deal"), groups.where("deal IS NOT NULL")
+    if hot.isEmpty():
+        return cold
+    leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("leader").alias("leader")).where("classes > 1")
+    led = dealt_join(hot.select("token", "row"), leaders, ["token"], hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN), F.col("row.class_id"))
+    return cold.unionByName(written(led, "hot"))
 
 
 def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -248,18 +278,32 @@ def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
     return written(pairs.where("common >= need").select("a", "b"), "pairs")
 
 
-def join_classes(docs: DataFrame, rarity: np.ndarray, width: int, percent: int) -> DataFrame:
+def _between(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Rows (row, other) of one shingle and different components that the filters allow.
+
+    Only `other`, a class outside the component of the shingle's leader, is matched with the whole shingle; shingles
+    whose classes are all in one component, as those of near copies are, give nothing.
+    """
+    label = F.coalesce("label", "class_id")
+    rows = groups.select("token", "classes", "row", F.col("leader.class_id").alias("first"), F.col("row.class_id").alias("class_id"))
+    rows = rows.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("token", "classes", "row", "first", "class_id", label.alias("label"))
+    rows = written(rows, "labelled")
+    leaders = rows.where("class_id = first").select("token", "classes", F.col("label").alias("led"))
+    hot = hot_keys(leaders, ["token"], "classes", rows.count(), HOT_TOKEN)
+    rows = dealt_join(rows.drop("classes", "first"), leaders.drop("classes"), ["token"], hot, F.col("class_id"))
+    others = rows.where("label <> led").select("token", F.col("row").alias("other"), F.col("label").alias("other_label"))
+    pairs = dealt_join(rows, others, ["token"], hot, F.col("class_id"))
+    once = (F.col("label") == F.col("led")) | (F.col("class_id") < F.col("other.class_id"))
+    return pairs.where((F.col("label") != F.col("other_label")) & once).where(_possible("row", "other", percent))
+
+
+def join_classes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """(node, label): the component of each class that links with a class of a smaller number."""
-    groups = written(_prefix_groups(docs, rarity, width, percent), "prefixes")
+    groups = _prefix_groups(docs, counts, width, percent)
     stars = _counted(groups.where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent)), "row", "leader")
     links = written(_verified(stars, docs, width, percent), "verified")
     labels = components(links)
-
-    rows = groups.select("token", "row.*").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "class_id"))
-    a, b = rows.alias("a"), rows.alias("b")
-    apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("a.label") != F.col("b.label"))
-    more = _verified(_counted(a.join(b, apart & _possible("a", "b", percent)), "a", "b"), docs, width, percent)
+    more = _verified(_counted(_between(groups, labels, percent), "row", "other"), docs, width, percent)
     return components(links.unionByName(more))
 
 
@@ -268,24 +312,28 @@ def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     numbers = [c for c in rows.columns if c != "text"]
     schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, block int, counts binary"
     profile = written(rows.mapInArrow(_profile(width, numbers), schema), "profile")
-    labels = join_classes(rows.where("doc_id IS NOT NULL"), _rarity(profile), width, percent)
+    labels = join_classes(rows.where("doc_id IS NOT NULL"), _counts(profile), width, percent)
     return profile.where("block IS NULL").select(*numbers, "n_shingles", "class_id"), labels
 
 
-def _least(documents: DataFrame, labels: DataFrame, value: Column) -> DataFrame:
-    """class_id and the least `value` in its component."""
-    classes = documents.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(value).alias("least_id"))
-    classes = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-    least = classes.groupBy("label").agg(F.min("least_id").alias("component"))
-    return classes.join(least, "label").select("class_id", "component")
+def _with_least(documents: DataFrame, labels: DataFrame, value: Column) -> DataFrame:
+    """`documents` with a set, and the least `value` of their `component`; a class of many copies is dealt over tasks."""
+    members = documents.where("class_id IS NOT NULL")
+    classes = members.groupBy("class_id").agg(F.min(value).alias("least_id"), F.count("*").alias("copies"))
+    classes = written(classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id")), "classes")
+    least = classes.groupBy("label").agg(F.min("least_id").alias("component"), F.count("*").alias("members"))
+    total = members.count()
+    found = dealt_join(classes.select("class_id", "label"), least.drop("members"), ["label"], hot_keys(least, ["label"], "members", total, HOT_COPIES), F.col("class_id"))
+    return dealt_join(members, found.select("class_id", "component"), ["class_id"], hot_keys(classes, ["class_id"], "copies", total, HOT_COPIES), value)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of its group) and class_id of every row."""
     documents, labels = _linked(T.id_and_text(docs), width, percent)
-    joined = documents.join(_least(documents, labels, F.col("doc_id")), "class_id", "left")
+    linked = _with_least(documents, labels, F.col("doc_id"))
+    alone = documents.where("class_id IS NULL").withColumn("component", F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "class_id")
+    return linked.unionByName(alone).select("doc_id", "n_shingles", component.alias("component_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -294,16 +342,20 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by id and text, so texts under a repeated id are judged each by its own group. Of rows
     that repeat both, one stays. Rows without an id or without words stay.
     """
-    id_, text = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    documents, labels = _linked(T.id_and_text(docs, F.xxhash64(F.col("text").cast("string")).alias("text_key")), width, percent)
-    members = documents.where("doc_id IS NOT NULL AND class_id IS NOT NULL")
-    judged = members.join(_least(members, labels, F.struct("doc_id", "text_key")), "class_id")
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    documents, labels = _linked(T.id_and_text(docs, text_key.alias("text_key")), width, percent)
+    judged = _with_least(documents.where("doc_id IS NOT NULL"), labels, F.struct("doc_id", "text_key"))
     stays = F.struct("doc_id", "text_key") == F.col("component")
     rows = judged.groupBy("doc_id", "text_key").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("copies"))
-    found = written(rows.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "stays"), "judged")
-    same = (id_ == found["_id"]) & (text == found["_text"])
-    kept = docs.join(found, same, "left_anti")
-    if found.where("stays").isEmpty():
-        return kept
-    repeated = docs.join(found.where("stays"), same).dropDuplicates(["_id", "_text"])
-    return kept.unionByName(repeated.select(*(docs[c] for c in docs.columns)))
+    found = written(rows.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "stays", "copies"), "judged")
+
+    # A document's columns travel as one, so that their names can't clash with the keys.
+    named = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    keyed = docs.where(named).select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), text_key.alias("_text"))
+    total = found.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot, spread = hot_keys(found, ["_id", "_text"], "copies", total, HOT_COPIES), F.monotonically_increasing_id()
+    kept = dealt_join(keyed, found.select("_id", "_text"), ["_id", "_text"], hot, spread, "left_anti").select("doc.*")
+    if not found.where("stays").isEmpty():
+        repeated = dealt_join(keyed, found.where("stays").select("_id", "_text"), ["_id", "_text"], hot, spread)
+        kept = kept.unionByName(repeated.dropDuplicates(["_id", "_text"]).select("doc.*"))
+    return docs.where(~named).unionByName(kept)

@@ -1,6 +1,6 @@
 """Minimum-bin-slack packing of token sequences.
 
-Each task packs the documents of its own partition, so nothing is shuffled and the work of a task is
+Each task encodes and packs the documents of its own partition, so nothing is shuffled and the work of a task is
 bounded by its input. Whole windows are cut off the front of long documents; what is left of each
 document is shorter than a window. Of these remainders only the multiset of lengths matters: `fill` runs
 a bitset subset-sum over the distinct lengths (multiplicities in binary), takes the sum closest to the
@@ -12,7 +12,9 @@ When a partition's remainders no longer fill a window, the rest is laid end to e
 two, which need no padding.
 
 A null text is an empty one; an empty document is its end id. Repeated rows are packed each for itself.
-Sequence ids are the partition's number times 2**33 plus a count, unique over the result.
+Sequence ids are the partition's number times 2**33 plus a count, unique over the result. An empty table
+has no pieces; only doc_id and text are read, so other columns' names don't matter. A task holds HELD_BYTES of ids,
+or one text's.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.tokenize import encode_texts
+from voxelloom.llm._text import id_and_text, tidy
+from voxelloom.llm.tokenize import encoder
 
 WINDOW = 2048
 #: Remainders that a task holds before it packs them.
@@ -104,9 +107,11 @@ def pack_lengths(lengths: np.ndarray, window: int) -> list[list[tuple[int, int,
     return out
 
 
-def _pack(window: int, held_rows: int):
+def _pack(path: str, end_id: int, window: int, held_rows: int):
+    end = int(end_id).to_bytes(4, "little")
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
+        of, base = encoder(path), TaskContext.get().partitionId() << 33
         docs: list[int | None] = []
         held: list[bytes] = []
 
@@ -128,16 +133,18 @@ def _pack(window: int, held_rows: int):
 
         size = 0
         for batch in batches:
-            docs += batch["doc_id"].to_pylist()
-            held += (new := batch["ids"].to_pylist())
-            size += sum(map(len, new))
-            if len(docs) >= held_rows or size >= HELD_BYTES:
-                yield flush()
-                size = 0
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                ids = of.encode(text.as_py()) + end
+                docs.append(doc)
+                held.append(ids)
+                size += len(ids)
+                if len(docs) >= held_rows or size >= HELD_BYTES:
+                    yield flush()
+                    size = 0
         if docs:
             yield flush()
 
-    return task
+    return tidy(task)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, held_rows: int = HELD) -> DataFrame:
@@ -145,7 +152,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, held
 
     Every id of every document lies in exactly one piece; `assemble` puts the sequences together.
     """
-    return encode_texts(docs, path, end_id).mapInArrow(_pack(window, held_rows), _SCHEMA)
+    return id_and_text(docs).mapInArrow(_pack(path, end_id, window, held_rows), _SCHEMA)
 
 
 def assemble(pieces: DataFrame) -> DataFrame:

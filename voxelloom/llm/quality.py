@@ -146,7 +146,7 @@ def _score(model, threshold: float):
             if done:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.concatenate(x)) for x in done.values())], ["doc_id", *done])
 
-    return task
+    return T.tidy(task)
 
 
 def apply_rules(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm._text import id_and_text, light_batches
+from voxelloom.llm._text import id_and_text, light_batches, tidy
 
 #: In the order in which findings with one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key64", "keyhex")
@@ -197,7 +197,7 @@ def _redact(mask: str):
                 out.append(text if text is None or not parts else "".join(parts) + text[done:])
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(out, pa.string()))
 
-    return task
+    return tidy(task)
 
 
 def redact_secrets(docs: DataFrame, mask: str = "<secret>") -> DataFrame:

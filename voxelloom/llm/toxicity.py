@@ -152,7 +152,7 @@ def _score(model, threshold: float):
             columns = [batch["doc_id"], batch["held_out"], pa.array(score), pa.array(predicted), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "offending"])
 
-    return task
+    return T.tidy(task)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,4 +175,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
             scores = np.concatenate([np.zeros(0), *(bag_scores(chunk, shared.value)[1] for chunk in T.chunks(batch.column(at)))])
             yield batch.filter(pa.array(scores < threshold))
 
-    return T.light_batches(docs).mapInArrow(task, docs.schema)
+    return T.light_batches(docs).mapInArrow(T.tidy(task), docs.schema)
