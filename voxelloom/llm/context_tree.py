@@ -8,18 +8,22 @@ Texts are A-Z lower-cased, begin in a context of zero bytes and end with a zero
 
 How it runs, with nothing whole in one place:
 
-1. Each task cuts its rows into blocks of at most BLOCK_BYTES and counts the distinct byte windows (DEPTH
-   context bytes and the next) and words of each; counts are of training rows, windows of all rows.
-2. Sums over all blocks give the corpus table. Windows that share their two latest context bytes are one
-   group (at most 256**(DEPTH-1) rows) that solves its part of the trees; depths 1 and 0 have at most
-   65,280 nodes, which the driver solves and broadcasts.
-3. The table's values return to the blocks that hold the keys and meet the block's texts.
+1. Texts are cut into blocks of at most BLOCK_BYTES and written, compressed, with their block: all later steps read these
+   files, so a lost executor can't deal the rows anew.
+2. Each task counts the distinct byte windows (DEPTH context bytes and the next) and words of a block; counts are of
+   training rows, windows of all rows.
+3. Sums over all blocks meet by their three latest context bytes, at most 256**(DEPTH-2) windows of one such context, which
+   solves depth 3 and below once: each window keeps the probabilities of its eight decisions from depth 3 down, each
+   context sends its nodes up.
+4. Aggregation makes the nodes at depth 2, at most 2**24 of them, and at depths 1 and 0, at most 65,280: what the driver
+   gathers and broadcasts. Each window's value then follows from its own row.
+5. The values return to the blocks that hold the keys and meet the block's texts.
 
 `base_score` is the add-one unigram score over words and an end token. Rows whose id has the held-out
 crc32 remainder don't train. Null texts count as empty: they are an end token and a zero byte. Without
-training rows counts are 0 and every decision has probability 1/2. One row per row, repeated ids too.
-`docs` is read twice and must give the same partitions both times, as tables do; a block that finds a
-key missing says so.
+training rows counts are 0 and every decision has probability 1/2. One row per row, repeated and null ids too; an empty
+table has none. Only doc_id and text are read, so other columns' names don't matter. A text is in one block whatever its
+length, and is counted a slice at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -40,7 +45,9 @@ from voxelloom.llm.storage import written
 DEPTH = 4
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 48 << 20
-_WINDOW, _WORD = 0, 1
+_WINDOW, _WORD, _NODE = 0, 1, 2
+#: Windows that a task solves together, and at least one whole context.
+SOLVED_ROWS = 1 << 19
 _END_TOKEN = np.array([1], np.uint64)
 _HALF = math.log(0.5)
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
@@ -61,17 +68,18 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
 
 
-def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple]:
-    """For each of a byte's eight decisions: label and bit of each row, the probability of that bit from depth 2
-    down, and the nodes at depth 2: a row of each, n0, n1 and the log of the weighted probability.
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int, least: int = 2) -> Iterator[tuple]:
+    """For each of a byte's eight decisions: label and bit of each row, the probability of that bit from depth `least`
+    down, and the nodes at that depth: a row of each, n0, n1 and the log of the weighted probability.
 
-    `keys` hold the context bytes, the latest first, then the next byte; all share their first two bytes.
+    `keys` hold the context bytes, the latest first, then the next byte; contexts that share their first `least` bytes
+    are whole.
     """
     byte = keys & 0xFF
     for k in range(8):
         label, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
         inner, p, first_of_child = None, None, None
-        for d in range(depth, 1, -1):
+        for d in range(depth, least - 1, -1):
             context = keys >> (8 * (depth - d) + 8)
             _, first, at = np.unique(context * 256 + label, return_index=True, return_inverse=True)
             n1 = np.bincount(at, counts * bit, len(first))
@@ -116,10 +124,27 @@ def window_keys(chunk: T.Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
     use[at] = True
     use[depth + chunk.offsets[1:] + depth * np.arange(chunk.rows)] = True
     place = np.flatnonzero(use)
+    return _keys(padded, place, depth), np.repeat(np.arange(chunk.rows), sizes + 1)
+
+
+def _keys(padded: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
     keys = np.zeros(len(place), np.int64)
     for d in range(1, depth + 1):
         keys = keys << 8 | padded[place - d]
-    return keys << 8 | padded[place], np.repeat(np.arange(chunk.rows), sizes + 1)
+    return keys << 8 | padded[place]
+
+
+def window_slices(chunk: T.Chunk, depth: int, size: int = 2 * T.CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`window_keys`, a slice at a time where one text is longer than `size`."""
+    if chunk.rows > 1 or len(chunk.data) <= size:
+        yield window_keys(chunk, depth)
+        return
+    for at in range(0, len(chunk.data) + 1, size):
+        end = min(at + size, len(chunk.data) + 1)
+        before = np.zeros(max(0, depth - at), np.uint8)
+        after = np.zeros(end - min(end, len(chunk.data)), np.uint8)
+        padded = np.concatenate([before, T.LOWER[chunk.data[max(0, at - depth) : end]], after])
+        yield _keys(padded, np.arange(depth, depth + end - at), depth), np.zeros(end - at, np.int64)
 
 
 def token_keys(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -144,17 +169,41 @@ class _Blocks:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    at, keys = pd.factorize(np.concatenate([k for k, _ in parts]))
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _held(ids: list, chunk: T.Chunk) -> np.ndarray:
-    return np.array([T.crc_fold_py(i, FOLDS) == HELD_OUT for i in ids[chunk.first : chunk.first + chunk.rows]], bool)
+def _held(ids: list) -> np.ndarray:
+    return np.array([T.crc_fold_py(i, FOLDS) == HELD_OUT for i in ids], bool)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts with their block, compressed."""
+    blocks = _Blocks()
+    for batch in batches:
+        values = batch["doc_id"].to_pylist()
+        for chunk in T.chunks(batch["text"]):
+            own = pa.array(values[chunk.first : chunk.first + chunk.rows], pa.int64())
+            table = pa.RecordBatch.from_arrays([own, pa.array(np.diff(chunk.offsets))], ["doc_id", "size"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_batch(table)
+            head = sink.getvalue().to_pybytes()
+            body = zstandard.compress(chunk.data.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([blocks.of(chunk)], pa.int64()), pa.array([head], pa.binary()), pa.array([body], pa.binary())], ["block", "head", "body"])
+
+
+def _unpacked(head: bytes, body: bytes) -> tuple[list, T.Chunk]:
+    """Ids and texts of one chunk."""
+    rows = pa.ipc.open_stream(head).read_all()
+    return rows["doc_id"].to_pylist(), T.Chunk(np.frombuffer(zstandard.decompress(body), np.uint8), np.concatenate([[0], np.cumsum(rows["size"].to_numpy())]), 0)
 
 
 def _count(depth: int):
+    """Distinct windows and words of each block, with how often they train."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, now = _Blocks(), None
+        now = None
         parts: dict[int, list] = {_WINDOW: [], _WORD: []}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -164,66 +213,101 @@ def _count(depth: int):
                 found.clear()
 
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            for chunk in T.chunks(batch["text"]):
-                block = blocks.of(chunk)
+            for block, head, body in zip(batch["block"].to_pylist(), batch["head"], batch["body"], strict=True):
                 if now is not None and block != now:
                     yield from flush()
                 now = block
-                trains = ~_held(ids, chunk)
-                for kind, (keys, rows) in ((_WINDOW, window_keys(chunk, depth)), (_WORD, token_keys(chunk))):
-                    found, at = np.unique(keys, return_inverse=True)
-                    parts[kind].append((found, np.bincount(at, trains[rows], len(found))))
-                    if len(parts[kind]) >= 32:
-                        parts[kind][:] = [_summed(parts[kind])]
+                ids, chunk = _unpacked(head.as_py(), body.as_py())
+                trains = ~_held(ids)
+                for kind, pieces in ((_WINDOW, window_slices(chunk, depth)), (_WORD, [token_keys(chunk)])):
+                    for keys, rows in pieces:
+                        at, found = pd.factorize(keys)
+                        parts[kind].append((found, np.bincount(at, trains[rows], len(found))))
+                        if len(parts[kind]) >= 32:
+                            parts[kind][:] = [_summed(parts[kind])]
         if now is not None:
             yield from flush()
 
-    return task
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts with their block, compressed for the shuffle."""
-    blocks = _Blocks()
-    for batch in batches:
-        ids = batch["doc_id"].to_numpy(zero_copy_only=False) if not batch["doc_id"].null_count else None
-        values = batch["doc_id"].to_pylist() if ids is None else ids
-        for chunk in T.chunks(batch["text"]):
-            own = pa.array(values[chunk.first : chunk.first + chunk.rows], pa.int64())
-            table = pa.RecordBatch.from_arrays([own, pa.array(np.diff(chunk.offsets))], ["doc_id", "size"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_batch(table)
-            head = sink.getvalue().to_pybytes()
-            body = zstandard.compress(chunk.data.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([blocks.of(chunk)], pa.int64()), pa.array([head], pa.binary()), pa.array([body], pa.binary())], ["block", "head", "body"])
+    return T.tidy(task)
+
+
+def _solve(depth: int, split: int):
+    """From windows and words, sorted so that whole contexts of `split` bytes follow each other: each window with its eight
+    probabilities from that depth down, nodes summed to contexts of two bytes, and the words as they come."""
+    shift = 8 * (depth + 1 - split)
+    names = ["kind", "key", "n", "p", "label", "n0", "n1", "weighted"]
+
+    def solved(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p, nodes = np.empty((len(keys), 8)), []
+        for k, (label, _, own, first, n0, n1, weighted) in enumerate(subtrees(keys, counts.astype(float), depth, split)):
+            p[:, k] = own
+            nodes.append((keys[first] >> (8 * (depth - 1)) << 8 | label[first], n0, n1, weighted))
+        node, n0, n1, weighted = (np.concatenate(x) for x in zip(*nodes, strict=True))
+        found, at = np.unique(node, return_inverse=True)
+        sums = [np.bincount(at, x, len(found)) for x in (n0, n1, weighted)]
+        nulls = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+        wide = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 64 * len(keys) + 1, 64, dtype=np.int32)), pa.py_buffer(p)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), _WINDOW, np.int32)), pa.array(keys), pa.array(counts), wide, *nulls(len(keys), pa.int32(), pa.float64(), pa.float64(), pa.float64())], names)
+        kind = pa.array(np.full(len(found), _NODE, np.int32))
+        yield pa.RecordBatch.from_arrays([kind, pa.array(found >> 8), *nulls(len(found), pa.int64(), pa.binary()), pa.array((found & 255).astype(np.int32)), *map(pa.array, sums)], names)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            kind = batch["kind"].to_numpy()
+            words = np.flatnonzero(kind == _WORD)
+            if len(words):
+                own = batch.take(pa.array(words))
+                yield pa.RecordBatch.from_arrays([own["kind"], own["key"], own["n"], pa.nulls(len(words), pa.binary()), pa.nulls(len(words), pa.int32()), *(pa.nulls(len(words), pa.float64()) for _ in range(3))], names)
+            use = kind == _WINDOW
+            keys, counts = np.concatenate([keys, batch["key"].to_numpy()[use]]), np.concatenate([counts, batch["n"].to_numpy()[use]])
+            if len(keys) >= SOLVED_ROWS:
+                whole = int(np.searchsorted(keys, keys[-1] >> shift << shift))  # the last context may go on
+                if whole:
+                    yield from solved(keys[:whole], counts[:whole])
+                    keys, counts = keys[whole:], counts[whole:]
+        if len(keys):
+            yield from solved(keys, counts)
+
+    return T.tidy(task)
+
+
+def _second(split: int):
+    """Nodes at depth 2 from the sums over their children: the share of a node's own estimate in its mix, that estimate of a 1,
+    and the log of the weighted probability."""
 
-def _nodes(depth: int):
-    """Nodes at depth 2 of one group of windows."""
-
-    def group(table: pa.Table) -> pa.Table:
-        keys, counts = table["key"].to_numpy(), table["n"].to_numpy().astype(float)
-        out = [(label[first], n0, n1, weighted) for label, _, _, first, n0, n1, weighted in subtrees(keys, counts, depth)]
-        label, n0, n1, weighted = (np.concatenate(x) for x in zip(*out, strict=True))
-        c1 = np.full(len(label), int(keys[0]) >> (8 * depth), np.int32)
-        return pa.table({"c1": c1, "label": label.astype(np.int32), "n0": n0, "n1": n1, "weighted": weighted})
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n0, n1, below = (batch[c].to_numpy() for c in ("n0", "n1", "weighted"))
+            estimate = log_kt(n0, n1)
+            weighted = below if split == 2 else np.logaddexp(_HALF + estimate, _HALF + below)
+            share = np.zeros(len(n0)) if split == 2 else np.exp(_HALF + estimate - weighted)
+            node = batch["key"].to_numpy() << 8 | batch["label"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch["n0"], batch["n1"], pa.array(weighted), pa.array(share), pa.array((n1 + 0.5) / (n0 + n1 + 1))], ["node", "n0", "n1", "weighted", "share", "own"])
 
-    return group
+    return task
 
 
 def _values(depth: int, shared):
-    """Log10 probability of each window of one group."""
-
-    def group(table: pa.Table) -> pa.Table:
-        keys, counts = table["key"].to_numpy(), table["n"].to_numpy().astype(float)
-        mix, rest = shared.value
-        c1, total = int(keys[0]) >> (8 * depth), np.zeros(len(keys))
-        for label, bit, p, *_ in subtrees(keys, counts, depth):
-            total += np.log10(mix[c1, label, bit] + rest[c1, label] * p)
-        return pa.table({"key": keys, "value": total})
+    """Log10 probability of each window."""
 
-    return group
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (mix, rest), nodes, share, own = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, raw = batch["key"].to_numpy(), batch["p"]
+            begin = int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset])
+            p = np.frombuffer(raw.buffers()[2], np.float64, 8 * len(raw), begin).reshape(-1, 8)
+            c1, c2, byte, total = keys >> (8 * depth), keys >> (8 * (depth - 1)), keys & 0xFF, np.zeros(len(keys))
+            for k in range(8):
+                label, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+                at = np.searchsorted(nodes, c2 << 8 | label)
+                second = share[at] * np.where(bit == 1, own[at], 1 - own[at]) + (1 - share[at]) * p[:, k]
+                total += np.log10(mix[c1, label, bit] + rest[c1, label] * second)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "value"])
+
+    return T.tidy(task)
 
 
 def _score(depth: int, n_train: int, n_distinct: int):
@@ -233,30 +317,23 @@ def _score(depth: int, n_train: int, n_distinct: int):
     def group(texts: pa.Table, values: pa.Table) -> pa.Table:
         kind, key, value = values["kind"].to_numpy(), values["key"].to_numpy(), values["value"].to_numpy()
         known = {}
-        for k in (_WINDOW, _WORD):
-            own = kind == k
-            order = np.argsort(key[own])
-            known[k] = key[own][order], value[own][order]
+        for k in (_WINDOW, _WORD):  # two tasks that read one block count its keys twice
+            index, own = pd.Index(key[kind == k]), value[kind == k]
+            known[k] = (index, own) if index.is_unique else (index.unique(), own[~index.duplicated()])
 
         def look(k: int, wanted: np.ndarray) -> np.ndarray:
-            keys, vals = known[k]
-            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            if len(wanted) and (not len(keys) or not (keys[at] == wanted).all()):
-                raise RuntimeError("a block's keys differ from those counted: the input changed between its two reads")
-            return vals[at]
+            index, vals = known[k]
+            return vals[index.get_indexer(wanted)]
 
         out = []
         for head, body in zip(texts["head"].to_pylist(), texts["body"].to_pylist(), strict=True):
-            rows = pa.ipc.open_stream(head).read_all()
-            ids = rows["doc_id"].combine_chunks()
-            chunk = T.Chunk(np.frombuffer(zstandard.decompress(body), np.uint8), np.concatenate([[0], np.cumsum(rows["size"].to_numpy())]), 0)
+            ids, chunk = _unpacked(head, body)
             n = chunk.rows
-            keys, at = window_keys(chunk, depth)
-            score = np.bincount(at, look(_WINDOW, keys), n)
+            score = sum((np.bincount(at, look(_WINDOW, keys), n) for keys, at in window_slices(chunk, depth)), np.zeros(n))
             words, at = token_keys(chunk)
             count = look(_WORD, words)
             base = np.bincount(at, np.log10(count + 1) - floor, n)
-            out.append(pa.table({"doc_id": ids, "held_out": pa.array(_held(ids.to_pylist(), chunk)), "n_tokens": np.bincount(at, minlength=n), "n_known": np.bincount(at, count > 0, n).astype(np.int64), "base_score": base, "score": score, "bits_per_byte": -score * math.log2(10) / (np.diff(chunk.offsets) + 1)}))
+            out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(_held(ids)), "n_tokens": np.bincount(at, minlength=n), "n_known": np.bincount(at, count > 0, n).astype(np.int64), "base_score": base, "score": score, "bits_per_byte": -score * math.log2(10) / (np.diff(chunk.offsets) + 1)}))
         return pa.concat_tables(out)
 
     return group
@@ -269,20 +346,25 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth is from 2 to 6, so that a window fits a 64-bit key")
-    rows = T.id_and_text(docs)
-    counted = written(rows.mapInArrow(_count(depth), "block long, kind int, key long, n long"), "counts")
-    sums = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "sums")
-    windows = sums.where(F.col("kind") == _WINDOW).select("key", "n", F.shiftright("key", 8 * (depth - 1)).alias("latest"))
-    nodes = windows.groupBy("latest").applyInArrow(_nodes(depth), "c1 int, label int, n0 double, n1 double, weighted double")
-    found = nodes.groupBy("c1", "label").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("w")).orderBy("c1", "label").toPandas()
-    model = top(*(found[c].to_numpy(np.int64) for c in ("c1", "label")), *(found[c].to_numpy(np.float64) for c in ("n0", "n1", "w")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    word_sums = sums.where(F.col("kind") == _WORD)
+    split = min(3, depth)
+    texts = written(T.id_and_text(docs).mapInArrow(_texts, "block long, head binary, body binary"), "texts")
+    counted = written(texts.mapInArrow(_count(depth), "block long, kind int, key long, n long"), "counts")
+    latest = F.when(F.col("kind") == _WINDOW, F.shiftright("key", 8 * (depth + 1 - split))).otherwise(F.col("key"))
+    sums = counted.select("kind", "key", "n", latest.alias("latest")).repartition("latest").groupBy("latest", "kind", "key").agg(F.sum("n").alias("n"))
+    ordered = sums.select("kind", "key", "n").sortWithinPartitions("kind", "key")
+    solved = written(ordered.mapInArrow(_solve(depth, split), "kind int, key long, n long, p binary, label int, n0 double, n1 double, weighted double"), "solved")
+
+    pairs = solved.where(F.col("kind") == _NODE).groupBy("key", "label").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted")))
+    nodes = written(pairs.mapInArrow(_second(split), "node long, n0 double, n1 double, weighted double, share double, own double"), "nodes")
+    first = nodes.groupBy(F.shiftright("node", 16).alias("c1"), (F.col("node") % 256).alias("label")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("c1", "label").toPandas()
+    model = top(*(first[c].to_numpy(np.int64) for c in ("c1", "label")), *(first[c].to_numpy(np.float64) for c in ("n0", "n1", "weighted")))
+    second = nodes.select("node", "share", "own").toPandas().sort_values("node")
+    shared = docs.sparkSession.sparkContext.broadcast((model, *(second[c].to_numpy() for c in ("node", "share", "own"))))
+    word_sums = solved.where(F.col("kind") == _WORD)
     n_train, n_distinct = word_sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
-    window_values = windows.groupBy("latest").applyInArrow(_values(depth, shared), "key long, value double").select(F.lit(_WINDOW).alias("kind"), "key", "value")
+    window_values = solved.where(F.col("kind") == _WINDOW).select("key", "p").mapInArrow(_values(depth, shared), "key long, value double").select(F.lit(_WINDOW).alias("kind"), "key", "value")
     word_values = word_sums.select("kind", "key", F.col("n").cast("double").alias("value"))
     values = counted.select("block", "kind", "key").join(window_values.unionByName(word_values), ["kind", "key"])
-    texts = rows.mapInArrow(_texts, "block long, head binary, body binary")
     scored = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score(depth, n_train, n_distinct), _SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

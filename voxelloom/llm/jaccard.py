@@ -3,15 +3,15 @@
 Words are runs of characters other than ASCII white space, A-Z lower-cased; a document's set holds the
 64-bit hashes of its distinct `width`-word shingles, or of its whole sequence if it has fewer words.
 
-1. One pass gives every document its set's size and class (documents with equal sets are one class, so
-   copies cost nothing later) and counts shingles in a table of 2**SKETCH_BITS cells over all documents.
+1. One pass gives every document its set's size, class (documents with equal sets are one class, so
+   copies cost nothing later) and parity sketch, and counts shingles in a table of 2**SKETCH_BITS cells over all documents.
 2. Each class sorts its shingles rare-first by these counts and emits the prefix that a partner must
-   share. Rows of one shingle meet in one partition; a pair is a candidate if its lengths, the places of the
-   shared shingle, and its parity sketches allow the overlap. The sketch keeps for each of 256 slots
-   whether an odd number of shingles fell in it; slots that differ can't outnumber shingles that differ,
-   which bounds what the suffixes still have in common. Prefixes are `shared_in_prefix` - 1 longer than one
+   share. Rows of one shingle meet in one partition; a pair is a candidate if its lengths and the places of each
+   shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
    common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
-   documents have by chance, are dropped by count before any set is looked at.
+   documents have by chance, are dropped by count. Then the sketches decide, which keep for each of 256 slots
+   whether an odd number of shingles fell in it: slots that differ can't outnumber shingles that differ, which bounds what
+   the suffixes still have in common.
 3. Candidates are verified once a pair on the whole sets. To avoid all pairs in a group of near copies,
    the first round takes one leader for each shingle, the class whose prefix is most common, as the text is
    that the others are copies of; the second takes every remaining candidate between different components, from
@@ -90,16 +90,17 @@ def _profile(width: int, own: list[str]):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = [*own, "n_shingles", "class_id", "block", "counts"]
+        names = [*own, "n_shingles", "class_id", *_PARITY_COLUMNS, "block", "counts"]
         for batch in batches:
-            n_all, class_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            n_all, class_all, odd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
                 counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 n_all.append(sizes)
                 class_all.append(set_classes(rows, grams, sizes))
+                odd.append(_parities(rows, grams, chunk.rows))
             n = np.concatenate(n_all)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), *(pa.array(np.ascontiguousarray(c)) for c in np.concatenate(odd).T), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         k = len(blocks)
         small = np.uint32 if counts.max() < 2**32 else np.int64
@@ -178,25 +179,39 @@ def _prefixes(rarity, hot_rank: int, width: int, percent: int):
                 at = rows[own]
                 common = np.bincount(rows, np.where(place < prefix[rows], rank[order], 0), chunk.rows)
                 common = (1000 * common / np.maximum(1, prefix)).astype(np.int32)[at]
-                parity = _parities(rows, grams, chunk.rows)[at]
-                columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), common, *parity.T]
+                columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), common]
                 deal = pa.array(classes[at], mask=rank[order][own] < hot_rank)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), deal], ["token", "class_id", "n", "place", "common", *_PARITY_COLUMNS, "deal"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), deal], ["token", "class_id", "n", "place", "common", "deal"])
 
     return T.tidy(task)
 
 
+def _least(a: str, b: str, percent: int) -> Column:
+    return F.expr(f"({percent}L * ({a}.n + {b}.n) + {99 + percent}L) div {100 + percent}L")
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filters on two rows of one shingle."""
-    col = lambda side, name: F.col(f"{side}.{name}").cast("long") if name in ("n", "place") else F.col(f"{side}.{name}")
-    na, nb, pa_, pb = col(a, "n"), col(b, "n"), col(a, "place"), col(b, "place")
-    least = F.expr(f"({percent}L * ({a}.n + {b}.n) + {99 + percent}L) div {100 + percent}L")
-    differ = sum((F.bit_count(col(a, p).bitwiseXOR(col(b, p))) for p in _PARITY_COLUMNS[1:]), F.bit_count(col(a, "p0").bitwiseXOR(col(b, "p0"))))
-    return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= least)
-        & (differ <= na + nb - 2 * least)
-    )
+    """Length and positional filters on two rows of one shingle."""
+    na, nb, pa_, pb = (F.col(f"{side}.{name}").cast("long") for name in ("n", "place") for side in (a, b))
+    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return near & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= _least(a, b, percent))
+
+
+def _suffix_filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes whose parity sketches (class_id, n, p0 .. p3) allow the overlap."""
+    counts, hot = _ends(pairs)
+    for side in ("a", "b"):
+        own = sketches.select("class_id", F.struct("n", *_PARITY_COLUMNS).alias(f"of_{side}"))
+        pairs = dealt_join(pairs.withColumn("class_id", F.col(side)), own, ["class_id"], hot, F.col("b" if side == "a" else "a")).drop("class_id")
+    differ = sum((F.bit_count(F.col(f"of_a.{p}").bitwiseXOR(F.col(f"of_b.{p}"))) for p in _PARITY_COLUMNS), F.lit(0))
+    return pairs.where(differ <= F.col("of_a.n") + F.col("of_b.n") - 2 * _least("of_a", "of_b", percent)).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many pairs each class is in, and the classes that are in very many."""
+    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    counts = ends.groupBy("class_id").agg(F.count("*").alias("pairs"))
+    return counts, hot_keys(counts, ["class_id"], "pairs", pairs.count(), HOT_CLASS)
 
 
 def _sets(bitmap, width: int):
@@ -240,12 +255,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, b) of classes whose whole sets overlap enough; sets are made anew for these classes only."""
     spark = docs.sparkSession
     cell = F.shiftrightunsigned("class_id", 64 - BITMAP_BITS).cast("int").alias("cell")
-    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    counts, hot = _ends(pairs)
     bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[ends.select(cell).distinct().toPandas()["cell"].to_numpy(np.int64)] = True
+    bits[counts.select(cell).distinct().toPandas()["cell"].to_numpy(np.int64)] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    counts = ends.groupBy("class_id").agg(F.count("*").alias("pairs"))
-    hot = hot_keys(counts, ["class_id"], "pairs", pairs.count(), HOT_CLASS)
     sets = docs.select("text").mapInArrow(_sets(shared, width), "class_id long, grams binary")
     sets = sets.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
     left = dealt_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
@@ -253,21 +266,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
 
 
-def _prefix_groups(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Prefix rows of shingles that two classes or more share, each with their number and the leader of its shingle."""
+def _prefix_groups(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of shingles that two classes or more share, each with the leader of its shingle: those that are surely
+    not hot, and the rest with their number of `classes`."""
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
-    schema = "token long, class_id long, n int, place int, common int, p0 long, p1 long, p2 long, p3 long, deal long"
-    rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), schema)
+    rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), "token long, class_id long, n int, place int, common int, deal long")
     rows = rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"])
-    first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place, p0, p1, p2, p3)) OVER (PARTITION BY token, deal) AS leader"
+    first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first"
     counted = rows.selectExpr("*", "count(*) OVER (PARTITION BY token, deal) AS classes", first).where("classes > 1 OR deal IS NOT NULL")
-    groups = written(counted.selectExpr("token", "deal", "classes", "struct(class_id, n, place, p0, p1, p2, p3) AS row", "leader"), "prefixes")
-    cold, hot = groups.where("deal IS NULL").drop("deal"), groups.where("deal IS NOT NULL")
-    if hot.isEmpty():
-        return cold
-    leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("leader").alias("leader")).where("classes > 1")
+    groups = written(counted.selectExpr("token", "deal", "struct(class_id, n, place) AS row", "first"), "prefixes")
+    leader = F.struct("first.class_id", "first.n", "first.place").alias("leader")
+    cold, hot = groups.where("deal IS NULL").select("token", "row", leader), groups.where("deal IS NOT NULL")
+    leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("first").alias("first")).where("classes > 1")
     led = dealt_join(hot.select("token", "row"), leaders, ["token"], hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN), F.col("row.class_id"))
-    return cold.unionByName(written(led, "hot"))
+    return cold, written(led.select("token", "row", leader, "classes"), "hot")
 
 
 def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -278,41 +290,50 @@ def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
     return written(pairs.where("common >= need").select("a", "b"), "pairs")
 
 
-def _between(groups: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = groups.withColumn("class_id", F.col("row.class_id")).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    return rows.withColumn("label", F.coalesce("label", "class_id"))
+
+
+def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Rows (row, other) of one shingle and different components that the filters allow.
 
     Only `other`, a class outside the component of the shingle's leader, is matched with the whole shingle; shingles
     whose classes are all in one component, as those of near copies are, give nothing.
     """
-    label = F.coalesce("label", "class_id")
-    rows = groups.select("token", "classes", "row", F.col("leader.class_id").alias("first"), F.col("row.class_id").alias("class_id"))
-    rows = rows.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("token", "classes", "row", "first", "class_id", label.alias("label"))
-    rows = written(rows, "labelled")
-    leaders = rows.where("class_id = first").select("token", "classes", F.col("label").alias("led"))
-    hot = hot_keys(leaders, ["token"], "classes", rows.count(), HOT_TOKEN)
-    rows = dealt_join(rows.drop("classes", "first"), leaders.drop("classes"), ["token"], hot, F.col("class_id"))
-    others = rows.where("label <> led").select("token", F.col("row").alias("other"), F.col("label").alias("other_label"))
-    pairs = dealt_join(rows, others, ["token"], hot, F.col("class_id"))
-    once = (F.col("label") == F.col("led")) | (F.col("class_id") < F.col("other.class_id"))
-    return pairs.where((F.col("label") != F.col("other_label")) & once).where(_possible("row", "other", percent))
-
-
-def join_classes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    other = [F.col("row").alias("other"), F.col("label").alias("other_label")]
+    apart = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("led")) | (F.col("row.class_id") < F.col("other.class_id")))
+
+    led = "max(CASE WHEN class_id = leader.class_id THEN label END) OVER (PARTITION BY token) AS led"
+    rows = _labelled(cold, labels).repartition("token").selectExpr("token", "row", "label", led)
+    rows = rows.selectExpr("*", "max(label <> led) OVER (PARTITION BY token) AS mixed").where("mixed").drop("mixed")
+    pairs = rows.join(rows.where("label <> led").select("token", *other), "token").where(apart & _possible("row", "other", percent)).select("row", "other")
+    if hot.isEmpty():
+        return pairs
+    rows = _labelled(hot, labels)
+    leaders = rows.where("class_id = leader.class_id").select("token", "classes", F.col("label").alias("led"))
+    keys = hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN)
+    rows = dealt_join(rows.select("token", "row", "label", "class_id"), leaders.drop("classes"), ["token"], keys, F.col("class_id"))
+    more = dealt_join(rows, rows.where("label <> led").select("token", *other), ["token"], keys, F.col("class_id"))
+    return pairs.unionByName(more.where(apart & _possible("row", "other", percent)).select("row", "other"))
+
+
+def join_classes(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """(node, label): the component of each class that links with a class of a smaller number."""
-    groups = _prefix_groups(docs, counts, width, percent)
-    stars = _counted(groups.where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent)), "row", "leader")
-    links = written(_verified(stars, docs, width, percent), "verified")
-    labels = components(links)
-    more = _verified(_counted(_between(groups, labels, percent), "row", "other"), docs, width, percent)
-    return components(links.unionByName(more))
+    cold, hot = _prefix_groups(docs, counts, width, percent)
+    led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
+    check = lambda rows, a, b: _verified(_suffix_filtered(_counted(rows, a, b), sketches, percent), docs, width, percent)
+    links = written(check(led, "row", "leader"), "verified")
+    return components(links.unionByName(check(_between(cold, hot, components(links), percent), "row", "other")))
 
 
 def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Size and class of each of `rows` with its numbers, and (node, label) of the classes that link with others."""
     numbers = [c for c in rows.columns if c != "text"]
-    schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, block int, counts binary"
+    schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"
     profile = written(rows.mapInArrow(_profile(width, numbers), schema), "profile")
-    labels = join_classes(rows.where("doc_id IS NOT NULL"), _counts(profile), width, percent)
+    sketches = profile.where("class_id IS NOT NULL").select("class_id", F.col("n_shingles").alias("n"), *_PARITY_COLUMNS).dropDuplicates(["class_id"])
+    labels = join_classes(rows.where("doc_id IS NOT NULL"), sketches, _counts(profile), width, percent)
     return profile.where("block IS NULL").select(*numbers, "n_shingles", "class_id"), labels
 
 

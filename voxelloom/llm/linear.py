@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm._text import LOWER, Chunk, light_batches
+from voxelloom.llm._text import LOWER, Chunk, code_points, light_batches
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, keep: Column | None = None) -> DataFrame:
@@ -28,15 +28,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int,
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
-def char_ngrams(chunk: Chunk, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of the lower-cased byte n-gram at each byte of the chunk, and the end of each row's n-grams."""
-    codes = LOWER[chunk.data].astype(np.uint32)
+def char_ngrams(chunk: Chunk, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot of the n-gram of characters (A-Z lower-cased) at each character of the chunk, and the first and past-last of
+    each row's n-grams."""
+    codes = np.frombuffer(LOWER[chunk.data].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    offsets = code_points(chunk.data)[chunk.offsets]
     n = max(0, len(codes) - width + 1)
     out = np.zeros(n, np.uint32)
     for k in range(width):
         out = out * np.uint32(0x01000193) + codes[k : k + n]
     slots = (out * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-    return slots, np.maximum(chunk.offsets[1:] - width + 1, chunk.offsets[:-1])
+    return slots, offsets[:-1], np.maximum(offsets[1:] - width + 1, offsets[:-1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -7,8 +7,10 @@ the texts of assistant turns and their end marks.
 
 Turns are ordered by `turn`, nulls first, then role and text, so repeated turns have a fixed order too.
 A null text counts as empty, a null role as `user`. A pair that one side lacks has an empty completion
-there; a null pair id is a pair like any other. Turns are small to their pair: a group holds two
-conversations, never a hot key's rows over many pairs.
+there; a null pair id is a pair like any other. An empty table gives no pairs, an empty text an empty turn; columns
+besides those named are never read. Turns are small to their pair: a group holds two conversations, never a hot
+key's rows over many pairs, and costs in proportion to its turns. A conversation is one row of the result, so it must
+fit one (2 GB).
 """
 
 from __future__ import annotations
@@ -42,24 +44,16 @@ def render(turns: Column) -> Column:
 
 
 def mask(turns: Column, learn: str = "assistant") -> Column:
-    """start:end of what is learnt in `render(turns)`, comma-joined; characters, end exclusive."""
-    sizes = F.transform(turns, lambda x: F.length(rendered(x)))
-    spans = F.transform(
-        turns,
-        lambda x, i: F.when(
-            x.role == learn,
-            F.concat_ws(
-                ":",
-                (_before(sizes, i) + F.length(x.role) + 5).cast("string"),
-                (_before(sizes, i) + F.length(rendered(x))).cast("string"),
-            ),
-        ),
-    )
-    return F.array_join(F.filter(spans, lambda x: x.isNotNull()), ",")
+    """start:end of what is learnt in `render(turns)`, comma-joined; characters, end exclusive. One pass over the turns."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
 
+    def step(done: Column, x: Column) -> Column:
+        end = done.at + F.length(rendered(x))
+        span = F.concat_ws(":", (done.at + F.length(x.role) + 5).cast("string"), end.cast("string"))
+        spans = F.when(x.role != learn, done.spans).when(done.spans == "", span).otherwise(F.concat_ws(",", done.spans, span))
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
-def _before(sizes: Column, i: Column) -> Column:
-    return F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(turns, start, step, lambda done: done.spans)
 
 
 def common_turns(left: Column, right: Column) -> Column:

@@ -4,11 +4,13 @@ Words are runs of characters other than ASCII white space. `n_repeat_words` coun
 window found twice or more in its text; `n_dup_lines` counts lines with a word that equal an earlier
 line. Windows and lines are compared by 64-bit hashes.
 
-The classifier is a logistic regression over shares of hashed words and hashed 4-byte n-grams, fitted on
+The classifier is a logistic regression over shares of hashed words, word pairs and runs of 4 characters, fitted on
 a bounded sample of labelled rows (`sample` in `train`), Platt-calibrated on a fold kept out of the fit,
 and held against a fixed threshold. Without both labels in the sample every text scores 1.
 
-A null text has no words and so fails the base rules. One row per row, repeated ids too.
+A null or empty text has no words and so fails the base rules. One row per row, repeated and null ids too; an empty table
+has none. Only doc_id and text are read, so other columns' names don't matter; ties at the threshold are kept. A text is
+worked on whatever its length, at some 60 bytes a word and 10 a character.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from voxelloom.llm import _text as T
 from voxelloom.llm import linear as L
 
-WORD_BITS, CHAR_BITS, CHAR_WIDTH = 13, 13, 4
-SIZE = (1 << WORD_BITS) + (1 << CHAR_BITS)
+WORD_BITS, PAIR_BITS, CHAR_BITS, CHAR_WIDTH = 13, 13, 13, 4
+SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS) + (1 << CHAR_BITS)
 SAMPLE = 4000
 #: Calibrated probability of label 1 below which a text is dropped.
 THRESHOLD = 0.5
@@ -84,26 +86,32 @@ def measure(chunk: T.Chunk, starts: np.ndarray, ends: np.ndarray) -> dict[str, n
 chunk_lines = ~T._table(b"\n")
 
 
-def _slots(chunk: T.Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = (T.word_hashes(chunk, starts, ends, lower=True) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-    chars, char_ends = L.char_ngrams(chunk, CHAR_WIDTH, CHAR_BITS)
-    return words, chars, char_ends
+def _slots(chunk: T.Chunk, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, word pairs and characters: slots in one table of weights, and the first and past-last of each row."""
+    rows, hashes = chunk.row_of(starts), T.word_hashes(chunk, starts, ends, lower=True)
+    pairs, first = T.windows(hashes, rows, 2)
+    chars, char_starts, char_ends = L.char_ngrams(chunk, CHAR_WIDTH, CHAR_BITS)
+    every = np.arange(chunk.rows + 1)
+    cuts, pair_cuts = np.searchsorted(rows, every), np.searchsorted(rows[first], every)
+    words = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    pairs = (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int32) + (1 << WORD_BITS)
+    limit = len(chars)
+    return [
+        (words, cuts[:-1], cuts[1:]),
+        (pairs, pair_cuts[:-1], pair_cuts[1:]),
+        (chars.astype(np.int32) + (1 << WORD_BITS) + (1 << PAIR_BITS), np.minimum(char_starts, limit), np.minimum(char_ends, limit)),
+    ]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slots, values = [], []
         for chunk in T.chunks(batch["text"]):
-            starts, ends = T.word_bounds(chunk, T.NOT_SPACE)
-            words, chars, char_ends = _slots(chunk, starts, ends)
-            cuts = np.searchsorted(starts, chunk.offsets)
+            found = _slots(chunk, *T.word_bounds(chunk, T.NOT_SPACE))
             for r in range(chunk.rows):
-                w = words[cuts[r] : cuts[r + 1]]
-                c = chars[chunk.offsets[r] : char_ends[r]].astype(np.int64) + (1 << WORD_BITS)
-                wi, wn = np.unique(w, return_counts=True)
-                ci, cn = np.unique(c, return_counts=True)
-                slots.append(np.concatenate([wi, ci]).astype("<i4").tobytes())
-                values.append(np.concatenate([wn / max(1, len(w)), cn / max(1, len(c))]).astype("<f4").tobytes())
+                own = [np.unique(s[a[r] : b[r]], return_counts=True) for s, a, b in found]
+                slots.append(np.concatenate([x for x, _ in own]).astype("<i4").tobytes())
+                values.append(np.concatenate([n / max(1, n.sum()) for _, n in own]).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(slots, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "label", "slots", "vals"])
 
 
@@ -134,12 +142,8 @@ def _score(model, threshold: float):
                 out = measure(chunk, starts, ends)
                 score = np.ones(chunk.rows)
                 if m is not None:
-                    words, chars, char_ends = _slots(chunk, starts, ends)
-                    cuts = np.searchsorted(starts, chunk.offsets)
-                    by_word = L.row_sums(m.weights[words], cuts[:-1], cuts[1:]) / np.maximum(1, np.diff(cuts))
-                    n_chars = char_ends - chunk.offsets[:-1]
-                    by_char = L.row_sums(m.weights[(1 << WORD_BITS) :][chars], np.minimum(chunk.offsets[:-1], len(chars)), np.minimum(char_ends, len(chars))) / np.maximum(1, n_chars)
-                    score = L.sigmoid(m.slope * (by_word + by_char + m.bias) + m.offset)
+                    shares = sum(L.row_sums(m.weights[s], a, b) / np.maximum(1, b - a) for s, a, b in _slots(chunk, starts, ends))
+                    score = L.sigmoid(m.slope * (shares + m.bias) + m.offset)
                 failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
                 for name, values in (out | {"base_failed": failed, "score": score, "kept": ~failed & (score >= threshold)}).items():
                     done.setdefault(name, []).append(values)

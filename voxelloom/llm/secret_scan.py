@@ -9,7 +9,12 @@ are decoded and reported only when the bytes parse as a private key or a signed
 * `key64`, `keyhex`: a bare run that decodes to a DER private key or an OpenSSH private key, every
   nested length fitting its parent exactly.
 
-Null or empty texts have no findings. Every row gives one row, repeated ids too.
+The smallest structure that is accepted, an elliptic-curve key of 16 bytes, has 23 bytes, so runs of fewer than 31
+base64 or 46 hexadecimal characters can't hold one and aren't decoded.
+
+Null or empty texts have no findings. Every row gives one row, repeated and null ids too; an empty table gives none. Only
+doc_id and text are read, so other columns' names don't matter. Findings of one start are listed by kind, and findings
+of different kinds may overlap. A text is searched whole whatever its length.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _JWT = re.compile(r"e(?<![A-Za-z0-9_-]e)[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_RUNHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+_RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{31,}={0,2}")
+_RUNHEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){23,}(?![0-9A-Fa-f])")
 
 FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _SCHEMA = "doc_id long, findings array<struct<kind:string,start:int,end:int>>"
@@ -63,29 +68,65 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def _rsa_fields(items: list[tuple[int, bytes]]) -> bool:
-    return len(items) >= 9 and all(tag == 2 and body for tag, body in items[:9])
+def _integers(items: list[tuple[int, bytes]], n: int) -> bool:
+    return len(items) >= n and all(tag == 2 and body for tag, body in items[:n])
 
 
-def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1 and DSA (integers), SEC 1 (version 1, octets), PKCS#8 plain or encrypted."""
+def _nested(data: bytes, tag: int) -> list[tuple[int, bytes]] | None:
+    """Elements of the only element of `data`, if it has that tag."""
     outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+    return der_items(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == tag else None
+
+
+def _is_algorithm(data: bytes) -> bool:
+    """An object identifier, whose last byte ends its last number, and at most one parameter."""
+    items = der_items(data)
+    return bool(items) and len(items) <= 2 and items[0][0] == 6 and len(items[0][1]) >= 2 and items[0][1][-1] < 0x80
+
+
+def _is_sec1(items: list[tuple[int, bytes]]) -> bool:
+    """Version 1, the key, then at most the curve ([0], an identifier or a sequence) and the public point ([1], bits)."""
+    if items[0] != (2, b"\1") or items[1][0] != 4 or len(items[1][1]) < 16:
         return False
-    items = der_items(outer[0][1])
+    rest = items[2:]
+    if rest and rest[0][0] == 0xA0:
+        curve = der_items(rest[0][1])
+        if not curve or len(curve) != 1 or curve[0][0] not in (6, 0x30):
+            return False
+        rest = rest[1:]
+    if rest and rest[0][0] == 0xA1:
+        point = der_items(rest[0][1])
+        if not point or len(point) != 1 or point[0][0] != 3 or point[0][1][:1] != b"\0":
+            return False
+        rest = rest[1:]
+    return not rest
+
+
+def _is_inner_key(data: bytes) -> bool:
+    """What PKCS#8 wraps: a PKCS#1 or SEC 1 key, one integer, a string of octets, or a sequence of integers and strings."""
+    if (items := _nested(data, 0x30)) is not None:
+        if len(items) < 2:
+            return False
+        sec1 = items[0] == (2, b"\1") and items[1][0] == 4
+        return _is_sec1(items) if sec1 else all(tag in (2, 4) and body for tag, body in items)
+    outer = der_items(data)
+    return bool(outer) and len(outer) == 1 and outer[0][0] in (2, 4) and len(outer[0][1]) >= 16
+
+
+def is_der_private_key(data: bytes) -> bool:
+    """PKCS#1 and DSA (integers), SEC 1 (version 1, octets), PKCS#8 plain (the inner key parsed too) or encrypted."""
+    items = _nested(data, 0x30)
     if not items or len(items) < 2:
         return False
     tags = [tag for tag, _ in items]
     if tags[0] == 2 and items[0][1] in (b"\0", b"\1"):
         if tags[:3] == [2, 0x30, 4]:
-            algorithm = der_items(items[1][1])
-            return bool(algorithm) and algorithm[0][0] == 6 and bool(items[2][1])
-        if items[0][1] == b"\1" and tags[1] == 4:
-            return len(items[1][1]) >= 16
-        return _rsa_fields(items) or (len(items) == 6 and set(tags) == {2} and all(body for _, body in items))
-    if tags[:2] == [0x30, 4] and len(items) == 2:
-        algorithm = der_items(items[0][1])
-        return bool(algorithm) and algorithm[0][0] == 6 and len(items[1][1]) >= 16 and len(items[1][1]) % 8 == 0
+            return _is_algorithm(items[1][1]) and _is_inner_key(items[2][1]) and all(tag in (0xA0, 0x81, 0xA1) for tag in tags[3:])
+        if tags[1] == 4:
+            return _is_sec1(items)
+        return _integers(items, 9) or (len(items) == 6 and _integers(items, 6))
+    if tags == [0x30, 4]:
+        return _is_algorithm(items[0][1]) and len(items[1][1]) >= 16 and len(items[1][1]) % 8 == 0
     return False
 
 
