@@ -173,14 +173,19 @@ def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release_memory()
 
     return run
 
 
+def release_memory() -> None:
+    """Give what the process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
     """Only what an operator reads, so that other columns, whatever their names, can't clash, in light batches."""
     light_batches(docs)

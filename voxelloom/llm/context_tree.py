@@ -360,6 +360,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     model = top(*(first[c].to_numpy(np.int64) for c in ("c1", "label")), *(first[c].to_numpy(np.float64) for c in ("n0", "n1", "weighted")))
     second = nodes.select("node", "share", "own").toPandas().sort_values("node")
     shared = docs.sparkSession.sparkContext.broadcast((model, *(second[c].to_numpy() for c in ("node", "share", "own"))))
+    del first, second
+    T.release_memory()
     word_sums = solved.where(F.col("kind") == _WORD)
     n_train, n_distinct = word_sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 

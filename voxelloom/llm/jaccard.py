@@ -6,8 +6,8 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
 1. One pass gives every document its set's size, class (documents with equal sets are one class, so
    copies cost nothing later) and parity sketch, and counts shingles in a table of 2**SKETCH_BITS cells over all documents.
 2. Each class sorts its shingles rare-first by these counts and emits the prefix that a partner must
-   share. Rows of one shingle meet in one partition; a pair is a candidate if its lengths and the places of each
-   shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
+   share. Rows of one shingle meet in one partition, where those without a partner of a like length go; a pair is a
+   candidate if its lengths and the places of each shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
    common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
    documents have by chance, are dropped by count. Then the sketches decide, which keep for each of 256 slots
    whether an odd number of shingles fell in it: slots that differ can't outnumber shingles that differ, which bounds what
@@ -131,6 +131,7 @@ def _counts(profile: DataFrame) -> np.ndarray:
     out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
     for row in parts.mapInArrow(_add_blocks, "block int, counts binary").collect():
         out[row["block"]] += np.frombuffer(row["counts"], "<i8")
+    T.release_memory()
     return out.reshape(-1)
 
 
@@ -197,14 +198,19 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return near & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= _least(a, b, percent))
 
 
+def _suffix(a: str, b: str, percent: int) -> Column:
+    """Suffix filter: the parity sketches of two classes allow the overlap."""
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in _PARITY_COLUMNS), F.lit(0))
+    return differ <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * _least(a, b, percent)
+
+
 def _suffix_filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes whose parity sketches (class_id, n, p0 .. p3) allow the overlap."""
+    """Pairs of classes that pass the suffix filter."""
     counts, hot = _ends(pairs)
     for side in ("a", "b"):
         own = sketches.select("class_id", F.struct("n", *_PARITY_COLUMNS).alias(f"of_{side}"))
         pairs = dealt_join(pairs.withColumn("class_id", F.col(side)), own, ["class_id"], hot, F.col("b" if side == "a" else "a")).drop("class_id")
-    differ = sum((F.bit_count(F.col(f"of_a.{p}").bitwiseXOR(F.col(f"of_b.{p}"))) for p in _PARITY_COLUMNS), F.lit(0))
-    return pairs.where(differ <= F.col("of_a.n") + F.col("of_b.n") - 2 * _least("of_a", "of_b", percent)).select("a", "b")
+    return pairs.where(_suffix("of_a", "of_b", percent)).select("a", "b")
 
 
 def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,15 +272,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
 
 
-def _prefix_groups(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows of shingles that two classes or more share, each with the leader of its shingle: those that are surely
-    not hot, and the rest with their number of `classes`."""
+def _prefix_groups(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of shingles that two classes or more share, each with its sketch and the leader of its shingle: those
+    that are surely not hot, and the rest with their number of `classes`.
+
+    A row whose neighbours by length are too short and too long for it has no partner, and goes first.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
     rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), "token long, class_id long, n int, place int, common int, deal long")
     rows = rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"])
-    first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first"
-    counted = rows.selectExpr("*", "count(*) OVER (PARTITION BY token, deal) AS classes", first).where("classes > 1 OR deal IS NOT NULL")
-    groups = written(counted.selectExpr("token", "deal", "struct(class_id, n, place) AS row", "first"), "prefixes")
+    sizes = "OVER (PARTITION BY token, deal ORDER BY n, class_id)"
+    rows = rows.selectExpr("*", f"lag(n) {sizes} AS shorter", f"lead(n) {sizes} AS longer")
+    rows = rows.where(f"deal IS NOT NULL OR 100L * shorter >= {percent}L * n OR 100L * n >= {percent}L * longer").drop("shorter", "longer")
+    rows = rows.selectExpr("*", "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first")
+    sketched = rows.join(sketches.drop("n"), "class_id")
+    groups = written(sketched.select("token", "deal", F.struct("class_id", "n", "place", *_PARITY_COLUMNS).alias("row"), "first"), "prefixes")
     leader = F.struct("first.class_id", "first.n", "first.place").alias("leader")
     cold, hot = groups.where("deal IS NULL").select("token", "row", leader), groups.where("deal IS NOT NULL")
     leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("first").alias("first")).where("classes > 1")
@@ -307,7 +319,8 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     led = "max(CASE WHEN class_id = leader.class_id THEN label END) OVER (PARTITION BY token) AS led"
     rows = _labelled(cold, labels).repartition("token").selectExpr("token", "row", "label", led)
     rows = rows.selectExpr("*", "max(label <> led) OVER (PARTITION BY token) AS mixed").where("mixed").drop("mixed")
-    pairs = rows.join(rows.where("label <> led").select("token", *other), "token").where(apart & _possible("row", "other", percent)).select("row", "other")
+    apart = apart & _possible("row", "other", percent) & _suffix("row", "other", percent)
+    pairs = rows.join(rows.where("label <> led").select("token", *other), "token").where(apart).select("row", "other")
     if hot.isEmpty():
         return pairs
     rows = _labelled(hot, labels)
@@ -315,16 +328,16 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     keys = hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN)
     rows = dealt_join(rows.select("token", "row", "label", "class_id"), leaders.drop("classes"), ["token"], keys, F.col("class_id"))
     more = dealt_join(rows, rows.where("label <> led").select("token", *other), ["token"], keys, F.col("class_id"))
-    return pairs.unionByName(more.where(apart & _possible("row", "other", percent)).select("row", "other"))
+    return pairs.unionByName(more.where(apart).select("row", "other"))
 
 
 def join_classes(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """(node, label): the component of each class that links with a class of a smaller number."""
-    cold, hot = _prefix_groups(docs, counts, width, percent)
+    cold, hot = _prefix_groups(docs, sketches, counts, width, percent)
     led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
-    check = lambda rows, a, b: _verified(_suffix_filtered(_counted(rows, a, b), sketches, percent), docs, width, percent)
-    links = written(check(led, "row", "leader"), "verified")
-    return components(links.unionByName(check(_between(cold, hot, components(links), percent), "row", "other")))
+    links = written(_verified(_suffix_filtered(_counted(led, "row", "leader"), sketches, percent), docs, width, percent), "verified")
+    between = _counted(_between(cold, hot, components(links), percent), "row", "other")
+    return components(links.unionByName(_verified(between, docs, width, percent)))
 
 
 def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

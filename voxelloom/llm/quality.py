@@ -129,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
     w, b = L.fit_logistic(slots[own], values[own], position[at[own]], y[~held], SIZE)
     logits = np.bincount(at, w[slots] * values, len(y)) + b
     slope, offset = L.platt(logits[held], y[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
+    del rows, slots, values, at
+    T.release_memory()
     return Model(w.astype(np.float32), b, slope, offset)
 
 

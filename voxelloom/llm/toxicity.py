@@ -115,7 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     per_doc = np.zeros(len(y), np.int64)
     np.maximum.at(per_doc, at, local.astype(np.int64) + 1)
     base = np.cumsum(per_doc) - per_doc
-    return fit_noisy_or(slots, (local.astype(np.int64) + base[at]).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), per_doc), y)
+    model = fit_noisy_or(slots, (local.astype(np.int64) + base[at]).astype(np.int32), np.repeat(np.arange(len(y), dtype=np.int32), per_doc), y)
+    del rows, slots, local, at
+    T.release_memory()
+    return model
 
 
 def bag_scores(chunk: T.Chunk, model: Model | None) -> tuple[Bags | None, np.ndarray, np.ndarray]:
