@@ -212,9 +212,9 @@ def test_iso_surface_of_a_sphere(spark):
 def test_blocks_placed_back_are_the_grid(spark):
     g = spark.createDataFrame([(1, 8, 8, 8, 0.125, floats(0, 0, 0), floats(1, 0, 0, 0, 1, 0, 0, 0, 1))], GRID)
     v = grid.grid_cells(g).select("scene_id", "i", "j", "k", (F.col("i") * 64 + F.col("j") * 8 + F.col("k")).cast("double").alias("v"))
-    rot, origin = G.voxlet_frame([F.lit(0.5)] * 3, [F.lit(1.0), F.lit(0.0), F.lit(0.0)], (4, 4, 4), 0.125, (0.5, 0.5, 0.5), False)
+    rot, origin = G.block_frame([F.lit(0.5)] * 3, [F.lit(1.0), F.lit(0.0), F.lit(0.0)], (4, 4, 4), 0.125, (0.5, 0.5, 0.5), False)
     blocks = spark.range(1).select(F.lit(1).cast("long").alias("scene_id"), F.col("id").alias("sample_id"), rot.alias("rot"), origin.alias("origin"))
-    cut = blocks.join(dense.cut_voxlets(blocks, v, g, (4, 4, 4), 0.125), ["scene_id", "sample_id"]).withColumn("w", F.lit(2.0))
+    cut = blocks.join(dense.cut_blocks(blocks, v, g, (4, 4, 4), 0.125), ["scene_id", "sample_id"]).withColumn("w", F.lit(2.0))
     placed = grid.average(dense.place_predictions(cut, g, (4, 4, 4), 0.125)).join(v.withColumnRenamed("v", "t"), grid.CELL)
     assert placed.count() == 64 and placed.where("v <> t OR n <> 1").count() == 0
 

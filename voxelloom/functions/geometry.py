@@ -129,22 +129,23 @@ def truncate(d: Column, mu: float) -> Column:
     return F.least(F.greatest(d, F.lit(-mu)), F.lit(mu))
 
 
-def voxlet_frame(p: Point, n: Point, shape: Sequence[int], size: float, relative_centre: Sequence[float], tall: bool, tall_height: float | None = None) -> tuple[Column, Column]:
+def block_frame(p: Point, n: Point, shape: Sequence[int], size: float, relative_centre: Sequence[float], tall: bool, tall_height: float | None = None) -> tuple[Column, Column]:
     """Rotation (its columns are up x n, up x that, up) and origin of an upright block at a surface point.
 
     A tall block stands on z = 0: its centre and its anchor share the height. NULL where n is parallel to up.
     """
-    up = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
-    x = unit(cross(up, n))
-    y = unit(cross(up, x))
-    rot = F.array(*(a[r] for r in range(3) for a in (x, y, up)))
-    centre = [F.lit(s * size * c) for s, c in zip(shape, relative_centre, strict=True)]
-    anchor = list(p)
+    flat = F.sqrt(n[0] * n[0] + n[1] * n[1])
+    a, b = F.try_divide(F.lit(0.0) - n[1], flat), F.try_divide(n[0], flat)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rot = F.array(a, zero - b, zero, b, a, zero, zero, zero, one)
+    centre = [float(s * size * c) for s, c in zip(shape, relative_centre, strict=True)]
+    height = p[2]
     if tall:
-        centre[2] = anchor[2] = F.lit(float(tall_height))
-    moved = mat3_apply(rot, centre)
-    known = x[0].isNotNull()
-    return F.when(known, rot), F.when(known, F.array(*(a - m for a, m in zip(anchor, moved, strict=True))))
+        centre[2] = float(tall_height)
+        height = F.lit(centre[2])
+    origin = F.array(p[0] - (a * centre[0] - b * centre[1]), p[1] - (b * centre[0] + a * centre[1]), height - F.lit(centre[2]))
+    known = flat > 0
+    return F.when(known, rot), F.when(known, origin)
 
 
 def scaled_intrinsics(k: Column, scale: float) -> Column:

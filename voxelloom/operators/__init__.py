@@ -1 +1 @@
-"""DataFrame operators over grids, images, samples, voxlets, forests, scores and meshes."""
+"""DataFrame operators over grids, images, samples, blocks, forests, scores and meshes."""

@@ -1,4 +1,4 @@
-"""Jobs that work on whole small arrays of one scene: voxlet cutting, segmentation, distance transforms."""
+"""Jobs on small arrays: blocks cut from and placed into tiles of grids, segmentation of floor plans, distance transforms."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from voxelloom.operators.grid import CELL, occupied_above
 
@@ -18,106 +20,193 @@ def cell_places(shape: Sequence[int], size: float, rot: np.ndarray, origin: np.n
     return ((idx + 0.5) * size) @ rot.T + origin
 
 
-def gather(grid: dict, places: np.ndarray, initial: float) -> np.ndarray:
-    """Values of a dense grid (vals, vox_size, rot, origin) at world places; `initial` outside and where unknown."""
-    idx = np.floor(((places - grid["origin"]) @ grid["rot"]) / grid["vox_size"]).astype(int)
-    inside = ((idx >= 0) & (idx < grid["vals"].shape)).all(1)
-    out = np.full(len(places), initial)
-    found = grid["vals"][tuple(idx[inside].T)]
-    out[inside] = np.where(np.isnan(found), initial, found)
-    return out
-
-
 def dense_grid(cells: pd.DataFrame, shape: Sequence[int]) -> np.ndarray:
     out = np.full(shape, np.nan)
     out[cells["i"], cells["j"], cells["k"]] = cells["v"].astype(float)
     return out
 
 
-def cut_voxlets(voxlets: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, salts: int = 1) -> DataFrame:
-    """scene_id, sample_id and `vals`: the grid's values in each upright block (rot, origin), in C order, unknown NULL.
+TILE = 16
+#: Blocks that meet one tile in one group; more are dealt over groups, each with its own copy of the tile.
+BLOCKS_A_TILE = 512
+_BOX = ["scene_id", "bi", "bj", "bk"]
 
-    Samples and cells of a scene meet once. A scene with very many samples is split over `salts` groups, each with
-    its own copy of the scene's cells. `post_transform` maps the array of one block.
-    """
+
+def _with_grid(blocks: DataFrame, grids: DataFrame) -> DataFrame:
     meta = grids.select("scene_id", "ni", "nj", "nk", "vox_size", F.col("rot").alias("grid_rot"), F.col("origin").alias("grid_origin"))
-    left = voxlets.select("scene_id", "sample_id", "rot", "origin", F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int").alias("salt")).join(meta, "scene_id")
-    right = voxels.select(*CELL, "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return blocks.join(meta, "scene_id")
+
+
+def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Rotations and origins of some blocks and of their grids, as arrays, with the size of the grids' cells."""
+    rot, origin, grid_rot, grid_origin = (np.stack(pdf[c].to_numpy()).astype(float) if len(pdf) else np.zeros((0, n)) for c, n in (("rot", 9), ("origin", 3), ("grid_rot", 9), ("grid_origin", 3)))
+    return rot.reshape(-1, 3, 3), origin, grid_rot.reshape(-1, 3, 3), grid_origin, pdf["vox_size"].to_numpy(float)
 
-    def scene(samples: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if not len(samples):
-            return pd.DataFrame({"scene_id": [], "sample_id": [], "vals": []})
-        m = samples.iloc[0]
-        grid = {"vals": dense_grid(cells, (m["ni"], m["nj"], m["nk"])), "vox_size": m["vox_size"], "rot": np.array(m["grid_rot"]).reshape(3, 3), "origin": np.array(m["grid_origin"])}
-        out = []
-        for rot, origin in zip(samples["rot"], samples["origin"], strict=True):
-            vals = gather(grid, cell_places(shape, size, np.array(rot).reshape(3, 3), np.array(origin)), initial)
-            vals = post_transform(vals) if post_transform else vals
-            out.append([None if np.isnan(x) else float(x) for x in vals])
-        return pd.DataFrame({"scene_id": samples["scene_id"], "sample_id": samples["sample_id"], "vals": out})
 
-    schema = f"scene_id {voxlets.schema['scene_id'].dataType.simpleString()}, sample_id {voxlets.schema['sample_id'].dataType.simpleString()}, vals array<double>"
-    return left.groupBy("scene_id", "salt").cogroup(right.groupBy("scene_id", "salt")).applyInPandas(scene, schema)
+def _in_grid(places: np.ndarray, rot, origin, grid_rot, grid_origin, step) -> np.ndarray:
+    """Places of a block (n x 3, its own axes) in cells of each block's grid: blocks x n x 3."""
+    world = places @ rot.transpose(0, 2, 1) + origin[:, None, :]
+    return (world - grid_origin[:, None, :]) @ grid_rot / step[:, None, None]
+
+
+def _grid_ranges(pdf: pd.DataFrame, shape: Sequence[int], size: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last cell of its grid that each block's corners span, one cell wider for rounding."""
+    corners = np.array(np.meshgrid(*((0, n * size) for n in shape), indexing="ij")).reshape(3, -1).T
+    at = _in_grid(corners, *_stacked(pdf))
+    ends = pdf[["ni", "nj", "nk"]].to_numpy(int)
+    return np.clip(np.floor(at.min(1)).astype(int) - 1, 0, ends), np.clip(np.floor(at.max(1)).astype(int) + 2, 0, ends)
+
+
+def touched_tiles(blocks: DataFrame, shape: Sequence[int], size: float, tile: int) -> DataFrame:
+    """The rows of `blocks` (with their grid) once for each tile (bi, bj, bk) of `tile`^3 cells that they may reach."""
+
+    def task(batches):
+        for pdf in batches:
+            low, high = _grid_ranges(pdf, shape, size)
+            first = low // tile
+            n = np.where((low < high).all(1)[:, None], (high - 1) // tile - first + 1, 0)
+            total = n.prod(1)
+            row = np.repeat(np.arange(len(pdf)), total)
+            place = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            box = np.stack([place // (n[row, 1] * n[row, 2]), place // n[row, 2] % n[row, 1], place % n[row, 2]], 1) + first[row]
+            yield pdf.iloc[row].reset_index(drop=True).assign(**{c: box[:, k].astype(np.int32) for k, c in enumerate(_BOX[1:])})
+
+    schema = blocks.select("*", *(F.lit(0).alias(c) for c in _BOX[1:])).schema
+    return blocks.mapInPandas(task, schema)
+
+
+def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = TILE) -> DataFrame:
+    """scene_id, sample_id and `vals`: the grid's values in each upright block (rot, origin), in C order, unknown NULL.
+
+    A block meets only the tiles of its scene's grid that it reaches, so no task holds a scene. Blocks outside the grid and
+    in scenes without cells have `initial` everywhere; blocks of scenes without a grid are left out. `post_transform` maps the
+    array of one block.
+    """
+    placed = _with_grid(blocks.select("scene_id", "sample_id", "rot", "origin"), grids)
+    touched = touched_tiles(placed, shape, size, tile)
+    pieces = touched.groupBy(*_BOX).agg(F.ceil(F.count("*") / BLOCKS_A_TILE).cast("int").alias("pieces"))
+    left = touched.join(pieces, _BOX).withColumn("piece", F.pmod(F.xxhash64("sample_id"), F.col("pieces")).cast("int")).drop("pieces")
+    cells = voxels.where("v IS NOT NULL").select(*CELL, F.col("v").cast("double").alias("v"), *(F.floor(F.col(c) / tile).cast("int").alias(b) for c, b in zip("ijk", _BOX[1:], strict=True)))
+    right = cells.join(pieces, _BOX).select(*CELL, "v", *_BOX[1:], F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+
+    def one_tile(samples: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(samples) or not len(own):
+            return pd.DataFrame({"scene_id": [], "sample_id": [], "lin": pd.Series([], dtype=object), "found": pd.Series([], dtype=object)})
+        base = samples[_BOX[1:]].iloc[0].to_numpy(int) * tile
+        vals = dense_grid(own.assign(i=own["i"] - base[0], j=own["j"] - base[1], k=own["k"] - base[2]), (tile,) * 3)
+        places, out = cell_places(shape, size, np.eye(3), np.zeros(3)), []
+        some = max(1, (1 << 20) // len(places))
+        for at in range(0, len(samples), some):
+            part = samples.iloc[at : at + some]
+            idx = np.floor(_in_grid(places, *_stacked(part))).astype(int) - base
+            row, lin = np.nonzero(((idx >= 0) & (idx < tile)).all(2))
+            found = vals[tuple(idx[row, lin].T)]
+            known = ~np.isnan(found)
+            row, lin, found = row[known], lin[known].astype("<i4"), found[known]
+            cuts = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    out.append((part["scene_id"].iat[n], part["sample_id"].iat[n], lin[a:b].tobytes(), found[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["scene_id", "sample_id", "lin", "found"])
+
+    ids = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in ("scene_id", "sample_id"))
+    keys = [*_BOX, "piece"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one_tile, f"{ids}, lin binary, found binary")
+    # At most one part a tile that the block reaches, each of the cells in it.
+    joined = parts.groupBy("scene_id", "sample_id").agg(F.collect_list(F.struct("lin", "found")).alias("parts"))
+    n = int(np.prod(shape))
+
+    def whole(batches):
+        for batch in batches:
+            vals = np.full((batch.num_rows, n), initial)
+            for row, parts in enumerate(batch["parts"].to_pylist()):
+                for part in parts or []:
+                    vals[row, np.frombuffer(part["lin"], "<i4")] = np.frombuffer(part["found"], "<f8")
+                if post_transform:
+                    vals[row] = post_transform(vals[row])
+            flat = vals.ravel()
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n, dtype=np.int32), pa.array(flat, mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([batch["scene_id"], batch["sample_id"], lists], ["scene_id", "sample_id", "vals"])
+
+    every = placed.select("scene_id", "sample_id").join(joined, ["scene_id", "sample_id"], "left")
+    return every.mapInArrow(whole, f"{ids}, vals array<double>")
 
 
 def place_predictions(predictions: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, below: float | None = None) -> DataFrame:
     """Predicted blocks (rot, origin, vals, w) resampled into their scene's cells: (cell, sum_v, sum_w, n).
 
-    The blocks are upright, so cells map once a column and once a slice. A batch's blocks of one scene are summed densely
-    before the rows leave the task; a second aggregation adds the batches.
+    `w` is one weight a block, or an array with one a cell of it, unknown ones 0. `n` counts predictions whatever their
+    weight. The blocks are upright, so cells map once a column and once a slice, in the cells that a block spans. Sums of a
+    batch leave the task once a cell; a second aggregation adds the batches.
     """
-    meta = grids.select("scene_id", "ni", "nj", "nk", "vox_size", F.col("rot").alias("grid_rot"), F.col("origin").alias("grid_origin"))
-    rows = predictions.select("scene_id", "rot", "origin", "vals", "w").join(meta, "scene_id")
+    each = isinstance(predictions.schema["w"].dataType, ArrayType)
+    rows = _with_grid(predictions.select("scene_id", "rot", "origin", "vals", "w"), grids)
+    numbers = lambda x: np.array(x, float).reshape(shape)
+
+    def reached(row, low: np.ndarray, high: np.ndarray) -> tuple | None:
+        """Cells, values and weights of one block."""
+        if (low >= high).any():
+            return None
+        g_rot, g_origin, step = np.array(row.grid_rot).reshape(3, 3), np.array(row.grid_origin), row.vox_size
+        r, o = np.array(row.rot).reshape(3, 3), np.array(row.origin)
+        corner = (np.stack(np.meshgrid(*(np.arange(low[c], high[c]) for c in (0, 1)), indexing="ij"), -1) + 0.5) * step
+        xy = corner @ g_rot[:2, :2].T + g_origin[:2]
+        ij = np.floor((xy - o[:2]) @ r[:2, :2] / size).astype(int)
+        kk = np.floor(((np.arange(low[2], high[2]) + 0.5) * step + g_origin[2] - o[2]) / size).astype(int)
+        a, b = np.nonzero((ij[..., 0] >= 0) & (ij[..., 1] >= 0) & (ij[..., 0] < shape[0]) & (ij[..., 1] < shape[1]))
+        ks = np.flatnonzero((kk >= 0) & (kk < shape[2]))
+        at = ij[a, b, 0][:, None], ij[a, b, 1][:, None], kk[ks][None, :]
+        found = numbers(row.vals)[at]
+        use = ~np.isnan(found) if below is None else found < below
+        weight = np.nan_to_num(numbers(row.w)[at][use]) if each else np.full(int(use.sum()), float(row.w))
+        cell = lambda x: np.broadcast_to(x, use.shape)[use]
+        return cell((a + low[0])[:, None]), cell((b + low[1])[:, None]), cell((ks + low[2])[None, :]), found[use], weight
 
     def task(batches):
         for pdf in batches:
             for scene, own in pdf.groupby("scene_id"):
-                m = own.iloc[0]
-                n = (int(m["ni"]), int(m["nj"]), int(m["nk"]))
-                total, weight, count = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                g_rot, g_origin, step = np.array(m["grid_rot"]).reshape(3, 3), np.array(m["grid_origin"]), m["vox_size"]
-                corner = (np.stack(np.meshgrid(np.arange(n[0]), np.arange(n[1]), indexing="ij"), -1) + 0.5) * step
-                xy = corner @ g_rot[:2, :2].T + g_origin[:2]
-                z = (np.arange(n[2]) + 0.5) * step + g_origin[2]
-                for rot, origin, vals, w in zip(own["rot"], own["origin"], own["vals"], own["w"], strict=True):
-                    r, o = np.array(rot).reshape(3, 3), np.array(origin)
-                    ij = np.floor((xy - o[:2]) @ r[:2, :2] / size).astype(int)
-                    kk = np.floor((z - o[2]) / size).astype(int)
-                    ok = (ij[..., 0] >= 0) & (ij[..., 1] >= 0) & (ij[..., 0] < shape[0]) & (ij[..., 1] < shape[1])
-                    ks = np.flatnonzero((kk >= 0) & (kk < shape[2]))
-                    a, b = np.nonzero(ok)
-                    block = np.array([np.nan if x is None else x for x in vals], float).reshape(shape)
-                    found = block[ij[a, b, 0][:, None], ij[a, b, 1][:, None], kk[ks][None, :]]
-                    use = ~np.isnan(found) if below is None else found < below
-                    at = (np.repeat(a, len(ks)).reshape(use.shape)[use], np.repeat(b, len(ks)).reshape(use.shape)[use], np.tile(ks, len(a)).reshape(use.shape)[use])
-                    total[at] += found[use] * w
-                    weight[at] += w
-                    count[at] += 1
-                i, j, k = np.nonzero(count)
-                yield pd.DataFrame({"scene_id": scene, "i": i, "j": j, "k": k, "sum_v": total[i, j, k], "sum_w": weight[i, j, k], "n": count[i, j, k]})
+                n, held, size_held = (int(own["ni"].iloc[0]), int(own["nj"].iloc[0]), int(own["nk"].iloc[0])), [], 0
+                for row, low, high in zip(own.itertuples(index=False), *_grid_ranges(own, shape, size), strict=True):
+                    found = reached(row, low, high)
+                    if found is not None and len(found[0]):
+                        held.append(found)
+                        size_held += len(found[0])
+                    if size_held >= 1 << 20:
+                        yield _summed(scene, n, held)
+                        held, size_held = [], 0
+                if held:
+                    yield _summed(scene, n, held)
 
     kind = predictions.schema["scene_id"].dataType.simpleString()
     parts = rows.mapInPandas(task, f"scene_id {kind}, i int, j int, k int, sum_v double, sum_w double, n long")
     return parts.groupBy(*CELL).agg(F.sum("sum_v").alias("sum_v"), F.sum("sum_w").alias("sum_w"), F.sum("n").alias("n"))
 
 
+def _summed(scene, shape: tuple[int, int, int], held: list[tuple]) -> pd.DataFrame:
+    """One row a cell of some blocks' (i, j, k, value, weight)."""
+    i, j, k, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+    cells, at = np.unique((i.astype(np.int64) * shape[1] + j) * shape[2] + k, return_inverse=True)
+    rest = cells // shape[2]
+    return pd.DataFrame({"scene_id": scene, "i": rest // shape[1], "j": rest % shape[1], "k": cells % shape[2], "sum_v": np.bincount(at, v * w), "sum_w": np.bincount(at, w), "n": np.bincount(at)})
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components, numbered in row-major order of their first cell; 0 is background."""
-    out, n = np.zeros(mask.shape, int), 0
-    for start in np.argwhere(mask):
-        if out[tuple(start)]:
-            continue
-        n += 1
-        stack = [tuple(start)]
-        out[tuple(start)] = n
-        while stack:
-            r, c = stack.pop()
-            for rr in range(max(0, r - 1), min(mask.shape[0], r + 2)):
-                for cc in range(max(0, c - 1), min(mask.shape[1], c + 2)):
-                    if mask[rr, cc] and not out[rr, cc]:
-                        out[rr, cc] = n
-                        stack.append((rr, cc))
-    return out
+    """8-connected components, numbered in row-major order of their first cell; 0 is background.
+
+    Each cell takes the least number around it, then the number of the cell with that number, until nothing changes.
+    """
+    far = mask.size
+    least = np.where(mask, np.arange(far).reshape(mask.shape), far)
+    while True:
+        padded = np.pad(least, 1, constant_values=far)
+        around = np.min([padded[r : r + mask.shape[0], c : c + mask.shape[1]] for r in range(3) for c in range(3)], axis=0)
+        new = np.where(mask, around, far)
+        new = np.where(mask, np.append(new.ravel(), far)[new], far)
+        if (new == least).all():
+            break
+        least = new
+    roots = np.unique(least[mask])
+    return np.where(mask, np.searchsorted(roots, least) + 1, 0)
 
 
 def shifted(mask: np.ndarray, dr: int, dc: int) -> np.ndarray:
@@ -158,11 +247,18 @@ def segment(voxels: DataFrame, shape: Sequence[int], floor_k: int, threshold: in
 
 
 def nearest_along(f: np.ndarray, axis: int) -> np.ndarray:
-    """Least f[q] + (p - q)^2 over the places q of one axis, for each place p."""
+    """Least f[q] + (p - q)^2 over the places q of one axis, for each place p; some lines at a time."""
     n = f.shape[axis]
-    cost = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
     moved = np.moveaxis(f, axis, -1)
-    return np.moveaxis((moved[..., None, :] + cost).min(-1), -1, axis)
+    lines, out = moved.reshape(-1, n), np.empty((moved.size // max(1, n), n))
+    places = np.arange(n)
+    for at in range(0, len(lines), max(1, (1 << 20) // max(1, n))):
+        some = lines[at : at + max(1, (1 << 20) // max(1, n))]
+        best = np.full(some.shape, np.inf)
+        for q in range(n):
+            np.minimum(best, some[:, q : q + 1] + (places - q) ** 2, out=best)
+        out[at : at + len(some)] = best
+    return np.moveaxis(out.reshape(moved.shape), -1, axis)
 
 
 def distance_pass(values: DataFrame, plane: str, axes: tuple[str, str], along: tuple[int, ...]) -> DataFrame:
@@ -196,8 +292,12 @@ def signed_distance(occupied: DataFrame, vox_size: float, truncation: float | No
     return values.select(*CELL, (d if truncation is None else F.greatest(F.least(d, F.lit(truncation)), F.lit(-truncation))).alias("v"))
 
 
-def candidate_distance(measure: str, visible: np.ndarray, predicted: np.ndarray, observed: np.ndarray | None = None) -> float:
-    """How far a predicted block is from what is seen of it; `observed` are the cells with a surface point."""
+def candidate_distance(measure: str, visible: np.ndarray, predicted: np.ndarray, observed: np.ndarray | None = None, mu: float = 0.25) -> float:
+    """How far a predicted block is from what is seen of it; `observed` are the cells with a surface point.
+
+    Unknown visible cells count as -mu, unknown predicted ones as mu; infinite where there is nothing to compare.
+    """
+    visible, predicted = np.where(np.isnan(visible), -mu, visible), np.where(np.isnan(predicted), mu, predicted)
     low, high = visible.min(), visible.max()
     if measure == "pointwise":
         return float(np.abs(predicted[observed]).mean()) if observed is not None and len(observed) else float("inf")
@@ -214,22 +314,27 @@ def candidate_distance(measure: str, visible: np.ndarray, predicted: np.ndarray,
     raise ValueError(measure)
 
 
-def choose(candidates: DataFrame, how: str, measure: str = "narrow_band") -> DataFrame:
+def choose(candidates: DataFrame, how: str, measure: str = "narrow_band", mu: float = 0.25) -> DataFrame:
     """One block for each (scene_id, sample_id) of the candidates (tree_id, medoid_id, vals, visible): the closest to what is
-    seen (first tree on ties), the medoid, or the mean."""
+    seen (first tree on ties, and where no candidate can be compared), the medoid, or the mean.
+
+    A group holds one block a tree. `min_dist` is NULL where nothing could be compared, 0 for medoid and mean.
+    """
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tree_id")
-        vals = np.stack([np.array(v, float) for v in pdf["vals"]])
+        vals = np.stack([np.array([np.nan if x is None else x for x in v], float) for v in pdf["vals"]])
+        vals = np.where(np.isnan(vals), mu, vals)
         if how == "mean":
             pick, out, dist = -1, vals.mean(0), 0.0
         elif how == "medioid":
             k = int(((vals - vals.mean(0)) ** 2).sum(1).argmin())
             pick, out, dist = int(pdf["medoid_id"].iloc[k]), vals[k], 0.0
         else:
-            d = [candidate_distance(measure, np.array(s, float), v, np.array(o, int) if o is not None else None) for s, v, o in zip(pdf["visible"], vals, pdf["observed"], strict=True)]
+            seen = [np.array([np.nan if x is None else x for x in v], float) for v in pdf["visible"]]
+            d = [candidate_distance(measure, s, v, np.array(o, int) if o is not None else None, mu) for s, v, o in zip(seen, vals, pdf["observed"], strict=True)]
             k = int(np.argmin(d))
-            pick, out, dist = int(pdf["medoid_id"].iloc[k]), vals[k], d[k]
+            pick, out, dist = int(pdf["medoid_id"].iloc[k]), vals[k], d[k] if np.isfinite(d[k]) else None
         return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[:1], "sample_id": pdf["sample_id"].iloc[:1], "medoid_id": [pick], "min_dist": [dist], "vals": [out.tolist()]})
 
     if "observed" not in candidates.columns:
@@ -241,29 +346,38 @@ def choose(candidates: DataFrame, how: str, measure: str = "narrow_band") -> Dat
 def greedy_accept(placed: DataFrame, truth: DataFrame, order: str = "sample_id") -> DataFrame:
     """Samples of each scene kept in turn only if the IoU of the averaged grid rises: serial in a scene, scenes in parallel.
 
-    placed: (scene_id, sample_id, i, j, k, v); truth: known cells of the region.
+    placed: (scene_id, sample_id, i, j, k, v); truth: known cells of the region. A sample changes the counts of its own
+    cells only.
     """
 
     def scene(cells: pd.DataFrame, solid: pd.DataFrame) -> pd.DataFrame:
-        total: dict[tuple, list[float]] = {}
-        want = {(i, j, k) for i, j, k, v in zip(solid["i"], solid["j"], solid["k"], solid["v"], strict=True) if v < 0}
-        every = set(zip(solid["i"], solid["j"], solid["k"], strict=True))
-
-        def iou(sums: dict) -> float:
-            have = {c for c, (s, n) in sums.items() if s / n < 0 and c in every}
-            return len(have & want) / max(1, len(have | want))
-
-        best, kept = 0.0, []
-        for sample, own in cells.sort_values([order, "i", "j", "k"]).groupby(order):
-            trial = dict(total)
-            for i, j, k, v in zip(own["i"], own["j"], own["k"], own["v"], strict=True):
-                s, n = trial.get((i, j, k), (0.0, 0))
-                trial[i, j, k] = [s + v, n + 1]
-            score = iou(trial)
+        kept: list[tuple] = []
+        both = pd.concat([cells[["i", "j", "k"]], solid[["i", "j", "k"]]])
+        number = both.groupby(["i", "j", "k"], sort=False).ngroup().to_numpy() if len(both) else np.zeros(0, int)
+        n = int(number.max()) + 1 if len(number) else 0
+        at, known = number[: len(cells)], number[len(cells) :]
+        inside, want = np.zeros(n, bool), np.zeros(n, bool)
+        inside[known] = True
+        want[known[solid["v"].to_numpy(float) < 0]] = True
+        total, count = np.zeros(n), np.zeros(n, np.int64)
+        hit, wrong, missed, best = 0, 0, int(want.sum()), 0.0
+        rows = cells.assign(_at=at).sort_values([order, "i", "j", "k"])
+        for sample, own in rows.groupby(order):
+            c, v = own["_at"].to_numpy(), own["v"].to_numpy(float)
+            touched = np.unique(c)
+            solid_before = (count[touched] > 0) & (total[touched] < 0) & inside[touched]
+            sums = total[touched] + np.bincount(np.searchsorted(touched, c), v, len(touched))
+            solid_after = (sums < 0) & inside[touched]
+            change = solid_after.astype(int) - solid_before
+            d_hit, d_wrong = int(change[want[touched]].sum()), int(change[~want[touched]].sum())
+            score = (hit + d_hit) / max(1, hit + d_hit + wrong + d_wrong + missed - d_hit)
             if score > best:
-                best, total = score, trial
+                best, hit, wrong, missed = score, hit + d_hit, wrong + d_wrong, missed - d_hit
+                total[touched] = sums
+                count[touched] += np.bincount(np.searchsorted(touched, c), minlength=len(touched))
                 kept.append((sample, score))
-        return pd.DataFrame({"scene_id": cells["scene_id"].iloc[0] if len(cells) else None, order: [s for s, _ in kept], "iou": [x for _, x in kept]})
+        name = cells["scene_id"].iloc[0] if len(cells) else None
+        return pd.DataFrame({"scene_id": [name] * len(kept), order: [s for s, _ in kept], "iou": [x for _, x in kept]})
 
     kinds = [f"{c} {placed.schema[c].dataType.simpleString()}" for c in ("scene_id", order)]
     return placed.groupBy("scene_id").cogroup(truth.where("v IS NOT NULL").groupBy("scene_id")).applyInPandas(scene, ", ".join(kinds) + ", iou double")

@@ -20,6 +20,17 @@ def confusion(prediction: DataFrame, truth: DataFrame, region: DataFrame, mu: fl
     tests = prediction.select(*keys).distinct()
     wanted = region.select(*CELL).join(tests, "scene_id").join(truth_values, CELL)
     joined = wanted.join(predicted, list(dict.fromkeys([*keys, *CELL])), "left").withColumn("p", F.coalesce("p", F.lit(mu)))
+    return _counted(joined, keys)
+
+
+def confusion_within(prediction: DataFrame, truth: DataFrame, mu: float, keys: list[str] | None = None) -> DataFrame:
+    """`confusion` where the rows of the prediction are the region, so that only the truth is joined."""
+    truth_values = truth.select(*CELL, F.coalesce("v", F.lit(-mu)).alias("t"))
+    joined = prediction.withColumn("p", F.coalesce("v", F.lit(mu))).join(truth_values, CELL)
+    return _counted(joined, keys or ["scene_id"])
+
+
+def _counted(joined: DataFrame, keys: list[str]) -> DataFrame:
     p, t = F.col("p") < 0, F.col("t") < 0
     counts = joined.groupBy(*keys).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"), F.count_if(~p & ~t).alias("tn"))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))

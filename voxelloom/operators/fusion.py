@@ -75,6 +75,23 @@ def carve(observed: DataFrame, voxels: DataFrame) -> DataFrame:
     return joined.select(*CELL, (F.coalesce("v", F.lit(0.0)) + F.coalesce("n_empty", F.lit(0))).alias("v"))
 
 
+def fuse_in_frustum(centres: DataFrame, frames: DataFrame, pixels: DataFrame, mu: float) -> DataFrame:
+    """Each cell that a frame's image holds: its fused distance `v` (NULL if hidden in all) and `in_frustum_count`.
+
+    One projection serves both, as `fuse` and `frustum_counts` have it.
+    """
+    depth = pixels.where("depth IS NOT NULL").select(*FRAME, "row", "col", "depth")
+    seen = project_voxels(centres, frames).join(depth, [*FRAME, "row", "col"], "left")
+    distance = F.col("z") - F.col("depth")
+    d = F.when(distance <= mu, -G.truncate(distance, mu))
+    return seen.groupBy(*CELL).agg(F.avg(d).alias("v"), F.count("*").alias("in_frustum_count"))
+
+
+def region_of(fused: DataFrame, least_k: int = 6) -> DataFrame:
+    """The evaluation region among the rows of `fuse_in_frustum`: from `least_k` up, negative or unknown."""
+    return fused.where((F.col("k") >= least_k) & (F.col("v").isNull() | (F.col("v") < 0)))
+
+
 def evaluation_region(cells: DataFrame, visible: DataFrame, frustum: DataFrame, least_k: int = 6) -> DataFrame:
     """Cells in the frustum from `least_k` up whose visible distance is negative or unknown."""
     known = visible.select(*CELL, F.col("v"))

@@ -96,15 +96,23 @@ def resample(target: DataFrame, target_voxels: DataFrame, source_grid: DataFrame
     return joined.select(*CELL, summed.alias("v"), F.col("new").isNotNull().cast("int").alias("n"))
 
 
-def resample_upright(target: DataFrame, source_grid: DataFrame, source_voxels: DataFrame) -> DataFrame:
-    """Source values at the target's cells where both are upright: cells map once a column and once a slice."""
+def resample_upright(target: DataFrame, source_grid: DataFrame, source_voxels: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Source values at the target's cells where both are upright: cells map once a column and once a slice.
+
+    With `weights`, a grid like the source (unknown and absent ones 0), also the weight `w` of each value and an explicit
+    count `n` of 1, so that `accumulate` sums them as it does predictions.
+    """
     columns = locate(column_centres(target).withColumnRenamed("k", "k0").select("scene_id", F.col("i").alias("ti"), F.col("j").alias("tj"), "x", "y", "z"), source_grid)
     columns = columns.select("scene_id", "ti", "tj", "i", "j")
     slices = slice_heights(target).select("scene_id", F.col("k").alias("tk"), "z")
     sg = source_grid.select("scene_id", F.col("vox_size").alias("s"), F.col("origin")[2].alias("z0"), F.col("nk").alias("n"))
     slices = slices.join(sg, "scene_id").select("scene_id", "tk", F.floor((F.col("z") - F.col("z0")) / F.col("s")).cast("int").alias("k"))
+    kept = ["v"] if weights is None else ["v", "w", "n"]
+    if weights is not None:
+        weighed = source_voxels.select(*CELL, "v").join(weights.select(*CELL, F.col("v").alias("w")), CELL, "left")
+        source_voxels = weighed.withColumns({"w": F.coalesce("w", F.lit(0.0)), "n": F.lit(1)})
     known = source_voxels.where("v IS NOT NULL").join(columns, ["scene_id", "i", "j"]).join(slices, ["scene_id", "k"])
-    return known.select("scene_id", F.col("ti").alias("i"), F.col("tj").alias("j"), F.col("tk").alias("k"), "v")
+    return known.select("scene_id", F.col("ti").alias("i"), F.col("tj").alias("j"), F.col("tk").alias("k"), *kept)
 
 
 def keep_existing(observed: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -169,17 +177,28 @@ def flattened_down(labels: DataFrame) -> DataFrame:
 
 
 def voxel_normals(voxels: DataFrame, shape: tuple[int, int, int], reach: int = 3) -> DataFrame:
-    """Normals from differences over `reach` cells either way, indices clamped, unknown and absent cells as the grid's least value."""
-    least = voxels.groupBy("scene_id").agg(F.min("v").alias("least"))
-    out = voxels.select(*CELL).join(least, "scene_id")
+    """Normals from differences over `reach` cells either way, indices clamped, unknown and absent cells as the grid's least value.
+
+    Every cell sends its value to the cells that look it up, a border cell to all that are clamped to it, and one grouping
+    gathers what a cell was sent.
+    """
+    def sent_to(slot: str, axis: str, targets: Column) -> Column:
+        return F.transform(targets, lambda t: F.struct(F.lit(slot).alias("slot"), *((t if a == axis else F.col(a).cast("int")).alias(a) for a in "ijk")))
+
+    to = [sent_to("own", "i", F.array(F.col("i").cast("int")))]
     for axis, n in zip("ijk", shape, strict=True):
-        for name, step in (("lo", -reach), ("hi", reach)):
-            at = F.least(F.greatest(F.col(axis) + step, F.lit(0)), F.lit(n - 1))
-            other = voxels.select(*(F.col(c).alias(f"_{c}") for c in CELL), F.col("v").alias("_v"))
-            keyed = out.withColumn("_at", at)
-            on = [F.col(c) == F.col(f"_{c}") for c in CELL if c != axis] + [F.col("_at") == F.col(f"_{axis}")]
-            out = keyed.join(other, on, "left").withColumn(f"{axis}_{name}", F.coalesce("_v", "least")).drop("_at", "_v", *(f"_{c}" for c in CELL))
-    d = [F.col(f"{a}_hi") - F.col(f"{a}_lo") for a in "ijk"]
+        x = F.col(axis).cast("int")
+        none = F.array().cast("array<int>")
+        above = F.when(x == n - 1, F.sequence(F.greatest(x - reach, F.lit(0)), x)).when(x >= reach, F.array(x - reach)).otherwise(none)
+        under = F.when(x == 0, F.sequence(x, F.least(F.lit(reach), F.lit(n - 1)))).when(x + reach < n, F.array(x + reach)).otherwise(none)
+        for name, targets in (("hi", above), ("lo", under)):
+            to.append(sent_to(f"{axis}_{name}", axis, targets))
+    least = voxels.groupBy("scene_id").agg(F.min("v").alias("least"))
+    sent = voxels.select("scene_id", "v", F.explode(F.flatten(F.array(*to))).alias("t")).select("scene_id", "t.*", "v")
+    slots = [f"{a}_{e}" for a in "ijk" for e in ("hi", "lo")]
+    cells = sent.groupBy(*CELL).agg(F.count_if(F.col("slot") == "own").alias("own"), *(F.max(F.when(F.col("slot") == x, F.col("v"))).alias(x) for x in slots))
+    out = cells.where("own > 0").join(least, "scene_id")
+    d = [F.coalesce(f"{a}_hi", "least") - F.coalesce(f"{a}_lo", "least") for a in "ijk"]
     length = F.when(G.norm(d) == 0, 1e-4).otherwise(G.norm(d))
     return out.select(*CELL, *((c / length).alias(n) for c, n in zip(d, ("nx", "ny", "nz"), strict=True)))
 

@@ -112,14 +112,27 @@ def _image(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def fill_holes(image: np.ndarray) -> np.ndarray:
-    """Unknown pixels from the nearest known one (squared distance, then row-major order)."""
-    known = np.argwhere(~np.isnan(image))
-    if not len(known):
+    """Unknown pixels from the nearest known one (squared distance, then row-major order).
+
+    In two passes: the nearest known row of each column, then the best column for each pixel of a row.
+    """
+    known = ~np.isnan(image)
+    if not known.any():
         return np.zeros_like(image)
-    out = image.copy()
-    for r, c in np.argwhere(np.isnan(image)):
-        near = known[np.argmin(((known - (r, c)) ** 2).sum(1))]
-        out[r, c] = image[tuple(near)]
+    h, w = image.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(known, rows, -1), axis=0)
+    below = np.minimum.accumulate(np.where(known, rows, 10**6)[::-1], axis=0)[::-1]
+    near = np.where((above >= 0) & (rows - above <= below - rows), above, below)
+    far = (above < 0) & (below == 10**6)
+    near[far] = 0
+    cols, out = np.arange(w), image.copy()
+    apart = (cols[:, None] - cols[None, :]) ** 2
+    for r in np.flatnonzero(~known.all(1)):
+        # The place in row-major order decides between equal distances.
+        cost = (apart + np.where(far[r], 10**9, (near[r] - r) ** 2)[None, :]) * (h * w) + (near[r] * w + cols)[None, :]
+        best = cost.argmin(1)
+        out[r] = np.where(known[r], image[r], image[near[r][best], best])
     return out
 
 

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a partial product that travel together.
+BAND = 256
+
 NODES = "model string, tree_id int, node_id long, is_leaf boolean, dim int, thresh double, impurity double, num_exs long, medoid_id long"
 
 
@@ -19,9 +22,9 @@ def matrix(column: pd.Series) -> np.ndarray:
 def fit_pca(rows: DataFrame, column: str, components: int, oversample: int = 10, rounds: int = 2, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Mean and leading components (rows) by a randomized range finder.
 
-    The rows stay distributed: each round sums partitions' products with a (dims x (components + oversample)) matrix,
-    merged in groups of partitions before the driver, which only ever holds matrices of that size. Signs are
-    fixed by each component's largest loading.
+    The rows stay distributed: each round every partition of them makes one (dims x (components + oversample)) matrix, whose
+    bands of BAND rows are shuffled and added band by band; the driver holds one matrix of that size. Signs are fixed by
+    each component's largest loading.
     """
     stats = rows.select(F.posexplode(column).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("dim").toPandas()
     mean, n = stats["m"].to_numpy(float), int(stats["n"].iloc[0])
@@ -37,18 +40,21 @@ def fit_pca(rows: DataFrame, column: str, components: int, oversample: int = 10,
             for pdf in it:
                 centred = matrix(pdf[column]) - m
                 total += centred.T @ (centred @ b)
-            yield pd.DataFrame({"part": [0], "total": [total.ravel()]})
+            bands = range(0, len(m), BAND)
+            yield pd.DataFrame({"band": list(bands), "total": [total[k : k + BAND].tobytes() for k in bands]})
 
         def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
+            sums: dict[int, np.ndarray] = {}
             for pdf in it:
-                for x in pdf["total"]:
-                    total = np.array(x) if total is None else total + x
-            if total is not None:
-                yield pd.DataFrame({"part": [0], "total": [total]})
+                for band, raw in zip(pdf["band"], pdf["total"], strict=True):
+                    sums[band] = sums.get(band, 0) + np.frombuffer(raw)
+            yield pd.DataFrame({"band": list(sums), "total": [x.tobytes() for x in sums.values()]})
 
-        parts = rows.select(column).mapInPandas(partial, "part int, total array<double>").coalesce(16).mapInPandas(add, "part int, total array<double>")
-        return sum((np.array(r["total"]) for r in parts.collect()), np.zeros(len(mean) * q.shape[1])).reshape(len(mean), -1)
+        parts = rows.select(column).mapInPandas(partial, "band int, total binary").repartition("band").mapInPandas(add, "band int, total binary")
+        out = np.zeros((len(mean), q.shape[1]))
+        for r in parts.collect():
+            out[r["band"] : r["band"] + BAND] += np.frombuffer(r["total"]).reshape(-1, q.shape[1])
+        return out
 
     for _ in range(rounds):
         basis = np.linalg.qr(product(basis))[0]
@@ -164,17 +170,19 @@ def apply_forest(rows: DataFrame, nodes: DataFrame, key: str, features: str, max
     The nodes are broadcast: at most trees * 2 * bag / least of them, whatever the rows.
     """
     found = nodes.orderBy("tree_id", "node_id").toPandas()
-    trees = {int(t): g.set_index("node_id") for t, g in found.groupby("tree_id")}
-    shared = rows.sparkSession.sparkContext.broadcast({t: ({int(n): k for k, n in enumerate(g.index)}, g.index.to_numpy(), g["is_leaf"].to_numpy(bool), g["dim"].fillna(0).to_numpy(int), g["thresh"].fillna(0).to_numpy(float), g["medoid_id"].to_numpy(int)) for t, g in trees.items()})
+    trees = {}
+    for t, g in found.groupby("tree_id"):
+        ids = g["node_id"].to_numpy(np.int64)  # in order, so a child's place is found by halving
+        child = lambda n, ids=ids: np.minimum(np.searchsorted(ids, 2 * ids + n), len(ids) - 1)
+        trees[int(t)] = (ids, child(1), child(2), g["is_leaf"].to_numpy(bool), g["dim"].fillna(0).to_numpy(int), g["thresh"].fillna(0).to_numpy(float), g["medoid_id"].to_numpy(int))
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
     limit = max_depth if max_depth is not None else 1 << 30
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             x = matrix(pdf[features])
-            for t, (place, ids, leaf, dim, thresh, medoids) in shared.value.items():
-                left = np.array([place.get(2 * int(n) + 1, 0) for n in ids])
-                right = np.array([place.get(2 * int(n) + 2, 0) for n in ids])
-                at, level = np.full(len(x), place[0]), 0
+            for t, (ids, left, right, leaf, dim, thresh, medoids) in shared.value.items():
+                at, level = np.zeros(len(x), int), 0
                 while len(x) and level < limit and not leaf[at].all():
                     go = x[np.arange(len(x)), dim[at]] < thresh[at]
                     at = np.where(leaf[at], at, np.where(go, right[at], left[at]))
@@ -239,38 +247,45 @@ def oob_r2(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy("tree_id").agg((1 - F.try_divide(F.sum((F.col("p") - F.col("t")) ** 2), F.sum((F.col("t") - F.col("m")) ** 2))).alias("r2"))
 
 
-def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 100_000, others: bool = False) -> DataFrame:
+def _block(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """`rows` with the number of their block, and how many blocks of about `size` rows there are."""
+    n = max(1, -(-rows.count() // size))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 20_000, others: bool = False, max_queries: int = 2_000) -> DataFrame:
     """(key, nn_id, dist): nearest training row of each query, ties to the smallest id; with `others`, not the query's own id.
 
-    Training rows are broadcast in blocks of `max_rows`, so any number of them is searched exactly.
+    Both sides are cut into blocks of about `max_queries` and `max_rows` rows, every pair of blocks meets in one group, and the
+    least of a query's results is its answer: exact, and no group or driver holds more than two blocks. Queries without a
+    training row to compare with are left out.
     """
-    spark = queries.sparkSession
-    total = training.count()
-    blocks, best = max(1, -(-total // max_rows)), None
     kind = queries.schema[key].dataType.simpleString()
-    for b in range(blocks):
-        part = training.where(F.pmod(F.xxhash64(target), F.lit(blocks)) == b).select(target, vector).orderBy(target).toPandas()
-        shared = spark.sparkContext.broadcast((part[target].to_numpy(), matrix(part[vector])))
-
-        def task(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, data = shared.value
-            for pdf in it:
-                x = matrix(pdf[vector])
-                if not len(x) or not len(ids):
-                    continue
-                near, dist, found = np.zeros(len(x), np.int64), np.full(len(x), np.inf), np.zeros(len(x), bool)
-                rough = (x**2).sum(1)[:, None] + (data**2).sum(1)[None, :] - 2 * x @ data.T
-                if others:
-                    rough[pdf[key].to_numpy()[:, None] == ids[None, :]] = np.inf
-                for r in range(len(x)):  # the exact distance decides among those that rounding can't tell apart
-                    if rough[r].min() == np.inf:  # nothing but the query itself
-                        continue
-                    close = np.flatnonzero(rough[r] <= rough[r].min() + 1e-6)
-                    d = ((data[close] - x[r]) ** 2).sum(1)
-                    k = close[np.lexsort((ids[close], d))[0]]
-                    found[r], near[r], dist[r] = True, ids[k], np.sqrt(((data[k] - x[r]) ** 2).sum())
-                yield pd.DataFrame({key: pdf[key], "nn_id": near, "dist": dist})[found]
-
-        own = queries.select(key, vector).mapInPandas(task, f"{key} {kind}, nn_id long, dist double")
-        best = own if best is None else best.unionByName(own)
-    return best if blocks == 1 else best.groupBy(key).agg(F.min(F.struct("dist", "nn_id")).alias("m")).select(key, "m.nn_id", "m.dist")
+    q, q_blocks = _block(queries.select(key, vector), key, max_queries)
+    t, t_blocks = _block(training.select(target, vector), target, max_rows)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(key, vector, F.col("_block").alias("_q"), copies(t_blocks).alias("_t"))
+    right = t.select(target, vector, copies(q_blocks).alias("_q"), F.col("_block").alias("_t"))
+
+    def pair(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(rows):
+            return pd.DataFrame({key: pd.Series([], dtype=np.int64), "nn_id": pd.Series([], dtype=np.int64), "dist": pd.Series([], dtype=float)})
+        own, ids = some[key].to_numpy(), rows[target].to_numpy()
+        x, data = matrix(some[vector]), matrix(rows[vector])
+        out = []
+        for at in range(0, len(x), 256):
+            part, names = x[at : at + 256], own[at : at + 256]
+            rough = (part**2).sum(1)[:, None] + (data**2).sum(1)[None, :] - 2 * part @ data.T
+            if others:
+                rough[names[:, None] == ids[None, :]] = np.inf
+            least = rough.min(1)
+            row, col = np.nonzero((rough <= least[:, None] + 1e-6) & np.isfinite(rough))
+            d = ((data[col] - part[row]) ** 2).sum(1)  # exact distances decide among those that rounding can't tell apart
+            order = np.lexsort((ids[col], d, row))
+            _, first = np.unique(row[order], return_index=True)
+            best = order[first]
+            out.append(pd.DataFrame({key: names[row[best]], "nn_id": ids[col[best]], "dist": np.sqrt(d[best])}))
+        return pd.concat(out)
+
+    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(pair, f"{key} {kind}, nn_id long, dist double")
+    return found.groupBy(key).agg(F.min(F.struct("dist", "nn_id")).alias("m")).select(key, "m.nn_id", "m.dist")

@@ -130,20 +130,20 @@ SELECT event_id, round(-ny / len, 6) AS xx, round(nx / len, 6) AS xy, round(-nx
        round(x - (-ny / len * 0.5 + -nx / len * 0.5), 6) AS ox, round(y - (nx / len * 0.5 + -ny / len * 0.5), 6) AS oy, {z} AS oz FROM n WHERE len IS NOT NULL"""
 
 
-def _voxlet(s, d, tall):
-    rot, origin = G.voxlet_frame(G.columns("x", "y", "z"), G.columns("nx", "ny", "nz"), (4, 8, 4), 0.125, (1.0, 0.5, 0.5), tall, 0.375 if tall else None)
+def _block(s, d, tall):
+    rot, origin = G.block_frame(G.columns("x", "y", "z"), G.columns("nx", "ny", "nz"), (4, 8, 4), 0.125, (1.0, 0.5, 0.5), tall, 0.375 if tall else None)
     df = V.samples(s, d).select("event_id", rot.alias("r"), origin.alias("o")).where("r IS NOT NULL")
     return df.select("event_id", *(F.round(F.col("r")[n], 6).alias(a) for a, n in (("xx", 0), ("xy", 3), ("yx", 1), ("yy", 4))), *(F.round(F.col("o")[n], 6).alias(a) for n, a in enumerate(("ox", "oy", "oz"))))
 
 
-@query("p17_voxlet_frame", W("samples") + _FRAME.format(z="round(z - 0.25, 6)"))
+@query("p17_block_frame", W("samples") + _FRAME.format(z="round(z - 0.25, 6)"))
 def p17(s, d):
-    return _voxlet(s, d, False)
+    return _block(s, d, False)
 
 
-@query("p17_tall_voxlet_frame", W("samples") + _FRAME.format(z="CAST(0 AS DOUBLE)"))
+@query("p17_tall_block_frame", W("samples") + _FRAME.format(z="CAST(0 AS DOUBLE)"))
 def p17_tall(s, d):
-    return _voxlet(s, d, True)
+    return _block(s, d, True)
 
 
 @query("p18_weights", W("voxels") + " SELECT scene_id, i, j, k, round(exp(-5 * abs(v)), 9) AS confidence, CAST(CASE WHEN v > 0 THEN 0.375 ELSE 0.75 END AS DOUBLE) AS weight FROM voxels WHERE v IS NOT NULL")
@@ -348,16 +348,14 @@ def a7(s, d):
 
 @query("f5_evaluation_region", W("seen", "fused", "cells") + " SELECT scene_id, i, j, k FROM (SELECT DISTINCT scene_id, i, j, k FROM seen WHERE k >= 6) s LEFT JOIN fused USING (scene_id, i, j, k) WHERE v IS NULL OR v < 0")
 def f5(s, d):
-    centres = R.world_centres(V.grids(s, d))
-    return U.evaluation_region(centres, _fused(s, d), U.project_voxels(centres, V.frames(s, d)))
+    fused = U.fuse_in_frustum(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d), MU)
+    return U.region_of(fused).select(*CELL)
 
 
 def fusion_scores(s, d):
     """Fused grids against the truth, over the evaluation region of each scene."""
-    centres = R.world_centres(V.grids(s, d))
-    fused = _fused(s, d)
-    region = U.evaluation_region(centres, fused, U.project_voxels(centres, V.frames(s, d)))
-    return E.confusion(fused, V.voxels(s, d), region, MU)
+    fused = U.fuse_in_frustum(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d), MU)
+    return E.confusion_within(U.region_of(fused), V.voxels(s, d), MU)
 
 
 _A8 = """, region AS (SELECT scene_id, i, j, k, v AS p FROM (SELECT DISTINCT scene_id, i, j, k FROM seen WHERE k >= 6) s LEFT JOIN fused USING (scene_id, i, j, k) WHERE v IS NULL OR v < 0),

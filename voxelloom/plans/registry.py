@@ -26,9 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where spark.checkpoint.dir is; a temporary one only where that is unset, as in tests."""
+    """A new folder where spark.checkpoint.dir is; where that is unset, a temporary one of a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-shared-")
+    if base:
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def t3(s, d):
     return T.without_replacement(V.examples(s, d), "example_id", 100, 7, lcg_unit)
 
 
-_BAGS = ", sc AS (SELECT DISTINCT scene_id FROM examples), rk AS (SELECT scene_id, CAST(t AS INTEGER) AS tree_id, row_number() OVER (PARTITION BY t ORDER BY " + lcg_sql("scene_id * 31 + t", 9) + ", scene_id) AS r, count(*) OVER (PARTITION BY t) AS n FROM sc, range(4) q(t)), ro AS (SELECT e.example_id, e.scene_id, tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY " + lcg_sql("example_id * 37 + tree_id", 10) + ", example_id) AS r FROM examples e JOIN rk USING (scene_id) WHERE rk.r <= ceil(n * 0.5)), bags AS (SELECT tree_id, example_id FROM ro WHERE r <= 150)"
+_BAGS = ", sc AS (SELECT DISTINCT scene_id FROM examples), rk AS (SELECT scene_id, CAST(t AS INTEGER) AS tree_id, row_number() OVER (PARTITION BY t ORDER BY " + lcg_sql("scene_id * 31 + t", 9) + ", scene_id) AS r, count(*) OVER (PARTITION BY t) AS n FROM sc, range(4) q(t)), ro AS (SELECT e.example_id, e.scene_id, tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY " + lcg_sql("example_id * 37 + tree_id", 10) + ", example_id) AS r FROM examples e JOIN rk USING (scene_id) WHERE rk.r <= ceil(n * 0.5)), bags AS (SELECT tree_id, example_id FROM ro WHERE r <= 100000)"
 
 
 #: The reference's subsample_length: the most rows a tree is trained on.
@@ -190,7 +190,7 @@ def _pixel_samples(s, d):
     return p.select("scene_id", "frame_id", (F.col("row") * 32 + F.col("col")).alias("sample_id"), "row", "col")
 
 
-_COB = """, smp AS (SELECT scene_id, frame_id, "row" * 32 + col AS sample_id, "row" AS r0, col AS c0, depth AS d0 FROM pixels WHERE mask AND ("row" * 32 + col) % 16 = 0),
+_COB = """, smp AS (SELECT scene_id, frame_id, "row" * 32 + col AS sample_id, "row" AS r0, col AS c0, depth AS d0 FROM pixels WHERE mask),
 sl AS (SELECT r, a, r * 8 + a AS slot, [0, 0.7071067811865475, 1, 0.7071067811865476, 1.2246467991473532e-16, -0.7071067811865475, -1, -0.7071067811865477][a + 1] AS sn, [1, 0.7071067811865476, 6.123233995736766e-17, -0.7071067811865475, -1, -0.7071067811865477, -1.8369701987210297e-16, 0.7071067811865474][a + 1] AS cs FROM range(3) p(r), range(8) q(a)),
 lk AS (SELECT scene_id, frame_id, sample_id, slot, d0, CAST(trunc(r0 - 1.6 / d0 * (r + 1.0) * sn) AS INTEGER) AS "row", CAST(trunc(c0 + 1.6 / d0 * (r + 1.0) * cs) AS INTEGER) AS col FROM smp, sl)
 SELECT scene_id, frame_id, sample_id, list(depth - d0 ORDER BY slot) AS cobweb FROM lk LEFT JOIN pixels USING (scene_id, frame_id, "row", col) GROUP BY 1, 2, 3"""
@@ -213,11 +213,11 @@ def v7(s, d):
 BLOCK, STEP = (4, 4, 4), 0.0625
 
 
-def _voxlets(s, d):
+def _blocks(s, d):
     """Blocks at the samples, turned by multiples of 90 degrees so that places are exact."""
     n = [F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(0.0), F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(1.0), F.lit(0.0)]
-    rot, origin = G.voxlet_frame(G.columns("x", "y", "z"), n, BLOCK, STEP, (0.5, 0.5, 0.5), False)
-    return V.samples(s, d).select("scene_id", F.col("event_id").alias("sample_id"), rot.alias("rot"), origin.alias("origin"))
+    rot, origin = G.block_frame(G.columns("x", "y", "z"), n, BLOCK, STEP, (0.5, 0.5, 0.5), False)
+    return R.evaluated(V.samples(s, d), rot=rot, origin=origin).select("scene_id", F.col("event_id").alias("sample_id"), "rot", "origin")
 
 
 # For n = x: block axes are x' = y, y' = -x; for n = y: x' = -x, y' = -y. The block's centre is the point.
@@ -226,14 +226,14 @@ w AS (SELECT event_id, scene_id, lin, CAST(floor((CASE WHEN event_id % 2 = 0 THE
 """
 
 
-@query("v5_cut_voxlets", W("samples", "voxels") + _BLOCKS + "SELECT w.scene_id, event_id AS sample_id, list(v ORDER BY lin) AS vals FROM w LEFT JOIN voxels USING (scene_id, i, j, k) GROUP BY 1, 2")
+@query("v5_cut_blocks", W("samples", "voxels") + _BLOCKS + "SELECT w.scene_id, event_id AS sample_id, list(v ORDER BY lin) AS vals FROM w LEFT JOIN voxels USING (scene_id, i, j, k) GROUP BY 1, 2")
 def v5(s, d):
-    return D.cut_voxlets(_voxlets(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP)
+    return D.cut_blocks(_blocks(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP)
 
 
 @query("x1_post_transform", W("samples", "voxels") + _BLOCKS + "SELECT w.scene_id, event_id AS sample_id, list(CASE WHEN v IS NULL THEN 0.5 ELSE v * 2 END ORDER BY lin) AS vals FROM w LEFT JOIN voxels USING (scene_id, i, j, k) GROUP BY 1, 2")
 def x1(s, d):
-    return D.cut_voxlets(_voxlets(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP, initial=0.25, post_transform=lambda v: v * 2, salts=2)
+    return D.cut_blocks(_blocks(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP, initial=0.25, post_transform=lambda v: v * 2)
 
 
 @query("x2_per_scene", W("voxels") + " SELECT scene_id, count(*) AS n, count(CASE WHEN v < 0 THEN 1 END) AS n_solid FROM voxels GROUP BY 1")
@@ -248,7 +248,7 @@ def x2(s, d):
 
 @query("j14_footprints", W("samples", "cells") + ", p AS (SELECT event_id, c.scene_id, c.i, c.j, CASE WHEN event_id % 2 = 0 THEN c.y - s.y ELSE s.x - c.x END AS a, CASE WHEN event_id % 2 = 0 THEN s.x - c.x ELSE s.y - c.y END AS b FROM samples s JOIN cells c ON s.scene_id = c.scene_id AND c.k = 0) SELECT scene_id, event_id AS sample_id, i, j FROM p WHERE a >= -0.125 AND a < 0.125 AND b >= -0.125 AND b < 0.125")
 def j14(s, d):
-    return X.footprints(_voxlets(s, d), R.column_centres(V.grids(s, d)), BLOCK, STEP)
+    return X.footprints(_blocks(s, d), V.grids(s, d), BLOCK, STEP)
 
 
 def _placed(s, d):
@@ -297,7 +297,7 @@ def v15(s, d):
     return D.signed_distance(cells.select(*CELL, F.coalesce(F.col("v") < 0, F.lit(False)).alias("solid")), V.VOX, V.MU).withColumn("v", F.round("v", 9))
 
 
-@query("j11_nearest", W("examples") + ", e AS (SELECT q.example_id AS query_id, t.example_id AS nn_id, sqrt(list_sum([power(q.x[n] - t.x[n], 2) for n in range(1, 33)])) AS dist FROM examples q, examples t WHERE q.example_id % 20 = 0 AND t.example_id % 20 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), nn_id) AS r FROM e) SELECT query_id, nn_id, round(dist, 6) AS dist FROM r WHERE r = 1")
+@query("j11_nearest", W("examples") + ", e AS (SELECT q.example_id AS query_id, t.example_id AS nn_id, sqrt(list_sum([power(q.x[n] - t.x[n], 2) for n in range(1, 33)])) AS dist FROM examples q, examples t WHERE q.example_id % 20 = 0 AND t.example_id <> q.example_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), nn_id) AS r FROM e) SELECT query_id, nn_id, round(dist, 6) AS dist FROM r WHERE r = 1")
 def j11(s, d):
     e = V.examples(s, d)
     q = e.where("example_id % 20 = 0").select(F.col("example_id").alias("query_id"), "x")
@@ -430,7 +430,7 @@ def v16(s, d):
 
 def reconstruct(s, d):
     """Blocks cut at the samples, placed back and averaged: the pipeline with the truth as its own oracle."""
-    blocks = _voxlets(s, d).join(D.cut_voxlets(_voxlets(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP), ["scene_id", "sample_id"])
+    blocks = _blocks(s, d).join(D.cut_blocks(_blocks(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP), ["scene_id", "sample_id"])
     return R.average(D.place_predictions(blocks.withColumn("w", F.lit(1.0)), V.grids(s, d), BLOCK, STEP)).select(*CELL, "v", "n")
 
 
@@ -445,20 +445,63 @@ def v13(s, d):
     return reconstruct(s, d).withColumn("v", F.round("v", 9))
 
 
+def _split_blocks(s, d):
+    """Blocks at the samples with their true values and masks: of the odd scenes to predict, of the even ones to learn from."""
+    from voxelloom.plans import reconstruct as P
+
+    blocks = _blocks(s, d)
+    own = written(P.with_masks(D.cut_blocks(blocks, V.voxels(s, d), V.grids(s, d), BLOCK, STEP), V.MU))
+    return P, blocks, own.where("scene_id % 2 = 1"), own.where("scene_id % 2 = 0")
+
+
+_NN = """, vals AS (SELECT w.scene_id, event_id, list(v ORDER BY lin) AS vals FROM w LEFT JOIN voxels USING (scene_id, i, j, k) GROUP BY 1, 2),
+f AS (SELECT *, CAST(list_transform(vals, lambda x: coalesce(x, 0.25)) AS DOUBLE[64]) AS f FROM vals),
+nn AS (SELECT q.event_id, min({'d': array_distance(q.f, t.f), 'id': t.event_id}).id AS nn_id FROM f q, f t WHERE q.scene_id % 2 = 1 AND t.scene_id % 2 = 0 GROUP BY 1),
+p1 AS (SELECT event_id, c.scene_id, c.i, c.j, c.k, CAST(floor((CASE WHEN event_id % 2 = 0 THEN c.y - s.y ELSE s.x - c.x END + 0.125) * 16) AS INTEGER) AS a, CAST(floor((CASE WHEN event_id % 2 = 0 THEN s.x - c.x ELSE s.y - c.y END + 0.125) * 16) AS INTEGER) AS b, CAST(floor((c.z - s.z + 0.125) * 16) AS INTEGER) AS e FROM samples s JOIN cells c ON s.scene_id = c.scene_id WHERE s.scene_id % 2 = 1),
+p2 AS (SELECT scene_id, i, j, k, vals[a * 16 + b * 4 + e + 1] AS v FROM (SELECT p1.*, f.vals FROM p1 JOIN nn ON nn.event_id = p1.event_id JOIN f ON f.event_id = nn.nn_id WHERE a BETWEEN 0 AND 3 AND b BETWEEN 0 AND 3 AND e BETWEEN 0 AND 3))
+SELECT scene_id, i, j, k, round(avg(v), 9) AS v, CAST(count(v) AS DOUBLE) AS sum_w, count(*) AS n FROM p2 GROUP BY 1, 2, 3, 4"""
+
+
+@query("v13_nn_oracle", W("samples", "voxels", "cells") + _BLOCKS + _NN)
+def v13_nn(s, d):
+    P, blocks, test, training = _split_blocks(s, d)
+    placed = P.placed_back(P.nn_oracle(test, training), blocks, V.grids(s, d), BLOCK, STEP)
+    return R.average(placed).select(*CELL, F.round("v", 9).alias("v"), "sum_w", "n")
+
+
+@query("v13_pca_oracle")
+def v13_pca(s, d):
+    P, blocks, test, training = _split_blocks(s, d)
+    placed = P.placed_back(P.pca_oracle(test, training, 8), blocks, V.grids(s, d), BLOCK, STEP)
+    return R.average(placed).select(*CELL, F.round("v", 6).alias("v"), "n")
+
+
+#: Two models, each with its share of the samples: low blocks around the point, tall ones that stand on the floor.
+MODELS = [("short", 0.5, BLOCK, None), ("tall", 0.5, (4, 4, 8), 0.25)]
+
+
 @query("v12_reconstruction")
 def v12(s, d):
-    """Features at the samples, a forest trained on the scenes' own blocks, and the blended grids."""
+    """What the frames show is the visible grid: features and comparisons come from it, blocks to learn from the truth of the
+    even scenes. Each sample of the odd scenes has one model's forest choose its block; masks weigh the cells."""
+    from voxelloom.operators import fusion as U
     from voxelloom.plans import reconstruct as P
 
-    samples = _sampled_points(s, d)
-    blocks = P.sample_blocks(samples, BLOCK, STEP, (0.5, 0.5, 0.5))
-    truth = V.voxels(s, d)
-    x = written(P.ring_features(blocks, V.grids(s, d), truth, STEP, 2, -5.0))
-    own = written(D.cut_voxlets(blocks, truth, V.grids(s, d), BLOCK, STEP))
-    library = own.select(F.col("sample_id").alias("medoid_id"), F.transform("vals", lambda v: F.coalesce(v, F.lit(V.MU))).alias("vals"))
-    rows = x.join(library.withColumnRenamed("medoid_id", "sample_id"), "sample_id").select(F.col("sample_id").alias("example_id"), "x", F.col("vals").alias("y"))
-    nodes = written(L.train_forest(T.bag_rows(rows, 3, 0.5, 9), "m", tests=32, depth=5, pca_dims=16))
-    guesses = P.predict_blocks(samples, x, nodes, library).where("medoid_id IS NOT NULL")
-    seen = library.withColumnRenamed("medoid_id", "sample_id").withColumnRenamed("vals", "visible")
-    chosen = written(D.choose(guesses.join(seen, "sample_id"), "closest", "narrow_band").where("min_dist < 1e300"))
-    return P.fill_in(chosen, blocks, V.grids(s, d), truth, BLOCK, STEP, V.MU, 5.0, 2)
+    grids, truth, centre = V.grids(s, d), V.voxels(s, d), (0.5, 0.5, 0.5)
+    visible = written(U.fuse_in_frustum(R.world_centres(grids), V.frames(s, d), V.pixels(s, d), V.MU).where("v IS NOT NULL").select(*CELL, "v"))
+    samples = written(T.pick_model(_sampled_points(s, d), F.col("sample_id"), [(m, p) for m, p, _, _ in MODELS], 4))
+    sums = []
+    for model, _, shape, height in MODELS:
+        blocks = P.sample_blocks(samples.where(F.col("model") == model), shape, STEP, centre, height)
+        train, test = blocks.where("scene_id % 2 = 0"), blocks.where("scene_id % 2 = 1")
+        x = written(P.ring_features(blocks, grids, visible, STEP, 2, -5.0))
+        own = P.with_masks(D.cut_blocks(train, truth, grids, shape, STEP), V.MU).select("scene_id", F.col("sample_id").alias("medoid_id"), "vals", "mask")
+        library = written(P.decoded(P.decoded(written(own), "vals", 16), "mask", 16))
+        rows = x.join(library.withColumnRenamed("medoid_id", "sample_id"), ["scene_id", "sample_id"]).select("scene_id", F.col("sample_id").alias("example_id"), "x", F.col("vals").alias("y"))
+        nodes = written(L.train_forest(T.bag_scenes(rows, 3, 0.5, BAG_ROWS, 9), model, tests=32, depth=5, pca_dims=16))
+        seen = D.cut_blocks(test, visible, grids, shape, STEP)
+        chosen = written(P.weights(P.predict_model(test, x.join(test.select("sample_id"), "sample_id"), nodes, library, seen, "narrow_band", V.MU), 5.0))
+        sums.append(P.placed_back(chosen, test, grids, shape, STEP))
+    placed = sums[0].unionByName(sums[1]).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("sum_v", "sum_w", "n")))
+    odd = lambda df: df.where("scene_id % 2 = 1")
+    return P.fill_in(placed, odd(grids), odd(visible), V.MU, 2)

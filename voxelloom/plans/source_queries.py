@@ -39,13 +39,13 @@ def s3(s, d):
     return found.select("file", "row", "col", depth.alias("depth")).where("depth IS NOT NULL")
 
 
-@query("s8_example_store", W("examples") + " SELECT example_id, scene_id, CASE WHEN example_id % 2 = 0 THEN 'short' ELSE 'tall' END AS voxlet_type, x FROM examples WHERE scene_id < 5")
+@query("s8_example_store", W("examples") + " SELECT example_id, scene_id, CASE WHEN example_id % 2 = 0 THEN 'short' ELSE 'tall' END AS block_type, x FROM examples")
 def s8(s, d):
     path = f"{shared_folder(s)}/examples"
-    e = V.examples(s, d).withColumn("voxlet_type", F.when(F.col("example_id") % 2 == 0, "short").otherwise("tall"))
+    e = V.examples(s, d).withColumn("block_type", F.when(F.col("example_id") % 2 == 0, "short").otherwise("tall"))
     grids_io.write_examples(e, path)
     manifest = e.select("scene_id").unionByName(s.range(900, 903).select(F.col("id").cast("int").alias("scene_id")))
-    return grids_io.read_examples(s, path, manifest).select("example_id", "scene_id", "voxlet_type", "x")
+    return grids_io.read_examples(s, path, manifest).select("example_id", "scene_id", "block_type", "x")
 
 
 @query("s9_score_files", W("scores") + " SELECT * FROM scores")
@@ -76,7 +76,7 @@ def _known_mesh(s, d):
     return v.dropna(subset=["x", "y", "z"]), M.without_unknown_vertices(v, f)
 
 
-@query("s12_obj_files", _MESH + " SELECT CAST(v.mesh_id AS VARCHAR) AS mesh_id, vid, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM v WHERE vid % 97 <> 96 AND vid < 96")
+@query("s12_obj_files", _MESH + " SELECT CAST(v.mesh_id AS VARCHAR) AS mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY vid) - 1 AS vid, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM v WHERE x IS NOT NULL")
 def s12(s, d):
     v, f = _known_mesh(s, d)
     path = f"{shared_folder(s)}/meshes"
@@ -86,7 +86,7 @@ def s12(s, d):
     return vertices
 
 
-@query("s13_ply_lines", _MESH + ", q AS (SELECT mesh_id, count(*) AS nv FROM v WHERE vid < 96 GROUP BY 1), h AS (SELECT mesh_id, CAST(n AS INTEGER) AS n, ['ply', 'format ascii 1.0', 'element vertex ' || CAST(nv AS VARCHAR), 'property float x', 'property float y', 'property float z', 'element face ' || CAST((SELECT count(*) FROM f WHERE f.mesh_id = q.mesh_id AND c < 96) AS VARCHAR), 'property list uchar int vertex_indices', 'end_header'][n + 1] AS value FROM q, range(9) r(n)) SELECT mesh_id, 0 AS part, n, value FROM h UNION ALL SELECT mesh_id, 1, CAST(vid AS INTEGER), format('{:.6f} {:.6f} {:.6f}', x, y, z) FROM v WHERE vid < 96 UNION ALL SELECT mesh_id, 2, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY fid) - 1 AS INTEGER), '3 ' || CAST(a AS VARCHAR) || ' ' || CAST(b AS VARCHAR) || ' ' || CAST(c AS VARCHAR) FROM f WHERE c < 96")
+@query("s13_ply_lines", _MESH + ", kv AS (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY vid) - 1 AS n FROM v WHERE x IS NOT NULL), kf AS (SELECT f.mesh_id, fid, p.n AS a, q.n AS b, r.n AS c FROM f JOIN kv p ON p.mesh_id = f.mesh_id AND p.vid = a JOIN kv q ON q.mesh_id = f.mesh_id AND q.vid = b JOIN kv r ON r.mesh_id = f.mesh_id AND r.vid = c), q AS (SELECT mesh_id, count(*) AS nv FROM kv GROUP BY 1), h AS (SELECT mesh_id, CAST(n AS INTEGER) AS n, ['ply', 'format ascii 1.0', 'element vertex ' || CAST(nv AS VARCHAR), 'property float x', 'property float y', 'property float z', 'element face ' || CAST((SELECT count(*) FROM kf WHERE kf.mesh_id = q.mesh_id) AS VARCHAR), 'property list uchar int vertex_indices', 'end_header'][n + 1] AS value FROM q, range(9) r(n)) SELECT mesh_id, 0 AS part, n, value FROM h UNION ALL SELECT mesh_id, 1, CAST(n AS INTEGER), format('{:.6f} {:.6f} {:.6f}', x, y, z) FROM kv UNION ALL SELECT mesh_id, 2, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY fid) - 1 AS INTEGER), '3 ' || CAST(a AS VARCHAR) || ' ' || CAST(b AS VARCHAR) || ' ' || CAST(c AS VARCHAR) FROM kf")
 def s13(s, d):
     return mesh_files.format_ply(*_known_mesh(s, d))
 

@@ -81,7 +81,7 @@ def write_grids(voxels: DataFrame, path: str) -> None:
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
-    examples.write.partitionBy("voxlet_type").parquet(path)
+    examples.write.partitionBy("block_type").parquet(path)
 
 
 def read_examples(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

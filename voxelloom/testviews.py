@@ -53,10 +53,10 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points with normals in each scene, from events."""
+    """Points with normals from events; there are two scenes for three users, so a scene has about as many at every scale."""
     e = table(spark, sf_dir, "events")
     dyadic = lambda n, m, d: ((F.col("event_id") * n) % m).cast("double") / d
-    return e.select("event_id", (F.col("user_id") % 10).alias("scene_id"), dyadic(7, 64, 64).alias("x"), dyadic(11, 32, 64).alias("y"), dyadic(13, 48, 64).alias("z"), (dyadic(3, 9, 4) - 1).alias("nx"), (dyadic(5, 7, 4) - 0.75).alias("ny"), (dyadic(17, 5, 4) - 0.5).alias("nz"))
+    return e.select("event_id", F.expr("user_id * 2 div 3").alias("scene_id"), dyadic(7, 64, 64).alias("x"), dyadic(11, 32, 64).alias("y"), dyadic(13, 48, 64).alias("z"), (dyadic(3, 9, 4) - 1).alias("nx"), (dyadic(5, 7, 4) - 0.75).alias("ny"), (dyadic(17, 5, 4) - 0.5).alias("nz"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ SQL = {
     "observed": "SELECT seen.*, depth FROM seen JOIN pixels USING (scene_id, frame_id, \"row\", col)",
     "fused": "SELECT scene_id, i, j, k, avg(-greatest(least(z - depth, 0.25), -0.25)) AS v, max(CASE WHEN abs(greatest(least(z - depth, 0.25), -0.25)) < 0.125 THEN 1 ELSE 0 END) AS on_surface, count(CASE WHEN abs(greatest(least(z - depth, 0.25), -0.25)) < 0.125 THEN 1 END) AS visible_count, count(*) AS n FROM observed WHERE z - depth <= 0.25 GROUP BY 1, 2, 3, 4",
     "examples": "SELECT vec_id AS example_id, label AS scene_id, list_transform(embedding[1:32], lambda e: floor(CAST(e AS DOUBLE) * 1024) / 1024) AS x, list_transform(embedding[33:64], lambda e: floor(CAST(e AS DOUBLE) * 1024) / 1024) AS y FROM embeddings",
-    "samples": "SELECT event_id, user_id % 10 AS scene_id, (event_id * 7 % 64) / 64 AS x, (event_id * 11 % 32) / 64 AS y, (event_id * 13 % 48) / 64 AS z, (event_id * 3 % 9) / 4 - 1 AS nx, (event_id * 5 % 7) / 4 - 0.75 AS ny, (event_id * 17 % 5) / 4 - 0.5 AS nz FROM events WHERE event_id % 5 = 0",
+    "samples": "SELECT event_id, user_id * 2 // 3 AS scene_id, (event_id * 7 % 64) / 64 AS x, (event_id * 11 % 32) / 64 AS y, (event_id * 13 % 48) / 64 AS z, (event_id * 3 % 9) / 4 - 1 AS nx, (event_id * 5 % 7) / 4 - 0.75 AS ny, (event_id * 17 % 5) / 4 - 0.5 AS nz FROM events",
     "scores": "SELECT 'test' || CAST(c_nationkey % 5 AS VARCHAR) AS test, CAST(trunc(c_nationkey / 5) AS INTEGER) AS scene_id, count(CASE WHEN c_custkey % 3 = 0 THEN 1 END) / 64 AS iou, count(CASE WHEN c_custkey % 2 = 0 THEN 1 END) / 64 AS \"precision\", count(CASE WHEN c_custkey % 5 = 0 THEN 1 END) / 64 AS recall FROM customer GROUP BY 1, 2",
 }
 _NEEDS = {"projected": ["cells"], "seen": ["projected"], "observed": ["seen", "pixels"], "fused": ["observed"]}
