@@ -118,7 +118,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, ids: np.ndarray, seed: int, tests: i
     smallest weighted Gini impurity of the target bits wins, the first on ties.
     """
     rng = np.random.default_rng(seed)
-    out, stack = [], [(0, np.arange(len(x)), 0.5, 0)]
+    out, stack = [], [(0, np.arange(len(x)), 0.5, medoid(y, ids))]
     while stack:
         node, rows, impurity, medoid_id = stack.pop()
         best = None
@@ -208,6 +208,13 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.where("is_leaf")
 
 
+def measured(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """`nodes` with the rows that reach them, from (tree_id, node_id, bit), and the Gini impurity of their bits."""
+    p = F.avg(F.col("bit").cast("double"))
+    found = reached.groupBy("tree_id", "node_id").agg(F.count("*").alias("num_exs"), (1 - p * p - (1 - p) * (1 - p)).alias("impurity"))
+    return nodes.drop("num_exs", "impurity").join(found, ["tree_id", "node_id"])
+
+
 def importance(nodes: DataFrame) -> DataFrame:
     """Share of each dimension in the impurity removed, over nodes whose children both split; mean over trees."""
     n = nodes.select("tree_id", "node_id", "is_leaf", "dim", "impurity", "num_exs")

@@ -114,6 +114,18 @@ def t1(s, d):
     return T.weighted(V.pixels(s, d), weight, 5, 3, lcg_unit)
 
 
+# Every rule that sets a weight to 0: off the mask, facing up, near the floor, without a label, seen edge-on.
+_RULES = ', w0 AS (SELECT *, CASE WHEN mask AND NOT ("row" * 7 + col * 3) % 100 / 100 > 0.98 AND NOT ("row" % 24) / 64 < 0.035 AND ("row" + col) % 5 <> 0 AND NOT (col * 5 + "row") % 16 / 16 - 0.75 > -0.1 THEN depth ELSE 0 END AS w FROM pixels), w AS (SELECT scene_id, frame_id, "row", col, w, sum(w) OVER (PARTITION BY scene_id, frame_id ORDER BY "row", col) AS hi, sum(w) OVER (PARTITION BY scene_id, frame_id) AS total FROM w0 WHERE w > 0)'
+
+
+@query("t1_surface_sampling", W("pixels") + _RULES + ', dr AS (SELECT DISTINCT scene_id, frame_id, CAST(q AS INTEGER) AS sample_id, total * (' + lcg_sql("scene_id * 7919 + frame_id * 104729 + q", 3) + ') AS u FROM w, range(5) r(q)) SELECT scene_id, frame_id, sample_id, "row", col FROM dr JOIN w USING (scene_id, frame_id) WHERE u < hi AND u >= hi - w')
+def t1_rules(s, d):
+    r, c = F.col("row"), F.col("col")
+    label = F.when((r + c) % 5 != 0, 1)
+    weight = T.surface_weight(F.col("depth"), F.col("mask"), (r * 7 + c * 3) % 100 / 100, r % 24 / 64, label, (c * 5 + r) % 16 / 16 - 0.75)
+    return T.weighted(V.pixels(s, d), weight, 5, 3, lcg_unit)
+
+
 @query("t2_uniform_in_mask", W("pixels") + ', k AS (SELECT scene_id, frame_id, "row", col, row_number() OVER (PARTITION BY scene_id, frame_id ORDER BY "row", col) - 1 AS pos FROM pixels WHERE mask), n AS (SELECT scene_id, frame_id, count(*) AS n FROM k GROUP BY 1, 2), dr AS (SELECT scene_id, frame_id, CAST(q AS INTEGER) AS sample_id, CAST(floor((' + lcg_sql("scene_id * 7919 + frame_id * 104729 + q", 5) + ') * n) AS INTEGER) AS pos FROM n, range(4) r(q)) SELECT scene_id, frame_id, sample_id, "row", col FROM dr JOIN k USING (scene_id, frame_id, pos)')
 def t2(s, d):
     return T.uniform_in_mask(V.pixels(s, d), F.col("mask"), 4, 5, lcg_unit)
@@ -333,6 +345,56 @@ def v10_joins(s, d):
     return L.apply_forest_joins(V.examples(s, d), literal_forest(s), "example_id", "x", 2)
 
 
+# Nodes that examples reach at each depth, with their number and the Gini impurity of a target bit.
+_NODES = """, p AS (
+SELECT example_id, y, 0 AS tree_id, unnest([0, CASE WHEN x[1] < 0 THEN 2 ELSE 1 END, CASE WHEN x[1] < 0 THEN CASE WHEN x[3] < 0 THEN 6 ELSE 5 END ELSE CASE WHEN x[2] < 0 THEN 4 ELSE 3 END END]) AS node_id FROM examples
+UNION ALL SELECT example_id, y, 1, unnest(CASE WHEN x[4] < 0 THEN [0, 2] ELSE [0, 1, CASE WHEN x[5] < 0.0625 THEN 4 ELSE 3 END] END) FROM examples),
+nodes AS (SELECT tree_id, CAST(node_id AS BIGINT) AS node_id, count(*) AS num_exs, 1 - power(avg(CASE WHEN y[1] > 0 THEN 1 ELSE 0 END), 2) - power(1 - avg(CASE WHEN y[1] > 0 THEN 1 ELSE 0 END), 2) AS impurity,
+          node_id > 2 OR (tree_id = 1 AND node_id = 2) AS is_leaf, CASE WHEN tree_id = 0 THEN CASE node_id WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END ELSE CASE node_id WHEN 0 THEN 3 WHEN 1 THEN 4 END END AS dim FROM p GROUP BY tree_id, p.node_id)"""
+
+
+def measured_forest(s, d):
+    """The literal forest with the rows and impurities that the examples give its nodes."""
+    e, forest = V.examples(s, d), literal_forest(s)
+    at = [L.apply_forest(e, forest, "example_id", "x", depth).select("example_id", "tree_id", "node_id") for depth in range(3)]
+    seen = at[0].unionByName(at[1]).unionByName(at[2]).distinct()  # a leaf is reached at every depth from its own
+    return L.measured(forest, seen.join(e.select("example_id", (F.col("y")[0] > 0).alias("bit")), "example_id"))
+
+
+@query("v11_literal_leaves", W("examples") + _NODES + " SELECT tree_id, node_id, num_exs, round(impurity, 9) AS impurity FROM nodes WHERE is_leaf")
+def v11_literal(s, d):
+    return L.leaves(measured_forest(s, d)).select("tree_id", "node_id", "num_exs", F.round("impurity", 9).alias("impurity"))
+
+
+# Only the root of the first tree has two children that split.
+_IMP = """, g AS (SELECT n.tree_id, n.dim, n.impurity * n.num_exs - l.impurity * l.num_exs - r.impurity * r.num_exs AS gain FROM nodes n JOIN nodes l ON l.tree_id = n.tree_id AND l.node_id = 2 * n.node_id + 1 JOIN nodes r ON r.tree_id = n.tree_id AND r.node_id = 2 * n.node_id + 2 WHERE NOT n.is_leaf AND NOT l.is_leaf AND NOT r.is_leaf),
+t AS (SELECT tree_id, sum(gain) AS total FROM g GROUP BY 1)
+SELECT dim, round(sum(gain / nullif(total, 0)) / 2, 9) AS importance FROM g JOIN t USING (tree_id) GROUP BY 1"""
+
+
+@query("a22_literal_importance", W("examples") + _NODES + _IMP)
+def a22_literal(s, d):
+    return L.importance(measured_forest(s, d)).withColumn("importance", F.round("importance", 9))
+
+
+_R2 = """, f AS ({forest}), o AS (SELECT f.example_id, f.tree_id, node_id + 10 AS medoid_id FROM f WHERE (f.example_id * 7 + f.tree_id * 3) % 4 = 0),
+l AS (SELECT o.tree_id, o.example_id, unnest(range(32)) AS d, unnest(e.y) AS t, unnest(m.y) AS p FROM o JOIN examples e ON e.example_id = o.example_id JOIN examples m ON m.example_id = o.medoid_id),
+w AS (SELECT *, avg(t) OVER (PARTITION BY tree_id, d) AS m FROM l)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, round(1 - sum(power(p - t, 2)) / nullif(sum(power(t - m, 2)), 0), 9) AS r2 FROM w GROUP BY 1"""
+
+
+@query("a21_literal_oob_r2", W("examples") + _R2.replace("{forest}", _FOREST))
+def a21_literal(s, d):
+    """Each tree of the literal forest scored on the quarter of the rows that its bag leaves out."""
+    e = V.examples(s, d)
+    found = L.apply_forest(e, literal_forest(s), "example_id", "x")
+    trees = e.select("example_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree_id"))
+    unseen = T.out_of_bag(e, trees.where("(example_id * 7 + tree_id * 3) % 4 <> 0"), 2).select("tree_id", "example_id")
+    medoids = e.select(F.col("example_id").alias("medoid_id"), F.col("y").alias("pred"))
+    pred = found.join(unseen, ["tree_id", "example_id"]).join(medoids, "medoid_id").select("tree_id", "example_id", "pred")
+    return L.oob_r2(pred, e).withColumn("r2", F.round("r2", 9))
+
+
 @query("v9_train_forest")
 def v9(s, d):
     return L.train_forest(_bags(s, d), "m", tests=64, depth=6, pca_dims=16)
@@ -385,6 +447,53 @@ def t6(s, d):
     return D.choose(c.select("scene_id", F.col("example_id").alias("sample_id"), "tree_id", "medoid_id", "vals", "visible"), "closest", "narrow_band")
 
 
+# Candidates of the literal forest: each example's two blocks, and what is seen of it, a fifth of the cells unknown.
+_CAND = """, f AS ({forest}), c AS (SELECT e.scene_id, f.example_id, f.tree_id, node_id + 10 AS medoid_id, unnest(range(32)) AS d, unnest(m.y) AS p, unnest(e.y) AS t FROM f JOIN examples e ON e.example_id = f.example_id JOIN examples m ON m.example_id = f.node_id + 10),
+s AS (SELECT *, CASE WHEN d % 5 = 0 THEN -0.25 ELSE t END AS v, d % 4 = 0 AS o FROM c),
+r AS (SELECT *, min(v) OVER w AS low, max(v) OVER w AS high FROM s WINDOW w AS (PARTITION BY example_id, tree_id)),
+k AS (SELECT *, v > 0.9 * low AS seen, p > 0.9 * low AS free, v > 0.9 * low AND v < 0.9 * high AS band FROM r)""".replace("{forest}", _FOREST)
+_DIST = {
+    "pointwise": "avg(CASE WHEN o THEN abs(p) END)",
+    "just_empty": "sqrt(coalesce(sum(CASE WHEN seen AND (v > 0) <> (p > 0) THEN 1 END), 0))",
+    "narrow_band": "sqrt(avg(CASE WHEN band THEN power(v - p, 2) END))",
+    "largest_of_free_zones": "CASE WHEN count(CASE WHEN seen THEN 1 END) > count(CASE WHEN free THEN 1 END) THEN sqrt(sum(CASE WHEN seen THEN power(v - p, 2) END)) / count(CASE WHEN seen THEN 1 END) ELSE sqrt(sum(CASE WHEN free THEN power(v - p, 2) END)) / nullif(count(CASE WHEN free THEN 1 END), 0) END",
+}
+_PICK = """, m AS (SELECT scene_id, example_id AS sample_id, tree_id, medoid_id, list(p ORDER BY d) AS vals, {dist} AS dist FROM k GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coalesce(round(dist, 9), 1e300), tree_id) AS r FROM m)
+SELECT scene_id, sample_id, medoid_id, round(dist, 6) AS min_dist, vals FROM q WHERE r = 1"""
+
+
+def _candidates(s, d):
+    e = V.examples(s, d)
+    found = L.apply_forest(e, literal_forest(s), "example_id", "x")
+    medoids = e.select(F.col("example_id").alias("medoid_id"), F.col("y").alias("vals"))
+    visible = F.transform("y", lambda v, n: F.when(n % 5 != 0, v))
+    seen = e.select("example_id", "scene_id", visible.alias("visible"), F.expr("sequence(0, 28, 4)").alias("observed"))
+    return found.join(medoids, "medoid_id").join(seen, "example_id").withColumnRenamed("example_id", "sample_id")
+
+
+def _chosen(measure):
+    def q(s, d):
+        return D.choose(_candidates(s, d), "closest", measure).withColumn("min_dist", F.round("min_dist", 6))
+
+    return q
+
+
+for _measure, _dist in _DIST.items():
+    query(f"t6_{_measure}", W("examples") + _CAND + _PICK.replace("{dist}", _dist))(_chosen(_measure))
+
+
+@query("t6_mean", W("examples") + _CAND + ", m AS (SELECT scene_id, example_id AS sample_id, d, avg(p) AS v FROM k GROUP BY 1, 2, 3) SELECT scene_id, sample_id, CAST(-1 AS BIGINT) AS medoid_id, CAST(0 AS DOUBLE) AS min_dist, list(v ORDER BY d) AS vals FROM m GROUP BY 1, 2")
+def t6_mean(s, d):
+    return D.choose(_candidates(s, d), "mean")
+
+
+# Of two candidates both are as far from their mean, so the first tree's is taken.
+@query("t6_medioid", W("examples") + _CAND + " SELECT scene_id, example_id AS sample_id, medoid_id, CAST(0 AS DOUBLE) AS min_dist, list(p ORDER BY d) AS vals FROM k WHERE tree_id = 0 GROUP BY 1, 2, 3")
+def t6_medioid(s, d):
+    return D.choose(_candidates(s, d), "medioid")
+
+
 def _mesh(s, d):
     """A grid of vertices over each brand's parts, and triangles between them; every 97th vertex is unknown."""
     p = V.table(s, d, "part")

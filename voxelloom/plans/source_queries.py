@@ -12,7 +12,7 @@ from voxelloom.operators import grid as R
 from voxelloom.operators import mesh as M
 from voxelloom.plans.registry import query, shared_folder
 from voxelloom.plans.scene_queries import _MESH, _mesh
-from voxelloom.sources import grids_io, mesh_files, rasters, reports
+from voxelloom.sources import files, grids_io, manifests, mesh_files, rasters, reports
 from voxelloom.streaming import fusion as streams
 
 CELL, W = R.CELL, V.with_views
@@ -20,7 +20,35 @@ CELL, W = R.CELL, V.with_views
 
 @query("s1_s2_grid_dumps", W("voxels") + " SELECT * FROM voxels WHERE v IS NOT NULL")
 def s1(s, d):
-    return grids_io.decode_dumps(grids_io.grid_dumps(V.voxels(s, d), V.grids(s, d)))
+    """Dump and description of each scene written to its folder, and read back from the files."""
+    folder = shared_folder(s)
+    dumps = grids_io.grid_dumps(V.voxels(s, d), V.grids(s, d))
+    of = lambda name, content: dumps.select(F.concat(F.col("scene_id").cast("string"), F.lit(f"/{name}")).alias("file"), content.alias("content"))
+    files.write_files(of("grid.dat", F.col("data")), folder)
+    files.write_files(of("grid.yaml", F.encode("description", "utf-8")), folder)
+    meta = grids_io.read_grid_meta(s, f"{folder}/*/*.yaml", "truth")
+    found = grids_io.read_grids(s, f"{folder}/*/*.dat", meta).where("v IS NOT NULL")
+    return found.select(F.col("scene_id").cast("long").alias("scene_id"), "i", "j", "k", "v")
+
+
+_POSES = "SELECT CAST(s_suppkey AS VARCHAR) AS folder, CAST(f AS VARCHAR) AS frame_id, 'depth_' || CAST(f AS VARCHAR) || '.pgm' AS image, CAST([32, 0, 16, 0, 32, 12, 0, 0, 1] AS DOUBLE[]) AS k, CAST([0, 0, 1, -0.5 - f / 8, 1, 0, 0, 0.25, 0, 1, 0, 0.375, 0, 0, 0, 1] AS DOUBLE[]) AS h_mat, CAST(1 AS DOUBLE) AS depth_scaling FROM supplier, range(4) r(f)"
+
+
+@query("s4_pose_files", _POSES)
+def s4(s, d):
+    """A pose file for each scene, and the frames as they are read from it."""
+    folder = shared_folder(s)
+    files.write_files(manifests.pose_files(V.frames(s, d), "depth_"), folder)
+    return manifests.read_poses(s, f"{folder}/*/poses.yaml").select("folder", "frame_id", "image", "k", "h_mat", "depth_scaling")
+
+
+@query("s6_frame_lists", "SELECT n_name || '_[' || CAST(f AS VARCHAR) || ']' AS name, n_name AS scene, [CAST(f AS INTEGER)] AS frames FROM nation, range(3) q(f)")
+def s6(s, d):
+    """A text file with the frame numbers of each scene, a line each, to one sequence a frame."""
+    folder = shared_folder(s)
+    n = V.table(s, d, "nation").select(F.concat("n_name", F.lit("/frames.txt")).alias("file"), F.encode(F.lit("0\n1\n2\n"), "utf-8").alias("content"))
+    files.write_files(n, folder)
+    return manifests.expand_frame_lists(s, f"{folder}/*/frames.txt")
 
 
 @query("s2_grid_parquet", W("voxels") + " SELECT * FROM voxels")
@@ -33,8 +61,9 @@ def s2(s, d):
 @query("s3_depth_rasters", W("pixels") + " SELECT CAST(scene_id AS VARCHAR) || '/' || CAST(frame_id AS VARCHAR) AS file, \"row\", col, depth FROM pixels WHERE depth > 0")
 def s3(s, d):
     coded = V.pixels(s, d).withColumn("raw", F.col("depth") * 32)
-    files = rasters.encode_rasters(coded, ["scene_id", "frame_id"], "raw", 24, 32)
-    found = rasters.explode_rasters(files, "raw")
+    folder = shared_folder(s)
+    files.write_files(rasters.encode_rasters(coded, ["scene_id", "frame_id"], "raw", 24, 32), folder)
+    found = rasters.read_rasters(s, f"{folder}/*/*", "raw")
     depth = S.decode_depth(F.col("raw"), 65536 / 32)
     return found.select("file", "row", "col", depth.alias("depth")).where("depth IS NOT NULL")
 

@@ -50,3 +50,14 @@ def expand_frame_lists(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of one frame from text files with a frame number a line, one file a scene folder."""
     lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1).alias("scene"), F.trim("value").alias("frame")).where("frame <> ''")
     return lines.select(F.concat("scene", F.lit("_["), "frame", F.lit("]")).alias("name"), "scene", F.array(F.col("frame").cast("int")).alias("frames"))
+
+
+def pose_files(frames: DataFrame, image: str) -> DataFrame:
+    """(file, content) of a pose file for each scene, its frames in order; a frame's image is named by its number."""
+
+    def scene(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = lambda x, n: [[float(v) for v in x[k : k + n]] for k in range(0, n * n, n)]
+        rows = [{"id": int(r.frame_id), "image": f"{image}{r.frame_id}.pgm", "intrinsics": grid(r.k, 3), "pose": [float(v) for v in r.h_mat], "depth_scaling": float(r.depth_scaling)} for r in pdf.sort_values("frame_id").itertuples()]
+        return pd.DataFrame({"file": [f"{pdf['scene_id'].iloc[0]}/poses.yaml"], "content": [yaml.safe_dump(rows).encode()]})
+
+    return frames.groupBy("scene_id").applyInPandas(scene, "file string, content binary")
