@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from voxelloom.llm import _text as T
 from voxelloom.llm.components import components
 from voxelloom.llm.skew import dealt_join, hot_keys
-from voxelloom.llm.storage import written
+from voxelloom.llm.storage import drop_shuffles, written
 
 SKETCH_BITS, BLOCK_BITS, PARITY = 20, 14, 256
 BITMAP_BITS = 22
@@ -335,9 +335,15 @@ def join_classes(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width
     """(node, label): the component of each class that links with a class of a smaller number."""
     cold, hot = _prefix_groups(docs, sketches, counts, width, percent)
     led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
-    links = written(_verified(_suffix_filtered(_counted(led, "row", "leader"), sketches, percent), docs, width, percent), "verified")
+    drop_shuffles(docs.sparkSession)
+    stars = _counted(led, "row", "leader")
+    links = written(_verified(written(_suffix_filtered(stars, sketches, percent), "stars"), docs, width, percent), "verified")
+    drop_shuffles(docs.sparkSession)
     between = _counted(_between(cold, hot, components(links), percent), "row", "other")
-    return components(links.unionByName(_verified(between, docs, width, percent)))
+    drop_shuffles(docs.sparkSession)
+    more = written(_verified(between, docs, width, percent), "verified")
+    drop_shuffles(docs.sparkSession)
+    return components(links.unionByName(more))
 
 
 def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

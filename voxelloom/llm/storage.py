@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,3 +39,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that nothing reads any more, on whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it keeps until their plans are collected as garbage.
+
+    For use after `written`, where nothing reads them again; a step that ends in a table can't need them for recovery.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
