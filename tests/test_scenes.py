@@ -408,3 +408,108 @@ def test_mesh_files_hold_whole_meshes(spark):
     at = {(m, n): tuple(map(float, w)) for (m, part, n), w in lines.items() if part == 1}
     assert sorted((m, *(at[m, int(x)] for x in w[1:])) for (m, part, _), w in lines.items() if part == 2) == want
     assert len(want) < len(faces) and len(at) == len(known)
+
+
+def test_holes_are_filled_from_the_nearest_pixel_in_row_major_order():
+    rng = np.random.default_rng(4)
+    for h, w, share in ((7, 9, 0.3), (12, 5, 0.9), (6, 6, 0.97), (3, 8, 1.0), (5, 5, 0.0)):
+        x = np.where(rng.random((h, w)) < share, np.nan, rng.integers(1, 99, (h, w)).astype(float))
+        known = np.argwhere(~np.isnan(x))
+        want = x.copy() if len(known) else np.zeros_like(x)
+        for r, c in np.argwhere(np.isnan(x)) if len(known) else []:
+            want[r, c] = x[tuple(known[((known - (r, c)) ** 2).sum(1).argmin()])]
+        assert (image.fill_holes(x) == want).all()
+
+
+def test_components_equal_a_flood_fill():
+    rng = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8, 1.0, 0.0):
+        mask = rng.random((13, 17)) < share
+        want, n = np.zeros(mask.shape, int), 0
+        for start in map(tuple, np.argwhere(mask)):
+            if want[start]:
+                continue
+            n += 1
+            stack = [start]
+            while stack:
+                r, c = stack.pop()
+                if 0 <= r < 13 and 0 <= c < 17 and mask[r, c] and not want[r, c]:
+                    want[r, c] = n
+                    stack += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        assert (dense.label_components(mask) == want).all()
+
+
+def test_nearest_along_an_axis():
+    f = np.random.default_rng(6).random((4, 5, 6)) * 20
+    for axis in range(3):
+        n = f.shape[axis]
+        moved = np.moveaxis(f, axis, -1)
+        want = np.moveaxis(np.array([(moved + (np.arange(n) - p) ** 2).min(-1) for p in range(n)]), 0, -1)
+        assert np.allclose(dense.nearest_along(f, axis), np.moveaxis(want, -1, axis))
+
+
+def test_greedy_accept_equals_the_whole_iou(spark):
+    rng = np.random.default_rng(8)
+    cells = [(1, int(s), *map(int, rng.integers(0, 4, 3)), float(rng.integers(-8, 9)) / 8) for s in range(25) for _ in range(12)]
+    truth = [(1, i, j, k, float(rng.integers(-8, 9)) / 8) for i, j, k in itertools.product(range(4), repeat=3) if rng.random() < 0.8]
+    want, sums, best = [], {}, 0.0
+    solid = {c[1:4] for c in truth if c[4] < 0}
+    every = {c[1:4] for c in truth}
+    for s in range(25):
+        trial = dict(sums)
+        for _, n, i, j, k, v in cells:
+            if n == s:
+                trial[i, j, k] = trial.get((i, j, k), 0.0) + v
+        have = {c for c, v in trial.items() if v < 0 and c in every}
+        iou = len(have & solid) / max(1, len(have | solid))
+        if iou > best:
+            best, sums = iou, trial
+            want.append((s, iou))
+    placed = spark.createDataFrame(cells, "scene_id long, sample_id long, i int, j int, k int, v double")
+    known = spark.createDataFrame(truth, "scene_id long, i int, j int, k int, v double")
+    got = sorted(tuple(r)[1:] for r in dense.greedy_accept(placed, known).collect())
+    assert [s for s, _ in got] == [s for s, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    assert dense.greedy_accept(placed.where("scene_id = 2"), known).count() == 0
+
+
+def test_blocks_of_scenes_without_cells_or_samples(spark):
+    g = spark.createDataFrame([(n, 6, 5, 20, 0.25, floats(0, 0, 0), floats(1, 0, 0, 0, 1, 0, 0, 0, 1)) for n in (1, 2, 3)], GRID)
+    v = spark.createDataFrame([(1, i, j, k, float(i + 10 * j + 100 * k) if i != 2 else None) for i, j, k in itertools.product(range(6), range(5), range(20))] + [(3, 0, 0, 0, 1.0)], "scene_id long, i int, j int, k int, v double")
+    turn = floats(0, -1, 0, 1, 0, 0, 0, 0, 1)
+    b = spark.createDataFrame([(1, 7, turn, floats(1.0, 0.25, 3.0)), (2, 8, turn, floats(1, 0, 0)), (1, 9, turn, floats(90, 0, 0)), (4, 10, turn, floats(1, 0, 0))], "scene_id long, sample_id long, rot array<double>, origin array<double>")
+    want = []
+    for a, c, e in itertools.product(range(3), range(2), range(6)):
+        x, y, z = 1.0 - (c + 0.5) * 0.25, 0.25 + (a + 0.5) * 0.25, 3.0 + (e + 0.5) * 0.25
+        i, j, k = int(x // 0.25), int(y // 0.25), int(z // 0.25)
+        want.append(float(i + 10 * j + 100 * k) if k < 20 and i != 2 else None)
+    for tile in (2, 16):
+        got = {r["sample_id"]: r["vals"] for r in dense.cut_blocks(b, v, g, (3, 2, 6), 0.25, tile=tile).collect()}
+        assert got == {7: want, 8: [None] * 36, 9: [None] * 36}
+    assert dense.cut_blocks(b.where("sample_id < 0"), v, g, (3, 2, 6), 0.25).count() == 0
+
+
+def test_cells_of_a_block_can_weigh_differently(spark):
+    g = spark.createDataFrame([(1, 2, 2, 2, 1.0, floats(0, 0, 0), floats(1, 0, 0, 0, 1, 0, 0, 0, 1))], GRID)
+    b = spark.createDataFrame([(1, floats(1, 0, 0, 0, 1, 0, 0, 0, 1), floats(0, 0, 0), [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0, 8.0], [0.5, 0.0, 1.0, None, 1.0, 1.0, 2.0, 1.0])] * 2, "scene_id long, rot array<double>, origin array<double>, vals array<double>, w array<double>")
+    got = {(r["i"], r["j"], r["k"]): (r["sum_v"], r["sum_w"], r["n"]) for r in dense.place_predictions(b, g, (2, 2, 2), 1.0).collect()}
+    assert got[0, 0, 0] == (1.0, 1.0, 2) and got[0, 0, 1] == (0.0, 0.0, 2) and (0, 1, 0) not in got and got[0, 1, 1] == (0.0, 0.0, 2) and got[1, 1, 0] == (28.0, 4.0, 2)
+
+
+def test_weights_are_resampled_beside_values(spark):
+    g = one_grid(spark, angle=0.0)
+    v = grid.grid_cells(g).select(*grid.CELL, (F.col("i") + F.col("k")).cast("double").alias("v"))
+    w = v.where("i > 0").withColumn("v", F.col("i") / 2.0)
+    got = grid.resample_upright(g, g, v, w)
+    assert got.count() == 120 and got.where("w <> i / 2 OR n <> 1 OR v <> i + k").count() == 0
+    summed = grid.accumulate(got)
+    assert summed.where("sum_w <> i / 2 OR sum_v <> (i + k) * i / 2 OR n <> 1").count() == 0
+
+
+def test_unknown_visible_cells_count_as_empty_of_evidence(spark):
+    rows = [(1, 1, t, 100 + t, v, [None, 0.2, -0.1, None, 0.25]) for t, v in enumerate(([0.1] * 5, [-0.25, 0.2, -0.1, -0.25, 0.25]))]
+    c = spark.createDataFrame(rows, "scene_id long, sample_id long, tree_id int, medoid_id long, vals array<double>, visible array<double>")
+    for measure in ("just_empty", "narrow_band", "largest_of_free_zones"):
+        r = dense.choose(c, "closest", measure).first()
+        assert r["medoid_id"] == 101 and r["min_dist"] is not None
+    nothing = c.withColumn("visible", F.transform("visible", lambda x: F.lit(None).cast("double")))
+    assert dense.choose(nothing, "closest", "narrow_band").first()["min_dist"] is None

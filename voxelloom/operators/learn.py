@@ -118,7 +118,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, ids: np.ndarray, seed: int, tests: i
     smallest weighted Gini impurity of the target bits wins, the first on ties.
     """
     rng = np.random.default_rng(seed)
-    out, stack = [], [(0, np.arange(len(x)), 0.5, medoid(y, ids))]
+    out, stack = [], [(0, np.arange(len(x)), 0.5, 0)]
     while stack:
         node, rows, impurity, medoid_id = stack.pop()
         best = None
@@ -271,14 +271,15 @@ def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vect
     q, q_blocks = _block(queries.select(key, vector), key, max_queries)
     t, t_blocks = _block(training.select(target, vector), target, max_rows)
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(key, vector, F.col("_block").alias("_q"), copies(t_blocks).alias("_t"))
-    right = t.select(target, vector, copies(q_blocks).alias("_q"), F.col("_block").alias("_t"))
+    # Names of their own, since both sides may come from one table.
+    left = q.select(F.col(key).alias("_key"), F.col(vector).alias("_x"), F.col("_block").alias("_q"), copies(t_blocks).alias("_t"))
+    right = t.select(F.col(target).alias("_id"), F.col(vector).alias("_data"), copies(q_blocks).alias("_tq"), F.col("_block").alias("_tt"))
 
     def pair(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(rows):
             return pd.DataFrame({key: pd.Series([], dtype=np.int64), "nn_id": pd.Series([], dtype=np.int64), "dist": pd.Series([], dtype=float)})
-        own, ids = some[key].to_numpy(), rows[target].to_numpy()
-        x, data = matrix(some[vector]), matrix(rows[vector])
+        own, ids = some["_key"].to_numpy(), rows["_id"].to_numpy()
+        x, data = matrix(some["_x"]), matrix(rows["_data"])
         out = []
         for at in range(0, len(x), 256):
             part, names = x[at : at + 256], own[at : at + 256]
@@ -294,5 +295,5 @@ def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vect
             out.append(pd.DataFrame({key: names[row[best]], "nn_id": ids[col[best]], "dist": np.sqrt(d[best])}))
         return pd.concat(out)
 
-    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(pair, f"{key} {kind}, nn_id long, dist double")
+    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_tq", "_tt")).applyInPandas(pair, f"{key} {kind}, nn_id long, dist double")
     return found.groupBy(key).agg(F.min(F.struct("dist", "nn_id")).alias("m")).select(key, "m.nn_id", "m.dist")
