@@ -4,18 +4,22 @@ Toxic documents go, one document of each group of near copies stays, contaminate
 masked in the text, and what is left is packed into training sequences. Stages but the last return the
 columns of `documents`. The classifier and the index have no SQL form, so ORACLE_SQL is None; the tests
 hold each stage against a brute-force version.
+
+Every stage judges a row by its own text. Rows without an id and rows without words are never copies of others and
+stay; of rows that repeat id and text one stays; texts under one id are judged each for itself. Null texts stay null
+and are packed as their end id. Ties between copies go to the smallest id, then to the smaller hash of the text.
+An empty table passes through all stages. Other columns travel with their row, whatever their names. A text is one
+unit of work in every stage, however long.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm import fm_index, jaccard, packing, secret_scan, toxicity
-from voxelloom.llm.storage import shared_folder
+from voxelloom.llm.storage import new_folder, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if last:  # nothing reads it any more
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
