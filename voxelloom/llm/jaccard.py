@@ -6,8 +6,8 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
 1. One pass gives every document its set's size, class (documents with equal sets are one class, so
    copies cost nothing later) and parity sketch, and counts shingles in a table of 2**SKETCH_BITS cells over all documents.
 2. Each class sorts its shingles rare-first by these counts and emits the prefix that a partner must
-   share. Rows of one shingle meet in one partition, where those without a partner of a like length go; a pair is a
-   candidate if its lengths and the places of each shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
+   share. Rows of one shingle meet in one partition, where those without a partner of a like length go, and so do
+   classes that have fewer such rows than a pair must share; a pair is a candidate if its lengths and the places of each shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
    common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
    documents have by chance, are dropped by count. Then the sketches decide, which keep for each of 256 slots
    whether an odd number of shingles fell in it: slots that differ can't outnumber shingles that differ, which bounds what
@@ -272,21 +272,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
 
 
+def _with_neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Without the rows whose neighbours by length, in their shingle, are too short and too long for them; hot ones stay."""
+    sizes = "OVER (PARTITION BY token, deal ORDER BY n, class_id)"
+    near = f"deal IS NOT NULL OR 100L * shorter >= {percent}L * n OR 100L * n >= {percent}L * longer"
+    return rows.selectExpr("*", f"lag(n) {sizes} AS shorter", f"lead(n) {sizes} AS longer").where(near).drop("shorter", "longer")
+
+
 def _prefix_groups(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Prefix rows of shingles that two classes or more share, each with its sketch and the leader of its shingle: those
     that are surely not hot, and the rest with their number of `classes`.
 
-    A row whose neighbours by length are too short and too long for it has no partner, and goes first.
+    Rows without a partner of a like length go first, then the classes with too few rows left, then rows that had only these.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
     rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), "token long, class_id long, n int, place int, common int, deal long")
-    rows = rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"])
-    sizes = "OVER (PARTITION BY token, deal ORDER BY n, class_id)"
-    rows = rows.selectExpr("*", f"lag(n) {sizes} AS shorter", f"lead(n) {sizes} AS longer")
-    rows = rows.where(f"deal IS NOT NULL OR 100L * shorter >= {percent}L * n OR 100L * n >= {percent}L * longer").drop("shorter", "longer")
-    rows = rows.selectExpr("*", "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first")
-    sketched = rows.join(sketches.drop("n"), "class_id")
-    groups = written(sketched.select("token", "deal", F.struct("class_id", "n", "place", *_PARITY_COLUMNS).alias("row"), "first"), "prefixes")
+    rows = _with_neighbours(rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"]), percent)
+    # A class with fewer such rows than a pair must share has no partner either.
+    sketched = rows.join(sketches.drop("n"), "class_id").selectExpr("*", "count(*) OVER (PARTITION BY class_id) AS own")
+    rows = sketched.where(f"own >= greatest(1L, (({percent}L * n + 99L) div 100L) div 50L)").drop("own")
+    rows = _with_neighbours(rows.repartition("token", "deal"), percent)
+    first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first"
+    rows = rows.selectExpr("*", first)
+    groups = written(rows.select("token", "deal", F.struct("class_id", "n", "place", *_PARITY_COLUMNS).alias("row"), "first"), "prefixes")
     leader = F.struct("first.class_id", "first.n", "first.place").alias("leader")
     cold, hot = groups.where("deal IS NULL").select("token", "row", leader), groups.where("deal IS NOT NULL")
     leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("first").alias("first")).where("classes > 1")
