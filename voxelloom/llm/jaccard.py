@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from voxelloom.llm import _text as T
 from voxelloom.llm.components import components
 from voxelloom.llm.skew import dealt_join, hot_keys
-from voxelloom.llm.storage import drop_shuffles, written
+from voxelloom.llm.storage import drop_shuffles, new_folder, remove, written
 
 SKETCH_BITS, BLOCK_BITS, PARITY = 20, 14, 256
 BITMAP_BITS = 22
@@ -213,11 +213,12 @@ def _suffix_filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> Dat
     return pairs.where(_suffix("of_a", "of_b", percent)).select("a", "b")
 
 
-def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How many pairs each class is in, and the classes that are in very many."""
+def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """How many pairs each class is in, and the classes that are in very many, if there are any."""
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
     counts = ends.groupBy("class_id").agg(F.count("*").alias("pairs"))
-    return counts, hot_keys(counts, ["class_id"], "pairs", pairs.count(), HOT_CLASS)
+    hot = hot_keys(counts, ["class_id"], "pairs", pairs.count(), HOT_CLASS)
+    return counts, None if hot.isEmpty() else hot
 
 
 def _sets(bitmap, width: int):
@@ -284,10 +285,13 @@ def _prefix_groups(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, wid
     that are surely not hot, and the rest with their number of `classes`.
 
     Rows without a partner of a like length go first, then the classes with too few rows left, then rows that had only these.
+    What the first step leaves is written, so that the shuffle of all prefixes is gone from disk before the next ones start.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
+    spark = docs.sparkSession
+    shared, near = spark.sparkContext.broadcast(_ranks(counts)), new_folder(spark, "near")
     rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), "token long, class_id long, n int, place int, common int, deal long")
-    rows = _with_neighbours(rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"]), percent)
+    rows = written(_with_neighbours(rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"]), percent), "near", near)
+    drop_shuffles(spark)
     # A class with fewer such rows than a pair must share has no partner either.
     sketched = rows.join(sketches.drop("n"), "class_id").selectExpr("*", "count(*) OVER (PARTITION BY class_id) AS own")
     rows = sketched.where(f"own >= greatest(1L, (({percent}L * n + 99L) div 100L) div 50L)").drop("own")
@@ -295,6 +299,8 @@ def _prefix_groups(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, wid
     first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first"
     rows = rows.selectExpr("*", first)
     groups = written(rows.select("token", "deal", F.struct("class_id", "n", "place", *_PARITY_COLUMNS).alias("row"), "first"), "prefixes")
+    remove(spark, near)
+    drop_shuffles(spark)
     leader = F.struct("first.class_id", "first.n", "first.place").alias("leader")
     cold, hot = groups.where("deal IS NULL").select("token", "row", leader), groups.where("deal IS NOT NULL")
     leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("first").alias("first")).where("classes > 1")

@@ -19,11 +19,14 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, least: int)
     return counts.where(F.col(n) > limit).select(*keys, (F.col(n) / limit + 1).cast("int").alias("pieces"))
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
     """`rows` joined with `table`, which has one row for each of `keys` and no other column of theirs in common.
 
-    `by` says which piece of a hot key a row is in. Null keys match nothing, as in any join.
+    `by` says which piece of a hot key a row is in. Null keys match nothing, as in any join. Without hot keys (`hot` is
+    None) it is a plain join, which can keep the way that `table` is already dealt over tasks.
     """
+    if hot is None:
+        return rows.join(table, keys, how)
     shared = F.broadcast(hot)
     left = rows.join(shared, keys, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
     right = table.join(shared, keys, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))).drop("pieces")
