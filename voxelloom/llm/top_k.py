@@ -156,7 +156,7 @@ def _searched(k: int):
     """Rows of one (shard, part) follow each other, the shard's own row first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, limit = None, 0
+        shard, now, limit = None, None, 0
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
@@ -164,13 +164,14 @@ def _searched(k: int):
                     n, dims = batch["n"][i].as_py(), batch["dims"][i].as_py()
                     read = lambda name, kind: np.frombuffer(batch[name][i].as_py(), kind)  # noqa: B023, E731
                     shard = Shard(read("ids", "<i8"), read("copies", "<i8"), read("vectors", "<i4").reshape(n, dims), read("postings", "<i4"), read("segments", "<i8").reshape(-1, 5))
+                    now = batch["shard"][i].as_py()
                     limit = int(np.abs(shard.vectors.astype(np.int64)).max(initial=0)) * max(1, dims)
                     continue
                 query = np.array(batch["q"][i].as_py(), np.int64)
                 if limit * int(np.abs(query).max(initial=0)) >= 2**63:
                     raise OverflowError("scores might not fit 64 bits")
-                if shard is None:
-                    continue  # a shard without rows
+                if now != batch["shard"][i].as_py():
+                    continue  # no row fell to this shard
                 known = batch["known"][i].as_py()
                 rows, scores = shard.best(query, -math.inf if known is None else known, batch["query_id"][i].as_py(), k)
                 head = tuple(batch[c][i].as_py() for c in ("query_id", "query_key", "own"))
