@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from voxelloom.operators import tiles as L
 from voxelloom.operators.grid import CELL, occupied_above
 
 
@@ -20,16 +21,10 @@ def cell_places(shape: Sequence[int], size: float, rot: np.ndarray, origin: np.n
     return ((idx + 0.5) * size) @ rot.T + origin
 
 
-def dense_grid(cells: pd.DataFrame, shape: Sequence[int]) -> np.ndarray:
-    out = np.full(shape, np.nan)
-    out[cells["i"], cells["j"], cells["k"]] = cells["v"].astype(float)
-    return out
-
-
-TILE = 16
-#: Blocks that meet one tile in one group; more are dealt over groups, each with its own copy of the tile.
-BLOCKS_A_TILE = 512
-_BOX = ["scene_id", "bi", "bj", "bk"]
+#: Samples of a scene that meet one copy of its tiles; more are dealt over copies.
+SAMPLES_A_COPY = 8192
+#: Cells of blocks that a task works on at once.
+SOME_CELLS = 1 << 20
 
 
 def _with_grid(blocks: DataFrame, grids: DataFrame) -> DataFrame:
@@ -37,10 +32,22 @@ def _with_grid(blocks: DataFrame, grids: DataFrame) -> DataFrame:
     return blocks.join(meta, "scene_id")
 
 
-def _stacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def numbers(column: pa.Array, n: int) -> np.ndarray:
+    """A column of lists of `n` numbers as rows of an array, unknown ones NaN."""
+    flat = column.flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as a column of lists, NaN as NULL."""
+    flat = np.ascontiguousarray(rows, np.float64).ravel()
+    return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, max(1, rows.shape[1]), dtype=np.int32)[: len(rows) + 1], pa.array(flat, mask=np.isnan(flat)))
+
+
+def _stacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Rotations and origins of some blocks and of their grids, as arrays, with the size of the grids' cells."""
-    rot, origin, grid_rot, grid_origin = (np.stack(pdf[c].to_numpy()).astype(float) if len(pdf) else np.zeros((0, n)) for c, n in (("rot", 9), ("origin", 3), ("grid_rot", 9), ("grid_origin", 3)))
-    return rot.reshape(-1, 3, 3), origin, grid_rot.reshape(-1, 3, 3), grid_origin, pdf["vox_size"].to_numpy(float)
+    turn = lambda c: numbers(batch[c], 9).reshape(-1, 3, 3)
+    return turn("rot"), numbers(batch["origin"], 3), turn("grid_rot"), numbers(batch["grid_origin"], 3), batch["vox_size"].to_numpy()
 
 
 def _in_grid(places: np.ndarray, rot, origin, grid_rot, grid_origin, step) -> np.ndarray:
@@ -49,145 +56,178 @@ def _in_grid(places: np.ndarray, rot, origin, grid_rot, grid_origin, step) -> np
     return (world - grid_origin[:, None, :]) @ grid_rot / step[:, None, None]
 
 
-def _grid_ranges(pdf: pd.DataFrame, shape: Sequence[int], size: float) -> tuple[np.ndarray, np.ndarray]:
+def _grid_ranges(batch: pa.RecordBatch, shape: Sequence[int], size: float) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last cell of its grid that each block's corners span, one cell wider for rounding."""
     corners = np.array(np.meshgrid(*((0, n * size) for n in shape), indexing="ij")).reshape(3, -1).T
-    at = _in_grid(corners, *_stacked(pdf))
-    ends = pdf[["ni", "nj", "nk"]].to_numpy(int)
+    at = _in_grid(corners, *_stacked(batch))
+    ends = np.stack([batch[c].to_numpy() for c in ("ni", "nj", "nk")], 1)
     return np.clip(np.floor(at.min(1)).astype(int) - 1, 0, ends), np.clip(np.floor(at.max(1)).astype(int) + 2, 0, ends)
 
 
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand for `sizes` items each: the row of each item, and its number in the row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def touched_tiles(blocks: DataFrame, shape: Sequence[int], size: float, tile: int) -> DataFrame:
     """The rows of `blocks` (with their grid) once for each tile (bi, bj, bk) of `tile`^3 cells that they may reach."""
 
-    def task(batches):
-        for pdf in batches:
-            low, high = _grid_ranges(pdf, shape, size)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = _grid_ranges(batch, shape, size)
             first = low // tile
             n = np.where((low < high).all(1)[:, None], (high - 1) // tile - first + 1, 0)
-            total = n.prod(1)
-            row = np.repeat(np.arange(len(pdf)), total)
-            place = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+            row, place = _spread(n.prod(1))
             box = np.stack([place // (n[row, 1] * n[row, 2]), place // n[row, 2] % n[row, 1], place % n[row, 2]], 1) + first[row]
-            yield pdf.iloc[row].reset_index(drop=True).assign(**{c: box[:, k].astype(np.int32) for k, c in enumerate(_BOX[1:])})
+            some = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(box[:, k].astype(np.int32)) for k in range(3))], [*some.schema.names, *L.BOX[1:]])
 
-    schema = blocks.select("*", *(F.lit(0).alias(c) for c in _BOX[1:])).schema
-    return blocks.mapInPandas(task, schema)
+    return blocks.mapInArrow(task, blocks.select("*", *(F.lit(0).alias(c) for c in L.BOX[1:])).schema)
 
 
-def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = TILE) -> DataFrame:
+def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = L.TILE, labels: DataFrame | None = None) -> DataFrame:
     """scene_id, sample_id and `vals`: the grid's values in each upright block (rot, origin), in C order, unknown NULL.
 
-    A block meets only the tiles of its scene's grid that it reaches, so no task holds a scene. Blocks outside the grid and
-    in scenes without cells have `initial` everywhere; blocks of scenes without a grid are left out. `post_transform` maps the
-    array of one block.
+    A block meets only the tiles of its scene's grid that it reaches: a tile's cells come first in a task, become an array, and
+    the blocks that reach it follow, some at a time, so no task holds a scene or all blocks of a tile. Scenes with more than
+    SAMPLES_A_COPY samples have their blocks dealt over copies of the tiles. With `labels` (a label a cell), blocks have a
+    `label`: cells of other labels than it and 0 are unknown to a block whose label is above 0, and the label travels to the
+    tiles, which aren't copied. Blocks outside the grid and in scenes without cells have `initial` everywhere; blocks of
+    scenes without a grid are left out. `post_transform` maps the array of one block.
     """
-    placed = _with_grid(blocks.select("scene_id", "sample_id", "rot", "origin"), grids)
-    touched = touched_tiles(placed, shape, size, tile)
-    pieces = touched.groupBy(*_BOX).agg(F.ceil(F.count("*") / BLOCKS_A_TILE).cast("int").alias("pieces"))
-    left = touched.join(pieces, _BOX).withColumn("piece", F.pmod(F.xxhash64("sample_id"), F.col("pieces")).cast("int")).drop("pieces")
-    cells = voxels.where("v IS NOT NULL").select(*CELL, F.col("v").cast("double").alias("v"), *(F.floor(F.col(c) / tile).cast("int").alias(b) for c, b in zip("ijk", _BOX[1:], strict=True)))
-    right = cells.join(pieces, _BOX).select(*CELL, "v", *_BOX[1:], F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-
-    def one_tile(samples: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(samples) or not len(own):
-            return pd.DataFrame({"scene_id": [], "sample_id": [], "lin": pd.Series([], dtype=object), "found": pd.Series([], dtype=object)})
-        base = samples[_BOX[1:]].iloc[0].to_numpy(int) * tile
-        vals = dense_grid(own.assign(i=own["i"] - base[0], j=own["j"] - base[1], k=own["k"] - base[2]), (tile,) * 3)
-        places, out = cell_places(shape, size, np.eye(3), np.zeros(3)), []
-        some = max(1, (1 << 20) // len(places))
-        for at in range(0, len(samples), some):
-            part = samples.iloc[at : at + some]
-            idx = np.floor(_in_grid(places, *_stacked(part))).astype(int) - base
-            row, lin = np.nonzero(((idx >= 0) & (idx < tile)).all(2))
-            found = vals[tuple(idx[row, lin].T)]
-            known = ~np.isnan(found)
-            row, lin, found = row[known], lin[known].astype("<i4"), found[known]
-            cuts = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
-            for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    out.append((part["scene_id"].iat[n], part["sample_id"].iat[n], lin[a:b].tobytes(), found[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["scene_id", "sample_id", "lin", "found"])
+    own = blocks.select("scene_id", "sample_id", "rot", "origin", (F.lit(0) if labels is None else F.coalesce(F.col("label").cast("int"), F.lit(0))).alias("label"))
+    copies = own.groupBy("scene_id").agg(F.ceil(F.count("*") / SAMPLES_A_COPY).cast("int").alias("copies"))
+    placed = _with_grid(own, grids)
+    asked = touched_tiles(placed.join(copies, "scene_id").withColumn("copy", F.pmod(F.xxhash64("sample_id"), "copies").cast("int")).drop("copies"), shape, size, tile)
+    at = [F.floor(F.col(c) / tile).cast("int").alias(b) for c, b in zip("ijk", L.BOX[1:], strict=True)]
+    lin = ((F.pmod("i", F.lit(tile)) * tile + F.pmod("j", F.lit(tile))) * tile + F.pmod("k", F.lit(tile))).cast("int").alias("lin")
+    held = [voxels.where("v IS NOT NULL").select("scene_id", *at, lin, F.col("v").cast("double").alias("v"), F.lit(0).alias("step"))]
+    if labels is not None:
+        held.append(labels.select("scene_id", *at, lin, F.col("label").cast("double").alias("v"), F.lit(1).alias("step")))
+    keys, rows = [*L.BOX, "copy"], asked.withColumn("step", F.lit(2))
+    for cells in held:
+        copied = cells.join(copies, "scene_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        rows = rows.unionByName(copied, allowMissingColumns=True)
+    ordered = rows.withColumn("run", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions("run", *keys, "step")
+    places = cell_places(shape, size, np.eye(3), np.zeros(3))
+
+    def cut(batch: pa.RecordBatch, vals: np.ndarray, labelled: np.ndarray) -> tuple[list, list]:
+        """Cells of some blocks of one tile that it knows: their places in the block and values."""
+        base = np.array([batch[c][0].as_py() for c in L.BOX[1:]]) * tile
+        idx = np.floor(_in_grid(places, *_stacked(batch))).astype(int) - base
+        row, lin = np.nonzero(((idx >= 0) & (idx < tile)).all(2))
+        i, j, k = idx[row, lin].T
+        cell = (i * tile + j) * tile + k
+        found, wanted, there = vals[cell], batch["label"].to_numpy()[row], labelled[cell]
+        known = ~np.isnan(found) & ((wanted <= 0) | (there == 0) | (there == wanted))
+        row, lin, found = row[known], lin[known].astype("<i4"), found[known]
+        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        return [lin[a:b].tobytes() for a, b in spans], [found[a:b].tobytes() for a, b in spans]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vals, labelled = None, None, None
+        some = max(1, SOME_CELLS // len(places))
+        for batch in batches:
+            names, step = batch["run"].to_numpy(), batch["step"].to_numpy()
+            starts = L.runs(names, step).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if now is None or names[a] != now:
+                    now, vals, labelled = names[a], np.full(tile**3, np.nan), np.zeros(tile**3)
+                if step[a] < 2:
+                    (vals, labelled)[step[a]][batch["lin"].slice(a, b - a).to_numpy()] = batch["v"].slice(a, b - a).to_numpy()
+                    continue
+                for first in range(a, b, some):
+                    part = batch.slice(first, min(some, b - first))
+                    lin, found = cut(part, vals, labelled)
+                    yield pa.RecordBatch.from_arrays([part["scene_id"], part["sample_id"], pa.array(lin, pa.binary()), pa.array(found, pa.binary())], ["scene_id", "sample_id", "lin", "found"])
 
     ids = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in ("scene_id", "sample_id"))
-    keys = [*_BOX, "piece"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one_tile, f"{ids}, lin binary, found binary")
-    # At most one part a tile that the block reaches, each of the cells in it.
-    joined = parts.groupBy("scene_id", "sample_id").agg(F.collect_list(F.struct("lin", "found")).alias("parts"))
-    n = int(np.prod(shape))
+    parts = ordered.mapInArrow(task, f"{ids}, lin binary, found binary").where("length(lin) > 0")
+    # At most one part a tile that the block reaches, each of the cells in it, and an empty one a block.
+    every = parts.unionByName(placed.select("scene_id", "sample_id", F.lit(b"").alias("lin"), F.lit(b"").alias("found")))
+    joined = every.groupBy("scene_id", "sample_id").agg(F.collect_list("lin").alias("lin"), F.collect_list("found").alias("found"))
+    n = len(places)
 
-    def whole(batches):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vals = np.full((batch.num_rows, n), initial)
-            for row, parts in enumerate(batch["parts"].to_pylist()):
-                for part in parts or []:
-                    vals[row, np.frombuffer(part["lin"], "<i4")] = np.frombuffer(part["found"], "<f8")
-                if post_transform:
-                    vals[row] = post_transform(vals[row])
-            flat = vals.ravel()
-            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n, dtype=np.int32), pa.array(flat, mask=np.isnan(flat)))
-            yield pa.RecordBatch.from_arrays([batch["scene_id"], batch["sample_id"], lists], ["scene_id", "sample_id", "vals"])
+            some = max(1, SOME_CELLS // n)
+            for first in range(0, batch.num_rows, some):
+                part = batch.slice(first, some)
+                vals = np.full((part.num_rows, n), initial)
+                for row, (lin, found) in enumerate(zip(part["lin"].to_pylist(), part["found"].to_pylist(), strict=True)):
+                    vals[row, np.frombuffer(b"".join(lin), "<i4")] = np.frombuffer(b"".join(found), "<f8")
+                    if post_transform:
+                        vals[row] = post_transform(vals[row])
+                yield pa.RecordBatch.from_arrays([part["scene_id"], part["sample_id"], lists(vals)], ["scene_id", "sample_id", "vals"])
 
-    every = placed.select("scene_id", "sample_id").join(joined, ["scene_id", "sample_id"], "left")
-    return every.mapInArrow(whole, f"{ids}, vals array<double>")
+    return joined.mapInArrow(whole, f"{ids}, vals array<double>")
 
 
-def place_predictions(predictions: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, below: float | None = None) -> DataFrame:
+def place_predictions(predictions: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, below: float | None = None, tile: int = L.TILE) -> DataFrame:
     """Predicted blocks (rot, origin, vals, w) resampled into their scene's cells: (cell, sum_v, sum_w, n).
 
     `w` is one weight a block, or an array with one a cell of it, unknown ones 0. `n` counts predictions whatever their
-    weight. The blocks are upright, so cells map once a column and once a slice, in the cells that a block spans. Sums of a
-    batch leave the task once a cell; a second aggregation adds the batches.
+    weight. The blocks are upright, so cells map once a column and once a slice, for all blocks of a batch at once. What
+    falls in one tile is added before it leaves the task, as arrays, and tiles are added by `tiles.added`.
     """
     each = isinstance(predictions.schema["w"].dataType, ArrayType)
     rows = _with_grid(predictions.select("scene_id", "rot", "origin", "vals", "w"), grids)
-    numbers = lambda x: np.array(x, float).reshape(shape)
-
-    def reached(row, low: np.ndarray, high: np.ndarray) -> tuple | None:
-        """Cells, values and weights of one block."""
-        if (low >= high).any():
-            return None
-        g_rot, g_origin, step = np.array(row.grid_rot).reshape(3, 3), np.array(row.grid_origin), row.vox_size
-        r, o = np.array(row.rot).reshape(3, 3), np.array(row.origin)
-        corner = (np.stack(np.meshgrid(*(np.arange(low[c], high[c]) for c in (0, 1)), indexing="ij"), -1) + 0.5) * step
-        xy = corner @ g_rot[:2, :2].T + g_origin[:2]
-        ij = np.floor((xy - o[:2]) @ r[:2, :2] / size).astype(int)
-        kk = np.floor(((np.arange(low[2], high[2]) + 0.5) * step + g_origin[2] - o[2]) / size).astype(int)
-        a, b = np.nonzero((ij[..., 0] >= 0) & (ij[..., 1] >= 0) & (ij[..., 0] < shape[0]) & (ij[..., 1] < shape[1]))
-        ks = np.flatnonzero((kk >= 0) & (kk < shape[2]))
-        at = ij[a, b, 0][:, None], ij[a, b, 1][:, None], kk[ks][None, :]
-        found = numbers(row.vals)[at]
+    n_cells = int(np.prod(shape))
+
+    def reached(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Block, grid cell and block cell of every cell that each block covers."""
+        low, high = _grid_ranges(batch, shape, size)
+        span = np.where((low < high).all(1)[:, None], high - low, 0)
+        rot, origin, grid_rot, grid_origin, step = _stacked(batch)
+        column, place = _spread(span[:, 0] * span[:, 1])
+        a, b = place // np.maximum(1, span[column, 1]) + low[column, 0], place % np.maximum(1, span[column, 1]) + low[column, 1]
+        corner = np.stack([a + 0.5, b + 0.5], 1) * step[column, None]
+        xy = np.einsum("nij,nj->ni", grid_rot[column, :2, :2], corner) + grid_origin[column, :2] - origin[column, :2]
+        ij = np.floor(np.einsum("nji,nj->ni", rot[column, :2, :2], xy) / size).astype(int)
+        use = np.flatnonzero(((ij >= 0) & (ij < shape[:2])).all(1))
+        column, a, b, ij = column[use], a[use], b[use], ij[use]
+        level, c = _spread(span[:, 2])
+        c = c + low[level, 2]
+        k = np.floor(((c + 0.5) * step[level] + grid_origin[level, 2] - origin[level, 2]) / size).astype(int)
+        use = np.flatnonzero((k >= 0) & (k < shape[2]))
+        level, c, k = level[use], c[use], k[use]
+        per_block = np.bincount(level, minlength=batch.num_rows)
+        first = np.cumsum(per_block) - per_block
+        item, nth = _spread(per_block[column])  # every column with every slice of its block
+        at = first[column[item]] + nth
+        return column[item], np.stack([a[item], b[item], c[at]], 1), (ij[item, 0] * shape[1] + ij[item, 1]) * shape[2] + k[at]
+
+    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block, cell, own = reached(batch)
+        found = numbers(batch["vals"], n_cells)[block, own]
         use = ~np.isnan(found) if below is None else found < below
-        weight = np.nan_to_num(numbers(row.w)[at][use]) if each else np.full(int(use.sum()), float(row.w))
-        cell = lambda x: np.broadcast_to(x, use.shape)[use]
-        return cell((a + low[0])[:, None]), cell((b + low[1])[:, None]), cell((ks + low[2])[None, :]), found[use], weight
-
-    def task(batches):
-        for pdf in batches:
-            for scene, own in pdf.groupby("scene_id"):
-                n, held, size_held = (int(own["ni"].iloc[0]), int(own["nj"].iloc[0]), int(own["nk"].iloc[0])), [], 0
-                for row, low, high in zip(own.itertuples(index=False), *_grid_ranges(own, shape, size), strict=True):
-                    found = reached(row, low, high)
-                    if found is not None and len(found[0]):
-                        held.append(found)
-                        size_held += len(found[0])
-                    if size_held >= 1 << 20:
-                        yield _summed(scene, n, held)
-                        held, size_held = [], 0
-                if held:
-                    yield _summed(scene, n, held)
-
-    kind = predictions.schema["scene_id"].dataType.simpleString()
-    parts = rows.mapInPandas(task, f"scene_id {kind}, i int, j int, k int, sum_v double, sum_w double, n long")
-    return parts.groupBy(*CELL).agg(F.sum("sum_v").alias("sum_v"), F.sum("sum_w").alias("sum_w"), F.sum("n").alias("n"))
-
-
-def _summed(scene, shape: tuple[int, int, int], held: list[tuple]) -> pd.DataFrame:
-    """One row a cell of some blocks' (i, j, k, value, weight)."""
-    i, j, k, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-    cells, at = np.unique((i.astype(np.int64) * shape[1] + j) * shape[2] + k, return_inverse=True)
-    rest = cells // shape[2]
-    return pd.DataFrame({"scene_id": scene, "i": rest // shape[1], "j": rest % shape[1], "k": cells % shape[2], "sum_v": np.bincount(at, v * w), "sum_w": np.bincount(at, w), "n": np.bincount(at)})
+        block, cell, own, v = block[use], cell[use], own[use], found[use]
+        w = np.nan_to_num(numbers(batch["w"], n_cells)[block, own]) if each else batch["w"].to_numpy().astype(float)[block]
+        scenes = batch["scene_id"].dictionary_encode()
+        names, scene = scenes.dictionary, scenes.indices.to_numpy()[block]
+        box = cell // tile
+        key = np.concatenate([scene[:, None], box, (((cell[:, 0] % tile) * tile + cell[:, 1] % tile) * tile + cell[:, 2] % tile)[:, None]], 1)
+        order = np.lexsort(key.T[::-1])
+        key, v, w = key[order], v[order], w[order]
+        first = L.runs(*key.T)
+        totals = [np.diff(np.append(first, len(key))).astype(float), *(np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (v * w, w))]
+        key = key[first]
+        starts = L.runs(*key.T[:4])
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True))[: len(starts)]
+        lin, three = key[:, 4].astype("<i4"), np.stack(totals)
+        head = [names.take(pa.array(key[starts, 0])), *(pa.array(key[starts, d].astype(np.int32)) for d in (1, 2, 3))]
+        return pa.RecordBatch.from_arrays([*head, pa.array([lin[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.ascontiguousarray(three[:, a:b]).tobytes() for a, b in spans], pa.binary())], [*L.BOX, "lin", "sums"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, SOME_CELLS // n_cells)
+        for batch in batches:
+            for at in range(0, batch.num_rows, some):
+                yield sums(batch.slice(at, some))
+
+    parts = rows.mapInArrow(task, L.sums_schema(predictions.schema["scene_id"].dataType.simpleString()))
+    return L.added(parts, ["sum_v", "sum_w"], tile).select(*CELL, "sum_v", "sum_w", "n")
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:

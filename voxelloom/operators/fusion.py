@@ -1,18 +1,37 @@
-"""Depth observations fused into signed-distance grids."""
+"""Depth observations fused into signed-distance grids.
+
+Whole grids are seen tile by tile. A tile is tested against a frame by the box of its cells' centres before any cell is made:
+it is left out if all of the box is on the far side of one border of the image. What is left of a frame is cut into
+bands of BAND_ROWS image rows, and a band's pixels, the camera and the numbers of the tiles that may fall in it meet in one
+task, where the band is a plain array: depth is looked up by place, so that only pixels and tile numbers are shuffled, never a
+row for each cell and frame. Such rows, or sums of a tile's cells over the frames, leave the task.
+
+Points that lie behind a camera are projected like others unless asked otherwise. A frame has one row a pixel; rows outside
+the image and unknown depths add nothing. Frames without a grid, or of a scene without frames, see nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import geometry as G
+from voxelloom.operators import tiles as L
 from voxelloom.operators.grid import CELL, evaluated
 
 FRAME = ["scene_id", "frame_id"]
+BAND_ROWS = 64
+#: Cells that a task projects at once.
+SOME_CELLS = 1 << 17
+_VIEW = ["ni", "nj", "nk", "vox_size", "rot", "origin", "h", "w", "intrinsics", "view"]
 
 
 def project_voxels(centres: DataFrame, frames: DataFrame, require_positive_depth: bool = False) -> DataFrame:
-    """Pixel (row, col) and camera depth z of each cell in each frame of its scene that sees it."""
+    """Pixel (row, col) and camera depth z of each of some points with a cell in each frame of its scene that sees it."""
     views = frames.select(*FRAME, "h", "w", F.col("k").alias("intrinsics"), G.inverse_pose(F.col("h_mat")).alias("view"))
     cam = G.to_camera(G.columns("x", "y", "z"), F.col("view"))
     joined = evaluated(centres.join(views, "scene_id"), **dict(zip(("cx", "cy", "cz"), cam, strict=True)))
@@ -26,8 +45,235 @@ def project_voxels(centres: DataFrame, frames: DataFrame, require_positive_depth
     return seen.where(inside).drop("h", "w")
 
 
+def _flat(view: dict, idx: np.ndarray) -> np.ndarray:
+    """Homogeneous pixel coordinates (fu, fv, fz) of places in the cells of a grid."""
+    world = ((idx + 0.5) * view["vox_size"]) @ view["rot"].T + view["origin"]
+    camera = world @ view["view"][:, :3].T + view["view"][:, 3]
+    return camera @ view["intrinsics"].T
+
+
+def _view(row: dict) -> dict:
+    shapes = {"rot": (3, 3), "origin": (3,), "intrinsics": (3, 3), "view": (3, 4)}
+    return row | {c: np.array(row[c], float).reshape(s) for c, s in shapes.items()}
+
+
+def tile_bands(view: dict, tile: int, band_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tiles of a grid whose cells may fall in a frame, and the first and last band of image rows that they may reach.
+
+    With all corners of the box of centres in front (or all behind), a border of the image is a plane and the tile is out
+    if every corner is beyond it; a pixel to spare covers rounding. Where the box crosses the camera's plane nothing is known.
+    """
+    shape = np.array([view["ni"], view["nj"], view["nk"]])
+    n = -(-shape // tile)
+    boxes = np.stack(np.meshgrid(*map(np.arange, n), indexing="ij"), -1).reshape(-1, 3)
+    low, high = boxes * tile, np.minimum((boxes + 1) * tile, shape) - 1
+    pick = np.array(np.meshgrid(*[(0, 1)] * 3, indexing="ij")).reshape(3, -1).T
+    corners = np.where(pick[None], high[:, None, :], low[:, None, :])
+    fu, fv, fz = np.moveaxis(_flat(view, corners), -1, 0)
+    side = np.where((fz > 0).all(1), 1.0, np.where((fz < 0).all(1), -1.0, 0.0))
+    out = np.zeros(len(boxes), bool)
+    for f, size in ((fu, view["w"]), (fv, view["h"])):
+        for beyond in (-(f + 1.5 * fz), f - (size + 0.5) * fz):
+            out |= (side != 0) & ((beyond * side[:, None]) > 0).all(1)
+    last_band = (view["h"] - 1) // band_rows
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = np.where((side != 0)[:, None], fv / fz, 0.0)
+    first = np.where(side != 0, np.clip(np.floor((v.min(1) - 1) / band_rows), 0, last_band), 0).astype(int)
+    last = np.where(side != 0, np.clip(np.floor((v.max(1) + 1) / band_rows), 0, last_band), last_band).astype(int)
+    return boxes[~out], first[~out], last[~out]
+
+
+def frame_bands(grids: DataFrame, frames: DataFrame, tile: int = L.TILE, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(scene_id, frame_id, band, camera and grid, tiles): the tiles that may fall in each band of each frame, as int triples."""
+    pose = frames.select(*FRAME, "h", "w", F.col("k").alias("intrinsics"), G.inverse_pose(F.col("h_mat")).alias("view"))
+    meta = grids.select("scene_id", *_VIEW[:6])
+    rows = pose.join(meta, "scene_id").select(*FRAME, *_VIEW)
+    schema = rows.select("*", F.lit(0).alias("band"), F.lit(b"").alias("tiles")).schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bands, tiles = [], [], []
+            for n, row in enumerate(batch.to_pylist()):
+                boxes, first, last = tile_bands(_view(row), tile, band_rows)
+                for band in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
+                    own = boxes[(first <= band) & (band <= last)]
+                    if len(own):
+                        at.append(n)
+                        bands.append(band)
+                        tiles.append(own.astype("<i4").tobytes())
+            some = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(bands, pa.int32()), pa.array(tiles, pa.binary())], [*some.schema.names, "band", "tiles"])
+
+    return rows.mapInArrow(task, schema)
+
+
+
+
+def _over_bands(grids: DataFrame, frames: DataFrame, pixels: DataFrame, sink: Callable, schema: str, tile: int, band_rows: int) -> DataFrame:
+    """Bands with their pixels and tiles in one task each; `sink` makes what takes the cells seen and gives batches."""
+    views = frame_bands(grids, frames, tile, band_rows).withColumn("is_pixel", F.lit(False))
+    own = pixels.where("depth IS NOT NULL").select(*FRAME, F.floor(F.col("row") / band_rows).cast("int").alias("band"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("depth").cast("double").alias("depth"))
+    keys = [*FRAME, "band"]
+    rows = views.unionByName(own.withColumn("is_pixel", F.lit(True)), allowMissingColumns=True).withColumn("run", F.xxhash64(*keys))
+    ordered = rows.repartition(*keys).sortWithinPartitions("run", *keys, "is_pixel")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, view, run, image = sink(), None, None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            boxes = np.frombuffer(view["tiles"], "<i4").reshape(-1, 3).astype(np.int64)
+            some = max(1, SOME_CELLS // tile**3)
+            for at in range(0, len(boxes), some):
+                _look_up(view, boxes[at : at + some], image, tile, band_rows, out)
+                yield from out.ready()
+
+        for batch in batches:
+            names, is_pixel = batch["run"].to_numpy(), batch["is_pixel"].to_numpy(zero_copy_only=False)
+            starts = L.runs(names, is_pixel).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if not is_pixel[a]:
+                    if view is not None:
+                        yield from finish()
+                    view = _view({c: batch[c][a].as_py() for c in (*FRAME, *_VIEW, "band", "tiles")})
+                    run, image = names[a], np.full((band_rows, view["w"]), np.nan)
+                elif view is not None and names[a] == run:
+                    row, col = (batch[c].slice(a, b - a).to_numpy() for c in ("row", "col"))
+                    fits = (row >= 0) & (col >= 0) & (col < view["w"]) & (row < view["h"])
+                    image[row[fits] - view["band"] * band_rows, col[fits]] = batch["depth"].slice(a, b - a).to_numpy()[fits]
+        if view is not None:
+            yield from finish()
+        yield from out.rest()
+
+    return ordered.mapInArrow(task, schema)
+
+
+def _look_up(view: dict, boxes: np.ndarray, image: np.ndarray, tile: int, band_rows: int, out) -> None:
+    """Cells of some tiles that fall in a band, with their pixel, camera depth and observed depth (NaN if unknown)."""
+    inner = np.stack(np.meshgrid(*[np.arange(tile)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    for box in boxes:
+        idx = box * tile + inner
+        lin = np.flatnonzero((idx < (view["ni"], view["nj"], view["nk"])).all(1))
+        fu, fv, fz = _flat(view, idx[lin]).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            col, row = np.rint(fu / fz), np.rint(fv / fz)
+        first = view["band"] * band_rows
+        hit = np.flatnonzero((col >= 0) & (col < view["w"]) & (row >= first) & (row < min(first + band_rows, view["h"])) & (fz != 0))
+        if len(hit):
+            col, row = col[hit].astype(np.int32), row[hit].astype(np.int32)
+            out.take(view["scene_id"], view["frame_id"], tuple(box.tolist()), lin[hit], col, row, fz[hit], image[row - first, col])
+
+
+class _Rows:
+    """A row for each cell and frame."""
+
+    def __init__(self, tile: int, scene: pa.DataType, frame: pa.DataType):
+        self.tile, self.kinds, self.held = tile, (scene, frame), []
+
+    def take(self, scene, frame, box, lin, col, row, z, depth) -> None:
+        ids = [pa.repeat(pa.scalar(x, t), len(lin)) for x, t in zip((scene, frame), self.kinds, strict=True)]
+        ijk = L.tile_cells(box, lin, self.tile)
+        self.held.append(pa.RecordBatch.from_arrays([ids[0], *map(pa.array, ijk), ids[1], *map(pa.array, (col, row, z)), pa.array(depth, mask=np.isnan(depth))], [*CELL, "frame_id", "col", "row", "z", "depth"]))
+
+    def ready(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield from pa.Table.from_batches(self.held).combine_chunks().to_batches()
+            self.held = []
+
+    rest = ready
+
+
+class _Sums:
+    """Sums of what `of(z, depth)` gives for each cell, a tile in one row."""
+
+    def __init__(self, tile: int, scene: pa.DataType, n_sums: int, of: Callable):
+        self.kind, self.of, self.sums = scene, of, L.TileSums(n_sums, tile)
+
+    def take(self, scene, frame, box, lin, col, row, z, depth) -> None:
+        use, values = self.of(z, depth)
+        if use.any():
+            self.sums.add(scene, box, lin[use], [v[use] for v in values])
+
+    def ready(self) -> Iterator[pa.RecordBatch]:
+        if self.sums.full():
+            yield self.sums.batch(self.kind)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.sums.held:
+            yield self.sums.batch(self.kind)
+
+
+def _types(frames: DataFrame) -> tuple[list[str], list[pa.DataType]]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [frames.schema[c].dataType for c in FRAME]
+    return [k.simpleString() for k in kinds], [to_arrow_type(k) for k in kinds]
+
+
+def observe_grid(grids: DataFrame, frames: DataFrame, pixels: DataFrame, tile: int = L.TILE, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(cell, frame_id, col, row, z, depth): each cell of each grid in each frame that holds it; depth is NULL where unknown."""
+    names, kinds = _types(frames)
+    schema = f"scene_id {names[0]}, i int, j int, k int, frame_id {names[1]}, col int, row int, z double, depth double"
+    return _over_bands(grids, frames, pixels, lambda: _Rows(tile, *kinds), schema, tile, band_rows)
+
+
+def _sums_over(grids: DataFrame, frames: DataFrame, pixels: DataFrame, names: list[str], of: Callable, tile: int, band_rows: int) -> DataFrame:
+    scene, kinds = _types(frames)
+    parts = _over_bands(grids, frames, pixels, lambda: _Sums(tile, kinds[0], len(names), of), L.sums_schema(scene[0]), tile, band_rows)
+    return L.added(parts, names, tile)
+
+
+def _clipped(z: np.ndarray, depth: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray]:
+    return z - depth, -np.clip(z - depth, -mu, mu)
+
+
+def fuse_grid(grids: DataFrame, frames: DataFrame, pixels: DataFrame, mu: float, surface: float | None = None, narrow_band: bool = False, prior: DataFrame | None = None, tile: int = L.TILE, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Mean of the clipped distances to the observed surface of each cell, over the frames where it isn't hidden, as `fuse` has it.
+
+    (cell, v, sum_w, visible, visible_count, n_frames) of the cells that are seen, or known in `prior`. A pixel mask is a filter
+    of `pixels`.
+    """
+    limit = mu if surface is None else surface
+
+    def of(z: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        distance, d = _clipped(z, depth, mu)
+        near = np.abs(distance) <= mu if narrow_band else distance <= mu  # NaN is neither
+        return near, [d, (np.abs(d) < limit).astype(float)]
+
+    sums = _sums_over(grids, frames, pixels, ["sum_wd", "on_surface"], of, tile, band_rows)
+    rows = sums.select(*CELL, F.col("n").cast("double").alias("w"), F.col("sum_wd").alias("wd"), F.col("on_surface").cast("long").alias("visible_count"), F.col("n").alias("n_frames"))
+    if prior is not None:
+        known = prior.where("v IS NOT NULL").select(*CELL, F.lit(1.0).alias("w"), F.col("v").alias("wd"), F.lit(0).cast("long").alias("visible_count"), F.lit(0).cast("long").alias("n_frames"))
+        rows = rows.unionByName(known).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("w", "wd", "visible_count", "n_frames")))
+    return rows.select(*CELL, (F.col("wd") / F.col("w")).alias("v"), F.col("w").alias("sum_w"), (F.col("visible_count") > 0).alias("visible"), "visible_count", "n_frames")
+
+
+def carve_grid(grids: DataFrame, frames: DataFrame, pixels: DataFrame, voxels: DataFrame, tile: int = L.TILE, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Value of each cell plus the number of frames that see past it."""
+    empty = _sums_over(grids, frames, pixels, [], lambda z, depth: (depth > z, []), tile, band_rows)
+    joined = voxels.join(empty, CELL, "left")
+    return joined.select(*CELL, (F.coalesce("v", F.lit(0.0)) + F.coalesce("n", F.lit(0))).alias("v"))
+
+
+def fuse_in_frustum(grids: DataFrame, frames: DataFrame, pixels: DataFrame, mu: float, tile: int = L.TILE, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Each cell that a frame's image holds: its fused distance `v` (NULL if hidden in all) and `in_frustum_count`.
+
+    One projection serves both, as `fuse_grid` and `frustum_counts` have it.
+    """
+
+    def of(z: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        distance, d = _clipped(z, depth, mu)
+        near = distance <= mu
+        return np.ones(len(z), bool), [np.where(near, d, 0.0), near.astype(float)]
+
+    sums = _sums_over(grids, frames, pixels, ["sum_d", "near"], of, tile, band_rows)
+    return sums.select(*CELL, F.try_divide("sum_d", "near").alias("v"), F.col("n").alias("in_frustum_count"))
+
+
 def observe(centres: DataFrame, frames: DataFrame, pixels: DataFrame) -> DataFrame:
-    """`project_voxels` with the depth observed at the pixel; unseen depth drops the row."""
+    """`project_voxels` of some points with the depth observed at the pixel; unseen depth drops the row.
+
+    For few points, or pixels that arrive as a stream; `observe_grid` is for whole grids.
+    """
     depth = pixels.where("depth IS NOT NULL").select(*FRAME, "row", "col", "depth")
     return project_voxels(centres, frames).join(depth, [*FRAME, "row", "col"])
 
@@ -47,8 +293,9 @@ def unseen_projection(voxels: DataFrame, frames: DataFrame) -> DataFrame:
 def fuse(observed: DataFrame, mu: float, surface: float | None = None, narrow_band: bool = False, prior: DataFrame | None = None, weight: Column | None = None) -> DataFrame:
     """Weighted mean of the clipped distances to the observed surface of each cell, over the frames where it isn't hidden.
 
-    surface: largest clipped distance that counts as the surface itself, in world units. prior: a grid whose known
-    cells start with weight 1. Sums don't depend on the order of frames.
+    From rows of `observe` or `observe_grid`, where rows need weights of their own; `fuse_grid` sums in tiles. surface: largest
+    clipped distance that counts as the surface itself, in world units. prior: a grid whose known cells start with weight 1.
+    Sums don't depend on the order of frames.
     """
     distance = F.col("z") - F.col("depth")
     near = F.abs(distance) <= mu if narrow_band else distance <= mu
@@ -63,28 +310,9 @@ def fuse(observed: DataFrame, mu: float, surface: float | None = None, narrow_ba
     return sums.select(*CELL, (F.col("sum_wd") / F.col("sum_w")).alias("v"), "sum_w", "visible", "visible_count", "n_frames")
 
 
-def frustum_counts(projected: DataFrame) -> DataFrame:
-    """Frames whose image holds a cell, whether or not it is visible there."""
-    return projected.groupBy(*CELL).agg(F.count("*").alias("in_frustum_count"))
-
-
-def carve(observed: DataFrame, voxels: DataFrame) -> DataFrame:
-    """Value of each cell plus the number of frames that see past it."""
-    empty = observed.groupBy(*CELL).agg(F.count_if(F.col("depth") > F.col("z")).alias("n_empty"))
-    joined = voxels.join(empty, CELL, "left")
-    return joined.select(*CELL, (F.coalesce("v", F.lit(0.0)) + F.coalesce("n_empty", F.lit(0))).alias("v"))
-
-
-def fuse_in_frustum(centres: DataFrame, frames: DataFrame, pixels: DataFrame, mu: float) -> DataFrame:
-    """Each cell that a frame's image holds: its fused distance `v` (NULL if hidden in all) and `in_frustum_count`.
-
-    One projection serves both, as `fuse` and `frustum_counts` have it.
-    """
-    depth = pixels.where("depth IS NOT NULL").select(*FRAME, "row", "col", "depth")
-    seen = project_voxels(centres, frames).join(depth, [*FRAME, "row", "col"], "left")
-    distance = F.col("z") - F.col("depth")
-    d = F.when(distance <= mu, -G.truncate(distance, mu))
-    return seen.groupBy(*CELL).agg(F.avg(d).alias("v"), F.count("*").alias("in_frustum_count"))
+def frustum_counts(seen: DataFrame) -> DataFrame:
+    """Frames whose image holds a cell, whether or not it is visible there, from rows of a projection."""
+    return seen.groupBy(*CELL).agg(F.count("*").alias("in_frustum_count"))
 
 
 def region_of(fused: DataFrame, least_k: int = 6) -> DataFrame:

@@ -210,7 +210,7 @@ def f3(s, d):
 
 @query("j1_depth_lookup", W("observed") + " SELECT * FROM observed")
 def j1(s, d):
-    return U.observe(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d)).select(*CELL, "frame_id", "col", "row", "z", "depth")
+    return U.observe_grid(V.grids(s, d), V.frames(s, d), V.pixels(s, d)).where("depth IS NOT NULL")
 
 
 @query("j2_bounded_lookup", W("voxels", "samples") + " SELECT event_id, p.scene_id, p.i, p.j, p.k, v FROM (SELECT event_id, scene_id, CAST(floor(x * 16) AS INTEGER) AS i, CAST(floor(y * 16) AS INTEGER) AS j, CAST(floor(z * 16) AS INTEGER) AS k FROM samples) p LEFT JOIN voxels USING (scene_id, i, j, k)")
@@ -267,8 +267,7 @@ def j7(s, d):
 
 
 def _fused(s, d, **options):
-    seen = U.observe(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d))
-    return U.fuse(seen, MU, surface=0.125, **options)
+    return U.fuse_grid(V.grids(s, d), V.frames(s, d), V.pixels(s, d), MU, surface=0.125, **options)
 
 
 @query("j8_keep_existing", W("fused", "voxels") + " SELECT scene_id, i, j, k, coalesce(f.v, p.v) AS v FROM (SELECT scene_id, i, j, k, round(v, 9) AS v FROM fused) f FULL JOIN voxels p USING (scene_id, i, j, k)")
@@ -314,7 +313,7 @@ def a3(s, d):
 
 @query("a4_carving", W("observed", "voxels") + ", e AS (SELECT scene_id, i, j, k, count(CASE WHEN depth > z THEN 1 END) AS n FROM observed GROUP BY 1, 2, 3, 4) SELECT scene_id, i, j, k, coalesce(v, 0) + coalesce(n, 0) AS v FROM voxels LEFT JOIN e USING (scene_id, i, j, k)")
 def a4(s, d):
-    return U.carve(U.observe(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d)), V.voxels(s, d))
+    return U.carve_grid(V.grids(s, d), V.frames(s, d), V.pixels(s, d), V.voxels(s, d))
 
 
 def _predictions(s, d):
@@ -348,13 +347,13 @@ def a7(s, d):
 
 @query("f5_evaluation_region", W("seen", "fused", "cells") + " SELECT scene_id, i, j, k FROM (SELECT DISTINCT scene_id, i, j, k FROM seen WHERE k >= 6) s LEFT JOIN fused USING (scene_id, i, j, k) WHERE v IS NULL OR v < 0")
 def f5(s, d):
-    fused = U.fuse_in_frustum(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d), MU)
+    fused = U.fuse_in_frustum(V.grids(s, d), V.frames(s, d), V.pixels(s, d), MU)
     return U.region_of(fused).select(*CELL)
 
 
 def fusion_scores(s, d):
     """Fused grids against the truth, over the evaluation region of each scene."""
-    fused = U.fuse_in_frustum(R.world_centres(V.grids(s, d)), V.frames(s, d), V.pixels(s, d), MU)
+    fused = U.fuse_in_frustum(V.grids(s, d), V.frames(s, d), V.pixels(s, d), MU)
     return E.confusion_within(U.region_of(fused), V.voxels(s, d), MU)
 
 

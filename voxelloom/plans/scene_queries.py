@@ -597,7 +597,7 @@ def v12(s, d):
     from voxelloom.plans import reconstruct as P
 
     grids, truth, centre = V.grids(s, d), V.voxels(s, d), (0.5, 0.5, 0.5)
-    visible = written(U.fuse_in_frustum(R.world_centres(grids), V.frames(s, d), V.pixels(s, d), V.MU).where("v IS NOT NULL").select(*CELL, "v"))
+    visible = written(U.fuse_in_frustum(grids, V.frames(s, d), V.pixels(s, d), V.MU).where("v IS NOT NULL").select(*CELL, "v"))
     samples = written(T.pick_model(_sampled_points(s, d), F.col("sample_id"), [(m, p) for m, p, _, _ in MODELS], 4))
     sums = []
     for model, _, shape, height in MODELS:
