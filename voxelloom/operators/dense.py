@@ -257,28 +257,37 @@ def shifted(mask: np.ndarray, dr: int, dc: int) -> np.ndarray:
 
 
 def segment_plan(occupied: np.ndarray, radius: int = 5) -> np.ndarray:
-    """Cross erosion, components, and a disk dilation of each label in turn, later labels over earlier ones."""
+    """Cross erosion, components, and a disk dilation of each label in turn, in place: a label grows from those of its cells that
+    no smaller label has grown over, and takes cells from smaller ones. Only the box around a label is looked at."""
     cross = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
     eroded = np.logical_and.reduce([shifted(occupied, *s) for s in cross])
     labels = label_components(eroded)
-    out = np.zeros_like(labels)
     disk = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if r * r + c * c <= radius * radius]
-    for n in range(1, labels.max() + 1):
-        grown = np.logical_or.reduce([shifted(labels == n, *s) for s in disk])
-        out[grown] = n
-    return out
-
-
-def segment(voxels: DataFrame, shape: Sequence[int], floor_k: int, threshold: int, radius: int = 5) -> DataFrame:
-    """Label of each cell: objects of the floor plan, the same at all heights from the floor up, 0 below it."""
-    plan = occupied_above(voxels, floor_k, threshold).where("occupied").select("scene_id", "i", "j")
+    row, col = np.nonzero(labels)
+    order = np.argsort(labels[row, col], kind="stable")
+    row, col = row[order], col[order]
+    cuts = np.searchsorted(labels[row, col], np.arange(1, labels.max(initial=0) + 2)).tolist()
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+        low = np.maximum([row[a:b].min() - radius, col[a:b].min() - radius], 0)
+        box = labels[low[0] : row[a:b].max() + radius + 1, low[1] : col[a:b].max() + radius + 1]
+        box[np.logical_or.reduce([shifted(box == n, *s) for s in disk])] = n
+    return labels
+
+
+def segment(voxels: DataFrame, grids: DataFrame, floor_k: int, threshold: int, radius: int = 5) -> DataFrame:
+    """Label of each cell: objects of the floor plan, the same at all heights from the floor up, 0 below it.
+
+    Scenes may differ in shape. Only the floor plan's occupied places go to a task, one scene's at a time: labels grow over
+    each other in order, which is serial within a scene.
+    """
+    plan = occupied_above(voxels, floor_k, threshold).where("occupied").select("scene_id", "i", "j").join(grids.select("scene_id", "ni", "nj"), "scene_id")
 
     def scene(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros(shape[:2], bool)
+        mask = np.zeros((pdf["ni"].iloc[0], pdf["nj"].iloc[0]), bool)
         mask[pdf["i"], pdf["j"]] = True
         labels = segment_plan(mask, radius)
-        i, j = np.indices(shape[:2])
-        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "i": i.ravel(), "j": j.ravel(), "label": labels.ravel()})
+        i, j = np.nonzero(labels)
+        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[:1].repeat(len(i)).to_numpy(), "i": i, "j": j, "label": labels[i, j]})
 
     kind = voxels.schema["scene_id"].dataType.simpleString()
     labels = plan.groupBy("scene_id").applyInPandas(scene, f"scene_id {kind}, i int, j int, label int")
@@ -286,18 +295,47 @@ def segment(voxels: DataFrame, shape: Sequence[int], floor_k: int, threshold: in
     return joined.select(*CELL, F.when(F.col("k") >= floor_k, F.coalesce("label", F.lit(0))).otherwise(0).alias("label"))
 
 
+def _envelope(f: np.ndarray) -> np.ndarray:
+    """Least f[q] + (p - q)^2 over q for each place p of each line (a row): the lower envelope of the parabolas at q.
+
+    The parabolas that make up the envelope so far are a stack a line, with the place from which each is lowest; a new one takes
+    those off that it undercuts from their start on. Each is put and taken once, so the work is linear in a line's length; all
+    lines advance together.
+    """
+    lines, n = f.shape
+    every = np.arange(lines)
+    at, start = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf)
+    start[:, 0] = -np.inf
+    top = np.zeros(lines, np.int64)
+    for q in range(1, n):
+        open_lines, cross = every, np.empty(lines)
+        while len(open_lines):
+            v = at[open_lines, top[open_lines]]
+            cross[open_lines] = ((f[open_lines, q] + q * q) - (f[open_lines, v] + v * v)) / (2 * (q - v))
+            open_lines = open_lines[cross[open_lines] <= start[open_lines, top[open_lines]]]
+            top[open_lines] -= 1
+        top += 1
+        at[every, top], start[every, top] = q, cross
+        start[every, top + 1] = np.inf
+    out, top = np.empty(f.shape), np.zeros(lines, np.int64)
+    for p in range(n):
+        late = every[start[every, top + 1] < p]
+        while len(late):
+            top[late] += 1
+            late = late[start[late, top[late] + 1] < p]
+        v = at[every, top]
+        out[:, p] = f[every, v] + (p - v) ** 2
+    return out
+
+
 def nearest_along(f: np.ndarray, axis: int) -> np.ndarray:
     """Least f[q] + (p - q)^2 over the places q of one axis, for each place p; some lines at a time."""
     n = f.shape[axis]
     moved = np.moveaxis(f, axis, -1)
     lines, out = moved.reshape(-1, n), np.empty((moved.size // max(1, n), n))
-    places = np.arange(n)
-    for at in range(0, len(lines), max(1, (1 << 20) // max(1, n))):
-        some = lines[at : at + max(1, (1 << 20) // max(1, n))]
-        best = np.full(some.shape, np.inf)
-        for q in range(n):
-            np.minimum(best, some[:, q : q + 1] + (places - q) ** 2, out=best)
-        out[at : at + len(some)] = best
+    some = max(1, SOME_CELLS // max(1, n))
+    for at in range(0, len(lines), some):
+        out[at : at + some] = _envelope(lines[at : at + some])
     return np.moveaxis(out.reshape(moved.shape), -1, axis)
 
 
@@ -332,55 +370,91 @@ def signed_distance(occupied: DataFrame, vox_size: float, truncation: float | No
     return values.select(*CELL, (d if truncation is None else F.greatest(F.least(d, F.lit(truncation)), F.lit(-truncation))).alias("v"))
 
 
-def candidate_distance(measure: str, visible: np.ndarray, predicted: np.ndarray, observed: np.ndarray | None = None, mu: float = 0.25) -> float:
-    """How far a predicted block is from what is seen of it; `observed` are the cells with a surface point.
+def candidate_distances(measure: str, visible: np.ndarray, predicted: np.ndarray, observed: np.ndarray | None = None, mu: float = 0.25) -> np.ndarray:
+    """How far each predicted block (a row) is from what is seen of it; `observed` are the cells with a surface point.
 
     Unknown visible cells count as -mu, unknown predicted ones as mu; infinite where there is nothing to compare.
     """
     visible, predicted = np.where(np.isnan(visible), -mu, visible), np.where(np.isnan(predicted), mu, predicted)
-    low, high = visible.min(), visible.max()
+    low, high, nothing = visible.min(), visible.max(), np.full(len(predicted), np.inf)
     if measure == "pointwise":
-        return float(np.abs(predicted[observed]).mean()) if observed is not None and len(observed) else float("inf")
+        return np.abs(predicted[:, observed]).mean(1) if observed is not None and len(observed) else nothing
+    seen = visible > 0.9 * low
     if measure == "just_empty":
-        own = visible > 0.9 * low
-        return float(np.linalg.norm((visible > 0)[own].astype(float) - (predicted > 0)[own]))
+        return np.sqrt((((visible > 0) != (predicted > 0)) & seen).sum(1).astype(float))
+    squares = (visible - predicted) ** 2
     if measure == "narrow_band":
-        own = (visible > 0.9 * low) & (visible < 0.9 * high)
-        return float(np.sqrt(np.mean((visible[own] - predicted[own]) ** 2))) if own.any() else float("inf")
+        own = seen & (visible < 0.9 * high)
+        return np.sqrt(squares[:, own].mean(1)) if own.any() else nothing
     if measure == "largest_of_free_zones":
-        seen, free = visible > 0.9 * low, predicted > 0.9 * low
-        own = seen if seen.sum() > free.sum() else free
-        return float(np.linalg.norm(visible[own] - predicted[own]) / own.sum()) if own.any() else float("inf")
+        free = predicted > 0.9 * low
+        own = np.where((seen.sum() > free.sum(1))[:, None], seen, free)
+        n = own.sum(1)
+        return np.where(n > 0, np.sqrt((squares * own).sum(1)) / np.maximum(n, 1), np.inf)
     raise ValueError(measure)
 
 
-def choose(candidates: DataFrame, how: str, measure: str = "narrow_band", mu: float = 0.25) -> DataFrame:
-    """One block for each (scene_id, sample_id) of the candidates (tree_id, medoid_id, vals, visible): the closest to what is
-    seen (first tree on ties, and where no candidate can be compared), the medoid, or the mean.
+def candidate_distance(measure: str, visible: np.ndarray, predicted: np.ndarray, observed: np.ndarray | None = None, mu: float = 0.25) -> float:
+    return float(candidate_distances(measure, visible, predicted[None], observed, mu)[0])
 
-    A group holds one block a tree. `min_dist` is NULL where nothing could be compared, 0 for medoid and mean.
+
+#: Means and components that give coded blocks back.
+Decoder = tuple[np.ndarray, np.ndarray]
+
+
+def choose_among(seen: DataFrame, candidates: DataFrame, how: str, measure: str = "narrow_band", mu: float = 0.25, decoder: Decoder | None = None, mask_decoder: Decoder | None = None) -> DataFrame:
+    """One block for each row of `seen` (scene_id, sample_id, visible, observed if there is; other columns stay) that has candidates.
+
+    candidates: (scene_id, sample_id, tree_id, medoid_id, code and, with a `mask_decoder`, mask_code). Codes are what is joined
+    and gathered, one a tree; a sample's are decoded together beside its visible block, and only the winner's block and
+    mask leave the task: the closest to what is seen (first tree on ties, and where no candidate can be compared), the medoid, or
+    the mean. Without a decoder a code is the block itself. `min_dist` is NULL where nothing could be compared, 0 for medoid and mean.
     """
+    spark, codes = seen.sparkSession, ["code"] if mask_decoder is None else ["code", "mask_code"]
+    grouped = candidates.groupBy("scene_id", "sample_id").agg(F.array_sort(F.collect_list(F.struct("tree_id", "medoid_id", *codes))).alias("guesses"))
+    rows = seen if "observed" in seen.columns else seen.withColumn("observed", F.lit(None).cast("array<int>"))
+    joined = rows.join(grouped, ["scene_id", "sample_id"])
+    kept = [c for c in rows.columns if c not in ("visible", "observed")]
+    shared = spark.sparkContext.broadcast((decoder, mask_decoder))
+
+    def best(vals: np.ndarray, visible, observed) -> tuple[int, float | None]:
+        if how == "medioid":
+            return int(((vals - vals.mean(0)) ** 2).sum(1).argmin()), 0.0
+        d = candidate_distances(measure, np.array([np.nan if x is None else x for x in visible], float), vals, None if observed is None else np.array(observed, int), mu)
+        k = int(np.argmin(d))
+        return k, float(d[k]) if np.isfinite(d[k]) else None
 
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tree_id")
-        vals = np.stack([np.array([np.nan if x is None else x for x in v], float) for v in pdf["vals"]])
-        vals = np.where(np.isnan(vals), mu, vals)
-        if how == "mean":
-            pick, out, dist = -1, vals.mean(0), 0.0
-        elif how == "medioid":
-            k = int(((vals - vals.mean(0)) ** 2).sum(1).argmin())
-            pick, out, dist = int(pdf["medoid_id"].iloc[k]), vals[k], 0.0
-        else:
-            seen = [np.array([np.nan if x is None else x for x in v], float) for v in pdf["visible"]]
-            d = [candidate_distance(measure, s, v, np.array(o, int) if o is not None else None, mu) for s, v, o in zip(seen, vals, pdf["observed"], strict=True)]
-            k = int(np.argmin(d))
-            pick, out, dist = int(pdf["medoid_id"].iloc[k]), vals[k], d[k] if np.isfinite(d[k]) else None
-        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[:1], "sample_id": pdf["sample_id"].iloc[:1], "medoid_id": [pick], "min_dist": [dist], "vals": [out.tolist()]})
-
-    if "observed" not in candidates.columns:
-        candidates = candidates.withColumn("observed", F.lit(None).cast("array<int>"))
-    kinds = [f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("scene_id", "sample_id")]
-    return candidates.groupBy("scene_id", "sample_id").applyInPandas(sample, ", ".join(kinds) + ", medoid_id long, min_dist double, vals array<double>")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vals_of, mask_of = shared.value
+        for batch in batches:
+            out, masks, heads = [], [], []
+            for guesses, visible, observed in zip(batch["guesses"], batch["visible"], batch["observed"], strict=True):
+                own = guesses.values
+                code = numbers(own.field("code"), own.field("code").value_lengths()[0].as_py())
+                vals = np.where(np.isnan(code), mu, code) if vals_of is None else code @ vals_of[1] + vals_of[0]
+                if how == "mean":
+                    heads.append((-1, 0.0))
+                    out.append(vals.mean(0))
+                    continue
+                k, dist = best(vals, visible.as_py() or [], observed.as_py())
+                heads.append((own.field("medoid_id")[k].as_py(), dist))
+                out.append(vals[k])
+                if mask_of is not None:
+                    masks.append(np.array(own.field("mask_code")[k].as_py()) @ mask_of[1] + mask_of[0])
+            chosen = [pa.array([h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.float64())]
+            blocks = [lists(np.stack(x)) if x else pa.array([], pa.list_(pa.float64())) for x in ((out,) if mask_of is None else (out, masks))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *chosen, *blocks], [*kept, "medoid_id", "min_dist", "vals", *(["mask"] if mask_of is not None else [])])
+
+    kinds = {"medoid_id": "long", "min_dist": "double", "vals": "array<double>"} | ({"mask": "array<double>"} if mask_decoder is not None else {})
+    more = [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]  # nullable
+    return joined.select(*kept, "guesses", "visible", "observed").mapInArrow(task, rows.select(*kept, *more).schema)
+
+
+def choose(candidates: DataFrame, how: str, measure: str = "narrow_band", mu: float = 0.25) -> DataFrame:
+    """`choose_among` for candidates that come whole, with what is seen beside each: (scene_id, sample_id, tree_id, medoid_id, vals,
+    visible, and observed if there is)."""
+    seen = candidates.groupBy("scene_id", "sample_id").agg(*(F.first(c).alias(c) for c in ("visible", "observed") if c in candidates.columns))
+    return choose_among(seen, candidates.withColumnRenamed("vals", "code"), how, measure, mu)
 
 
 def greedy_accept(placed: DataFrame, truth: DataFrame, order: str = "sample_id") -> DataFrame:

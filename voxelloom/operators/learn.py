@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.operators.store import written
+from voxelloom.operators.tiles import runs
+
 #: Rows of a partial product that travel together.
 BAND = 256
 
@@ -254,46 +258,184 @@ def oob_r2(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return j.groupBy("tree_id").agg((1 - F.try_divide(F.sum((F.col("p") - F.col("t")) ** 2), F.sum((F.col("t") - F.col("m")) ** 2))).alias("r2"))
 
 
-def _block(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
-    """`rows` with the number of their block, and how many blocks of about `size` rows there are."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+#: Pivots at most, which every task holds, and training rows for each of them while they are fewer.
+MAX_PIVOTS, ROWS_A_PIVOT = 1024, 256
+_SLACK = 1e-9
+
+
+class Voronoi:
+    """Training rows by their nearest pivot: how many there are and how near and far they lie, and what that says of a query."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, n = pivots, len(pivots)
+        self.count, self.near, self.far = np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, -np.inf)
+        self.apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2)) if n * n * pivots.shape[-1] < 1 << 24 else np.stack([np.sqrt(((pivots - p) ** 2).sum(1)) for p in pivots])
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        square = (x**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None, :] - 2 * x @ self.pivots.T
+        return np.sqrt(np.maximum(square, 0))
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's own cell, and how near a training row of each cell can be at the least: by the triangle inequality round
+        the cell's pivot, and by the plane between the two pivots. Empty cells are infinitely far."""
+        d = self.distances(x)
+        own = d.argmin(1)
+        between = np.maximum(self.apart[own], 1e-300)
+        plane = np.where(self.apart[own] > 0, (d**2 - d[np.arange(len(x)), own][:, None] ** 2) / (2 * between), 0.0)
+        least = np.maximum.reduce([d - self.far, self.near - d, plane, np.zeros_like(d)])
+        least = np.where(self.count > 0, least, np.inf)
+        return own, least
+
 
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
 
-def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 20_000, others: bool = False, max_queries: int = 2_000) -> DataFrame:
+
+def voronoi(training: DataFrame, target: str, vector: str, rows_a_pivot: int = ROWS_A_PIVOT, max_pivots: int = MAX_PIVOTS) -> tuple[DataFrame, Voronoi | None]:
+    """`training` as (id, x, cell, dist) with its cells' sizes; None where there are no rows.
+
+    Pivots are the training rows of the least hashes, a bounded sample that only decides the cost: answers are exact.
+    """
+    rows = training.select(F.col(target).alias("id"), F.col(vector).alias("x"))
+    wanted = min(max_pivots, -(-rows.count() // rows_a_pivot))
+    if not wanted:
+        return rows, None
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    cells = Voronoi(np.unique(np.array([r["x"] for r in chosen], float), axis=0))
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            d = own.distances(_vectors(batch["x"], own.pivots.shape[1]))
+            cell = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["x"], pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], ["id", "x", "cell", "dist"])
+
+    placed = written(rows.mapInArrow(task, rows.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("dist")).schema))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).collect():  # a row a pivot
+        # A rough distance is a difference of large numbers, so the ring is a little wider than it says.
+        slack = 1e-6 * (1 + float(np.abs(cells.pivots).max(initial=0)))
+        cells.count[r["cell"]], cells.near[r["cell"]], cells.far[r["cell"]] = r["n"], r["near"] - slack, r["far"] + slack
+    return placed, cells
+
+
+def asked_cells(queries: DataFrame, cells: Voronoi, own: bool) -> DataFrame:
+    """(key, x, known, cell): each query in its own cell, or in every other cell that may hold a row as near as `known`."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                home, least = places.bounds(_vectors(part["x"], places.pivots.shape[1]))
+                if own:
+                    row, cell = np.arange(len(home)), home
+                else:
+                    known = part["known"].fill_null(np.inf).to_numpy()
+                    row, cell = np.nonzero((least <= known[:, None] * (1 + _SLACK) + 1e-6) & np.isfinite(least) & (np.arange(least.shape[1]) != home[:, None]))
+                some = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32))], [*some.schema.names, "cell"])
+
+    return queries.mapInArrow(task, queries.select("*", F.lit(0).alias("cell")).schema)
+
+
+def _nearest_in(ids: np.ndarray, data: np.ndarray, dist: np.ndarray, names: np.ndarray, x: np.ndarray, at: np.ndarray, known: np.ndarray, others: bool) -> tuple[np.ndarray, ...]:
+    """Name, id and distance of the nearest row of one cell (sorted by `dist` from its pivot) to each query.
+
+    `at` is a query's own distance from the pivot: rows whose `dist` differs by more than `known` can't be as near. `known`
+    shrinks as rows are found, a piece of the cell at a time, from the pieces that lie around the queries outwards.
+    """
+    best_id, best, square = np.full(len(x), -1), known.copy(), np.full(len(x), np.inf)
+    middle = float(np.median(at))
+    pieces = sorted(range(0, len(ids), 1024), key=lambda a: max(dist[a] - middle, middle - dist[min(a + 1024, len(ids)) - 1]))
+    for a in pieces:
+        b = min(a + 1024, len(ids))
+        room = best * (1 + _SLACK) + 1e-6
+        open_rows = np.flatnonzero((dist[a] - room <= at) & (at <= dist[b - 1] + room))
+        if not len(open_rows):
+            continue
+        part, own, some = x[open_rows], data[a:b], ids[a:b]
+        rough = (part**2).sum(1)[:, None] + (own**2).sum(1)[None, :] - 2 * part @ own.T
+        if others:
+            rough[names[open_rows][:, None] == some[None, :]] = np.inf
+        row, col = np.nonzero((rough <= rough.min(1)[:, None] + 1e-6) & np.isfinite(rough))
+        d = ((own[col] - part[row]) ** 2).sum(1)  # exact distances decide among those that rounding can't tell apart
+        order = np.lexsort((some[col], d, row))
+        found, first = np.unique(row[order], return_index=True)
+        pick, rows = order[first], open_rows[found]
+        better = (d[pick] < square[rows]) | ((d[pick] == square[rows]) & (some[col[pick]] < best_id[rows]))
+        rows, pick = rows[better], pick[better]
+        square[rows], best_id[rows] = d[pick], some[col[pick]]
+        best[rows] = np.minimum(best[rows], np.sqrt(square[rows]))
+    use = np.isfinite(square)
+    return names[use], best_id[use], np.sqrt(square[use])
+
+
+def _meet(asked: DataFrame, training: DataFrame, cells: Voronoi, max_rows: int, max_queries: int, others: bool, key_type: str) -> DataFrame:
+    """(key, nn_id, dist) of the queries in the cells that they ask.
+
+    A cell's rows come first in a task, at most about `max_rows` of them, and its queries follow, a batch at a time; large
+    cells are dealt over pieces and many queries of one cell over parts.
+    """
+    spark = asked.sparkSession
+    sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    plan = [(c, max(1, -(-int(cells.count[c]) // max_rows)), -(-n // max_queries)) for c, n in sizes.items() if cells.count[c]]
+    table = F.broadcast(spark.createDataFrame(plan, "cell int, pieces int, parts int"))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda of, c: F.pmod(F.xxhash64(of), F.col(c)).cast("int")
+    rows = training.join(table, "cell").select("id", "x", "cell", "dist", dealt("id", "pieces").alias("piece"), span("parts").alias("part"), F.lit(False).alias("is_query"))
+    own = asked.join(table, "cell").select("key", "x", "known", "cell", dealt("key", "parts").alias("part"), span("pieces").alias("piece"), F.lit(True).alias("is_query"))
+    keys = ["cell", "piece", "part"]
+    both = rows.unionByName(own, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "is_query")
+    shared = spark.sparkContext.broadcast(cells.pivots)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, now, held, block = shared.value, None, [], None
+        for batch in batches:
+            columns = [batch[c].to_numpy(zero_copy_only=False) for c in (*keys, "is_query")]
+            starts = runs(*columns).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part, place = batch.slice(a, b - a), tuple(int(c[a]) for c in columns[:3])
+                if place != now:
+                    now, held, block = place, [], None
+                x = _vectors(part["x"], pivots.shape[1])
+                if not columns[3][a]:
+                    held.append((part["id"].to_numpy(), x, part["dist"].to_numpy()))
+                    continue
+                if not held and block is None:
+                    continue
+                if block is None:
+                    ids, data, dist = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(dist, kind="stable")
+                    held, block = [], (ids[order], data[order], dist[order])
+                at = np.sqrt(((x - pivots[place[0]]) ** 2).sum(1))
+                order = np.argsort(at, kind="stable")  # queries that lie alike open the same rows
+                known = part["known"].fill_null(np.inf).to_numpy()
+                names = part["key"].to_numpy(zero_copy_only=False)
+                for first in range(0, len(order), 256):
+                    some = order[first : first + 256]
+                    found = _nearest_in(*block, names[some], x[some], at[some], known[some], others)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], part["key"].type), pa.array(found[1]), pa.array(found[2])], ["key", "nn_id", "dist"])
+
+    return both.mapInArrow(task, f"key {key_type}, nn_id long, dist double")
+
+
+def nearest(queries: DataFrame, training: DataFrame, key: str, target: str, vector: str, max_rows: int = 20_000, others: bool = False, max_queries: int = 20_000, rows_a_pivot: int = ROWS_A_PIVOT) -> DataFrame:
     """(key, nn_id, dist): nearest training row of each query, ties to the smallest id; with `others`, not the query's own id.
 
-    Both sides are cut into blocks of about `max_queries` and `max_rows` rows, every pair of blocks meets in one group, and the
-    least of a query's results is its answer: exact, and no group or driver holds more than two blocks. Queries without a
-    training row to compare with are left out.
+    Training rows are dealt to the cells of pivots. A query first searches its own cell, which gives it a distance; then only
+    the cells that can hold a row as near, by the bounds of `Voronoi`, and in these only rows of a ring around the pivot. Cells
+    that no bound can rule out are searched whole: exact. Queries without a training row to compare with are left out.
     """
     kind = queries.schema[key].dataType.simpleString()
-    q, q_blocks = _block(queries.select(key, vector), key, max_queries)
-    t, t_blocks = _block(training.select(target, vector), target, max_rows)
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Names of their own, since both sides may come from one table.
-    left = q.select(F.col(key).alias("_key"), F.col(vector).alias("_x"), F.col("_block").alias("_q"), copies(t_blocks).alias("_t"))
-    right = t.select(F.col(target).alias("_id"), F.col(vector).alias("_data"), copies(q_blocks).alias("_tq"), F.col("_block").alias("_tt"))
-
-    def pair(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(rows):
-            return pd.DataFrame({key: pd.Series([], dtype=np.int64), "nn_id": pd.Series([], dtype=np.int64), "dist": pd.Series([], dtype=float)})
-        own, ids = some["_key"].to_numpy(), rows["_id"].to_numpy()
-        x, data = matrix(some["_x"]), matrix(rows["_data"])
-        out = []
-        for at in range(0, len(x), 256):
-            part, names = x[at : at + 256], own[at : at + 256]
-            rough = (part**2).sum(1)[:, None] + (data**2).sum(1)[None, :] - 2 * part @ data.T
-            if others:
-                rough[names[:, None] == ids[None, :]] = np.inf
-            least = rough.min(1)
-            row, col = np.nonzero((rough <= least[:, None] + 1e-6) & np.isfinite(rough))
-            d = ((data[col] - part[row]) ** 2).sum(1)  # exact distances decide among those that rounding can't tell apart
-            order = np.lexsort((ids[col], d, row))
-            _, first = np.unique(row[order], return_index=True)
-            best = order[first]
-            out.append(pd.DataFrame({key: names[row[best]], "nn_id": ids[col[best]], "dist": np.sqrt(d[best])}))
-        return pd.concat(out)
-
-    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_tq", "_tt")).applyInPandas(pair, f"{key} {kind}, nn_id long, dist double")
-    return found.groupBy(key).agg(F.min(F.struct("dist", "nn_id")).alias("m")).select(key, "m.nn_id", "m.dist")
+    placed, cells = voronoi(training, target, vector, rows_a_pivot)
+    own = queries.select(F.col(key).alias("key"), F.col(vector).alias("x"))
+    if cells is None:
+        return own.where("false").select(F.col("key").alias(key), F.lit(0).cast("long").alias("nn_id"), F.lit(0.0).alias("dist"))
+    home = asked_cells(own.withColumn("known", F.lit(None).cast("double")), cells, True)
+    first = written(_meet(home, placed, cells, max_rows, max_queries, others, kind))
+    best = lambda found: found.groupBy("key").agg(F.min(F.struct("dist", "nn_id")).alias("m")).select("key", "m.nn_id", "m.dist")
+    asked = written(asked_cells(own.join(best(first).select("key", F.col("dist").alias("known")), "key", "left"), cells, False))
+    found = best(first.unionByName(_meet(asked, placed, cells, max_rows, max_queries, others, kind)))
+    return found.select(F.col("key").alias(key), "nn_id", "dist")

@@ -60,15 +60,35 @@ def without_replacement(df: DataFrame, key: str, n: int, seed: int, draw: Hash =
     return df.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
+#: Ranges of hash values that rows are counted in, to find where a tree's cap falls.
+RANK_BINS = 4096
+
+
 def bag_scenes(examples: DataFrame, n_trees: int, fraction: float, cap: int, seed: int, draw: Hash = uniform) -> DataFrame:
-    """For each tree a fraction of the scenes (rounded up), and of their rows at most `cap`, by hash ranks."""
+    """For each tree a fraction of the scenes (rounded up), and of their rows the `cap` of the least hashes.
+
+    Rows are counted a tree and range of hashes, which says the range that the cap falls into; rows of the ranges before stay
+    where they lie, and only those of that one range are ranked.
+    """
     scenes = examples.select("scene_id").distinct()
     trees = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"))
     ranked = trees.withColumn("r", F.row_number().over(Window.partitionBy("tree_id").orderBy(draw(F.col("scene_id") * 31 + F.col("tree_id"), seed), "scene_id")))
     ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy("tree_id"))).where(F.col("r") <= F.ceil(F.col("n") * fraction))
     rows = examples.join(ranked.select("scene_id", "tree_id"), "scene_id")
-    order = Window.partitionBy("tree_id").orderBy(draw(F.col("example_id") * 37 + F.col("tree_id"), seed + 1), "example_id")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
+    return least_hashes(rows, ["tree_id"], draw(F.col("example_id") * 37 + F.col("tree_id"), seed + 1), "example_id", cap)
+
+
+def least_hashes(rows: DataFrame, group: list[str], rank: Column, key: str, cap: int, bins: int = RANK_BINS) -> DataFrame:
+    """The `cap` rows of each group with the least `rank` (in [0, 1)), ties to the smaller key; groups are few."""
+    binned = rows.withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") * bins).cast("int"))
+    counts = binned.groupBy(*group, "_bin").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("_bin")))  # `bins` rows a group
+    last = upto.where(F.col("upto") > cap).groupBy(*group).agg(F.min(F.struct("_bin", (F.lit(cap) - F.col("upto") + F.col("n")).alias("room"))).alias("last"))
+    cut = binned.join(F.broadcast(last.select(*group, "last.*").withColumnRenamed("_bin", "_last")), group, "left")
+    before = cut.where(F.col("_last").isNull() | (F.col("_bin") < F.col("_last")))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_rank", key))
+    within = cut.where(F.col("_bin") == F.col("_last")).withColumn("_place", place).where(F.col("_place") <= F.col("room")).drop("_place")
+    return before.unionByName(within).drop("_rank", "_bin", "_last", "room")
 
 
 def bag_rows(examples: DataFrame, n_trees: int, fraction: float, seed: int, draw: Hash = uniform) -> DataFrame:

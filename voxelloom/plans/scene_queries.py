@@ -291,7 +291,7 @@ def a20(s, d):
 
 @query("v3_segmentation")
 def v3(s, d):
-    return D.segment(V.voxels(s, d), V.SHAPE, 1, 3, radius=2)
+    return D.segment(V.voxels(s, d), V.grids(s, d), 1, 3, radius=2)
 
 
 # The distance is clipped at four cells, so only offsets that near matter.
@@ -578,6 +578,16 @@ def v13_nn(s, d):
     return R.average(placed).select(*CELL, F.round("v", 9).alias("v"), "sum_w", "n")
 
 
+@query("v13_coded_nn_oracle")
+def v13_coded_nn(s, d):
+    """The nearest neighbour among codes of a quarter of the components."""
+    P, blocks, test, training = _split_blocks(s, d)
+    places = blocks.select("scene_id", "sample_id", "rot", "origin")
+    predicted = P.coded_nn_oracle(test.join(places, ["scene_id", "sample_id"]), P.Coded(training, "sample_id", 16))
+    placed = D.place_predictions(predicted, V.grids(s, d), BLOCK, STEP)
+    return R.average(placed).select(*CELL, F.round("v", 6).alias("v"), "n")
+
+
 @query("v13_pca_oracle")
 def v13_pca(s, d):
     P, blocks, test, training = _split_blocks(s, d)
@@ -604,13 +614,13 @@ def v12(s, d):
         blocks = P.sample_blocks(samples.where(F.col("model") == model), shape, STEP, centre, height)
         train, test = blocks.where("scene_id % 2 = 0"), blocks.where("scene_id % 2 = 1")
         x = written(P.ring_features(blocks, grids, visible, STEP, 2, -5.0))
-        own = P.with_masks(D.cut_blocks(train, truth, grids, shape, STEP), V.MU).select("scene_id", F.col("sample_id").alias("medoid_id"), "vals", "mask")
-        library = written(P.decoded(P.decoded(written(own), "vals", 16), "mask", 16))
-        rows = x.join(library.withColumnRenamed("medoid_id", "sample_id"), ["scene_id", "sample_id"]).select("scene_id", F.col("sample_id").alias("example_id"), "x", F.col("vals").alias("y"))
+        model_blocks = P.Coded(written(P.with_masks(D.cut_blocks(train, truth, grids, shape, STEP), V.MU)), "sample_id", 16)
+        known = model_blocks.library.withColumnRenamed("medoid_id", "sample_id")
+        rows = x.join(known, ["scene_id", "sample_id"]).select("scene_id", F.col("sample_id").alias("example_id"), "x", F.col("code").alias("y"))
         nodes = written(L.train_forest(T.bag_scenes(rows, 3, 0.5, BAG_ROWS, 9), model, tests=32, depth=5, pca_dims=16))
         seen = D.cut_blocks(test, visible, grids, shape, STEP)
-        chosen = written(P.weights(P.predict_model(test, x.join(test.select("sample_id"), "sample_id"), nodes, library, seen, "narrow_band", V.MU), 5.0))
-        sums.append(P.placed_back(chosen, test, grids, shape, STEP))
-    placed = sums[0].unionByName(sums[1]).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("sum_v", "sum_w", "n")))
+        chosen = P.predict_model(test, x.join(test.select("sample_id"), "sample_id"), nodes, model_blocks, seen, "closest", "narrow_band", V.MU)
+        sums.append(D.place_predictions(P.weights(chosen, 5.0), grids, shape, STEP))
+    placed = written(sums[0].unionByName(sums[1]).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in ("sum_v", "sum_w", "n"))))
     odd = lambda df: df.where("scene_id % 2 = 1")
     return P.fill_in(placed, odd(grids), odd(visible), V.MU, 2)

@@ -20,14 +20,10 @@ CELL, W = R.CELL, V.with_views
 
 @query("s1_s2_grid_dumps", W("voxels") + " SELECT * FROM voxels WHERE v IS NOT NULL")
 def s1(s, d):
-    """Dump and description of each scene written to its folder, and read back from the files."""
+    """Dump and description of each scene written to its folder by slabs, and read back as ranges of bytes."""
     folder = shared_folder(s)
-    dumps = grids_io.grid_dumps(V.voxels(s, d), V.grids(s, d))
-    of = lambda name, content: dumps.select(F.concat(F.col("scene_id").cast("string"), F.lit(f"/{name}")).alias("file"), content.alias("content"))
-    files.write_files(of("grid.dat", F.col("data")), folder)
-    files.write_files(of("grid.yaml", F.encode("description", "utf-8")), folder)
-    meta = grids_io.read_grid_meta(s, f"{folder}/*/*.yaml", "truth")
-    found = grids_io.read_grids(s, f"{folder}/*/*.dat", meta).where("v IS NOT NULL")
+    grids_io.write_dumps(V.voxels(s, d), V.grids(s, d), folder)
+    found = grids_io.read_dumps(s, folder, "truth", unknown="false")
     return found.select(F.col("scene_id").cast("long").alias("scene_id"), "i", "j", "k", "v")
 
 

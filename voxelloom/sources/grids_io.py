@@ -1,14 +1,24 @@
-"""Voxel grids in files: half-precision dumps in C order beside a YAML description."""
+"""Voxel grids in files: half-precision dumps in C order beside a YAML description.
+
+A dump is read and written by slabs, so that no task holds a grid: see `GridDumps` and `write_dumps`.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import yaml
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from voxelloom.operators.grid import spread
+from voxelloom.operators.tiles import runs
 
 GRIDS = "scene_id string, kind string, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>"
 
@@ -21,58 +31,175 @@ def read_grid_meta(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One YAML file (R, T, voxelsize, shape) in each scene's folder."""
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat = lambda m: [float(x) for x in np.asarray(m, float).ravel()]
         for pdf in it:
             rows = []
             for scene, text in zip(pdf["scene_id"], pdf["value"], strict=True):
-                m = yaml.safe_load(text)
-                rows.append((scene, kind, *map(int, m["shape"]), float(m["voxelsize"]), flat(m["T"]), flat(m["R"])))
+                m = parsed_meta(text)
+                rows.append((scene, kind, *m["shape"], m["vox_size"], m["origin"], m["rot"]))
             yield pd.DataFrame(rows, columns=["scene_id", "kind", "ni", "nj", "nk", "vox_size", "origin", "rot"])
 
     return spark.read.text(path, wholetext=True).select(_scene().alias("scene_id"), "value").mapInPandas(task, GRIDS)
 
 
-def read_grids(spark: SparkSession, data_path: str, meta: DataFrame) -> DataFrame:
-    """voxels (scene_id, kind, i, j, k, v) of the dumps, each joined to its description by folder; NaN is unknown."""
-    files = spark.read.format("binaryFile").load(data_path).select(_scene("path").alias("scene_id"), "content")
-
-    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples():
-                v = np.frombuffer(r.content, "<f2").reshape(r.ni, r.nj, r.nk).astype(float)
-                i, j, k = (x.ravel() for x in np.indices(v.shape))
-                yield pd.DataFrame({"scene_id": r.scene_id, "kind": r.kind, "i": i, "j": j, "k": k, "v": pd.Series(v.ravel()).astype(object).where(~np.isnan(v.ravel()), None)})
-
-    joined = files.join(meta.select("scene_id", "kind", "ni", "nj", "nk"), "scene_id")
-    return joined.mapInPandas(task, "scene_id string, kind string, i int, j int, k int, v double")
-
-
-def grid_dumps(voxels: DataFrame, meta: DataFrame) -> DataFrame:
-    """scene_id, `data` (the dump) and `description` (its YAML) of each scene, for a sink that writes files."""
-    rows = voxels.select("scene_id", "i", "j", "k", "v").join(meta.select("scene_id", "ni", "nj", "nk", "vox_size", "origin", "rot"), "scene_id")
-
-    def scene(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.iloc[0]
-        out = np.full((m["ni"], m["nj"], m["nk"]), np.nan)
-        out[pdf["i"], pdf["j"], pdf["k"]] = pdf["v"].astype(float)
-        text = yaml.safe_dump({"R": np.array(m["rot"]).reshape(3, 3).tolist(), "T": [float(x) for x in m["origin"]], "voxelsize": float(m["vox_size"]), "shape": [int(m["ni"]), int(m["nj"]), int(m["nk"])]})
-        return pd.DataFrame({"scene_id": [m["scene_id"]], "data": [out.astype("<f2").tobytes()], "description": [text]})
-
-    kind = voxels.schema["scene_id"].dataType.simpleString()
-    return rows.groupBy("scene_id").applyInPandas(scene, f"scene_id {kind}, data binary, description string")
-
-
-def decode_dumps(dumps: DataFrame) -> DataFrame:
-    """voxels of `grid_dumps` rows: the inverse, known cells only, at half precision."""
-
-    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for r in pdf.itertuples():
-                v = np.frombuffer(r.data, "<f2").reshape(yaml.safe_load(r.description)["shape"]).astype(float)
-                i, j, k = np.nonzero(~np.isnan(v))
-                yield pd.DataFrame({"scene_id": r.scene_id, "i": i, "j": j, "k": k, "v": v[i, j, k]})
-
-    return dumps.mapInPandas(task, f"scene_id {dumps.schema['scene_id'].dataType.simpleString()}, i int, j int, k int, v double")
+#: Cells of a dump that one task reads or writes at once.
+SLAB_CELLS = 1 << 22
+_CELL_BYTES = 2
+
+
+def store_of(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The store of a path, with the path as the store has it."""
+    return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
+
+
+def parsed_meta(text: str) -> dict:
+    m = yaml.safe_load(text)
+    flat = lambda x: [float(v) for v in np.asarray(x, float).ravel()]
+    return {"shape": [int(n) for n in m["shape"]], "vox_size": float(m["voxelsize"]), "origin": flat(m["T"]), "rot": flat(m["R"])}
+
+
+class Slab(InputPartition):
+    """Byte ranges of some dumps, (file, scene, shape, first cell, cells) each, that are read in one task."""
+
+    def __init__(self, ranges: list[tuple]):
+        super().__init__(0)
+        self.ranges = ranges
+
+
+class DumpReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+        self.slab = int(options.get("slab_cells", SLAB_CELLS))
+
+    def partitions(self) -> list[Slab]:
+        """Large dumps are cut into ranges of `slab_cells`, small ones share a task up to that many cells."""
+        store, root = store_of(self.options["path"].rstrip("/"))
+        data, meta = self.options.get("data", "grid.dat"), self.options.get("meta", "grid.yaml")
+        out, held, room = [], [], self.slab
+        for info in sorted(store.get_file_info(arrow_fs.FileSelector(root)), key=lambda f: f.path):
+            if info.type != arrow_fs.FileType.Directory or store.get_file_info(f"{info.path}/{meta}").type != arrow_fs.FileType.File:
+                continue
+            with store.open_input_stream(f"{info.path}/{meta}") as f:
+                shape = parsed_meta(f.read().decode())["shape"]
+            at, n = 0, int(np.prod(shape))
+            while at < n:
+                some = min(room, n - at)
+                held.append((f"{info.path}/{data}", info.base_name, tuple(shape), at, some))
+                at, room = at + some, room - some
+                if not room:
+                    out.append(Slab(held))
+                    held, room = [], self.slab
+        return [*out, Slab(held)] if held or not out else out
+
+    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(self.options["path"])
+        kind, every = self.options.get("kind", "grid"), self.options.get("unknown", "true") == "true"
+        for path, scene, (_, nj, nk), first, n in partition.ranges:
+            with store.open_input_file(path) as f:
+                for at in range(first, first + n, 1 << 16):
+                    some = min(1 << 16, first + n - at)
+                    v = np.frombuffer(f.read_at(some * _CELL_BYTES, at * _CELL_BYTES), "<f2").astype(float)
+                    if len(v) < some:
+                        raise ValueError(f"{path} ends before its description says")
+                    lin = np.arange(at, at + some) if every else at + np.flatnonzero(~np.isnan(v))
+                    v = v if every else v[lin - at]
+                    ijk = [x.astype(np.int32) for x in (lin // (nj * nk), lin // nk % nj, lin % nk)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(scene, len(v)), pa.repeat(kind, len(v)), *map(pa.array, ijk), pa.array(v, mask=np.isnan(v))], ["scene_id", "kind", "i", "j", "k", "v"])
+
+
+class GridDumps(DataSource):
+    """`spark.read.format("grid_dump").load(folder)`: the dumps in the scenes' folders under `folder`, as cells.
+
+    Options: `data` and `meta`, the names of the two files (grid.dat, grid.yaml); `kind`; `slab_cells`, the most cells a task;
+    `unknown`, false to leave NaN cells out. The driver reads the descriptions only; a task reads its ranges of bytes, some at a
+    time, so a dump may be larger than any task. Folders are on a store that pyarrow reaches.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "grid_dump"
+
+    def schema(self) -> str:
+        return "scene_id string, kind string, i int, j int, k int, v double"
+
+    def reader(self, schema) -> DumpReader:
+        return DumpReader(dict(self.options))
+
+
+def read_dumps(spark: SparkSession, folder: str, kind: str = "grid", **options) -> DataFrame:
+    """Cells (scene_id, kind, i, j, k, v) of the dumps under a folder, as `GridDumps` reads them; NaN is NULL."""
+    spark.dataSource.register(GridDumps)
+    return spark.read.format("grid_dump").options(kind=kind, **options).load(folder)
+
+
+def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int = SLAB_CELLS) -> int:
+    """A dump and its description in a folder for each scene of `meta`, whatever its size; returns how many there are.
+
+    Cells are dealt to slabs of the dump, consecutive places in C order, each of which one task fills (NaN where no cell is) and
+    writes as a file of its own; then a task a scene puts the slabs behind each other, copying some bytes at a time. Files are
+    written beside their place and moved there, so a task that runs twice leaves whole files only. Cells outside the shape are
+    left out; of cells that repeat one stays.
+    """
+    shape = meta.select(F.col("scene_id").cast("string").alias("scene_id"), "ni", "nj", "nk")
+    total = F.col("ni").cast("long") * F.col("nj") * F.col("nk")
+    slabs = shape.select("scene_id", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / slab_cells))).alias("slab"))
+    inside = [F.col(c).between(0, F.col(f"n{c}") - 1) for c in "ijk"]
+    cells = voxels.where("v IS NOT NULL").select(F.col("scene_id").cast("string").alias("scene_id"), "i", "j", "k", "v").join(shape, "scene_id").where(inside[0] & inside[1] & inside[2])
+    lin = (F.col("i").cast("long") * F.col("nj") + F.col("j")) * F.col("nk") + F.col("k")
+    placed = cells.select("scene_id", F.floor(lin / slab_cells).alias("slab"), F.pmod(lin, F.lit(slab_cells)).alias("at"), F.col("v").cast("double").alias("v"), F.lit(True).alias("is_cell"))
+    rows = slabs.withColumn("is_cell", F.lit(False)).unionByName(placed, allowMissingColumns=True)
+    ordered = rows.withColumn("run", F.xxhash64("scene_id", "slab")).repartition("scene_id", "slab").sortWithinPartitions("run", "scene_id", "slab", "is_cell")
+
+    def put(path: str, pieces: Iterator[bytes]) -> None:
+        store, own = store_of(path)
+        store.create_dir(own.rsplit("/", 1)[0], recursive=True)
+        beside = f"{own}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(beside) as out:
+            for piece in pieces:
+                out.write(piece)
+        store.move(beside, own)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slab, place = None, None, None
+        for batch in batches:
+            run, is_cell = batch["run"].to_numpy(), batch["is_cell"].to_numpy(zero_copy_only=False)
+            starts = runs(run, is_cell).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if is_cell[a]:
+                    if run[a] == now:
+                        slab[batch["at"].slice(a, b - a).to_numpy()] = batch["v"].slice(a, b - a).to_numpy()
+                    continue
+                if place:
+                    put(place, iter([slab.tobytes()]))
+                number, total = batch["slab"][a].as_py(), batch["total"][a].as_py()
+                now, place = run[a], f"{folder}/{batch['scene_id'][a].as_py()}/grid.dat.slabs/{number}"
+                slab = np.full(min(slab_cells, total - number * slab_cells), np.nan, "<f2")
+                yield pa.RecordBatch.from_arrays([batch["scene_id"].slice(a, 1)], ["scene_id"])
+        if place:
+            put(place, iter([slab.tobytes()]))
+
+    ordered.mapInArrow(fill, "scene_id string").count()
+
+    def copied(store: arrow_fs.FileSystem, paths: list[str]) -> Iterator[bytes]:
+        for path in paths:
+            with store.open_input_stream(path) as f:
+                while piece := f.read(8 << 20):
+                    yield piece
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                own = f"{folder}/{m['scene_id']}"
+                store, place = store_of(own)
+                n = -(-m["ni"] * m["nj"] * m["nk"] // slab_cells)
+                if store.get_file_info(f"{place}/grid.dat.slabs").type == arrow_fs.FileType.Directory:  # else a first attempt has ended
+                    put(f"{own}/grid.dat", copied(store, [f"{place}/grid.dat.slabs/{k}" for k in range(n)]))
+                    store.delete_dir(f"{place}/grid.dat.slabs")
+                text = yaml.safe_dump({"R": np.array(m["rot"]).reshape(3, 3).tolist(), "T": [float(x) for x in m["origin"]], "voxelsize": float(m["vox_size"]), "shape": [m["ni"], m["nj"], m["nk"]]})
+                put(f"{own}/grid.yaml", iter([text.encode()]))
+            yield pa.RecordBatch.from_arrays([batch["scene_id"]], ["scene_id"])
+
+    scenes = meta.select(F.col("scene_id").cast("string").alias("scene_id"), "ni", "nj", "nk", "vox_size", "origin", "rot")
+    return spread(scenes, "scene_id").mapInArrow(join, "scene_id string").count()
 
 
 def write_grids(voxels: DataFrame, path: str) -> None:
