@@ -249,8 +249,9 @@ def test_grid_files_and_manifests(spark, tmp_path):
     v[0, 0, 1] = np.nan
     (tmp_path / "s1" / "g.dat").write_bytes(v.astype("<f2").tobytes())
     (tmp_path / "s1" / "g.yaml").write_text("R: [[1, 0, 0], [0, 1, 0], [0, 0, 1]]\nT: [0, 0, 1]\nvoxelsize: 0.5\nshape: [2, 3, 4]\n")
-    meta = grids_io.read_grid_meta(spark, str(tmp_path / "s1" / "g.yaml"), "tsdf")
-    got = {(r["i"], r["j"], r["k"]): r["v"] for r in grids_io.read_grids(spark, str(tmp_path / "s1" / "g.dat"), meta).collect()}
+    meta = grids_io.read_grid_meta(spark, str(tmp_path / "s1" / "g.yaml"), "tsdf").first()
+    assert (meta["scene_id"], meta["vox_size"], meta["origin"]) == ("s1", 0.5, [0.0, 0.0, 1.0])
+    got = {(r["i"], r["j"], r["k"]): r["v"] for r in grids_io.read_dumps(spark, str(tmp_path), data="g.dat", meta="g.yaml").collect()}
     assert len(got) == 24 and got[0, 0, 1] is None and got[1, 2, 3] == 23
     (tmp_path / "s1" / "poses.yaml").write_text("- {id: 7, image: a.pgm, intrinsics: [[1, 0, 2], [0, 1, 2], [0, 0, 1]], pose: [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], depth_scaling: 2}\n- {id: 8, image: b.pgm, intrinsics: [[1, 0, 2], [0, 1, 2], [0, 0, 1]], pose: [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], mask: m.pbm}\n")
     poses = manifests.read_poses(spark, str(tmp_path / "s1" / "poses.yaml"), ["8"]).collect()

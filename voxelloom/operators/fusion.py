@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions import geometry as G
 from voxelloom.operators import tiles as L
-from voxelloom.operators.grid import CELL, evaluated
+from voxelloom.operators.grid import CELL, evaluated, spread
 
 FRAME = ["scene_id", "frame_id"]
 BAND_ROWS = 64
@@ -87,7 +87,7 @@ def frame_bands(grids: DataFrame, frames: DataFrame, tile: int = L.TILE, band_ro
     """(scene_id, frame_id, band, camera and grid, tiles): the tiles that may fall in each band of each frame, as int triples."""
     pose = frames.select(*FRAME, "h", "w", F.col("k").alias("intrinsics"), G.inverse_pose(F.col("h_mat")).alias("view"))
     meta = grids.select("scene_id", *_VIEW[:6])
-    rows = pose.join(meta, "scene_id").select(*FRAME, *_VIEW)
+    rows = spread(pose.join(meta, "scene_id").select(*FRAME, *_VIEW), *FRAME)
     schema = rows.select("*", F.lit(0).alias("band"), F.lit(b"").alias("tiles")).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

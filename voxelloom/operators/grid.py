@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions import geometry as G
+from voxelloom.operators import tiles as L
 
 CELL = ["scene_id", "i", "j", "k"]
 
@@ -176,31 +177,48 @@ def flattened_down(labels: DataFrame) -> DataFrame:
     return own.select("scene_id", "idx", "i", "j", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k"))
 
 
-def voxel_normals(voxels: DataFrame, shape: tuple[int, int, int], reach: int = 3) -> DataFrame:
-    """Normals from differences over `reach` cells either way, indices clamped, unknown and absent cells as the grid's least value.
+def _differences(near: Column, least: Column) -> list[Column]:
+    """Unit vector of the differences between the first three and the last three values, unknown ones as the grid's least."""
+    d = [F.coalesce(near[n], least) - F.coalesce(near[n + 3], least) for n in range(3)]
+    length = F.when(G.norm(d) == 0, 1e-4).otherwise(G.norm(d))
+    return [c / length for c in d]
+
+
+def _steps(reach: int) -> list[tuple[int, int, int]]:
+    ahead = [(reach, 0, 0), (0, reach, 0), (0, 0, reach)]
+    return ahead + [tuple(-x for x in s) for s in ahead]
 
-    Every cell sends its value to the cells that look it up, a border cell to all that are clamped to it, and one grouping
-    gathers what a cell was sent.
+
+def voxel_normals(voxels: DataFrame, grids: DataFrame, reach: int = 3) -> DataFrame:
+    """Normals of the cells from differences over `reach` cells either way, indices clamped, unknown and absent cells as the
+    grid's least value."""
+    least = voxels.groupBy("scene_id").agg(F.min("v").alias("least"))
+    found = L.neighbours(voxels.select(*CELL), voxels, grids, _steps(reach)).join(least, "scene_id")
+    return found.select(*CELL, *(c.alias(n) for c, n in zip(_differences(F.col("near"), F.col("least")), ("nx", "ny", "nz"), strict=True)))
+
+
+def pixel_normals(pixels: DataFrame, frames: DataFrame, voxels: DataFrame, grids: DataFrame, reach: int = 3) -> DataFrame:
+    """(scene_id, frame_id, row, col, nx, ny, nz): normals of the grid at the masked pixels' surface points, in the image's frame.
+
+    The differences of `voxel_normals` at the cell that holds the point, turned by the rotation of the frame's inverse pose.
+    Pixels off the mask have the normal 0, masked ones of unknown depth or of a scene without a grid NULL.
     """
-    def sent_to(slot: str, axis: str, targets: Column) -> Column:
-        return F.transform(targets, lambda t: F.struct(F.lit(slot).alias("slot"), *((t if a == axis else F.col(a).cast("int")).alias(a) for a in "ijk")))
-
-    to = [sent_to("own", "i", F.array(F.col("i").cast("int")))]
-    for axis, n in zip("ijk", shape, strict=True):
-        x = F.col(axis).cast("int")
-        none = F.array().cast("array<int>")
-        above = F.when(x == n - 1, F.sequence(F.greatest(x - reach, F.lit(0)), x)).when(x >= reach, F.array(x - reach)).otherwise(none)
-        under = F.when(x == 0, F.sequence(x, F.least(F.lit(reach), F.lit(n - 1)))).when(x + reach < n, F.array(x + reach)).otherwise(none)
-        for name, targets in (("hi", above), ("lo", under)):
-            to.append(sent_to(f"{axis}_{name}", axis, targets))
+    frame = ["scene_id", "frame_id"]
+    camera = frames.select(*frame, F.col("k").alias("intrinsics"), "h_mat")
+    own = pixels.where(F.col("mask") & F.col("depth").isNotNull()).select(*frame, "row", "col", "depth").join(camera, frame)
+    cam = G.unproject_camera(F.col("col"), F.col("row"), F.col("depth"), F.col("intrinsics"))
+    placed = evaluated(own, **dict(zip(("cx", "cy", "cz"), cam, strict=True)))
+    world = [c.alias(n) for c, n in zip(G.camera_to_world(G.columns("cx", "cy", "cz"), F.col("h_mat")), "xyz", strict=True)]
+    points = locate(placed.select(*frame, "row", "col", *world), grids).select(*frame, "row", "col", "i", "j", "k")
     least = voxels.groupBy("scene_id").agg(F.min("v").alias("least"))
-    sent = voxels.select("scene_id", "v", F.explode(F.flatten(F.array(*to))).alias("t")).select("scene_id", "t.*", "v")
-    slots = [f"{a}_{e}" for a in "ijk" for e in ("hi", "lo")]
-    cells = sent.groupBy(*CELL).agg(F.count_if(F.col("slot") == "own").alias("own"), *(F.max(F.when(F.col("slot") == x, F.col("v"))).alias(x) for x in slots))
-    out = cells.where("own > 0").join(least, "scene_id")
-    d = [F.coalesce(f"{a}_hi", "least") - F.coalesce(f"{a}_lo", "least") for a in "ijk"]
-    length = F.when(G.norm(d) == 0, 1e-4).otherwise(G.norm(d))
-    return out.select(*CELL, *((c / length).alias(n) for c, n in zip(d, ("nx", "ny", "nz"), strict=True)))
+    turned = frames.select(*frame, G.inverse_pose(F.col("h_mat")).alias("view"))
+    found = L.neighbours(points, voxels, grids, _steps(reach)).join(least, "scene_id").join(turned, frame)
+    d = _differences(F.col("near"), F.col("least"))
+    normal = [F.col("view")[4 * r] * d[0] + F.col("view")[4 * r + 1] * d[1] + F.col("view")[4 * r + 2] * d[2] for r in range(3)]
+    names = ("nx", "ny", "nz")
+    known = found.select(*frame, "row", "col", *(c.alias(n) for c, n in zip(normal, names, strict=True)))
+    every = pixels.select(*frame, "row", "col", F.coalesce("mask", F.lit(False)).alias("mask")).join(known, [*frame, "row", "col"], "left")
+    return every.select(*frame, "row", "col", *(F.when(F.col("mask"), F.col(n)).otherwise(0.0).alias(n) for n in names))
 
 
 def pack(voxels: DataFrame, tile: int) -> DataFrame:

@@ -94,7 +94,47 @@ def added(parts: DataFrame, names: Sequence[str], tile: int = TILE) -> DataFrame
     return ordered.mapInArrow(task, f"scene_id {scene}, i int, j int, k int, n long" + "".join(f", {n} double" for n in names))
 
 
-def boxes_of(grids: DataFrame, tile: int = TILE) -> DataFrame:
-    """A row for each tile of each grid, with the grid's columns."""
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / tile).cast("int") - 1))
-    return grids.select("*", span("ni").alias("bi")).select("*", span("nj").alias("bj")).select("*", span("nk").alias("bk"))
+def neighbours(points: DataFrame, voxels: DataFrame, grids: DataFrame, offsets: Sequence[tuple[int, int, int]], tile: int = TILE) -> DataFrame:
+    """`points` (with scene_id and a cell i, j, k, inside their grid or not) and `near`: the values at some offsets from the cell.
+
+    Indices are clamped to the grid; unknown and absent cells are NULL. Tiles carry a halo, as many cells of their neighbours as
+    an offset reaches, so that a point meets one tile only: the tile's cells come first in a task and the points that lie in it
+    follow. Points of scenes without a grid are left out.
+    """
+    reach = int(np.abs(np.array(offsets)).max(initial=0))
+    wide, shift = tile + 2 * reach, np.array(offsets)
+    at = lambda a, step: F.floor((F.col(a) + step) / tile).cast("int")
+    sides = [F.explode(F.sequence(at(a, -reach), at(a, reach))).alias(b) for a, b in zip("ijk", BOX[1:], strict=True)]
+    cells = voxels.where("v IS NOT NULL").select("scene_id", "i", "j", "k", F.col("v").cast("double").alias("v"))
+    for side in sides:
+        cells = cells.select("*", side)
+    held = [F.col(a) - F.col(b) * tile + reach for a, b in zip("ijk", BOX[1:], strict=True)]
+    cells = cells.where("bi >= 0 AND bj >= 0 AND bk >= 0").select(*BOX, ((held[0] * wide + held[1]) * wide + held[2]).cast("int").alias("_lin"), "v", F.lit(False).alias("_point"))
+    shape = grids.select("scene_id", *(F.col(f"n{a}").alias(f"_n{a}") for a in "ijk"))
+    own = [F.floor(F.greatest(F.least(F.col(a), F.col(f"_n{a}") - 1), F.lit(0)) / tile).cast("int").alias(b) for a, b in zip("ijk", BOX[1:], strict=True)]
+    asked = points.join(shape, "scene_id").select("*", *own, F.lit(True).alias("_point"))
+    both = asked.unionByName(cells, allowMissingColumns=True).withColumn("_run", F.xxhash64(*BOX))
+    ordered = both.repartition(*BOX).sortWithinPartitions("_run", *BOX, "_point")
+    kept = points.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vals = None, None
+        for batch in batches:
+            run, is_point = batch["_run"].to_numpy(), batch["_point"].to_numpy(zero_copy_only=False)
+            starts = runs(run, is_point).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if run[a] != now:
+                    now, vals = run[a], np.full(wide**3, np.nan)
+                part = batch.slice(a, b - a)
+                if not is_point[a]:
+                    vals[part["_lin"].to_numpy()] = part["v"].to_numpy()
+                    continue
+                at = np.stack([part[c].to_numpy() for c in "ijk"], 1)[:, None, :] + shift
+                ends = np.stack([part[f"_n{c}"].to_numpy() for c in "ijk"], 1)[:, None, :] - 1
+                box = np.stack([part[c].to_numpy() for c in BOX[1:]], 1)[:, None, :]
+                x, y, z = np.moveaxis(np.clip(at, 0, ends) - box * tile + reach, -1, 0)
+                found = vals[(x * wide + y) * wide + z].ravel()
+                near = pa.ListArray.from_arrays(np.arange(0, len(found) + 1, len(offsets), dtype=np.int32), pa.array(found, mask=np.isnan(found)))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), near], [*kept, "near"])
+
+    return ordered.mapInArrow(task, points.select("*", F.lit(None).cast("array<double>").alias("near")).schema)

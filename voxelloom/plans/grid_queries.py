@@ -445,15 +445,32 @@ def _neighbour(axis: str, step: int, n: int) -> str:
     return f"coalesce((SELECT v FROM voxels o WHERE o.scene_id = c.scene_id AND {on}), least)"
 
 
+def _near(axis: str, step: int) -> str:
+    """The value `step` cells along an axis from a pixel's cell, all indices clamped."""
+    at = {x: f"least(greatest(c.{x}{f' + {step}' if x == axis else ''}, 0), {n - 1})" for x, n in zip("ijk", V.SHAPE, strict=True)}
+    on = " AND ".join(f"o.{x} = {at[x]}" for x in "ijk")
+    return f"coalesce((SELECT v FROM voxels o WHERE o.scene_id = c.scene_id AND {on}), least)"
+
+
 _W6 = ", m AS (SELECT scene_id, min(v) AS least FROM voxels GROUP BY 1), d AS (SELECT c.scene_id, c.i, c.j, c.k, " + ", ".join(f"{_neighbour(a, 3, n)} - {_neighbour(a, -3, n)} AS {x}" for a, x, n in zip("ijk", "xyz", V.SHAPE, strict=True)) + " FROM voxels c JOIN m ON c.scene_id = m.scene_id), l AS (SELECT *, CASE WHEN x*x + y*y + z*z = 0 THEN 1e-4 ELSE sqrt(x*x + y*y + z*z) END AS len FROM d)"
 
 
 @query("w6_voxel_normals", W("voxels") + _W6 + " SELECT scene_id, i, j, k, round(x / len, 6) + 0 AS nx, round(y / len, 6) + 0 AS ny, round(z / len, 6) + 0 AS nz FROM l")
 def w6(s, d):
-    n = R.voxel_normals(V.voxels(s, d), V.SHAPE)
+    n = R.voxel_normals(V.voxels(s, d), V.grids(s, d))
     return n.select(*CELL, *((F.round(c, 6) + 0).alias(c) for c in ("nx", "ny", "nz")))
 
 
+_W6_PIXELS = ", m AS (SELECT scene_id, min(v) AS least FROM voxels GROUP BY 1), p AS (SELECT *, CAST(floor((depth - 0.5 - frame_id / 8) * 16) AS INTEGER) AS i, CAST(floor(((col - 16) * depth / 32 + 0.25) * 16) AS INTEGER) AS j, CAST(floor(((\"row\" - 12) * depth / 32 + 0.375) * 16) AS INTEGER) AS k FROM pixels WHERE mask), d AS (SELECT c.*, " + ", ".join(f"{_near(a, 3)} - {_near(a, -3)} AS {x}" for a, x in zip("ijk", "xyz", strict=True)) + " FROM p c JOIN m ON c.scene_id = m.scene_id), l AS (SELECT *, CASE WHEN x*x + y*y + z*z = 0 THEN 1e-4 ELSE sqrt(x*x + y*y + z*z) END AS len FROM d)"
+
+
+# The camera's axes are world y, z and x.
+@query("w6_pixel_normals", W("pixels", "voxels") + _W6_PIXELS + ' SELECT q.scene_id, q.frame_id, q."row", q.col, CASE WHEN q.mask THEN round(y / len, 6) + 0 ELSE 0 END AS nx, CASE WHEN q.mask THEN round(z / len, 6) + 0 ELSE 0 END AS ny, CASE WHEN q.mask THEN round(x / len, 6) + 0 ELSE 0 END AS nz FROM pixels q LEFT JOIN l USING (scene_id, frame_id, "row", col)')
+def w6_pixels(s, d):
+    n = R.pixel_normals(V.pixels(s, d), V.frames(s, d), V.voxels(s, d), V.grids(s, d))
+    return n.select("scene_id", "frame_id", "row", "col", *((F.round(c, 6) + 0).alias(c) for c in ("nx", "ny", "nz")))
+
+
 @query("grid_tiles", W("voxels") + " SELECT * FROM voxels WHERE v IS NOT NULL")
 def tiles(s, d):
     return R.unpack(R.pack(V.voxels(s, d), 4), 4)

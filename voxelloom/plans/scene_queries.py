@@ -248,6 +248,20 @@ def x1(s, d):
     return D.cut_blocks(_blocks(s, d), V.voxels(s, d), V.grids(s, d), BLOCK, STEP, initial=0.25, post_transform=lambda v: v * 2)
 
 
+_LABELLED = """, lab AS (SELECT scene_id, i, j, k, v, CASE WHEN v < 0 THEN (i + j) % 4 ELSE 0 END AS label FROM voxels),
+own AS (SELECT event_id, coalesce(label, 0) AS label FROM samples s LEFT JOIN lab ON lab.scene_id = s.scene_id AND lab.i = floor(x * 16) AND lab.j = floor(y * 16) AND lab.k = floor(z * 16))
+SELECT w.scene_id, w.event_id AS sample_id, list(CASE WHEN own.label = 0 OR lab.label = 0 OR lab.label = own.label THEN v END ORDER BY lin) AS vals
+FROM w JOIN own ON own.event_id = w.event_id LEFT JOIN lab ON lab.scene_id = w.scene_id AND lab.i = w.i AND lab.j = w.j AND lab.k = w.k GROUP BY 1, 2"""
+
+
+@query("v5_cut_by_label", W("samples", "voxels") + _BLOCKS + _LABELLED)
+def v5_label(s, d):
+    """Each block from the cells of its own point's label and of none; unlabelled points take the whole grid."""
+    labels = V.voxels(s, d).select(*CELL, F.when(F.col("v") < 0, (F.col("i") + F.col("j")) % 4).otherwise(0).alias("label"))
+    at = R.locate(V.samples(s, d), V.grids(s, d)).join(labels, CELL, "left").select(F.col("event_id").alias("sample_id"), "label")
+    return D.cut_blocks(_blocks(s, d).join(at, "sample_id"), V.voxels(s, d), V.grids(s, d), BLOCK, STEP, labels=labels)
+
+
 @query("x2_per_scene", W("voxels") + " SELECT scene_id, count(*) AS n, count(CASE WHEN v < 0 THEN 1 END) AS n_solid FROM voxels GROUP BY 1")
 def x2(s, d):
     import pandas as pd
