@@ -15,7 +15,6 @@ def low_limits(monkeypatch):
     for name in ("HOT_TOKEN", "HOT_CLASS", "HOT_COPIES"):
         monkeypatch.setattr(jaccard, name, 2)
     monkeypatch.setattr(components, "HOT_NODE", 2)
-    monkeypatch.setattr(jaccard, "_hot_rank", lambda counts: 20)
 
 
 def test_hot_shingles_classes_and_copies(spark, low_limits):

@@ -88,6 +88,70 @@ def test_filters_never_lose_a_pair():
     assert sum(int(v).bit_count() for v in p[0] ^ p[1]) <= len(set(x.tolist()) ^ set(y.tolist()))
 
 
+def rank_table(grams_of_classes, bits):
+    """The table of a corpus in one task, through the form in which parts travel."""
+    import numpy as np
+    import pyarrow as pa
+
+    cells, counts = np.unique(np.concatenate([g >> np.uint64(64 - bits) for g in grams_of_classes]).astype(np.int64), return_counts=True)
+    packed = list(jaccard._packed_counts(cells, counts, bits))
+    half = [jaccard._packed_counts(cells, (counts + k) // 2, bits) for k in (0, 1)]  # two tasks that share every cell
+    parts = sorted((k, x) for part in half for k, x in part)
+    out = np.zeros((1 << (bits - jaccard.BLOCK_BITS), 1 << (jaccard.BLOCK_BITS - 1)), np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "counts"])
+    for done in jaccard._ranked(float(counts.sum()) / (1 << bits))(iter([batch])):
+        for k, x in zip(done["block"].to_pylist(), done["ranks"].to_pylist(), strict=True):
+            out[k] = np.frombuffer(x, np.uint8)
+    assert all((jaccard._unpacked_counts(x)[0] == cells[cells >> jaccard.BLOCK_BITS == k] & ((1 << jaccard.BLOCK_BITS) - 1)).all() for k, x in packed)
+    return out.reshape(-1)
+
+
+def test_ranks_order_shingles_and_leave_out_those_of_one_class():
+    """With about a cell a shingle few prefix rows have no partner; exact counts would leave hardly fewer that have one."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 150).astype(np.uint64) * np.uint64(2), common[(rng.random(60) ** 3 * 3000).astype(int)]])) for _ in range(2500)]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    names, exact = np.unique(grams, return_counts=True)
+    count = dict(zip(names.tolist(), exact.tolist(), strict=True))
+    table = rank_table(sets, 20)
+    ranks = jaccard.ranks_of(table, grams)
+    assert all(r > 0 for r, g in zip(ranks.tolist(), grams.tolist(), strict=True) if count[g] > 1)
+
+    def shared(found, tokens):
+        both, n = np.unique(tokens, return_counts=True)
+        return int(n[n > 1].sum()), len(tokens)
+
+    _, tokens, place, _ = jaccard.prefix_rows(table, rows, grams, sizes, np.ones(len(sets), bool), 80)
+    with_partner, sent = shared(rows, tokens)
+    in_order = sorted(zip(rows.tolist(), (count[g] for g in grams.tolist()), grams.tolist(), strict=True))
+    at, prefix = {}, []
+    for r, n, g in in_order:
+        k = at[r] = at.get(r, -1) + 1
+        if k < sizes[r] - -(-80 * sizes[r] // 100) + max(1, sizes[r] // 50) and n > 1:
+            prefix.append(g)
+    best, _ = shared(None, np.array(prefix, np.uint64))
+    assert sent < 0.2 * 0.22 * len(grams) and with_partner <= 1.5 * best + 20
+
+
+def test_rows_that_differ_elsewhere_keep_one_whatever_the_partitions(spark):
+    docs = spark.createDataFrame([(1, "said more than once in other languages", x) for x in "abcdef"], "doc_id long, text string, lang string")
+    assert len({jaccard.keep_one(docs.repartition(n)).first()["lang"] for n in (1, 3, 6)}) == 1
+
+
+def test_no_step_is_left_behind(spark):
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found(spark.createDataFrame(copies(40, 30, 1), "doc_id long, text string"))
+    left = sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before)
+    assert left == ["classes", "profile", "stars"] or left == ["classes", "links", "profile"]  # what the result reads
+
+
 def test_keep_one(spark):
     base = " ".join(f"q{k}" for k in range(80))
     docs = spark.createDataFrame([(4, base, 1), (2, base + " end", 2), (9, "other text of its own here", 3), (None, base, 4), (7, None, 5)], "doc_id long, text string, component_id int")

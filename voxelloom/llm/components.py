@@ -10,6 +10,8 @@ Links with a null end, loops and repeated links add nothing; without links there
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +36,18 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return links.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with the smallest node of the component, for every node of (a, b) that isn't its own label."""
+def components(edges: DataFrame, below: str | None = None) -> DataFrame:
+    """(node, label) with the smallest node of the component, for every node of (a, b) that isn't its own label.
+
+    The result's table is in a folder of its own, or `below` one that the caller removes.
+    """
     spark = edges.sparkSession
-    folder = new_folder(spark, "links")
+    place = lambda name: f"{below}/{name}-{uuid.uuid4().hex}" if below else new_folder(spark, name)
+    folder = place("links")
     current = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links", folder)
     total = current.count()
     while total:
-        next_folder = new_folder(spark, "stars")
+        next_folder = place("stars")
         new = written(_star(_star(current, True, total), False, total), "stars", next_folder)
         new_total = new.count()
         done = new_total == total and new.join(current, ["a", "b"], "left_anti").isEmpty()

@@ -3,12 +3,16 @@
 Words are runs of characters other than ASCII white space, A-Z lower-cased; a document's set holds the
 64-bit hashes of its distinct `width`-word shingles, or of its whole sequence if it has fewer words.
 
-1. One pass gives every document its set's size, class (documents with equal sets are one class, so
-   copies cost nothing later) and parity sketch, and counts shingles in a table of 2**SKETCH_BITS cells over all documents.
-2. Each class sorts its shingles rare-first by these counts and emits the prefix that a partner must
-   share. Rows of one shingle meet in one partition, where those without a partner of a like length go, and so do
-   classes that have fewer such rows than a pair must share; a pair is a candidate if its lengths and the places of each shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1 longer than one
-   common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
+1. One pass gives every document its set's size, class (documents with equal sets are one class, so copies cost nothing
+   later) and parity sketch, and counts shingles over all documents, each class once a task, in a table that has about a
+   cell for each shingle up to 2**MOST_BITS cells. Tasks send their counts compressed; of the sums only ranks are kept, half
+   a byte a cell.
+2. Each class sorts its shingles rare-first by these ranks and takes the prefix that a partner must share. Shingles in a
+   cell that was counted once are in one class only, so they take their places and are left out before anything is
+   shuffled: in a table that isn't full most prefixes consist of them. Rows of one shingle meet in one partition, where those
+   without a partner of a like length go, and so do classes that have fewer such rows than a pair must share; a pair is a
+   candidate if its lengths and the places of each shared shingle allow the overlap. Prefixes are `shared_in_prefix` - 1
+   longer than one common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
    documents have by chance, are dropped by count. Then the sketches decide, which keep for each of 256 slots
    whether an odd number of shingles fell in it: slots that differ can't outnumber shingles that differ, which bounds what
    the suffixes still have in common.
@@ -18,11 +22,13 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
    the classes of a shingle that aren't in its leader's component. Links inside a component can't change it, so
    no component is lost.
 
-Hot keys: a shingle whose cell of the table is over HOT_TOKEN and over four times the mean has its rows dealt by
+Hot keys: a shingle whose cell counts over HOT_TOKEN and over four times the mean has its rows dealt by
 class, and finds its leader by partial aggregates; other shingles have no more rows than that. Joins on a shingle,
-class or node deal the rows of a hot one over tasks (`skew`). The counts only order shingles and pick the way: any
-order is exact, rarer prefixes are cheaper. What is broadcast has a fixed size: the table, a bitmap of the classes
-that a round verifies, and lists of hot keys.
+class or node deal the rows of a hot one over tasks (`skew`). The counts only order shingles, leave out those of one class, and
+pick the way: any order is exact, rarer prefixes are cheaper. What is broadcast has a bounded size: the table, a bitmap of the classes
+that a round verifies (sized by their number, 32 MB at most), and lists of hot keys. Beyond 2**MOST_BITS shingles, about
+0.4 GB of text, the table fills: then shingles of one class can't be told from those of a few, more rows are shuffled (at most
+all of the prefixes), and results stay the same. Each step's table goes when the next is written, all of them at the end.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows without an id take no
 part; their component is null. Repeated ids are compared by each of their texts. An empty table has no rows. Other
@@ -36,16 +42,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm import _text as T
 from voxelloom.llm.components import components
 from voxelloom.llm.skew import dealt_join, hot_keys
-from voxelloom.llm.storage import drop_shuffles, new_folder, remove, written
-
-SKETCH_BITS, BLOCK_BITS, PARITY = 20, 14, 256
-BITMAP_BITS = 22
+from voxelloom.llm.storage import Steps, drop_shuffles, written
+
+#: Bits of a cell's number in the table of counts: at least and at most, and those within one of its blocks. The largest
+#: table takes half a byte a cell in every task, 32 MB.
+LEAST_BITS, MOST_BITS, BLOCK_BITS, PARITY = 20, 26, 18, 256
+#: Ranks of a count: 0 is a cell that one class at most has a shingle in, HOT one that may hold a hot shingle.
+HOT_RANK = 15
+#: Bits of the number of a class in the bitmap of a round, at least and at most (32 MB), and those within one of its blocks.
+BITMAP_BITS, BITMAP_BLOCK = (16, 28), 16
 #: Rows of one shingle, pairs of one class and copies of one class before they are dealt over several tasks.
 HOT_TOKEN, HOT_CLASS, HOT_COPIES = 2_000, 200, 10_000
 _PARITY_COLUMNS = ("p0", "p1", "p2", "p3")
@@ -85,64 +97,117 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[T.Chunk]:
     return T.chunks(batch["text"], max_rows=4096)
 
 
-def _profile(width: int, own: list[str]):
-    """Rows for each document (its `own` numbers, size and class), then this task's part of the table in blocks."""
+def table_bits(docs: DataFrame) -> int:
+    """So many bits that the table has about a cell for each shingle, up to MOST_BITS."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // 6).bit_length()))
+
+
+def _packed_counts(cells: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted cells with their counts as one row a block: steps between cells and counts in byte planes, compressed."""
+    block = cells >> BLOCK_BITS
+    cuts = np.searchsorted(block, np.arange((1 << (bits - BLOCK_BITS)) + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own, n = cells[cuts[k] : cuts[k + 1]] & ((1 << BLOCK_BITS) - 1), counts[cuts[k] : cuts[k + 1]]
+        both = np.stack([np.diff(own, prepend=0), n]).astype("<u4")
+        yield k, zstandard.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    steps, counts = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+    return np.cumsum(steps), counts.astype(np.int64)
+
+
+class _Fresh:
+    """Whether a class is new to this task; a copy that passes again after very many classes is merely counted again."""
+
+    def __init__(self):
+        self.done: set[int] = set()
+
+    def of(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if len(self.done) > 200_000:
+            self.done.clear()
+        return np.array([n > 0 and not (c in self.done or self.done.add(c)) for n, c in zip(sizes.tolist(), classes.tolist(), strict=True)], bool)
+
+
+def _profile(width: int, own: list[str], bits: int):
+    """Rows for each document (its `own` numbers, size, class and sketch), then this task's part of the table in blocks."""
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        cells, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return cells, np.bincount(at, np.concatenate([n for _, n in parts]), len(cells)).astype(np.int64)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        parts, fresh = [], _Fresh()
         names = [*own, "n_shingles", "class_id", *_PARITY_COLUMNS, "block", "counts"]
         for batch in batches:
             n_all, class_all, odd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
-                counts += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                classes = set_classes(rows, grams, sizes)
+                counted = (grams >> np.uint64(64 - bits))[fresh.of(classes, sizes)[rows]].astype(np.int64)
+                parts.append(np.unique(counted, return_counts=True))
+                if len(parts) >= 16:
+                    parts = [merged(parts)]
                 n_all.append(sizes)
-                class_all.append(set_classes(rows, grams, sizes))
+                class_all.append(classes)
                 odd.append(_parities(rows, grams, chunk.rows))
             n = np.concatenate(n_all)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), *(pa.array(np.ascontiguousarray(c)) for c in np.concatenate(odd).T), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        k = len(blocks)
-        small = np.uint32 if counts.max() < 2**32 else np.int64
-        packed = [x.astype(small).tobytes() for x in blocks]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in names[:-2]), pa.array(np.arange(k, dtype=np.int32)), pa.array(packed, pa.binary())], names)
+        packed = list(_packed_counts(*merged(parts), bits)) if parts else []
+        nulls = [pa.nulls(len(packed), pa.int64()) for _ in names[:-2]]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names)
 
     return T.tidy(task)
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the parts of each block, one part in memory at a time."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
-            raw = raw.as_py()
-            part = np.frombuffer(raw, "<u4" if len(raw) == 4 << BLOCK_BITS else "<i8")
-            if block in total:
-                total[block] += part
-            else:
-                total[block] = part.astype(np.int64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-
-def _counts(profile: DataFrame) -> np.ndarray:
-    """The table of counts: 2**SKETCH_BITS of them whatever the input."""
-    parts = profile.where("block IS NOT NULL").select("block", "counts").repartition("block")
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
-    for row in parts.mapInArrow(_add_blocks, "block int, counts binary").collect():
-        out[row["block"]] += np.frombuffer(row["counts"], "<i8")
-    T.release_memory()
-    return out.reshape(-1)
+def rank_edges(mean: float) -> np.ndarray:
+    """The least count of each rank from 1 up: 2, then steps of a constant ratio up to what is hot."""
+    most = max(HOT_TOKEN, 4 * mean)
+    return np.concatenate([[2], np.geomspace(min(max(3.0, mean / 2), most), most, HOT_RANK - 1)])
 
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Counts as 8-bit ranks on a logarithmic scale."""
-    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
+def _ranked(mean: float):
+    """Blocks of ranks, two in a byte, from the parts of their counts; one part in memory at a time."""
+    edges = rank_edges(mean)
 
+    def packed(total: np.ndarray) -> bytes:
+        ranks = np.searchsorted(edges, total, side="right").astype(np.uint8)
+        return (ranks[::2] | ranks[1::2] << 4).tobytes()
 
-def _hot_rank(counts: np.ndarray) -> int:
-    """Rank from which a cell is hot. A cell counts no less than the sets that hold a shingle of it."""
-    return int(_ranks(np.array([max(HOT_TOKEN, 4 * counts.mean())]))[0])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            out = []
+            for block, raw in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
+                if block != now:
+                    if now is not None:
+                        out.append((now, packed(total)))
+                    now, total = block, np.zeros(1 << BLOCK_BITS, np.int64)
+                cells, n = _unpacked_counts(raw.as_py())
+                total[cells] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["block", "ranks"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed(total)], pa.binary())], ["block", "ranks"])
+
+    return T.tidy(task)
+
+
+def _rank_table(profile: DataFrame, bits: int) -> np.ndarray:
+    """Ranks of all cells, two in a byte: at most 2**MOST_BITS of them whatever the input."""
+    total = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = profile.where("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
+    out = np.zeros((1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 1)), np.uint8)
+    for row in parts.mapInArrow(_ranked(total / (1 << bits)), "block int, ranks binary").collect():
+        out[row["block"]] = np.frombuffer(row["ranks"], np.uint8)
+    return out.reshape(-1)
+
+
+def ranks_of(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    bits = (2 * len(table)).bit_length() - 1
+    cells = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[cells >> 1] >> (4 * (cells & 1)).astype(np.uint8)) & np.uint8(15)
 
 
 def _parities(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> np.ndarray:
@@ -160,28 +225,32 @@ def shared_in_prefix(size):
     return np.maximum(1, size // 50)
 
 
-def _prefixes(rarity, hot_rank: int, width: int, percent: int):
-    """A row for each shingle of each prefix; `deal` is the class where the shingle may be hot."""
+def prefix_rows(table: np.ndarray, rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, fresh: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Row, shingle, place and rank of the shingles of each fresh set's prefix that another class may have, rare-first.
+
+    Shingles of rank 0 are in one class only: they take their places, but nobody else can have them.
+    """
+    rank = ranks_of(table, grams).astype(np.uint64)
+    order = np.lexsort(((rank << np.uint64(56)) | (grams >> np.uint64(8)), rows))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - -(-percent * sizes // 100) + shared_in_prefix(sizes)
+    own = np.flatnonzero((place < prefix[rows]) & fresh[rows] & (rank[order] > 0))
+    return rows[own], grams[order][own], place[own], rank[order][own].astype(np.int64)
+
+
+def _prefixes(shared, width: int, percent: int):
+    """A row for each of `prefix_rows`; `deal` is the class where the shingle may be hot."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, done = rarity.value, set()
+        table, fresh = shared.value, _Fresh()
         for batch in batches:
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
                 classes = set_classes(rows, grams, sizes)
-                rank = table[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                order = np.lexsort(((rank << np.uint64(56)) | (grams >> np.uint64(8)), rows))
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = sizes - -(-percent * sizes // 100) + shared_in_prefix(sizes)
-                fresh = np.array([s > 0 and not (c in done or done.add(c)) for s, c in zip(sizes.tolist(), classes.tolist(), strict=True)], bool)
-                if len(done) > 200_000:  # a copy that is emitted again is dropped after the shuffle
-                    done.clear()
-                own = (place < prefix[rows]) & fresh[rows]
-                at = rows[own]
-                common = np.bincount(rows, np.where(place < prefix[rows], rank[order], 0), chunk.rows)
-                common = (1000 * common / np.maximum(1, prefix)).astype(np.int32)[at]
-                columns = [grams[order][own].view(np.int64), classes[at], sizes[at].astype(np.int32), place[own].astype(np.int32), common]
-                deal = pa.array(classes[at], mask=rank[order][own] < hot_rank)
+                at, tokens, place, rank = prefix_rows(table, rows, grams, sizes, fresh.of(classes, sizes), percent)
+                common = np.bincount(at, rank, chunk.rows) / np.maximum(1, np.bincount(at, minlength=chunk.rows))
+                columns = [tokens.view(np.int64), classes[at], sizes[at].astype(np.int32), place.astype(np.int32), (1000 * common[at]).astype(np.int32)]
+                deal = pa.array(classes[at], mask=rank < HOT_RANK)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), deal], ["token", "class_id", "n", "place", "common", "deal"])
 
     return T.tidy(task)
@@ -221,16 +290,17 @@ def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return counts, None if hot.isEmpty() else hot
 
 
-def _sets(bitmap, width: int):
+def _sets(shared, bits: int, width: int):
     """Class and sorted hashes of the documents whose class may be in the bitmap, each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, done = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool), set()
+        bitmap, done = shared.value, set()
         for batch in batches:
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
                 classes = set_classes(rows, grams, sizes)
-                use = wanted[classes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] & (sizes > 0)
+                cells = (classes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                use = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 & (sizes > 0)
                 ends = np.cumsum(sizes)
                 found = []
                 for r in np.flatnonzero(use).tolist():
@@ -243,6 +313,26 @@ def _sets(bitmap, width: int):
     return T.tidy(task)
 
 
+def _bitmap(classes: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Bits of a class's number, and a bitmap of the numbers of `n` classes with room for 16 times as many, made in blocks."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (16 * n).bit_length()))
+    cell = F.shiftrightunsigned("class_id", 64 - bits)
+    cells = classes.select(F.shiftright(cell, BITMAP_BLOCK).cast("int").alias("block"), (cell % (1 << BITMAP_BLOCK)).cast("int").alias("at"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, at = batch["block"].to_numpy(), batch["at"].to_numpy()
+            for block in np.unique(blocks).tolist():
+                held.setdefault(block, np.zeros(1 << BITMAP_BLOCK, bool))[at[blocks == block]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << (bits - BITMAP_BLOCK), 1 << (BITMAP_BLOCK - 3)), np.uint8)
+    for row in cells.repartition("block").mapInArrow(task, "block int, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits, out.reshape(-1)
+
+
 def _overlap(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,13 +350,10 @@ def _overlap(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets overlap enough; sets are made anew for these classes only."""
-    spark = docs.sparkSession
-    cell = F.shiftrightunsigned("class_id", 64 - BITMAP_BITS).cast("int").alias("cell")
     counts, hot = _ends(pairs)
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[counts.select(cell).distinct().toPandas()["cell"].to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    sets = docs.select("text").mapInArrow(_sets(shared, width), "class_id long, grams binary")
+    bits, bitmap = _bitmap(counts, counts.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sets = docs.select("text").mapInArrow(_sets(shared, bits, width), "class_id long, grams binary")
     sets = sets.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
     left = dealt_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
     both = dealt_join(left.withColumn("class_id", F.col("b")), sets.withColumnRenamed("grams", "right"), ["class_id"], hot, F.col("a"))
@@ -280,32 +367,31 @@ def _with_neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return rows.selectExpr("*", f"lag(n) {sizes} AS shorter", f"lead(n) {sizes} AS longer").where(near).drop("shorter", "longer")
 
 
-def _prefix_groups(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows of shingles that two classes or more share, each with its sketch and the leader of its shingle: those
-    that are surely not hot, and the rest with their number of `classes`.
+def _prefix_groups(docs: DataFrame, table: np.ndarray, width: int, percent: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of shingles that two classes or more share, each with the leader of its shingle: those that are surely not
+    hot, and the rest with their number of `classes`.
 
     Rows without a partner of a like length go first, then the classes with too few rows left, then rows that had only these.
     What the first step leaves is written, so that the shuffle of all prefixes is gone from disk before the next ones start.
     """
     spark = docs.sparkSession
-    shared, near = spark.sparkContext.broadcast(_ranks(counts)), new_folder(spark, "near")
-    rows = docs.select("text").mapInArrow(_prefixes(shared, _hot_rank(counts), width, percent), "token long, class_id long, n int, place int, common int, deal long")
-    rows = written(_with_neighbours(rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"]), percent), "near", near)
+    rows = docs.select("text").mapInArrow(_prefixes(spark.sparkContext.broadcast(table), width, percent), "token long, class_id long, n int, place int, common int, deal long")
+    rows = steps.write(_with_neighbours(rows.repartition("token", "deal").dropDuplicates(["token", "deal", "class_id"]), percent), "near")
     drop_shuffles(spark)
     # A class with fewer such rows than a pair must share has no partner either.
-    sketched = rows.join(sketches.drop("n"), "class_id").selectExpr("*", "count(*) OVER (PARTITION BY class_id) AS own")
-    rows = sketched.where(f"own >= greatest(1L, (({percent}L * n + 99L) div 100L) div 50L)").drop("own")
+    counted = rows.selectExpr("*", "count(*) OVER (PARTITION BY class_id) AS own")
+    rows = counted.where(f"own >= greatest(1L, (({percent}L * n + 99L) div 100L) div 50L)").drop("own")
     rows = _with_neighbours(rows.repartition("token", "deal"), percent)
     first = "min(struct(-common AS rare, xxhash64(class_id) AS h, class_id, n, place)) OVER (PARTITION BY token, deal) AS first"
     rows = rows.selectExpr("*", first)
-    groups = written(rows.select("token", "deal", F.struct("class_id", "n", "place", *_PARITY_COLUMNS).alias("row"), "first"), "prefixes")
-    remove(spark, near)
+    groups = steps.write(rows.select("token", "deal", F.struct("class_id", "n", "place").alias("row"), "first"), "prefixes")
+    steps.drop("near")
     drop_shuffles(spark)
     leader = F.struct("first.class_id", "first.n", "first.place").alias("leader")
     cold, hot = groups.where("deal IS NULL").select("token", "row", leader), groups.where("deal IS NOT NULL")
     leaders = hot.groupBy("token").agg(F.count("*").alias("classes"), F.min("first").alias("first")).where("classes > 1")
     led = dealt_join(hot.select("token", "row"), leaders, ["token"], hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN), F.col("row.class_id"))
-    return cold, written(led.select("token", "row", leader, "classes"), "hot")
+    return cold, steps.write(led.select("token", "row", leader, "classes"), "hot")
 
 
 def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -313,7 +399,7 @@ def _counted(rows: DataFrame, a: str, b: str) -> DataFrame:
     need = F.greatest(F.lit(1), F.expr(f"least({a}.n, {b}.n) div 50"))
     low, high = F.least(F.col(f"{a}.class_id"), F.col(f"{b}.class_id")), F.greatest(F.col(f"{a}.class_id"), F.col(f"{b}.class_id"))
     pairs = rows.select(low.alias("a"), high.alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("common"), F.max("need").alias("need"))
-    return written(pairs.where("common >= need").select("a", "b"), "pairs")
+    return pairs.where("common >= need").select("a", "b")
 
 
 def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -333,7 +419,7 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     led = "max(CASE WHEN class_id = leader.class_id THEN label END) OVER (PARTITION BY token) AS led"
     rows = _labelled(cold, labels).repartition("token").selectExpr("token", "row", "label", led)
     rows = rows.selectExpr("*", "max(label <> led) OVER (PARTITION BY token) AS mixed").where("mixed").drop("mixed")
-    apart = apart & _possible("row", "other", percent) & _suffix("row", "other", percent)
+    apart = apart & _possible("row", "other", percent)
     pairs = rows.join(rows.where("label <> led").select("token", *other), "token").where(apart).select("row", "other")
     if hot.isEmpty():
         return pairs
@@ -345,28 +431,38 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     return pairs.unionByName(more.where(apart).select("row", "other"))
 
 
-def join_classes(docs: DataFrame, sketches: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+def join_classes(docs: DataFrame, sketches: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
     """(node, label): the component of each class that links with a class of a smaller number."""
-    cold, hot = _prefix_groups(docs, sketches, counts, width, percent)
+    spark, steps = docs.sparkSession, Steps(docs.sparkSession, "jaccard")
+    cold, hot = _prefix_groups(docs, table, width, percent, steps)
+
+    def linked(rows: DataFrame, other: str, name: str) -> DataFrame:
+        """The links among the pairs (row, other): counted, held to their sketches, verified; each step goes with the next."""
+        drop_shuffles(spark)
+        pairs = steps.write(_counted(rows, "row", other), f"{name}-counted")
+        drop_shuffles(spark)
+        possible = steps.write(_suffix_filtered(pairs, sketches, percent), f"{name}-possible")
+        steps.drop(f"{name}-counted")
+        found = steps.write(_verified(possible, docs, width, percent), f"{name}-links")
+        steps.drop(f"{name}-possible")
+        drop_shuffles(spark)
+        return found
+
     led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
-    drop_shuffles(docs.sparkSession)
-    stars = _counted(led, "row", "leader")
-    links = written(_verified(written(_suffix_filtered(stars, sketches, percent), "stars"), docs, width, percent), "verified")
-    drop_shuffles(docs.sparkSession)
-    between = _counted(_between(cold, hot, components(links), percent), "row", "other")
-    drop_shuffles(docs.sparkSession)
-    more = written(_verified(between, docs, width, percent), "verified")
-    drop_shuffles(docs.sparkSession)
-    return components(links.unionByName(more))
+    links = linked(led, "leader", "stars")
+    more = linked(_between(cold, hot, components(links, steps.folder), percent), "other", "between")
+    labels = components(links.unionByName(more))
+    steps.drop()
+    return labels
 
 
 def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Size and class of each of `rows` with its numbers, and (node, label) of the classes that link with others."""
-    numbers = [c for c in rows.columns if c != "text"]
+    numbers, bits = [c for c in rows.columns if c != "text"], table_bits(rows)
     schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"
-    profile = written(rows.mapInArrow(_profile(width, numbers), schema), "profile")
+    profile = written(rows.mapInArrow(_profile(width, numbers, bits), schema), "profile")
     sketches = profile.where("class_id IS NOT NULL").select("class_id", F.col("n_shingles").alias("n"), *_PARITY_COLUMNS).dropDuplicates(["class_id"])
-    labels = join_classes(rows.where("doc_id IS NOT NULL"), sketches, _counts(profile), width, percent)
+    labels = join_classes(rows.where("doc_id IS NOT NULL"), sketches, _rank_table(profile, bits), width, percent)
     return profile.where("block IS NULL").select(*numbers, "n_shingles", "class_id"), labels
 
 
@@ -394,7 +490,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group only, of the smallest id; all columns stay.
 
     Rows are told apart by id and text, so texts under a repeated id are judged each by its own group. Of rows
-    that repeat both, one stays. Rows without an id or without words stay.
+    that repeat both, one stays, the same one whatever the partitions. Rows without an id or without words stay.
     """
     text_key = F.xxhash64(F.col("text").cast("string"))
     documents, labels = _linked(T.id_and_text(docs, text_key.alias("text_key")), width, percent)
@@ -411,5 +507,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     kept = dealt_join(keyed, found.select("_id", "_text"), ["_id", "_text"], hot, spread, "left_anti").select("doc.*")
     if not found.where("stays").isEmpty():
         repeated = dealt_join(keyed, found.where("stays").select("_id", "_text"), ["_id", "_text"], hot, spread)
-        kept = kept.unionByName(repeated.dropDuplicates(["_id", "_text"]).select("doc.*"))
+        # Rows that repeat id and text may differ elsewhere: the one of the least hash stays, wherever it lies.
+        chosen = repeated.groupBy("_id", "_text").agg(F.min_by("doc", F.struct(F.xxhash64(F.to_json("doc")), F.to_json("doc"))).alias("doc"))
+        kept = kept.unionByName(chosen.select("doc.*"))
     return docs.where(~named).unionByName(kept)

@@ -41,6 +41,23 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Steps:
+    """Written tables of a job's steps by name, so that each goes when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_folder(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Without names all that is left."""
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+        if not names:
+            remove(self.spark, self.folder)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps, which it keeps until their plans are collected as garbage.
 
