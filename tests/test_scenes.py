@@ -67,14 +67,30 @@ def test_fused_sphere_has_the_right_signs(spark):
     assert all((r["v"] < 0) == (np.sqrt(r["x"] ** 2 + r["y"] ** 2 + r["z"] ** 2) < 0.3) for r in near)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch_after_a_restart(spark, tmp_path):
+    """Pixels in four files, the stream stopped after two and started again from its checkpoint; then a scene ends."""
     g, frames, pixels = sphere_scene(spark)
-    centres = grid.world_centres(g)
-    pixels.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["i"], r["j"], r["k"]): r["v"] for r in streams.run_to_end(streams.fuse_stream(stream, centres, frames, 0.2), str(tmp_path / "out")).collect()}
-    want = {(r["i"], r["j"], r["k"]): r["v"] for r in fusion.fuse(fusion.observe(centres, frames, pixels), 0.2).collect()}
-    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+    prior = grid.grid_cells(g).where("k = 3").select(*grid.CELL, F.lit(0.125).alias("v"))
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    rows = pixels.withColumn("part", F.xxhash64("row", "col") % 4)
+    both = []
+    for started in (None, prior):
+        folder = f"{out}{started is not None}"
+        for n, parts in enumerate(((0, 1, -1), (2, 3, -2, -3))):
+            for k in parts:
+                rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{source}{started is not None}")
+            stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}{started is not None}")
+            got = {(r["i"], r["j"], r["k"]): (r["v"], r["sum_w"]) for r in streams.run_to_end(streams.fuse_stream(stream, g, frames, 0.2, started, tile=8, band_rows=20), folder).collect()}
+        want = {(r["i"], r["j"], r["k"]): (r["v"], r["sum_w"]) for r in fusion.fuse_grid(g, frames, pixels, 0.2, prior=started).where("n_frames > 0").collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[c], want[c]) for c in want)
+        both.append(got)
+    assert both[0] != both[1]
+    end = spark.createDataFrame([(1, 0, -1, 0, None)], pixels.schema)
+    for late in (end, pixels.limit(50)):
+        late.coalesce(1).write.mode("append").parquet(f"{source}False")
+    stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}False")
+    after = streams.run_to_end(streams.fuse_stream(stream, g, frames, 0.2, tile=8, band_rows=20), f"{out}False").collect()
+    assert {(r["i"], r["j"], r["k"]): (r["v"], r["sum_w"]) for r in after} == both[0]  # what came after the end is ignored
 
 
 def test_plane_normals(spark):

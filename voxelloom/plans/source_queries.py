@@ -126,7 +126,7 @@ def _stream(s: SparkSession, df: DataFrame, folder: str) -> DataFrame:
 def r1(s, d):
     folder = shared_folder(s)
     stream = _stream(s, V.pixels(s, d), folder)
-    fused = streams.fuse_stream(stream, R.world_centres(V.grids(s, d)), V.frames(s, d), V.MU)
+    fused = streams.fuse_stream(stream, V.grids(s, d), V.frames(s, d), V.MU)
     return streams.run_to_end(fused, folder).select(*CELL, F.round("v", 9).alias("v"), "sum_w")
 
 

@@ -1,25 +1,145 @@
 """Frame-at-a-time fusion and prediction-at-a-time accumulation on Structured Streaming.
 
-Both keep sums for each cell, so the order of arrival doesn't matter; in update mode each trigger emits
-the cells that changed, and the sink keeps the latest row of each cell.
+Both keep sums, so the order of arrival doesn't matter; in update mode each trigger emits the cells that changed, and the
+sink keeps the latest row of each cell.
+
+Fusion keeps its state by scene and slab, a group of tiles with one `bi`: the sums of each tile as arrays, and the cameras
+with the tiles that each band of their images may reach. These come in once, as initial state, with the known cells of a
+partial grid if there is one: no trigger projects cells of tiles that its pixels can't reach, or reads the static tables again
+but for the list of bands that says which slabs a pixel goes to. A row of image row -1 says that a scene is complete: its state
+goes, and pixels that come later are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from voxelloom.operators.fusion import observe
+from voxelloom.operators import fusion
+from voxelloom.operators import tiles as L
 from voxelloom.operators.grid import CELL
+from voxelloom.operators.store import written
+
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Touched:
+    """What falls in each tile, by `fusion._look_up`."""
+
+    def __init__(self, mu: float, tile: int):
+        self.mu, self.sums = mu, L.TileSums(1, tile)
+
+    def take(self, scene, frame, box, lin, col, row, z, depth) -> None:
+        near = z - depth <= self.mu
+        if near.any():
+            self.sums.add(scene, box, lin[near], [-np.clip((z - depth)[near], -self.mu, self.mu)])
+
+
+class TileFusion(StatefulProcessor):
+    """State of one slab of a scene: `views` by frame and band, `sums` (frames and distances a cell) by tile."""
+
+    def __init__(self, mu: float, tile: int, band_rows: int):
+        self.mu, self.tile, self.band_rows = mu, tile, band_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.views = handle.getMapState("views", "frame_id string, band int", "view array<double>, tiles binary")
+        self.sums = handle.getMapState("sums", "bi int, bj int, bk int", "sums binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        for r in initial.itertuples(index=False):
+            if r.kind == "view":
+                self.views.updateValue((r.frame_id, int(r.band)), ([float(x) for x in r.view], bytes(r.tiles)))
+            else:
+                total = np.zeros((2, self.tile**3))
+                at = np.array([c["lin"] for c in r.cells])
+                total[0, at], total[1, at] = 1, [c["v"] for c in r.cells]
+                self.sums.updateValue((int(r.bi), int(r.bj), int(r.bk)), (total.tobytes(),))
+
+    def _view(self, scene, frame: str, band: int) -> dict | None:
+        if not self.views.containsKey((frame, band)):
+            return None
+        flat, tiles = self.views.getValue((frame, band))
+        flat = np.array(flat)
+        cut = lambda a, b, *shape: flat[a:b].reshape(shape)
+        numbers = dict(zip(("ni", "nj", "nk", "h", "w"), flat[:5].astype(int).tolist(), strict=True))
+        return numbers | {"scene_id": scene, "frame_id": frame, "band": band, "tiles": bytes(tiles), "vox_size": flat[5], "origin": flat[6:9], "rot": cut(9, 18, 3, 3), "intrinsics": cut(18, 27, 3, 3), "view": cut(27, 39, 3, 4)}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        scene, out, finished = key[0], _Touched(self.mu, self.tile), False
+        pixels = pd.concat(list(rows))
+        for (frame, band), own in pixels.groupby(["frame_id", "band"]):
+            if band < 0:
+                finished = True
+                continue
+            view = self._view(scene, frame, int(band))
+            if view is None:
+                continue
+            image = np.full((self.band_rows, view["w"]), np.nan)
+            row, col, depth = (own[c].to_numpy() for c in ("row", "col", "depth"))
+            fits = (row < view["h"]) & (col >= 0) & (col < view["w"])
+            image[row[fits] - band * self.band_rows, col[fits]] = depth[fits]
+            boxes = np.frombuffer(view["tiles"], "<i4").reshape(-1, 3).astype(np.int64)
+            fusion._look_up(view, boxes, image, self.tile, self.band_rows, out)
+        for (_, *box), own in out.sums.held.items():
+            box = tuple(box)
+            total = np.frombuffer(self.sums.getValue(box)[0]).reshape(2, -1) + own if self.sums.containsKey(box) else own
+            self.sums.updateValue(box, (total.tobytes(),))
+            lin = np.flatnonzero(own[0])
+            i, j, k = L.tile_cells(box, lin, self.tile)
+            yield pd.DataFrame({"scene_id": scene, "i": i, "j": j, "k": k, "v": total[1, lin] / total[0, lin], "sum_w": total[0, lin].astype(np.int64)})
+        if finished:
+            self.views.clear()
+            self.sums.clear()
+
+
+def _initial(grids: DataFrame, views: DataFrame, prior: DataFrame | None, tile: int) -> DataFrame:
+    flat = F.concat(F.array(*(F.col(c).cast("double") for c in ("ni", "nj", "nk", "h", "w", "vox_size"))), "origin", "rot", "intrinsics", "view").alias("view")
+    own = views.select("scene_id", "slab", F.lit("view").alias("kind"), "frame_id", "band", flat, "tiles", *(F.lit(None).cast("int").alias(b) for b in L.BOX[1:]), F.lit(None).cast("array<struct<lin:int,v:double>>").alias("cells"))
+    if prior is None:
+        return own
+    at = [F.floor(F.col(c) / tile).cast("int").alias(b) for c, b in zip("ijk", L.BOX[1:], strict=True)]
+    lin = (((F.col("i") % tile) * tile + F.col("j") % tile) * tile + F.col("k") % tile).cast("int").alias("lin")
+    known = prior.where("v IS NOT NULL").join(grids.select("scene_id"), "scene_id", "left_semi").select("scene_id", *at, F.struct(lin, F.col("v").cast("double").alias("v")).alias("cell"))
+    cells = known.groupBy(*L.BOX).agg(F.collect_list("cell").alias("cells"))  # a tile's cells at most
+    none = {"frame_id": "string", "band": "int", "view": "array<double>", "tiles": "binary"}
+    return own.unionByName(cells.select("scene_id", F.col("bi").alias("slab"), F.lit("prior").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), *L.BOX[1:], "cells"))
+
+
+def fuse_stream(pixels: DataFrame, grids: DataFrame, frames: DataFrame, mu: float, prior: DataFrame | None = None, tile: int = L.TILE, band_rows: int = fusion.BAND_ROWS) -> DataFrame:
+    """(cell, v, sum_w) of a stream of pixels, as `operators.fusion.fuse_grid` has them; `prior` starts with weight 1 where known.
+
+    The pixels of a band may come in several triggers, each pixel once. The session needs the state store of PROVIDER.
+    """
+    pixels.sparkSession.conf.set(*PROVIDER)
+    bands = fusion.frame_bands(grids, frames.withColumn("frame_id", F.col("frame_id").cast("string")), tile, band_rows)
 
+    def by_slab(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                boxes = np.frombuffer(row["tiles"], "<i4").reshape(-1, 3)
+                out += [row | {"slab": int(s), "tiles": boxes[boxes[:, 0] == s].tobytes()} for s in np.unique(boxes[:, 0])]
+            schema = batch.schema.append(pa.field("slab", pa.int32()))
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-def fuse_stream(pixels: DataFrame, centres: DataFrame, frames: DataFrame, mu: float) -> DataFrame:
-    """(cell, v, sum_w) of a stream of pixels against the static cells and frames, as `operators.fusion.fuse` has it."""
-    seen = observe(centres, frames, pixels)
-    d = F.col("z") - F.col("depth")
-    rows = seen.where(d <= mu).select(*CELL, (-F.least(F.greatest(d, F.lit(-mu)), F.lit(mu))).alias("d"))
-    sums = rows.groupBy(*CELL).agg(F.count("*").alias("sum_w"), F.sum("d").alias("sum_wd"))
-    return sums.select(*CELL, (F.col("sum_wd") / F.col("sum_w")).alias("v"), "sum_w")
+    views = written(bands.mapInArrow(by_slab, bands.select("*", F.lit(0).alias("slab")).schema))
+    slabs = views.select("scene_id", "frame_id", "band", "slab")
+    own = pixels.where("depth IS NOT NULL OR row < 0").select("scene_id", F.col("frame_id").cast("string").alias("frame_id"), F.floor(F.col("row") / band_rows).cast("int").alias("band"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("depth").cast("double").alias("depth"))
+    # The end of a scene, told in any of its frames, goes to all of its slabs.
+    ends = views.select("scene_id", "slab").distinct().join(frames.select("scene_id", F.col("frame_id").cast("string").alias("frame_id")), "scene_id").select("scene_id", "frame_id", F.lit(-1).alias("band"), "slab")
+    asked = own.join(written(slabs.unionByName(ends)), ["scene_id", "frame_id", "band"])
+    scene = pixels.schema["scene_id"].dataType.simpleString()
+    start = written(_initial(grids, views, prior, tile)).groupBy("scene_id", "slab")
+    return asked.groupBy("scene_id", "slab").transformWithStateInPandas(TileFusion(mu, tile, band_rows), f"scene_id {scene}, i int, j int, k int, v double, sum_w long", "Update", "None", initialState=start)
 
 
 def accumulate_stream(values: DataFrame) -> DataFrame:
