@@ -154,6 +154,34 @@ def test_filters_keep_holes_and_constants(spark):
     assert image.median_filter(x, 3)[2, 3] == np.median(padded[2:5, 3:6])
 
 
+def test_filters_equal_plain_loops(spark):
+    """Both filters over frames with holes, which the nearest known pixel fills for the filter only."""
+    rng = np.random.default_rng(12)
+    h, w = 13, 11
+    frames = {f: np.where(rng.random((h, w)) < 0.15, np.nan, rng.uniform(0.2, 3.0, (h, w))) for f in range(2)}
+    rows = [(1, f, r, c, None if np.isnan(x[r, c]) else float(x[r, c])) for f, x in frames.items() for r in range(h) for c in range(w)]
+    pixels = spark.createDataFrame(rows, "scene_id long, frame_id int, row int, col int, depth double")
+    median = {(r["frame_id"], r["row"], r["col"]): r["depth"] for r in image.median_depth(pixels, 4).collect()}
+    smooth = {(r["frame_id"], r["row"], r["col"]): r["depth"] for r in image.bilateral_depth(pixels, 60.0, 1.5).collect()}
+    mirrored = lambda n, size: -n - 1 if n < 0 else 2 * size - 1 - n if n >= size else n
+    for f, x in frames.items():
+        known = np.argwhere(~np.isnan(x))
+        full = np.array([[x[tuple(known[((known - (r, c)) ** 2).sum(1).argmin()])] for c in range(w)] for r in range(h)])
+        scale = max(1.0, full.max())
+        for r, c in itertools.product(range(h), range(w)):
+            if np.isnan(x[r, c]):
+                assert median[f, r, c] is None and smooth[f, r, c] is None
+                continue
+            around = sorted(full[mirrored(r + a, h), mirrored(c + b, w)] for a in range(-2, 2) for b in range(-2, 2))
+            assert median[f, r, c] == around[8]
+            total = weight = 0.0
+            for a, b in itertools.product(range(-3, 4), repeat=2):
+                other = full[min(max(r + a, 0), h - 1), min(max(c + b, 0), w - 1)]
+                own = np.exp(-(a * a + b * b) / (2 * 1.5**2)) * np.exp(-(((other - full[r, c]) / scale * 255) ** 2) / (2 * 60.0**2))
+                total, weight = total + own * other, weight + own
+            assert smooth[f, r, c] == pytest.approx(total / weight)
+
+
 def test_sampling_is_a_function_of_the_seed(spark):
     rows = [(s, 0, r, c, float(r + c + 1)) for s in (1, 2) for r in range(8) for c in range(9)]
     pixels = spark.createDataFrame(rows, "scene_id long, frame_id int, row int, col int, depth double")

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType
 
 from voxelloom.operators import tiles as L
 from voxelloom.operators.grid import CELL, occupied_above
+from voxelloom.operators.tiles import lists
 
 
 def cell_places(shape: Sequence[int], size: float, rot: np.ndarray, origin: np.ndarray) -> np.ndarray:
@@ -38,12 +39,6 @@ def numbers(column: pa.Array, n: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
 
 
-def lists(rows: np.ndarray) -> pa.Array:
-    """Rows of an array as a column of lists, NaN as NULL."""
-    flat = np.ascontiguousarray(rows, np.float64).ravel()
-    return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, max(1, rows.shape[1]), dtype=np.int32)[: len(rows) + 1], pa.array(flat, mask=np.isnan(flat)))
-
-
 def _stacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Rotations and origins of some blocks and of their grids, as arrays, with the size of the grids' cells."""
     turn = lambda c: numbers(batch[c], 9).reshape(-1, 3, 3)
@@ -56,9 +51,9 @@ def _in_grid(places: np.ndarray, rot, origin, grid_rot, grid_origin, step) -> np
     return (world - grid_origin[:, None, :]) @ grid_rot / step[:, None, None]
 
 
-def _grid_ranges(batch: pa.RecordBatch, shape: Sequence[int], size: float) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-last cell of its grid that each block's corners span, one cell wider for rounding."""
-    corners = np.array(np.meshgrid(*((0, n * size) for n in shape), indexing="ij")).reshape(3, -1).T
+def _grid_ranges(batch: pa.RecordBatch, low: Sequence[float], high: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last cell of its grid that a box in each block's axes spans, one cell wider for rounding."""
+    corners = np.array(np.meshgrid(*zip(low, high, strict=True), indexing="ij")).reshape(3, -1).T
     at = _in_grid(corners, *_stacked(batch))
     ends = np.stack([batch[c].to_numpy() for c in ("ni", "nj", "nk")], 1)
     return np.clip(np.floor(at.min(1)).astype(int) - 1, 0, ends), np.clip(np.floor(at.max(1)).astype(int) + 2, 0, ends)
@@ -70,14 +65,14 @@ def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def touched_tiles(blocks: DataFrame, shape: Sequence[int], size: float, tile: int) -> DataFrame:
-    """The rows of `blocks` (with their grid) once for each tile (bi, bj, bk) of `tile`^3 cells that they may reach."""
+def touched_tiles(blocks: DataFrame, low: Sequence[float], high: Sequence[float], tile: int) -> DataFrame:
+    """The rows of `blocks` (with their grid) once for each tile (bi, bj, bk) of `tile`^3 cells that a box in their axes may reach."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high = _grid_ranges(batch, shape, size)
-            first = low // tile
-            n = np.where((low < high).all(1)[:, None], (high - 1) // tile - first + 1, 0)
+            begin, end = _grid_ranges(batch, low, high)
+            first = begin // tile
+            n = np.where((begin < end).all(1)[:, None], (end - 1) // tile - first + 1, 0)
             row, place = _spread(n.prod(1))
             box = np.stack([place // (n[row, 1] * n[row, 2]), place // n[row, 2] % n[row, 1], place % n[row, 2]], 1) + first[row]
             some = batch.take(pa.array(row))
@@ -87,7 +82,12 @@ def touched_tiles(blocks: DataFrame, shape: Sequence[int], size: float, tile: in
 
 
 def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Sequence[int], size: float, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = L.TILE, labels: DataFrame | None = None) -> DataFrame:
-    """scene_id, sample_id and `vals`: the grid's values in each upright block (rot, origin), in C order, unknown NULL.
+    """scene_id, sample_id and `vals`: the grid's values in each upright block (rot, origin), in C order, as `cut_places` has them."""
+    return cut_places(blocks, voxels, grids, cell_places(shape, size, np.eye(3), np.zeros(3)), initial, post_transform, tile, labels)
+
+
+def cut_places(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, places: np.ndarray, initial: float = float("nan"), post_transform: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = L.TILE, labels: DataFrame | None = None) -> DataFrame:
+    """scene_id, sample_id and `vals`: the grid's values at some places (n x 3) in the axes of each block (rot, origin), unknown NULL.
 
     A block meets only the tiles of its scene's grid that it reaches: a tile's cells come first in a task, become an array, and
     the blocks that reach it follow, some at a time, so no task holds a scene or all blocks of a tile. Scenes with more than
@@ -99,7 +99,7 @@ def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Se
     own = blocks.select("scene_id", "sample_id", "rot", "origin", (F.lit(0) if labels is None else F.coalesce(F.col("label").cast("int"), F.lit(0))).alias("label"))
     copies = own.groupBy("scene_id").agg(F.ceil(F.count("*") / SAMPLES_A_COPY).cast("int").alias("copies"))
     placed = _with_grid(own, grids)
-    asked = touched_tiles(placed.join(copies, "scene_id").withColumn("copy", F.pmod(F.xxhash64("sample_id"), "copies").cast("int")).drop("copies"), shape, size, tile)
+    asked = touched_tiles(placed.join(copies, "scene_id").withColumn("copy", F.pmod(F.xxhash64("sample_id"), "copies").cast("int")).drop("copies"), places.min(0), places.max(0), tile)
     at = [F.floor(F.col(c) / tile).cast("int").alias(b) for c, b in zip("ijk", L.BOX[1:], strict=True)]
     lin = ((F.pmod("i", F.lit(tile)) * tile + F.pmod("j", F.lit(tile))) * tile + F.pmod("k", F.lit(tile))).cast("int").alias("lin")
     held = [voxels.where("v IS NOT NULL").select("scene_id", *at, lin, F.col("v").cast("double").alias("v"), F.lit(0).alias("step"))]
@@ -110,7 +110,6 @@ def cut_blocks(blocks: DataFrame, voxels: DataFrame, grids: DataFrame, shape: Se
         copied = cells.join(copies, "scene_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
         rows = rows.unionByName(copied, allowMissingColumns=True)
     ordered = rows.withColumn("run", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions("run", *keys, "step")
-    places = cell_places(shape, size, np.eye(3), np.zeros(3))
 
     def cut(batch: pa.RecordBatch, vals: np.ndarray, labelled: np.ndarray) -> tuple[list, list]:
         """Cells of some blocks of one tile that it knows: their places in the block and values."""
@@ -178,7 +177,7 @@ def place_predictions(predictions: DataFrame, grids: DataFrame, shape: Sequence[
 
     def reached(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         """Block, grid cell and block cell of every cell that each block covers."""
-        low, high = _grid_ranges(batch, shape, size)
+        low, high = _grid_ranges(batch, (0.0, 0.0, 0.0), [n * size for n in shape])
         span = np.where((low < high).all(1)[:, None], high - low, 0)
         rot, origin, grid_rot, grid_origin, step = _stacked(batch)
         column, place = _spread(span[:, 0] * span[:, 1])

@@ -152,10 +152,18 @@ def bilateral(image: np.ndarray, sigma_range: float, sigma_space: float) -> np.n
 
 
 def median_filter(image: np.ndarray, size: int) -> np.ndarray:
-    """Median of a size x size window around each pixel, borders mirrored."""
-    before = size // 2
+    """Median of a size x size window around each pixel, borders mirrored; of an even number the upper of the middle two.
+
+    Some rows at a time, so that the windows of a large frame aren't all in memory.
+    """
+    before, middle = size // 2, size * size // 2
     padded = np.pad(image, ((before, size - 1 - before),) * 2, mode="symmetric")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (size, size)), axis=(2, 3))
+    windows, out = np.lib.stride_tricks.sliding_window_view(padded, (size, size)), np.empty(image.shape)
+    some = max(1, (1 << 20) // (image.shape[1] * size * size))
+    for at in range(0, len(image), some):
+        part = windows[at : at + some].reshape(-1, image.shape[1], size * size)
+        out[at : at + some] = np.partition(part, middle, axis=2)[:, :, middle]
+    return out
 
 
 def _filtered(pixels: DataFrame, method) -> DataFrame:
