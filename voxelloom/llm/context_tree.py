@@ -12,11 +12,11 @@ How it runs, with nothing whole in one place:
    files, so a lost executor can't deal the rows anew.
 2. Each task counts the distinct byte windows (DEPTH context bytes and the next) and words of a block; counts are of
    training rows, windows of all rows.
-3. Sums over all blocks meet by their three latest context bytes, at most 256**(DEPTH-2) windows of one such context, which
-   solves depth 3 and below once: each window keeps the probabilities of its eight decisions from depth 3 down, each
-   context sends its nodes up.
-4. Aggregation makes the nodes at depth 2, at most 2**24 of them, and at depths 1 and 0, at most 65,280: what the driver
-   gathers and broadcasts. Each window's value then follows from its own row.
+3. Counts of one window are added wherever it lies, and the distinct windows then meet by their two latest context bytes,
+   which solves depth 2 and below once: each window keeps the probabilities of its eight decisions from depth 2 down, each
+   context sends its nodes up. A task holds at least one such context whole: its distinct windows, about 200 bytes each.
+4. Aggregation makes the nodes at depths 1 and 0, at most 65,280: what the driver gathers and broadcasts. Each window's value
+   then follows from its own row.
 5. The values return to the blocks that hold the keys and meet the block's texts.
 
 `base_score` is the add-one unigram score over words and an end token. Rows whose id has the held-out
@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.llm import _text as T
-from voxelloom.llm.storage import written
+from voxelloom.llm.storage import drop_shuffles, written
 
 DEPTH = 4
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 48 << 20
 _WINDOW, _WORD, _NODE = 0, 1, 2
-#: Windows that a task solves together, and at least one whole context.
-SOLVED_ROWS = 1 << 19
+#: Windows that a task solves together, and at least one whole context of SPLIT bytes.
+SOLVED_ROWS, SPLIT = 1 << 18, 2
 _END_TOKEN = np.array([1], np.uint64)
 _HALF = math.log(0.5)
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
@@ -231,17 +231,17 @@ def _count(depth: int):
     return T.tidy(task)
 
 
-def _solve(depth: int, split: int):
-    """From windows and words, sorted so that whole contexts of `split` bytes follow each other: each window with its eight
-    probabilities from that depth down, nodes summed to contexts of two bytes, and the words as they come."""
-    shift = 8 * (depth + 1 - split)
+def _solve(depth: int):
+    """From windows and words, sorted so that whole contexts of SPLIT bytes follow each other: each window with its eight
+    probabilities from that depth down, nodes summed to contexts of one byte, and the words as they come."""
+    shift = 8 * (depth + 1 - SPLIT)
     names = ["kind", "key", "n", "p", "label", "n0", "n1", "weighted"]
 
     def solved(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         p, nodes = np.empty((len(keys), 8)), []
-        for k, (label, _, own, first, n0, n1, weighted) in enumerate(subtrees(keys, counts.astype(float), depth, split)):
+        for k, (label, _, own, first, n0, n1, weighted) in enumerate(subtrees(keys, counts.astype(float), depth, SPLIT)):
             p[:, k] = own
-            nodes.append((keys[first] >> (8 * (depth - 1)) << 8 | label[first], n0, n1, weighted))
+            nodes.append((keys[first] >> (8 * depth) << 8 | label[first], n0, n1, weighted))
         node, n0, n1, weighted = (np.concatenate(x) for x in zip(*nodes, strict=True))
         found, at = np.unique(node, return_inverse=True)
         sums = [np.bincount(at, x, len(found)) for x in (n0, n1, weighted)]
@@ -272,39 +272,21 @@ def _solve(depth: int, split: int):
     return T.tidy(task)
 
 
-def _second(split: int):
-    """Nodes at depth 2 from the sums over their children: the share of a node's own estimate in its mix, that estimate of a 1,
-    and the log of the weighted probability."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n0, n1, below = (batch[c].to_numpy() for c in ("n0", "n1", "weighted"))
-            estimate = log_kt(n0, n1)
-            weighted = below if split == 2 else np.logaddexp(_HALF + estimate, _HALF + below)
-            share = np.zeros(len(n0)) if split == 2 else np.exp(_HALF + estimate - weighted)
-            node = batch["key"].to_numpy() << 8 | batch["label"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(node), batch["n0"], batch["n1"], pa.array(weighted), pa.array(share), pa.array((n1 + 0.5) / (n0 + n1 + 1))], ["node", "n0", "n1", "weighted", "share", "own"])
-
-    return task
-
-
 def _values(depth: int, shared):
     """Log10 probability of each window."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (mix, rest), nodes, share, own = shared.value
+        mix, rest = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, raw = batch["key"].to_numpy(), batch["p"]
             begin = int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset])
             p = np.frombuffer(raw.buffers()[2], np.float64, 8 * len(raw), begin).reshape(-1, 8)
-            c1, c2, byte, total = keys >> (8 * depth), keys >> (8 * (depth - 1)), keys & 0xFF, np.zeros(len(keys))
+            c1, byte, total = keys >> (8 * depth), keys & 0xFF, np.zeros(len(keys))
             for k in range(8):
                 label, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
-                at = np.searchsorted(nodes, c2 << 8 | label)
-                second = share[at] * np.where(bit == 1, own[at], 1 - own[at]) + (1 - share[at]) * p[:, k]
-                total += np.log10(mix[c1, label, bit] + rest[c1, label] * second)
+                total += np.log10(mix[c1, label, bit] + rest[c1, label] * p[:, k])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["key", "value"])
 
     return T.tidy(task)
@@ -346,22 +328,18 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     if not 2 <= depth <= 6:
         raise ValueError("depth is from 2 to 6, so that a window fits a 64-bit key")
-    split = min(3, depth)
+    spark = docs.sparkSession
     texts = written(T.id_and_text(docs).mapInArrow(_texts, "block long, head binary, body binary"), "texts")
     counted = written(texts.mapInArrow(_count(depth), "block long, kind int, key long, n long"), "counts")
-    latest = F.when(F.col("kind") == _WINDOW, F.shiftright("key", 8 * (depth + 1 - split))).otherwise(F.col("key"))
-    sums = counted.select("kind", "key", "n", latest.alias("latest")).repartition("latest").groupBy("latest", "kind", "key").agg(F.sum("n").alias("n"))
-    ordered = sums.select("kind", "key", "n").sortWithinPartitions("kind", "key")
-    solved = written(ordered.mapInArrow(_solve(depth, split), "kind int, key long, n long, p binary, label int, n0 double, n1 double, weighted double"), "solved")
-
-    pairs = solved.where(F.col("kind") == _NODE).groupBy("key", "label").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted")))
-    nodes = written(pairs.mapInArrow(_second(split), "node long, n0 double, n1 double, weighted double, share double, own double"), "nodes")
-    first = nodes.groupBy(F.shiftright("node", 16).alias("c1"), (F.col("node") % 256).alias("label")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("c1", "label").toPandas()
-    model = top(*(first[c].to_numpy(np.int64) for c in ("c1", "label")), *(first[c].to_numpy(np.float64) for c in ("n0", "n1", "weighted")))
-    second = nodes.select("node", "share", "own").toPandas().sort_values("node")
-    shared = docs.sparkSession.sparkContext.broadcast((model, *(second[c].to_numpy() for c in ("node", "share", "own"))))
-    del first, second
-    T.release_memory()
+    latest = F.when(F.col("kind") == _WINDOW, F.shiftright("key", 8 * (depth + 1 - SPLIT))).otherwise(F.col("key"))
+    sums = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    ordered = sums.select("kind", "key", "n", latest.alias("latest")).repartition("latest").drop("latest").sortWithinPartitions("kind", "key")
+    solved = written(ordered.mapInArrow(_solve(depth), "kind int, key long, n long, p binary, label int, n0 double, n1 double, weighted double"), "solved")
+    drop_shuffles(spark)
+
+    nodes = solved.where(F.col("kind") == _NODE).groupBy(F.col("key").alias("c1"), "label")
+    first = nodes.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("c1", "label").toPandas()
+    shared = spark.sparkContext.broadcast(top(*(first[c].to_numpy(np.int64) for c in ("c1", "label")), *(first[c].to_numpy(np.float64) for c in ("n0", "n1", "weighted"))))
     word_sums = solved.where(F.col("kind") == _WORD)
     n_train, n_distinct = word_sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 

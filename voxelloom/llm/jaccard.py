@@ -27,7 +27,7 @@ class, and finds its leader by partial aggregates; other shingles have no more r
 class or node deal the rows of a hot one over tasks (`skew`). The counts only order shingles, leave out those of one class, and
 pick the way: any order is exact, rarer prefixes are cheaper. What is broadcast has a bounded size: the table, a bitmap of the classes
 that a round verifies (sized by their number, 32 MB at most), and lists of hot keys. Beyond 2**MOST_BITS shingles, about
-0.4 GB of text, the table fills: then shingles of one class can't be told from those of a few, more rows are shuffled (at most
+0.8 GB of text, the table fills: then shingles of one class can't be told from those of a few, more rows are shuffled (at most
 all of the prefixes), and results stay the same. Each step's table goes when the next is written, all of them at the end.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows without an id take no
@@ -48,12 +48,12 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm import _text as T
 from voxelloom.llm.components import components
-from voxelloom.llm.skew import dealt_join, hot_keys
+from voxelloom.llm.skew import dealt_join, hot_keys, split_join
 from voxelloom.llm.storage import Steps, drop_shuffles, written
 
 #: Bits of a cell's number in the table of counts: at least and at most, and those within one of its blocks. The largest
-#: table takes half a byte a cell in every task, 32 MB.
-LEAST_BITS, MOST_BITS, BLOCK_BITS, PARITY = 20, 26, 18, 256
+#: table takes half a byte a cell in every task, 64 MB.
+LEAST_BITS, MOST_BITS, BLOCK_BITS, PARITY = 20, 27, 18, 256
 #: Ranks of a count: 0 is a cell that one class at most has a shingle in, HOT one that may hold a hot shingle.
 HOT_RANK = 15
 #: Bits of the number of a class in the bitmap of a round, at least and at most (32 MB), and those within one of its blocks.
@@ -355,8 +355,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     sets = docs.select("text").mapInArrow(_sets(shared, bits, width), "class_id long, grams binary")
     sets = sets.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
-    left = dealt_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
-    both = dealt_join(left.withColumn("class_id", F.col("b")), sets.withColumnRenamed("grams", "right"), ["class_id"], hot, F.col("a"))
+    left = split_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
+    both = split_join(left.withColumn("class_id", F.col("b")), sets.withColumnRenamed("grams", "right"), ["class_id"], hot, F.col("a"))
     return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
 
 
@@ -407,7 +407,7 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.coalesce("label", "class_id"))
 
 
-def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Rows (row, other) of one shingle and different components that the filters allow.
 
     Only `other`, a class outside the component of the shingle's leader, is matched with the whole shingle; shingles
@@ -416,10 +416,15 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     other = [F.col("row").alias("other"), F.col("label").alias("other_label")]
     apart = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("led")) | (F.col("row.class_id") < F.col("other.class_id")))
 
+    def sketched(rows: DataFrame) -> DataFrame:
+        """Rows of mixed shingles only carry the sketches of their classes."""
+        joined = rows.withColumn("class_id", F.col("row.class_id")).join(sketches.drop("n"), "class_id")
+        return joined.withColumn("row", F.struct("row.*", *_PARITY_COLUMNS)).drop("class_id", *_PARITY_COLUMNS)
+
     led = "max(CASE WHEN class_id = leader.class_id THEN label END) OVER (PARTITION BY token) AS led"
     rows = _labelled(cold, labels).repartition("token").selectExpr("token", "row", "label", led)
-    rows = rows.selectExpr("*", "max(label <> led) OVER (PARTITION BY token) AS mixed").where("mixed").drop("mixed")
-    apart = apart & _possible("row", "other", percent)
+    rows = sketched(rows.selectExpr("*", "max(label <> led) OVER (PARTITION BY token) AS mixed").where("mixed").drop("mixed"))
+    apart = apart & _possible("row", "other", percent) & _suffix("row", "other", percent)
     pairs = rows.join(rows.where("label <> led").select("token", *other), "token").where(apart).select("row", "other")
     if hot.isEmpty():
         return pairs
@@ -427,6 +432,7 @@ def _between(cold: DataFrame, hot: DataFrame, labels: DataFrame, percent: int) -
     leaders = rows.where("class_id = leader.class_id").select("token", "classes", F.col("label").alias("led"))
     keys = hot_keys(leaders, ["token"], "classes", hot.count(), HOT_TOKEN)
     rows = dealt_join(rows.select("token", "row", "label", "class_id"), leaders.drop("classes"), ["token"], keys, F.col("class_id"))
+    rows = sketched(rows).withColumn("class_id", F.col("row.class_id"))
     more = dealt_join(rows, rows.where("label <> led").select("token", *other), ["token"], keys, F.col("class_id"))
     return pairs.unionByName(more.where(apart).select("row", "other"))
 
@@ -450,7 +456,7 @@ def join_classes(docs: DataFrame, sketches: DataFrame, table: np.ndarray, width:
 
     led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
     links = linked(led, "leader", "stars")
-    more = linked(_between(cold, hot, components(links, steps.folder), percent), "other", "between")
+    more = linked(_between(cold, hot, components(links, steps.folder), sketches, percent), "other", "between")
     labels = components(links.unionByName(more))
     steps.drop()
     return labels

@@ -31,3 +31,12 @@ def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFram
     left = rows.join(shared, keys, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
     right = table.join(shared, keys, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))).drop("pieces")
     return left.join(right, [*keys, "piece"], how).drop("piece")
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None, by: Column) -> DataFrame:
+    """`dealt_join` for a `table` of wide rows that is dealt by `keys` already: only what hot keys have is dealt anew."""
+    if hot is None:
+        return rows.join(table, keys)
+    shared = F.broadcast(hot)
+    cold = rows.join(shared, keys, "left_anti").join(table, keys)
+    return cold.unionByName(dealt_join(rows.join(shared, keys, "left_semi"), table.join(shared.select(*keys), keys, "left_semi"), keys, hot, by))
