@@ -9,8 +9,9 @@ Turns are ordered by `turn`, nulls first, then role and text, so repeated turns
 A null text counts as empty, a null role as `user`. A pair that one side lacks has an empty completion
 there; a null pair id is a pair like any other. An empty table gives no pairs, an empty text an empty turn; columns
 besides those named are never read. Turns are small to their pair: a group holds two conversations, never a hot
-key's rows over many pairs, and costs in proportion to its turns. A conversation is one row of the result, so it must
-fit one (2 GB).
+key's rows over many pairs. Texts cost in proportion to their length; a mask is a string that grows span by span, about 15
+characters each, and is copied each time, so its cost grows with the square of a conversation's assistant turns (seconds at
+50,000 of them). A conversation is one row of the result, so it must fit one (2 GB).
 """
 
 from __future__ import annotations
