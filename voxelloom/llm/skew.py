@@ -39,4 +39,5 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFram
         return rows.join(table, keys)
     shared = F.broadcast(hot)
     cold = rows.join(shared, keys, "left_anti").join(table, keys)
-    return cold.unionByName(dealt_join(rows.join(shared, keys, "left_semi"), table.join(shared.select(*keys), keys, "left_semi"), keys, hot, by))
+    # An inner join stays above what made the table, so that both ways read one shuffle of it.
+    return cold.unionByName(dealt_join(rows.join(shared, keys, "left_semi"), table.join(shared.select(*keys), keys), keys, hot, by))
