@@ -88,6 +88,34 @@ def test_filters_never_lose_a_pair():
     assert sum(int(v).bit_count() for v in p[0] ^ p[1]) <= len(set(x.tolist()) ^ set(y.tolist()))
 
 
+def test_wide_sketches_bound_the_difference_and_tell_large_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    sizes = [0, 200, 256, 257, 2000, 2100, 2000, 5000]
+    sets = [np.sort(pool[k * 100 : k * 100 + n]) for k, n in enumerate(sizes)]
+    sets[6] = np.sort(pool[1400:3400])  # shares 1000 of 2000 with the fifth
+    wide = jaccard.wide_sketches(np.repeat(np.arange(8), sizes), np.concatenate(sets), np.array(sizes)).to_pylist()
+    assert [8 * len(w) for w in wide] == [0, 0, 0, 512, 2048, 4096, 2048, 8192]
+    for x, a in zip(sets, wide, strict=True):
+        assert jaccard.slots_that_differ(a, a) == 0
+        for y, b in zip(sets, wide, strict=True):
+            assert jaccard.slots_that_differ(a, b) == jaccard.slots_that_differ(b, a) <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert jaccard.slots_that_differ(wide[4], wide[6]) > 4000 - 2 * jaccard.least_overlap(2000, 2000, 80)
+
+
+def test_long_texts_that_share_a_passage_or_nearly_all(spark):
+    """Sets beyond the short sketch: shared halves are no links, nine in ten words are, whatever the text repeats."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(6000)]
+    base = [rng.choice(words) for _ in range(1500)]
+    table = [(k, " ".join(base[:750] + [rng.choice(words) for _ in range(750)])) for k in range(12)]
+    table += [(20 + k, " ".join(base[: 1500 - 20 * k])) for k in range(5)] + [(30, "again " * 50_000 + "end"), (31, "again " * 40_000 + "end")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    assert found(df, 5, 80) == brute(table, 5, 80)
+
+
 def rank_table(grams_of_classes, bits):
     """The table of a corpus in one task, through the form in which parts travel."""
     import numpy as np

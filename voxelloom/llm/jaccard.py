@@ -15,8 +15,9 @@ Words are runs of characters other than ASCII white space, A-Z lower-cased; a do
    longer than one common shingle needs, so a pair that links has that many in common there; pairs with fewer, which long
    documents have by chance, are dropped by count. Then the sketches decide, which keep for each of 256 slots
    whether an odd number of shingles fell in it: slots that differ can't outnumber shingles that differ, which bounds what
-   the suffixes still have in common.
-3. Candidates are verified once a pair on the whole sets. To avoid all pairs in a group of near copies,
+   the suffixes still have in common. Larger sets have a second sketch of a slot or more for each shingle.
+3. Candidates are verified once a pair on the whole sets, which are made again from compressed texts where the two of a
+   pair meet: a text takes a third of its set's bytes there. To avoid all pairs in a group of near copies,
    the first round takes one leader for each shingle, the class whose prefix is most common, as the text is
    that the others are copies of; the second takes every remaining candidate between different components, from
    the classes of a shingle that aren't in its leader's component. Links inside a component can't change it, so
@@ -140,9 +141,9 @@ def _profile(width: int, own: list[str], bits: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, fresh = [], _Fresh()
-        names = [*own, "n_shingles", "class_id", *_PARITY_COLUMNS, "block", "counts"]
+        names = [*own, "n_shingles", "class_id", *_PARITY_COLUMNS, "wide", "block", "counts"]
         for batch in batches:
-            n_all, class_all, odd = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
+            n_all, class_all, odd, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)], [pa.array([], pa.binary())]
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
                 classes = set_classes(rows, grams, sizes)
@@ -153,10 +154,11 @@ def _profile(width: int, own: list[str], bits: int):
                 n_all.append(sizes)
                 class_all.append(classes)
                 odd.append(_parities(rows, grams, chunk.rows))
+                wide.append(wide_sketches(rows, grams, sizes))
             n = np.concatenate(n_all)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), *(pa.array(np.ascontiguousarray(c)) for c in np.concatenate(odd).T), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(n), pa.array(np.concatenate(class_all), mask=n == 0), *(pa.array(np.ascontiguousarray(c)) for c in np.concatenate(odd).T), pa.concat_arrays(wide), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         packed = list(_packed_counts(*merged(parts), bits)) if parts else []
-        nulls = [pa.nulls(len(packed), pa.int64()) for _ in names[:-2]]
+        nulls = [pa.nulls(len(packed), pa.binary() if name == "wide" else pa.int64()) for name in names[:-2]]
         yield pa.RecordBatch.from_arrays([*nulls, pa.array([k for k, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names)
 
     return T.tidy(task)
@@ -215,6 +217,29 @@ def _parities(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n_rows, PARITY), axis=1).view(np.int64)
 
 
+def wide_sketches(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parities of at least as many slots as a set has shingles, a power of two; empty for sets that `_parities` serves."""
+    slots = np.where(sizes > PARITY, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    ends = np.cumsum(slots)
+    own = slots[rows] > 0
+    rows, grams = rows[own], grams[own]
+    at = (ends - slots)[rows] + (grams & (slots[rows] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=slots.sum()) & 1).astype(np.uint8)).tobytes()
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def slots_that_differ(x: bytes, y: bytes) -> int:
+    """Between two wide sketches; the longer one is folded to the slots of the other. 0 where there is none."""
+    short, long = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if not len(short):
+        return 0
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = long[:half] ^ long[half:]
+    return int(np.bitwise_count(short ^ long).sum())
+
+
 def least_overlap(size_a, size_b, percent: int):
     """Fewest common shingles with which 100 * common >= percent * union."""
     return -(-(percent * (size_a + size_b)) // (100 + percent))
@@ -273,13 +298,35 @@ def _suffix(a: str, b: str, percent: int) -> Column:
     return differ <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * _least(a, b, percent)
 
 
+def _wide_filtered(percent: int):
+    """Pairs (a, b) whose wide sketches allow the overlap."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            most = na + nb - 2 * least_overlap(na, nb, percent)
+            differ = [slots_that_differ(x.as_buffer(), y.as_buffer()) for x, y in zip(batch["wa"], batch["wb"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(np.array(differ, np.int64) <= most))
+
+    return T.tidy(task)
+
+
 def _suffix_filtered(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that pass the suffix filter."""
+    """Pairs of classes that pass the suffix filter; of `sketches`, a row a document, only those of these classes move."""
     counts, hot = _ends(pairs)
+    bits, bitmap = _bitmap(counts, counts.count())
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(shared.value, bits, batch["class_id"].to_numpy())))
+
+    sketches = sketches.mapInArrow(listed, sketches.schema).dropDuplicates(["class_id"])
     for side in ("a", "b"):
-        own = sketches.select("class_id", F.struct("n", *_PARITY_COLUMNS).alias(f"of_{side}"))
+        own = sketches.select("class_id", F.struct("n", *_PARITY_COLUMNS, "wide").alias(f"of_{side}"))
         pairs = dealt_join(pairs.withColumn("class_id", F.col(side)), own, ["class_id"], hot, F.col("b" if side == "a" else "a")).drop("class_id")
-    return pairs.where(_suffix("of_a", "of_b", percent)).select("a", "b")
+    ends = [F.col(f"of_{side}.{c}").alias(f"{c[0]}{side}") for c in ("n", "wide") for side in "ab"]
+    return pairs.where(_suffix("of_a", "of_b", percent)).select("a", "b", *ends).mapInArrow(_wide_filtered(percent), "a long, b long")
 
 
 def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -290,25 +337,27 @@ def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return counts, None if hot.isEmpty() else hot
 
 
-def _sets(shared, bits: int, width: int):
-    """Class and sorted hashes of the documents whose class may be in the bitmap, each class once a task."""
+def _in_bitmap(bitmap: np.ndarray, bits: int, classes: np.ndarray) -> np.ndarray:
+    cells = (classes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _texts(shared, bits: int, width: int):
+    """Class and compressed text of the documents whose class may be in the bitmap, each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, done = shared.value, set()
+        done, packer = set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for chunk in _chunks(batch):
                 rows, grams, sizes = shingle_sets(chunk, width)
                 classes = set_classes(rows, grams, sizes)
-                cells = (classes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                use = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 & (sizes > 0)
-                ends = np.cumsum(sizes)
                 found = []
-                for r in np.flatnonzero(use).tolist():
+                for r in np.flatnonzero(_in_bitmap(shared.value, bits, classes) & (sizes > 0)).tolist():
                     if (c := int(classes[r])) not in done:
                         done.add(c)
-                        found.append((c, grams[ends[r] - sizes[r] : ends[r]].tobytes()))
+                        found.append((c, packer.compress(chunk.data[chunk.offsets[r] : chunk.offsets[r + 1]].tobytes())))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())], ["class_id", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["class_id", "packed"])
 
     return T.tidy(task)
 
@@ -333,31 +382,49 @@ def _bitmap(classes: DataFrame, n: int) -> tuple[int, np.ndarray]:
     return bits, out.reshape(-1)
 
 
-def _overlap(percent: int):
+def _overlap(width: int, percent: int):
+    """Pairs (a, b) whose sets overlap enough; sets are made for some pairs at a time, each once."""
+
+    def sets(packed: dict[int, bytes]) -> dict[int, np.ndarray]:
+        texts = [zstandard.decompress(x) for x in packed.values()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        _, grams, sizes = shingle_sets(T.Chunk(np.frombuffer(b"".join(texts), np.uint8), offsets, 0), width)
+        return dict(zip(packed, np.split(grams, np.cumsum(sizes)[:-1]), strict=True))
+
+    def enough(x: np.ndarray, y: np.ndarray) -> bool:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            pairs = list(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True))
+            keep, packed, size = [], {}, 0
+            for k, pair in enumerate(pairs):
+                for c, side in zip(pair, ("left", "right"), strict=True):
+                    if c not in packed:
+                        packed[c] = batch[side][k].as_py()
+                        size += zstandard.frame_content_size(packed[c])
+                if size >= T.CHUNK_BYTES or k == len(pairs) - 1:
+                    held = sets(packed)
+                    keep += [enough(held[x], held[y]) for x, y in pairs[len(keep) : k + 1]]
+                    packed, size = {}, 0
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return T.tidy(task)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets overlap enough; sets are made anew for these classes only."""
+    """The pairs (a, b) of classes whose whole sets overlap enough; only the texts of these classes move."""
     counts, hot = _ends(pairs)
     bits, bitmap = _bitmap(counts, counts.count())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    sets = docs.select("text").mapInArrow(_sets(shared, bits, width), "class_id long, grams binary")
-    sets = sets.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
-    left = split_join(pairs.withColumn("class_id", F.col("a")), sets.withColumnRenamed("grams", "left"), ["class_id"], hot, F.col("b"))
-    both = split_join(left.withColumn("class_id", F.col("b")), sets.withColumnRenamed("grams", "right"), ["class_id"], hot, F.col("a"))
-    return both.select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a long, b long")
+    texts = docs.select("text").mapInArrow(_texts(shared, bits, width), "class_id long, packed binary")
+    texts = texts.join(counts.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
+    left = split_join(pairs.withColumn("class_id", F.col("a")), texts.withColumnRenamed("packed", "left"), ["class_id"], hot, F.col("b"))
+    both = split_join(left.withColumn("class_id", F.col("b")), texts.withColumnRenamed("packed", "right"), ["class_id"], hot, F.col("a"))
+    return both.select("a", "b", "left", "right").mapInArrow(_overlap(width, percent), "a long, b long")
 
 
 def _with_neighbours(rows: DataFrame, percent: int) -> DataFrame:
@@ -456,7 +523,8 @@ def join_classes(docs: DataFrame, sketches: DataFrame, table: np.ndarray, width:
 
     led = cold.unionByName(hot.drop("classes")).where("row.class_id <> leader.class_id").where(_possible("row", "leader", percent))
     links = linked(led, "leader", "stars")
-    more = linked(_between(cold, hot, components(links, steps.folder), sketches, percent), "other", "between")
+    own = sketches.drop("wide").dropDuplicates(["class_id"])
+    more = linked(_between(cold, hot, components(links, steps.folder), own, percent), "other", "between")
     labels = components(links.unionByName(more))
     steps.drop()
     return labels
@@ -465,9 +533,9 @@ def join_classes(docs: DataFrame, sketches: DataFrame, table: np.ndarray, width:
 def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Size and class of each of `rows` with its numbers, and (node, label) of the classes that link with others."""
     numbers, bits = [c for c in rows.columns if c != "text"], table_bits(rows)
-    schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, p0 long, p1 long, p2 long, p3 long, block int, counts binary"
+    schema = "".join(f"{c} long, " for c in numbers) + "n_shingles long, class_id long, p0 long, p1 long, p2 long, p3 long, wide binary, block int, counts binary"
     profile = written(rows.mapInArrow(_profile(width, numbers, bits), schema), "profile")
-    sketches = profile.where("class_id IS NOT NULL").select("class_id", F.col("n_shingles").alias("n"), *_PARITY_COLUMNS).dropDuplicates(["class_id"])
+    sketches = profile.where("class_id IS NOT NULL").select("class_id", F.col("n_shingles").alias("n"), *_PARITY_COLUMNS, "wide")
     labels = join_classes(rows.where("doc_id IS NOT NULL"), sketches, _rank_table(profile, bits), width, percent)
     return profile.where("block IS NULL").select(*numbers, "n_shingles", "class_id"), labels
 
