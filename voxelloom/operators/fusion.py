@@ -281,13 +281,13 @@ def observe(centres: DataFrame, frames: DataFrame, pixels: DataFrame) -> DataFra
 def unseen_projection(voxels: DataFrame, frames: DataFrame) -> DataFrame:
     """Cells that aren't at the grid's largest value, or unknown, as pixels; coordinates are truncated.
 
-    `voxels` has x, y, z.
+    `voxels` has x, y, z. Frames are shuffled, as there are more of them than the size of the table that they come from tells.
     """
     top = voxels.groupBy("scene_id").agg(F.max("v").alias("top"))
     open_cells = voxels.join(top, "scene_id").where("v IS NULL OR v <> top")
     views = frames.select(*FRAME, F.col("k").alias("intrinsics"), G.inverse_pose(F.col("h_mat")).alias("view"))
     u, v, z = G.project(G.columns("x", "y", "z"), F.col("intrinsics"), F.col("view"))
-    return open_cells.join(views, "scene_id").select(*CELL, "frame_id", u.cast("int").alias("col"), v.cast("int").alias("row"), z.alias("z"))
+    return open_cells.join(views.hint("merge"), "scene_id").select(*CELL, "frame_id", u.cast("int").alias("col"), v.cast("int").alias("row"), z.alias("z"))
 
 
 def fuse(observed: DataFrame, mu: float, surface: float | None = None, narrow_band: bool = False, prior: DataFrame | None = None, weight: Column | None = None) -> DataFrame:

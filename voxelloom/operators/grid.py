@@ -38,6 +38,13 @@ def world_centres(grids: DataFrame) -> DataFrame:
     return _placed(grid_cells(grids), *CELL)
 
 
+def centres_of(cells: DataFrame, grids: DataFrame) -> DataFrame:
+    """The given cells that lie in their scene's grid, with all their columns and their world centres; no other cell is made."""
+    meta = grids.select("scene_id", "ni", "nj", "nk", "vox_size", "rot", "origin")
+    inside = G.in_bounds(G.columns("i", "j", "k"), G.columns("ni", "nj", "nk"))
+    return _placed(cells.join(meta, "scene_id").where(inside), *cells.columns)
+
+
 def column_centres(grids: DataFrame) -> DataFrame:
     """World centres of the slice k = 0: one row for each column of cells."""
     return world_centres(grids.withColumn("nk", F.lit(1)))

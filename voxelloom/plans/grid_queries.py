@@ -282,8 +282,7 @@ def j9(s, d):
 
 @query("j10_unseen_projection", W("voxels") + ', top AS (SELECT scene_id, max(v) AS top FROM voxels GROUP BY 1) SELECT scene_id, i, j, k, CAST(f AS INTEGER) AS frame_id, CAST(trunc(32 * ((j + 0.5) / 16 - 0.25) / ((i + 0.5) / 16 + 0.5 + f / 8) + 16) AS INTEGER) AS col, CAST(trunc(32 * ((k + 0.5) / 16 - 0.375) / ((i + 0.5) / 16 + 0.5 + f / 8) + 12) AS INTEGER) AS "row", (i + 0.5) / 16 + 0.5 + f / 8 AS z FROM voxels JOIN top USING (scene_id), range(4) g(f) WHERE v IS NULL OR v <> top')
 def j10(s, d):
-    placed = V.voxels(s, d).join(R.world_centres(V.grids(s, d)), CELL)
-    return U.unseen_projection(placed, V.frames(s, d))
+    return U.unseen_projection(R.centres_of(V.voxels(s, d), V.grids(s, d)), V.frames(s, d))
 
 
 @query("a1_tsdf_fusion", W("fused") + " SELECT scene_id, i, j, k, round(v, 9) AS v, n FROM fused")
