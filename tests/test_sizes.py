@@ -26,3 +26,11 @@ def test_centres_are_made_of_given_cells_only(spark):
     plan = plan.split("Generate")
     assert len(plan) == 2  # frames only
     assert "Broadcast" not in plan[0].split("SortMergeJoin")[0]
+
+
+def test_point_files_grow_with_folders_not_scenes(spark, tmp_path):
+    points = scenes(spark, 600).select("scene_id", F.col("k").alias("event_id"), F.col("v").alias("x"), F.col("v").alias("y"))
+    reports.write_points(points, str(tmp_path / "p"))
+    assert 0 < len(list(Path(tmp_path, "p").rglob("*.csv"))) <= files.PARTS
+    back = spark.read.csv(str(tmp_path / "p"), header=True, schema="scene_id long, event_id int, x double, y double").drop("part")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, points.collect()))

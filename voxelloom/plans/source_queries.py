@@ -84,7 +84,7 @@ def s9(s, d):
 def s10(s, d):
     path = f"{shared_folder(s)}/points"
     reports.write_points(V.samples(s, d).select("scene_id", "event_id", "x", "y"), path)
-    return s.read.csv(path, header=True, schema="event_id long, x double, y double, scene_id long").select("scene_id", "event_id", "x", "y")
+    return s.read.csv(path, header=True, schema="scene_id long, event_id long, x double, y double").select("scene_id", "event_id", "x", "y")
 
 
 @query("s11_usage_files", "SELECT 'm' || CAST(l_linenumber % 2 AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) AS value FROM lineitem GROUP BY l_linenumber % 2, l_suppkey")

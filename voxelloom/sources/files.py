@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders over which the scenes of a table are dealt.
+PARTS = 256
+
+
+def dealt(rows: DataFrame, key: str = "scene_id") -> DataFrame:
+    """Rows with the folder `part` of their scene, a folder in one task and its scenes in order: as many files as folders, not
+    as scenes or tasks. A reader of one scene filters by the same hash and its name."""
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    return rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", key)
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Each row's `content` (binary) as `folder`/`file`; returns how many there are.
 
