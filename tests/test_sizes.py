@@ -34,3 +34,12 @@ def test_point_files_grow_with_folders_not_scenes(spark, tmp_path):
     assert 0 < len(list(Path(tmp_path, "p").rglob("*.csv"))) <= files.PARTS
     back = spark.read.csv(str(tmp_path / "p"), header=True, schema="scene_id long, event_id int, x double, y double").drop("part")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, points.collect()))
+
+
+def test_grid_files_grow_with_folders_not_scenes(spark, tmp_path):
+    voxels = scenes(spark, 600)
+    grids_io.write_grids(voxels, str(tmp_path / "v"))
+    assert 0 < len(list(Path(tmp_path, "v").rglob("*.parquet"))) <= files.PARTS
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert sorted(map(tuple, back.drop("part").collect())) == sorted(map(tuple, voxels.collect()))
+    assert back.groupBy("scene_id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxelloom.operators.grid import spread
 from voxelloom.operators.tiles import runs
+from voxelloom.sources.files import dealt
 
 GRIDS = "scene_id string, kind string, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>"
 
@@ -203,8 +204,8 @@ def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int
 
 
 def write_grids(voxels: DataFrame, path: str) -> None:
-    """The canonical form: Parquet, a folder for each scene."""
-    voxels.write.partitionBy("scene_id").parquet(path)
+    """The canonical form: Parquet, whole scenes dealt over folders, in order in their file."""
+    dealt(voxels).write.partitionBy("part").parquet(path)
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
