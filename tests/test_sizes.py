@@ -2,10 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from voxelloom.operators import grid
+from voxelloom.operators import dense, grid
 from voxelloom.sources import files, grids_io, reports
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,19 @@ def test_grid_files_grow_with_folders_not_scenes(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "v"))
     assert sorted(map(tuple, back.drop("part").collect())) == sorted(map(tuple, voxels.collect()))
     assert back.groupBy("scene_id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_distance_of_sparse_cells_is_that_of_full_grids(spark):
+    """v15_signed_distance made every cell a row and called Python once a plane: absent cells are empty, planes come together."""
+    rng = np.random.default_rng(3)
+    shapes, rows = {1: (5, 40, 4), 2: (3, 2, 6), 3: (5, 40, 4), 4: (2, 2, 2)}, []
+    for scene, shape in shapes.items():
+        rows += [(scene, *map(int, c), bool(rng.random() < 0.2)) for c in np.ndindex(shape)]
+    schema = "scene_id long, i int, j int, k int, solid boolean"
+    g = spark.createDataFrame([(n, *s) for n, s in shapes.items()] + [(5, 1, 2, 3)], "scene_id long, ni int, nj int, nk int")
+    full = spark.createDataFrame(rows, schema)
+    whole = sorted(map(tuple, dense.signed_distance(full, 0.5, 1.5).collect()), key=str)
+    outside = spark.createDataFrame([(1, 5, 0, 0, True), (1, 0, 40, 0, True), (9, 0, 0, 0, True)], schema)
+    sparse = dense.signed_distance(full.where("solid").unionByName(outside), 0.5, 1.5, g).collect()
+    assert sorted((tuple(r) for r in sparse if r["scene_id"] != 5), key=str) == whole and len(whole) == len(rows)
+    assert sum(r["scene_id"] == 5 and r["v"] is None for r in sparse) == 6

@@ -61,6 +61,31 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Rows of small groups that a task works on at once.
+SOME_ROWS = 1 << 16
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], some: int = SOME_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by `run` as batches of about `some` rows that end where a run ends, so that small groups share the cost of
+    a call and of its array operations; a large group comes alone."""
+    held, n, wanted = [], 0, some
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < wanted:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cut = int(runs(whole["run"].to_numpy())[-1])
+        if cut:
+            yield whole.slice(0, cut)
+        held, n = [whole.slice(cut)], whole.num_rows - cut
+        wanted = max(some, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def lists(rows: np.ndarray) -> pa.Array:
     """Rows of an array as a column of lists, NaN as NULL."""
     flat = np.ascontiguousarray(rows, np.float64).ravel()

@@ -318,9 +318,8 @@ SELECT o.scene_id, o.i, o.j, o.k, CASE WHEN mixed THEN round((CASE WHEN solid TH
 
 @query("v15_signed_distance", W("voxels", "cells") + _EDT)
 def v15(s, d):
-    known = V.voxels(s, d).select(*CELL, F.col("v"))
-    cells = R.world_centres(V.grids(s, d)).select(*CELL).join(known, CELL, "left")
-    return D.signed_distance(cells.select(*CELL, F.coalesce(F.col("v") < 0, F.lit(False)).alias("solid")), V.VOX, V.MU).withColumn("v", F.round("v", 9))
+    occupied = V.voxels(s, d).select(*CELL, F.coalesce(F.col("v") < 0, F.lit(False)).alias("solid"))
+    return D.signed_distance(occupied, V.VOX, V.MU, V.grids(s, d)).withColumn("v", F.round("v", 9))
 
 
 @query("j11_nearest", W("examples") + ", e AS (SELECT q.example_id AS query_id, t.example_id AS nn_id, sqrt(list_sum([power(q.x[n] - t.x[n], 2) for n in range(1, 33)])) AS dist FROM examples q, examples t WHERE q.example_id % 20 = 0 AND t.example_id <> q.example_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), nn_id) AS r FROM e) SELECT query_id, nn_id, round(dist, 6) AS dist FROM r WHERE r = 1")
