@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxelloom.operators import dense, grid, image
-from voxelloom.sources import files, grids_io, reports
+from voxelloom.sources import files, grids_io, rasters, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,18 @@ def test_frames_are_filtered_together(spark):
     some = np.where(rng.random((9, 8, 7)) < 0.5, np.nan, rng.random((9, 8, 7)))
     assert (image.fill_some(some) == np.stack([image.fill_holes(x) for x in some])).all()
     assert "FlatMapGroups" not in image.median_depth(pixels)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rasters_are_listed_and_made_in_tasks(spark, tmp_path):
+    """s3_depth_rasters called Python once a frame and had the driver list every file: images share calls, tasks list."""
+    rng = np.random.default_rng(5)
+    rows = [(s, f, r, c, int(rng.integers(0, 65536))) for s in range(30) for f in range(4) for r, c in np.ndindex(5, 6) if rng.random() < 0.3]
+    pixels = spark.createDataFrame(rows, "scene_id long, frame_id int, row int, col int, raw long").repartition(3)
+    coded = rasters.encode_rasters(pixels, ["scene_id", "frame_id"], "raw", 5, 6)
+    assert files.write_files(coded, str(tmp_path)) == len({r[:2] for r in rows})
+    Path(tmp_path, "7", "0.half.tmp").write_bytes(b"P5")
+    found = rasters.read_rasters(spark, f"{tmp_path}/*/*", "raw")
+    got = {(*map(int, r["file"].split("/")), r["row"], r["col"]): r["raw"] for r in found.collect()}
+    assert len(got) == 30 * len({r[:2] for r in rows}) and {k: v for k, v in got.items() if v} == {r[:4]: r[4] for r in rows if r[4]}
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (coded, found)]
+    assert "FlatMapGroups" not in plans[0] and "binaryFile" not in plans[1]

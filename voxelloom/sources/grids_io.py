@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from voxelloom.operators.grid import spread
 from voxelloom.operators.tiles import runs
-from voxelloom.sources.files import dealt
+from voxelloom.sources.files import dealt, store_of
 
 GRIDS = "scene_id string, kind string, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>"
 
@@ -47,11 +47,6 @@ SLAB_CELLS = 1 << 22
 _CELL_BYTES = 2
 
 
-def store_of(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The store of a path, with the path as the store has it."""
-    return arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
-
-
 def parsed_meta(text: str) -> dict:
     m = yaml.safe_load(text)
     flat = lambda x: [float(v) for v in np.asarray(x, float).ravel()]
