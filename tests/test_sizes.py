@@ -3,11 +3,12 @@
 from pathlib import Path
 
 import numpy as np
+import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxelloom.operators import dense, grid, image
-from voxelloom.sources import files, grids_io, rasters, reports
+from voxelloom.sources import files, grids_io, manifests, rasters, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +99,18 @@ def test_rasters_are_listed_and_made_in_tasks(spark, tmp_path):
     assert len(got) == 30 * len({r[:2] for r in rows}) and {k: v for k, v in got.items() if v} == {r[:4]: r[4] for r in rows if r[4]}
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (coded, found)]
     assert "FlatMapGroups" not in plans[0] and "binaryFile" not in plans[1]
+
+
+def test_pose_files_are_made_and_opened_in_tasks(spark, tmp_path):
+    """s4_pose_files called Python once a scene and had the driver list every file."""
+    rows = [(s, f, [float(s + f + n) / 8 for n in range(9)], [1e-7 * f + n for n in range(16)], 2.0) for s in range(40) for f in (2, 0, 10)]
+    frames = spark.createDataFrame(rows, "scene_id long, frame_id int, k array<double>, h_mat array<double>, depth_scaling double").repartition(3)
+    made = manifests.pose_files(frames, "d_")
+    assert files.write_files(made, str(tmp_path)) == 40
+    text = Path(tmp_path, "3", "poses.yaml").read_text()
+    assert [x["id"] for x in yaml.safe_load(text)] == [0, 2, 10] and text == yaml.safe_dump(yaml.safe_load(text))
+    found = manifests.read_poses(spark, f"{tmp_path}/*/poses.yaml")
+    got = sorted((int(r["folder"]), int(r["frame_id"]), r["k"], r["h_mat"], r["depth_scaling"]) for r in found.collect())
+    assert got == sorted(rows)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (made, found)]
+    assert "FlatMapGroups" not in plans[0] and "FileScan text" not in plans[1]
