@@ -7,7 +7,7 @@ import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from voxelloom.operators import dense, grid, image
+from voxelloom.operators import dense, grid, image, learn
 from voxelloom.sources import files, grids_io, manifests, rasters, reports
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +114,34 @@ def test_pose_files_are_made_and_opened_in_tasks(spark, tmp_path):
     assert got == sorted(rows)
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (made, found)]
     assert "FlatMapGroups" not in plans[0] and "FileScan text" not in plans[1]
+
+
+def test_equal_vectors_are_searched_once_and_travel_by_shelves(spark, monkeypatch):
+    """v13_nn_oracle and v13_coded_nn_oracle sent each query with its vector to every cell that no bound ruled out."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3, (150, 20)) * 0.5
+    data = base[rng.integers(0, 150, 2400)]
+    data[data == 0] *= np.where(rng.random((data == 0).sum()) < 0.5, -1.0, 1.0)  # -0 is 0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "id long, x array<double>")
+    q, t = df.where("id % 2 = 1").withColumnRenamed("id", "q"), df.where("id % 2 = 0 AND id > 40")
+    sent, plain = [], learn._meet
+
+    def meet(asked, training, *args):
+        sent.append((asked.count(), training.count(), asked.select("shelf").distinct().count()))
+        return plain(asked, training, *args)
+
+    monkeypatch.setattr(learn, "_meet", meet)
+    got = {r["q"]: (r["nn_id"], r["dist"]) for r in learn.nearest(q, t, "q", "id", "x", 40, rows_a_pivot=4).collect()}
+    d = ((data[1::2, None, :] - data[None, 42::2, :]) ** 2).sum(2)
+    assert got == {2 * n + 1: (42 + 2 * int(row.argmin()), float(np.sqrt(row.min()))) for n, row in enumerate(d)}
+    assert sent[1][1] <= 150 and sent[0][0] <= 150 and sent[1][0] <= 150 * sent[1][2] and sent[1][2] <= 8
+
+
+def test_codes_of_equal_vectors_are_equal(spark):
+    """Codes by a matrix product differ in their last bits with the place in a batch, so that copies aren't found again."""
+    rng = np.random.default_rng(7)
+    one, mean, parts = rng.standard_normal(37), rng.standard_normal(37), rng.standard_normal((5, 37))
+    df = spark.createDataFrame([(k, one.tolist() if k % 3 else rng.standard_normal(37).tolist()) for k in range(300)], "id long, x array<double>")
+    for n in (1, 3, 7):
+        codes = learn.pca_transform(df.repartition(n), "x", "c", mean, parts).where("id % 3 <> 0").select("c").distinct().collect()
+        assert len(codes) == 1 and np.allclose(codes[0]["c"], (one - mean) @ parts.T)
