@@ -3,11 +3,12 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from voxelloom.operators import dense, grid, image, learn
+from voxelloom.operators import dense, fusion, grid, image, learn
 from voxelloom.sources import files, grids_io, manifests, rasters, reports
 
 SF = "/root/testdata/sf0.001"
@@ -166,3 +167,23 @@ def test_images_are_made_in_tasks_not_pixel_rows(spark):
     for name in ("w1_normals", "w2_curvature", "w7_jump_triangles", "f4_usable_pixels"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Join" not in plan
+
+
+def test_frames_are_looked_up_together(spark, monkeypatch):
+    """a1, a3, a8, f5 and j8 looked cells up a frame at a time, and a prior grid was grouped with all sums again."""
+    g = spark.range(30).selectExpr("id AS scene_id", "5 AS ni", "4 AS nj", "3 AS nk", "0.25D AS vox_size", "array(0D, 0D, 0D) AS origin", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) AS rot")
+    frames = g.selectExpr("scene_id", "explode(sequence(0, 2)) AS frame_id", "12 AS h", "16 AS w", "array(16D, 0D, 8D, 0D, 16D, 6D, 0D, 0D, 1D) AS k", "array(0D, 0D, 1D, -1D, 1D, 0D, 0D, 0.5D, 0D, 1D, 0D, 0.375D, 0D, 0D, 0D, 1D) AS h_mat")
+    pixels = frames.selectExpr("scene_id", "frame_id", "explode(sequence(0, 11)) AS row").selectExpr("*", "explode(sequence(0, 15)) AS col").selectExpr("*", "(scene_id + frame_id + row + col) % 9 / 4D AS depth").where("col % 5 <> 1")
+    prior = spark.createDataFrame([(2, 0, 0, 0, 0.5), (2, -1, 20, 0, 0.75), (3, 1, 1, 1, None), (99, 1, 2, 2, -0.5)], "scene_id long, i int, j int, k int, v double")
+    for known in (None, prior):
+        got = fusion.fuse_grid(g, frames, pixels, 0.25, prior=known)
+        want = fusion.fuse(fusion.observe(grid.world_centres(g), frames, pixels), 0.25, prior=known)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    calls, plain = [], fusion._look_up
+    monkeypatch.setattr(fusion, "_look_up", lambda views, *args: calls.append(len(views["rot"])) or plain(views, *args))
+    bands = fusion.frame_bands(g, frames).toPandas()
+    view = {c: bands[c].iloc[0] for c in ("ni", "nj", "nk", "h", "w", "band")} | {c: np.array(bands[c].tolist(), float).reshape(len(bands), *s) for c, s in (("vox_size", ()), ("rot", (3, 3)), ("origin", (3,)), ("intrinsics", (3, 3)), ("view", (3, 4)))}
+    sums = fusion._Sums(16, pa.int64(), 0, lambda z, depth: (z > 0, []))
+    fusion._look_up(view | {c: pa.array(bands[c]) for c in ("scene_id", "frame_id")}, np.zeros(3, int), np.ones((len(bands), 64, 16)), 16, 64, sums)
+    assert calls == [90] and len(sums.sums.held) == 30
