@@ -187,3 +187,15 @@ def test_frames_are_looked_up_together(spark, monkeypatch):
     sums = fusion._Sums(16, pa.int64(), 0, lambda z, depth: (z > 0, []))
     fusion._look_up(view | {c: pa.array(bands[c]) for c in ("scene_id", "frame_id")}, np.zeros(3, int), np.ones((len(bands), 64, 16)), 16, 64, sums)
     assert calls == [90] and len(sums.sums.held) == 30
+
+
+def test_tiles_of_frames_are_found_together():
+    """a8 and f5 called Python once a frame to see which tiles its bands reach."""
+    rng = np.random.default_rng(9)
+    views = {"vox_size": np.full(40, 0.05), "rot": np.stack([np.eye(3)] * 40), "origin": rng.standard_normal((40, 3)), "intrinsics": np.stack([np.array([[200.0, 0, 32], [0, 200, 24], [0, 0, 1]])] * 40), "view": np.stack([np.hstack([np.linalg.qr(rng.standard_normal((3, 3)))[0], rng.standard_normal((3, 1))]) for _ in range(40)])}
+    boxes, use, first, last = fusion._tiles_in(views, (20, 33, 17, 48, 64), 8, 16)
+    for n in range(40):
+        one = {c: x[n] for c, x in views.items()} | dict(zip(("ni", "nj", "nk", "h", "w"), (20, 33, 17, 48, 64), strict=True))
+        for x, y in zip(fusion.tile_bands(one, 8, 16), (boxes, first[n], last[n]), strict=True):
+            assert (x == y[use[n]]).all()
+    assert 0 < use.sum() < use.size
