@@ -8,7 +8,7 @@ import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from voxelloom.operators import dense, fusion, grid, image, learn
+from voxelloom.operators import dense, fusion, grid, image, learn, mesh
 from voxelloom.sources import files, grids_io, manifests, rasters, reports
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,20 @@ def test_tiles_of_frames_are_found_together():
         for x, y in zip(fusion.tile_bands(one, 8, 16), (boxes, first[n], last[n]), strict=True):
             assert (x == y[use[n]]).all()
     assert 0 < use.sum() < use.size
+
+
+def test_cubes_are_made_in_tiles_not_cell_rows(spark):
+    """v16_iso_surface sent each cell to eight cubes and grouped those: a task's memory was that of eight times the cells."""
+    rng = np.random.default_rng(11)
+    some = {(n, *map(int, np.array(c) - 4)): float(rng.integers(-4, 9)) / 8 for n in range(5) for c in np.ndindex(9, 6, 8) if rng.random() < 0.9}
+    voxels = spark.createDataFrame([(*c, v) for c, v in some.items()] + [(9, 0, 0, 0, None)], "scene_id long, i int, j int, k int, v double").repartition(3)
+    want = set()
+    for n, i, j, k in {(c[0], *(x - d for x, d in zip(c[1:], s, strict=True))) for c in some for s in np.ndindex(2, 2, 2)}:
+        near = [some.get((n, i + a, j + b, k + c)) for a, b, c in np.ndindex(2, 2, 2)]
+        if None not in near and min(near) < 0.25 <= max(near):
+            want.add((n, i, j, k, *(v - 0.25 for v in near)))
+    for tile in (3, 16):
+        got = [tuple(r) for r in mesh.crossed_cubes(voxels, 0.25, tile).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+    plan = mesh.iso_triangles(voxels, spark.createDataFrame([], "scene_id long, vox_size double, rot array<double>, origin array<double>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Broadcast" not in plan
