@@ -239,3 +239,20 @@ def test_cubes_are_made_in_tiles_not_cell_rows(spark):
         assert set(got) == want and len(got) == len(want) > 50
     plan = mesh.iso_triangles(voxels, spark.createDataFrame([], "scene_id long, vox_size double, rot array<double>, origin array<double>"))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Broadcast" not in plan
+
+
+def test_small_dumps_are_written_once_and_described_in_tasks(spark, tmp_path, monkeypatch):
+    """s1_s2_grid_dumps made a folder of slabs for each scene and copied it, and the driver read every description."""
+    g = spark.range(50).selectExpr("id AS scene_id", "3 AS ni", "2 AS nj", "id % 4 AS nk", "0.5D AS vox_size", "array(0D, 0D, 1D) AS origin", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) AS rot").withColumn("nk", F.col("nk").cast("int"))
+    voxels = scenes(spark, 50)
+    assert grids_io.write_dumps(voxels, g, str(tmp_path / "d"), 12) == 50
+    assert len(list(Path(tmp_path, "d").rglob("*"))) == 150 and not list(Path(tmp_path, "d").rglob("*slabs*"))
+    reader = grids_io.DumpReader({"path": str(tmp_path / "d"), "slab_cells": "100"})
+    monkeypatch.setattr(grids_io, "parsed_meta", None)  # the driver reads no description
+    parts = reader.partitions()
+    monkeypatch.undo()
+    assert sum(n for p in parts for *_, n in p.ranges) == 6 * sum(n % 4 for n in range(50)) and all(sum(r[3] for r in p.ranges) <= 100 for p in parts)
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 6 * sum(n % 4 for n in range(50))
+    back = grids_io.read_dumps(spark, str(tmp_path / "d"), unknown="false").select("scene_id", "i", "j", "k", "v")
+    want = voxels.where("j < 2 AND k < scene_id % 4").select(F.col("scene_id").cast("string"), "i", "j", "k", "v")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))

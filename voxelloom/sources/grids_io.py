@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from voxelloom.operators.grid import spread
 from voxelloom.operators.tiles import runs
 from voxelloom.sources.files import dealt, store_of
+from voxelloom.sources.manifests import DUMPER, LOADER
 
 GRIDS = "scene_id string, kind string, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>"
 
@@ -48,13 +49,17 @@ _CELL_BYTES = 2
 
 
 def parsed_meta(text: str) -> dict:
-    m = yaml.safe_load(text)
+    m = yaml.load(text, LOADER)
     flat = lambda x: [float(v) for v in np.asarray(x, float).ravel()]
     return {"shape": [int(n) for n in m["shape"]], "vox_size": float(m["voxelsize"]), "origin": flat(m["T"]), "rot": flat(m["R"])}
 
 
+#: Cells that the reader hands on together.
+_SOME_CELLS = 1 << 16
+
+
 class Slab(InputPartition):
-    """Byte ranges of some dumps, (file, scene, shape, first cell, cells) each, that are read in one task."""
+    """Byte ranges of some dumps, (scene, bytes of the file, first cell, cells) each, that are read in one task."""
 
     def __init__(self, ranges: list[tuple]):
         super().__init__(0)
@@ -65,49 +70,81 @@ class DumpReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.slab = int(options.get("slab_cells", SLAB_CELLS))
+        self.data, self.meta = options.get("data", "grid.dat"), options.get("meta", "grid.yaml")
 
     def partitions(self) -> list[Slab]:
-        """Large dumps are cut into ranges of `slab_cells`, small ones share a task up to that many cells."""
+        """Large dumps are cut into ranges of `slab_cells`, small ones share a task up to that many cells, by the sizes of their
+        files, which one listing tells; descriptions are read in tasks."""
         store, root = store_of(self.options["path"].rstrip("/"))
-        data, meta = self.options.get("data", "grid.dat"), self.options.get("meta", "grid.yaml")
+        sizes, described = {}, set()
+        for info in store.get_file_info(arrow_fs.FileSelector(root, recursive=True)):
+            *folder, scene, name = info.path.rsplit("/", 2)
+            if info.type == arrow_fs.FileType.File and folder == [root]:
+                if name == self.data:
+                    sizes[scene] = info.size
+                if name == self.meta:
+                    described.add(scene)
         out, held, room = [], [], self.slab
-        for info in sorted(store.get_file_info(arrow_fs.FileSelector(root)), key=lambda f: f.path):
-            if info.type != arrow_fs.FileType.Directory or store.get_file_info(f"{info.path}/{meta}").type != arrow_fs.FileType.File:
-                continue
-            with store.open_input_stream(f"{info.path}/{meta}") as f:
-                shape = parsed_meta(f.read().decode())["shape"]
-            at, n = 0, int(np.prod(shape))
-            while at < n:
+        for scene in sorted(described):
+            size, at = sizes.get(scene, 0), 0
+            n = size // _CELL_BYTES
+            while at < n or not at:  # an empty file too is held against its description
                 some = min(room, n - at)
-                held.append((f"{info.path}/{data}", info.base_name, tuple(shape), at, some))
-                at, room = at + some, room - some
+                held.append((scene, size, at, some))
+                at, room = at + max(1, some), room - some
                 if not room:
                     out.append(Slab(held))
                     held, room = [], self.slab
         return [*out, Slab(held)] if held or not out else out
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
-        store, _ = store_of(self.options["path"])
-        kind, every = self.options.get("kind", "grid"), self.options.get("unknown", "true") == "true"
-        for path, scene, (_, nj, nk), first, n in partition.ranges:
+    def _ranges(self, partition: Slab) -> Iterator[tuple[str, tuple[int, ...], int, np.ndarray]]:
+        """Scene, shape, first cell and values of some cells at a time."""
+        store, root = store_of(self.options["path"].rstrip("/"))
+        for scene, size, first, n in partition.ranges:
+            with store.open_input_stream(f"{root}/{scene}/{self.meta}") as f:
+                shape = parsed_meta(f.read().decode())["shape"]
+            total, path = int(np.prod(shape)), f"{root}/{scene}/{self.data}"
+            if size < total * _CELL_BYTES:
+                raise ValueError(f"{path} ends before its description says")
+            end = min(first + n, total)
+            if first >= end:
+                continue
             with store.open_input_file(path) as f:
-                for at in range(first, first + n, 1 << 16):
-                    some = min(1 << 16, first + n - at)
+                for at in range(first, end, _SOME_CELLS):
+                    some = min(_SOME_CELLS, end - at)
                     v = np.frombuffer(f.read_at(some * _CELL_BYTES, at * _CELL_BYTES), "<f2").astype(float)
                     if len(v) < some:
                         raise ValueError(f"{path} ends before its description says")
-                    lin = np.arange(at, at + some) if every else at + np.flatnonzero(~np.isnan(v))
-                    v = v if every else v[lin - at]
-                    ijk = [x.astype(np.int32) for x in (lin // (nj * nk), lin // nk % nj, lin % nk)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(scene, len(v)), pa.repeat(kind, len(v)), *map(pa.array, ijk), pa.array(v, mask=np.isnan(v))], ["scene_id", "kind", "i", "j", "k", "v"])
+                    yield scene, shape, at, v
+
+    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+        kind, every = self.options.get("kind", "grid"), self.options.get("unknown", "true") == "true"
+        names, parts, n = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            i, j, k, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+            scene = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])))
+            return pa.RecordBatch.from_arrays([scene, pa.repeat(kind, len(v)), *(pa.array(x.astype(np.int32)) for x in (i, j, k)), pa.array(v, mask=np.isnan(v))], ["scene_id", "kind", "i", "j", "k", "v"])
+
+        for scene, (_, nj, nk), at, v in self._ranges(partition):
+            lin = np.arange(at, at + len(v)) if every else at + np.flatnonzero(~np.isnan(v))
+            v = v if every else v[lin - at]
+            names.append(scene)
+            parts.append((lin // (nj * nk), lin // nk % nj, lin % nk, v))
+            n += len(v)
+            if n >= _SOME_CELLS:
+                yield made()
+                names, parts, n = [], [], 0
+        if parts:
+            yield made()
 
 
 class GridDumps(DataSource):
     """`spark.read.format("grid_dump").load(folder)`: the dumps in the scenes' folders under `folder`, as cells.
 
     Options: `data` and `meta`, the names of the two files (grid.dat, grid.yaml); `kind`; `slab_cells`, the most cells a task;
-    `unknown`, false to leave NaN cells out. The driver reads the descriptions only; a task reads its ranges of bytes, some at a
-    time, so a dump may be larger than any task. Folders are on a store that pyarrow reaches.
+    `unknown`, false to leave NaN cells out. The driver lists names and sizes only; a task reads the descriptions and its ranges of
+    bytes, some at a time, so a dump may be larger than any task. Folders are on a store that pyarrow reaches.
     """
 
     @classmethod
@@ -131,13 +168,14 @@ def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int
     """A dump and its description in a folder for each scene of `meta`, whatever its size; returns how many there are.
 
     Cells are dealt to slabs of the dump, consecutive places in C order, each of which one task fills (NaN where no cell is) and
-    writes as a file of its own; then a task a scene puts the slabs behind each other, copying some bytes at a time. Files are
-    written beside their place and moved there, so a task that runs twice leaves whole files only. Cells outside the shape are
-    left out; of cells that repeat one stays.
+    writes: a dump of one slab at once with its description, others as a file a slab, which a task a scene then puts behind each
+    other, copying some bytes at a time. Files are written beside their place and moved there, so a task that runs twice leaves
+    whole files only. Cells outside the shape are left out; of cells that repeat one stays.
     """
-    shape = meta.select(F.col("scene_id").cast("string").alias("scene_id"), "ni", "nj", "nk")
+    scenes = meta.select(F.col("scene_id").cast("string").alias("scene_id"), "ni", "nj", "nk", "vox_size", "origin", "rot")
+    shape = scenes.select("scene_id", "ni", "nj", "nk")
     total = F.col("ni").cast("long") * F.col("nj") * F.col("nk")
-    slabs = shape.select("scene_id", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / slab_cells))).alias("slab"))
+    slabs = scenes.select("*", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((total - 1) / slab_cells), F.lit(0)))).alias("slab"))
     inside = [F.col(c).between(0, F.col(f"n{c}") - 1) for c in "ijk"]
     cells = voxels.where("v IS NOT NULL").select(F.col("scene_id").cast("string").alias("scene_id"), "i", "j", "k", "v").join(shape, "scene_id").where(inside[0] & inside[1] & inside[2])
     lin = (F.col("i").cast("long") * F.col("nj") + F.col("j")) * F.col("nk") + F.col("k")
@@ -154,8 +192,14 @@ def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int
                 out.write(piece)
         store.move(beside, own)
 
+    def describe(m: dict) -> None:
+        text = yaml.dump({"R": np.array(m["rot"]).reshape(3, 3).tolist(), "T": [float(x) for x in m["origin"]], "voxelsize": float(m["vox_size"]), "shape": [m["ni"], m["nj"], m["nk"]]}, Dumper=DUMPER)
+        put(f"{folder}/{m['scene_id']}/grid.yaml", iter([text.encode()]))
+
+    described = scenes.columns
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, slab, place = None, None, None
+        now, slab, place, n_whole = None, None, None, 0
         for batch in batches:
             run, is_cell = batch["run"].to_numpy(), batch["is_cell"].to_numpy(zero_copy_only=False)
             starts = runs(run, is_cell).tolist()
@@ -166,14 +210,18 @@ def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int
                     continue
                 if place:
                     put(place, iter([slab.tobytes()]))
-                number, total = batch["slab"][a].as_py(), batch["total"][a].as_py()
-                now, place = run[a], f"{folder}/{batch['scene_id'][a].as_py()}/grid.dat.slabs/{number}"
-                slab = np.full(min(slab_cells, total - number * slab_cells), np.nan, "<f2")
-                yield pa.RecordBatch.from_arrays([batch["scene_id"].slice(a, 1)], ["scene_id"])
+                m = {c: batch[c][a].as_py() for c in (*described, "slab", "total")}
+                whole = m["total"] <= slab_cells
+                now, place = run[a], f"{folder}/{m['scene_id']}/grid.dat" + ("" if whole else f".slabs/{m['slab']}")
+                slab = np.full(min(slab_cells, m["total"] - m["slab"] * slab_cells), np.nan, "<f2")
+                if whole:
+                    describe(m)
+                    n_whole += 1
         if place:
             put(place, iter([slab.tobytes()]))
+        yield pa.RecordBatch.from_arrays([pa.array([n_whole], pa.int64())], ["n"])
 
-    ordered.mapInArrow(fill, "scene_id string").count()
+    n_whole = ordered.mapInArrow(fill, "n long").agg(F.sum("n")).first()[0] or 0
 
     def copied(store: arrow_fs.FileSystem, paths: list[str]) -> Iterator[bytes]:
         for path in paths:
@@ -190,12 +238,10 @@ def write_dumps(voxels: DataFrame, meta: DataFrame, folder: str, slab_cells: int
                 if store.get_file_info(f"{place}/grid.dat.slabs").type == arrow_fs.FileType.Directory:  # else a first attempt has ended
                     put(f"{own}/grid.dat", copied(store, [f"{place}/grid.dat.slabs/{k}" for k in range(n)]))
                     store.delete_dir(f"{place}/grid.dat.slabs")
-                text = yaml.safe_dump({"R": np.array(m["rot"]).reshape(3, 3).tolist(), "T": [float(x) for x in m["origin"]], "voxelsize": float(m["vox_size"]), "shape": [m["ni"], m["nj"], m["nk"]]})
-                put(f"{own}/grid.yaml", iter([text.encode()]))
+                describe(m)
             yield pa.RecordBatch.from_arrays([batch["scene_id"]], ["scene_id"])
 
-    scenes = meta.select(F.col("scene_id").cast("string").alias("scene_id"), "ni", "nj", "nk", "vox_size", "origin", "rot")
-    return spread(scenes, "scene_id").mapInArrow(join, "scene_id string").count()
+    return n_whole + spread(scenes.where(total > slab_cells), "scene_id").mapInArrow(join, "scene_id string").count()
 
 
 def write_grids(voxels: DataFrame, path: str) -> None:
