@@ -256,3 +256,20 @@ def test_small_dumps_are_written_once_and_described_in_tasks(spark, tmp_path, mo
     back = grids_io.read_dumps(spark, str(tmp_path / "d"), unknown="false").select("scene_id", "i", "j", "k", "v")
     want = voxels.where("j < 2 AND k < scene_id % 4").select(F.col("scene_id").cast("string"), "i", "j", "k", "v")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_of_grids_of_one_tile_are_not_joined_from_parts(spark):
+    """v12_reconstruction and v13_pca_oracle called Python once a tile, shuffled a block's one part again and filled it by interpreted expressions."""
+    rng, turn = np.random.default_rng(5), [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    g = spark.createDataFrame([(s, 4, 5, 6, 0.5, [0.0, 0.0, 0.0], turn) for s in range(3)], "scene_id long, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>")
+    v = spark.createDataFrame([(s, *map(int, c), float(rng.integers(-8, 8))) for s in (0, 1) for c in np.ndindex(4, 5, 6) if rng.random() < 0.7], "scene_id long, i int, j int, k int, v double")
+    places = rng.integers(-3, 6, (60, 3)) / 2
+    b = spark.createDataFrame([(n % 3, n, turn, p.tolist()) for n, p in enumerate(places)], "scene_id long, sample_id long, rot array<double>, origin array<double>")
+    cut = lambda tile: dense.cut_blocks(b, v, g, (2, 3, 2), 0.5, tile=tile, fill=9.0, masked=True)
+    assert "collect_list" not in cut(8)._jdf.queryExecution().toString()
+    alone, joined = ({r["sample_id"]: (r["vals"], r["mask"]) for r in cut(tile).collect()} for tile in (8, 2))
+    assert len(alone) == 60 and alone == joined
+    cells = {(r["scene_id"], r["i"], r["j"], r["k"]): r["v"] for r in v.collect()}
+    for n, p in enumerate((places * 2).astype(int)):
+        want = [cells.get((n % 3, *(p + c).tolist())) for c in np.ndindex(2, 3, 2)]
+        assert alone[n] == ([9.0 if x is None else x for x in want], [float(x is None) for x in want])
