@@ -123,3 +123,18 @@ def test_digest_and_assembly_agree(spark):
     for r in pieces.collect():
         part = whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
         assert part == bytes(r["ids"]) and zlib.crc32(part) == crc[r["sequence_id"], r["offset"]]
+
+
+def test_token_files_keep_the_pre_tokens_of_a_task():
+    """op2_token_files dropped pre-tokens from a table of 300,000 and merged them again, several times in a task of text with many words."""
+    of, made = tokenize.encoder(P.path("byte_bpe_50k.json"), token_files.TABLE_ENTRIES), []
+    make, of.memo.make = of.memo.make, lambda word: made.append(word) or b""
+    try:
+        words = [f"w{n:b}".replace("0", "x").replace("1", "y") for n in range(320_000)]
+        for _ in range(2):
+            of.encode(" ".join(words))
+        assert len(made) == len(set(words))
+    finally:
+        of.memo.make = make
+        of.memo.clear()
+        of.memo.older = {}

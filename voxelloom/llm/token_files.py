@@ -34,6 +34,8 @@ from voxelloom.llm.tokenize import encoder
 BLOCK_IDS = 1 << 16
 #: Ids in a chunk before the next document opens a new one.
 CHUNK_IDS = 1 << 20
+#: Entries of a worker's table of pre-tokens.
+TABLE_ENTRIES = 1_000_000
 
 _CHUNK = "part int, chunk int, start_in_part long, n_docs int, n_ids long, block_ids int, doc_ids binary, doc_nulls binary, lengths binary, planes string, plane_ends binary, payload binary"
 
@@ -68,7 +70,7 @@ def _writer(path: str, end_id: int, kind: str, block_ids: int, chunk_ids: int, l
     end = int(end_id).to_bytes(4, "little")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, part, chunk, start = encoder(path), TaskContext.get().partitionId(), 0, 0
+        of, part, chunk, start = encoder(path, TABLE_ENTRIES), TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         held: list[bytes] = []
         size = 0

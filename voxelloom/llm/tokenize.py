@@ -63,9 +63,9 @@ def _library(path: str):
 class _Memo(dict):
     """Pre-token to what `make` gives for it: fixed answers, and a table in two halves of which the older is dropped."""
 
-    def __init__(self, make: Callable[[str], object], fixed: dict | None = None):
+    def __init__(self, make: Callable[[str], object], fixed: dict | None = None, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.fixed, self.older = make, fixed or {}, {}
+        self.make, self.fixed, self.older, self.half = make, fixed or {}, {}, entries // 2
 
     def __missing__(self, word: str):
         value = self.fixed.get(word)
@@ -74,7 +74,7 @@ class _Memo(dict):
             if value is None:
                 value = self.make(word)
         if len(word) <= 64:
-            if len(self) >= MEMO_ENTRIES // 2:
+            if len(self) >= self.half:
                 self.older = dict(self)
                 self.clear()
             self[word] = value
@@ -110,12 +110,12 @@ def _letters(word: str) -> str:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         name = os.path.basename(path)
         self.library, self.lower = _library(path), name.startswith("word_")
         self.cut = re.compile(PATTERNS[name]).findall
         merge = self.library.model.tokenize
-        self.memo = _Memo(lambda word: array("I", [x.id for x in merge(_letters(word))]).tobytes())
+        self.memo = _Memo(lambda word: array("I", [x.id for x in merge(_letters(word))]).tobytes(), entries=entries)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self._encode, pieces(text or "")))
@@ -180,8 +180,8 @@ def _once(key: tuple, make: Callable[[], object]):
     return _made[key]
 
 
-def encoder(path: str) -> Encoder:
-    return _once(("encode", path), lambda: Encoder(path))
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+    return _once(("encode", path, entries), lambda: Encoder(path, entries))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
