@@ -273,3 +273,27 @@ def test_blocks_of_grids_of_one_tile_are_not_joined_from_parts(spark):
     for n, p in enumerate((places * 2).astype(int)):
         want = [cells.get((n % 3, *(p + c).tolist())) for c in np.ndindex(2, 3, 2)]
         assert alone[n] == ([9.0 if x is None else x for x in want], [float(x is None) for x in want])
+
+
+def test_rows_meet_in_single_precision_and_boxes_skip_cells(spark, monkeypatch):
+    """v13_coded_nn_oracle asked most cells by pivots' bounds; both searches made and looked at doubles of every pair several times."""
+    rng = np.random.default_rng(12)
+    data = rng.standard_normal((6000, 8)) + 1e4  # far from 0, where single precision alone would not tell rows apart
+    data[4001] = data[17]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "id long, x array<double>")
+    _, cells = learn.voronoi(df.where("id < 4000"), "id", "x", rows_a_pivot=16)
+    d = ((data[4000:, None, :] - data[None, :4000, :]) ** 2).sum(2)
+    near = cells.near(data[4000:], np.sqrt(d.min(1)))
+    home = cells.home(data[:4000])
+    assert (cells.count == np.bincount(home, minlength=len(cells.count))).all() and len(cells.count) == 250
+    assert near[np.arange(2000), home[d.argmin(1)]].all() and near.mean() < 0.35
+    exact = []
+    plain = learn._Search.meet
+    monkeypatch.setattr(learn._Search, "meet", lambda s, rows, ids, x, flat: exact.append(flat.dtype) or plain(s, rows, ids, x, flat))
+    everything = learn._Shelf([(home, np.arange(4000), data[:4000])])
+    for asks in (near, np.ones_like(near)):  # cell by cell, and whole
+        found = everything.search(cells, data[4000:], np.full(2000, np.inf), asks, 0, None, False)
+        assert (found.ids == d.argmin(1)).all() and (found.square == d.min(1)).all()
+    assert set(exact) == {np.dtype(np.float32)} and found.ids[1] == 17
+    huge = learn._Shelf([(home, np.arange(4000), data[:4000] * 1e20)])
+    assert (huge.search(cells, data[4000:] * 1e20, np.full(2000, np.inf), np.ones_like(near), 0, None, False).ids == d.argmin(1)).all() and np.dtype(np.float64) in exact
