@@ -8,7 +8,7 @@ import yaml
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from voxelloom.operators import dense, fusion, grid, image, learn, mesh
+from voxelloom.operators import dense, fusion, grid, image, learn, mesh, tiles
 from voxelloom.sources import files, grids_io, manifests, rasters, reports
 
 SF = "/root/testdata/sf0.001"
@@ -297,3 +297,22 @@ def test_rows_meet_in_single_precision_and_boxes_skip_cells(spark, monkeypatch):
     assert set(exact) == {np.dtype(np.float32)} and found.ids[1] == 17
     huge = learn._Shelf([(home, np.arange(4000), data[:4000] * 1e20)])
     assert (huge.search(cells, data[4000:] * 1e20, np.full(2000, np.inf), np.ones_like(near), 0, None, False).ids == d.argmin(1)).all() and np.dtype(np.float64) in exact
+
+
+def test_blocks_are_cut_from_packed_tiles(spark):
+    """v12_reconstruction shuffled and sorted every cell of the visible grid four times and of the true one twice."""
+    rng, turn = np.random.default_rng(13), [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    g = spark.createDataFrame([(f"s{s}", 9, 5, 6, 0.5, [0.0, 0.0, 0.0], turn) for s in range(4)], "scene_id string, ni int, nj int, nk int, vox_size double, origin array<double>, rot array<double>")
+    rows = [(f"s{s}", *map(int, c), None if rng.random() < 0.1 else float(rng.integers(-8, 8))) for s in (0, 1, 3) for c in np.ndindex(9, 5, 6) if rng.random() < 0.7]
+    v = spark.createDataFrame(rows, "scene_id string, i int, j int, k int, v double").repartition(3)
+    b = spark.createDataFrame([(f"s{n % 4}", n, turn, (rng.integers(-3, 12, 3) / 2).tolist()) for n in range(80)], "scene_id string, sample_id long, rot array<double>, origin array<double>")
+    labels = v.selectExpr("scene_id", "i", "j", "k", "i % 3 AS label")
+    for tile in (4, 16):
+        held = tiles.packed(v, tile)
+        assert sum(len(r["cells"]) // 4 for r in held.collect()) == sum(r[4] is not None for r in rows)
+        whole = held.repartition(1).count()
+        assert whole <= 3 * 3 * (18 if tile == 4 else 1)  # a row a tile and batch
+        for more in ({}, {"labels": labels}):
+            blocks = b.selectExpr("*", "sample_id % 3 AS label") if more else b
+            got, want = (sorted(map(str, dense.cut_blocks(blocks, x, g, (2, 3, 2), 0.5, tile=tile, fill=9.0, masked=True, **more).collect())) for x in (held, v))
+            assert got == want and len(got) == 80
